@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import quality_rules
+from parlance.llm import pii, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op10_pii": pii.op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secret_scan": secret_scan.OP3_SQL}
