@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import pii, quality_rules, secret_scan
+from parlance.llm import mixing, pieces, pii, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": pieces.op1_sentencepiece,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_mixing": mixing.op6_mixing,
         "op10_pii": pii.op10_pii,
     }
 
