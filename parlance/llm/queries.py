@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import minhash, mixing, pieces, pii, quality_rules, secret_scan
+from parlance.llm import html_extract, minhash, mixing, pieces, pii, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_mixing": mixing.op6_mixing,
         "op7_minhash": minhash.op7_minhash,
+        "op9_html_extract": html_extract.op9_html_extract,
         "op10_pii": pii.op10_pii,
     }
 
