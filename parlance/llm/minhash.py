@@ -5,8 +5,9 @@ Its weight is (1 + ln tf) times the mean smoothed idf of its words, 1 + ln((1+N)
 ln(1+N).  Document frequencies are counted over all documents in ``DF_BUCKETS`` hashed
 buckets, so that the table that workers hold has a fixed size; a table of all shingles
 would grow with the corpus.  ICWS draws ``BANDS * ROWS`` samples; texts that agree on all
-rows of a band meet in a bucket; candidates whose samples agree often enough are verified
-by their weighted Jaccard similarity over whole texts.
+rows of a band meet in a bucket.  Within a bucket a sketch of the same weighted shingles
+(the least exponential variate of each of ``BINS`` bins) drops pairs far below the threshold;
+the others are verified by their weighted Jaccard similarity over whole texts.
 
 A bucket never emits all of its pairs: it emits at most ``PER_MEMBER`` pairs a member, the
 edges of maximum spanning forests of the estimated similarities.  Buckets with more go
@@ -38,13 +39,16 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-#: Samples of a pair that must agree before its texts are compared; 99.9 % of pairs at 0.8 reach it.
-AGREE = 17
+#: Bins of the one-pass sketch that estimates similarities within a bucket, a byte each, and
+#: by how many standard deviations an estimate may fall short before its pair is left out.
+BINS, SLACK = 256, 4.0
 DF_BUCKETS = 1 << 18
 #: Random variates are taken from a pool of this size, another place for each sample.
 POOL = 1 << 17
-BLOCK = 1024
+BLOCK = 512
 PER_MEMBER = 4
+#: Buckets of at most so many members emit all pairs that pass.
+SMALL = 16
 SEED = 7
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -58,6 +62,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _hash_strings(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of strings, and which are empty: polynomials of their bytes, from running sums over all of them."""
+    names = pa.concat_arrays([names.cast(pa.large_binary())])
+    if not len(names):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    ends = np.frombuffer(names.buffers()[1], dtype=np.int64)[names.offset : names.offset + len(names) + 1]
+    n = int(ends[-1] - ends[0])
+    data = np.frombuffer(names.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] if n else np.zeros(0, dtype=np.uint8)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(n, _P, dtype=np.uint64)))
+    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, pow(int(_P), -1, 1 << 64), dtype=np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], dtype=np.uint64))
+    a, b = ends[:-1] - ends[0], ends[1:] - ends[0]
+    return _mix((sums[b] - sums[a]) * inverse[a]), a == b
+
+
 def words_hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and the number of words of each text."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -65,9 +84,7 @@ def words_hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = split.flatten().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    names = np.array(coded.dictionary.to_pylist(), dtype=object)
-    hashes = pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, dtype=np.uint64)
-    empty = np.array([n == "" for n in names], dtype=bool)
+    hashes, empty = _hash_strings(coded.dictionary)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if empty.any():  # the only word of a text without words
         blank = empty[codes]
@@ -181,8 +198,24 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return (1 + np.log((1 + n) / (1 + df)) / np.log(2 + n)).astype(np.float32), n
 
 
+def sketches(doc: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """A row of ``BINS`` bytes for each of ``n`` texts; 0 marks a bin without shingles."""
+    out = np.zeros((n, BINS), dtype=np.uint8)
+    if len(doc):
+        h = _mix(ids ^ np.uint64(0x5BD1E995C0FFEE11))
+        u = ((h >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
+        value = (-np.log(u) / weights.astype(np.float32)).astype(np.float32).view(np.uint32).astype(np.uint64)
+        group = doc.astype(np.uint64) * np.uint64(BINS) + (h & np.uint64(BINS - 1))
+        tag = (h >> np.uint64(8)) % np.uint64(255) + np.uint64(1)
+        packed = np.sort((group << np.uint64(40)) | (value << np.uint64(8)) | tag)
+        group = packed >> np.uint64(40)
+        first = np.append(True, group[1:] != group[:-1])
+        out.ravel()[group[first].astype(np.int64)] = (packed[first] & np.uint64(0xFF)).astype(np.uint8)
+    return out
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Rows (doc_id, sig, keys) for the documents with words."""
+    """Rows (doc_id, sketch, keys) for the documents with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _pool()
@@ -191,13 +224,33 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 doc, ids, weights = weighted(part["text"], idf)
                 some = np.unique(doc)
                 sig = samples(doc, ids, weights, part.num_rows, pool)[some]
+                sketch = sketches(doc, ids, weights, part.num_rows)[some]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(some) + 1, BANDS, dtype=np.int32)), pa.array(band_keys(sig).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(pa.array(some)), pa.array([x.tobytes() for x in sig], pa.binary()), keys], names=["doc_id", "sig", "keys"]
+                    [part["doc_id"].take(pa.array(some)), pa.array([x.tobytes() for x in sketch], pa.binary()), keys], names=["doc_id", "sketch", "keys"]
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sig binary, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sketch binary, keys array<bigint>")
+
+
+def _passing(hits: np.ndarray, either: np.ndarray, similarity: float) -> np.ndarray:
+    """Estimated similarities; 0 where they fall short of the threshold by more than chance allows."""
+    either = np.maximum(either, 1)
+    found = (hits / either).astype(np.float32)
+    return np.where(found >= similarity - SLACK * np.sqrt(0.16 / either), found, np.float32(0))
+
+
+def _estimates(sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """Matrix of the estimates of all pairs of a block."""
+    n = len(sketch)
+    hits = np.zeros((n, n), dtype=np.int16)
+    for k in range(BINS):
+        c = sketch[:, k]
+        hits += (c[:, None] == c[None, :]) & (c != 0)[:, None]
+    full = (sketch != 0).astype(np.float32)
+    own = full.sum(1)
+    return _passing(hits, own[:, None] + own[None, :] - full @ full.T, similarity)
 
 
 def _forest(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -205,9 +258,8 @@ def _forest(weight: np.ndarray) -> list[tuple[int, int]]:
     n = len(weight)
     free, best, via, edges = np.ones(n, dtype=bool), np.zeros(n, dtype=weight.dtype), np.full(n, -1), []
     for _ in range(n):
-        now = np.where(free, best, -1)
-        v = int(np.argmax(now))
-        if best[v] > 0 and free[v]:
+        v = int(np.argmax(np.where(free, best, -1)))
+        if best[v] > 0:
             edges.append((int(via[v]), v))
         free[v] = False
         closer = free & (weight[v] > best)
@@ -215,62 +267,120 @@ def _forest(weight: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def choose(ids: np.ndarray, sig: np.ndarray, side: np.ndarray | None, comp: np.ndarray, tried: set, most: int) -> tuple[list[tuple[int, int]], bool]:
+def choose(ids: np.ndarray, sketch: np.ndarray, side: np.ndarray, comp: np.ndarray, tried: set, most: int, similarity: float) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of one bucket to verify, and whether others are left for a later round.
 
-    ``side`` tells two blocks apart, of which only pairs across count; pairs within a
-    component and those tried are left out.
+    ``side`` tells two blocks apart (-1: one block), of which only pairs across count; pairs
+    within a component and those tried are left out.
     """
     n = len(ids)
-    same = np.zeros((n, n), dtype=np.int16)
-    for k in range(sig.shape[1]):
-        same += sig[:, k][:, None] == sig[:, k][None, :]
-    same[(same < AGREE) | (comp[:, None] == comp[None, :])] = 0
-    if side is not None:
-        same[side[:, None] == side[None, :]] = 0
+    weight = _estimates(sketch, similarity)
+    weight[(comp[:, None] == comp[None, :]) | ((side >= 0)[:, None] & (side[:, None] == side[None, :]))] = 0
     if tried:
         place = {int(v): k for k, v in enumerate(ids)}
         for a, b in tried:
-            if a in place and b in place:
-                same[place[a], place[b]] = same[place[b], place[a]] = 0
-    a, b = np.nonzero(np.triu(same))
+            weight[place[a], place[b]] = weight[place[b], place[a]] = 0
+    a, b = np.nonzero(np.triu(weight))
     if len(a) <= most * n:
         return list(zip(ids[a].tolist(), ids[b].tolist(), strict=True)), False
     out = []
     for _ in range(most):
-        edges = _forest(same)
+        edges = _forest(weight)
         for x, y in edges:
-            same[x, y] = same[y, x] = 0
+            weight[x, y] = weight[y, x] = 0
         out += [(int(ids[x]), int(ids[y])) for x, y in edges]
-    return out, bool(same.any())
+    return out, bool(weight.any())
 
 
 def _bucket_members(sigs: DataFrame) -> DataFrame:
-    """Rows (key, i, j, id, sig, side): members of buckets with at least two, in pairs of blocks."""
+    """Rows (key, i, j, id, side, sketch): members of buckets with at least two, in pairs of blocks."""
     rows = cut(sigs.select("doc_id", F.explode("keys").alias("key")))
     many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(many, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.select("key", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "own")
-    return rows.join(sigs.select("doc_id", "sig"), "doc_id").select("key", "i", "j", F.col("doc_id").alias("id"), F.when(F.col("i") == F.col("j"), F.lit(-1)).otherwise(F.col("own")).alias("side"), "sig")
+    side = F.when(F.col("i") == F.col("j"), F.lit(-1)).otherwise(F.col("own")).alias("side")
+    return rows.join(sigs.select("doc_id", "sketch"), "doc_id").select("key", "i", "j", F.col("doc_id").alias("id"), side, "sketch")
 
 
 _PAIRS = "key long, i int, j int, a long, b long, more boolean"
+_NAMES = ("key", "i", "j", "a", "b", "more")
+
+
+def _first_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """The first round over all buckets: each partition's buckets stand together, small ones are compared at once."""
+
+    def small(c: dict, starts: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+        x, y = np.triu_indices(size, 1)
+        step = max(1, 8192 // len(x))
+        for at in range(0, len(starts), step):
+            rows = starts[at : at + step, None]
+            a, b = (rows + x).ravel(), (rows + y).ravel()
+            across = (c["side"][a] < 0) | (c["side"][a] != c["side"][b])
+            a, b = a[across], b[across]
+            p, q = c["sketch"][a], c["sketch"][b]
+            hits = ((p == q) & (p != 0)).sum(1)
+            ok = _passing(hits, ((p != 0) | (q != 0)).sum(1), similarity) > 0
+            yield record(c, a[ok], c["id"][a[ok]], c["id"][b[ok]], False)
+
+    def record(c: dict, row: np.ndarray, a: np.ndarray, b: np.ndarray, more: bool) -> pa.RecordBatch:
+        parts = [c["key"][row], c["i"][row], c["j"][row], np.minimum(a, b), np.maximum(a, b), np.full(len(row), more)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=list(_NAMES))
+
+    def done(c: dict) -> Iterator[pa.RecordBatch]:
+        n = len(c["key"])
+        new = np.append(True, (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1]))
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, n))
+        for k in np.unique(size):
+            if 1 < k <= SMALL:
+                yield from small(c, starts[size == k], int(k))
+        for s, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            ids = c["id"][s : s + k]
+            pairs, more = choose(ids, c["sketch"][s : s + k], c["side"][s : s + k], ids, set(), PER_MEMBER, similarity)
+            if pairs:
+                a, b = np.array(pairs, dtype=np.int64).T
+                yield record(c, np.full(len(a), s), a, b, more)
+
+    def columns(t: pa.Table) -> dict:
+        out = {k: t[k].to_numpy() for k in ("key", "i", "j", "id", "side")}
+        return out | {"sketch": np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)}
 
-
-def _pairs_of(most: int):
-    def run(key: tuple, members: pd.DataFrame, tried: pd.DataFrame) -> pd.DataFrame:
-        comp = members["comp"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            last = t.num_rows - 1
+            ends = np.stack([t[k].to_numpy() for k in ("key", "i", "j")])
+            whole = int(np.flatnonzero((ends != ends[:, last : last + 1]).any(0)).max(initial=-1)) + 1
+            if whole:
+                yield from done(columns(t.slice(0, whole)))
+            held = t.slice(whole).to_batches()
+        if held:
+            yield from done(columns(pa.Table.from_batches(held)))
+
+    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(5000, members.count() // 20_000))
+    return members.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, _PAIRS)
+
+
+def _later_pairs(members: DataFrame, tried: DataFrame, most: int, similarity: float) -> DataFrame:
+    """A later round over the buckets that had more, with ``comp`` for each member."""
+
+    def run(key: tuple, rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        comp = rows["comp"].to_numpy()
         pairs, more = [], False
-        if len(members) > 1 and (comp != comp[0]).any():
-            sig = np.frombuffer(b"".join(members["sig"]), dtype=np.uint32).reshape(len(members), -1)
-            side = members["side"].to_numpy()
-            pairs, more = choose(members["id"].to_numpy(), sig, None if (side < 0).all() else side, comp, set(zip(tried["a"], tried["b"], strict=True)), most)
+        if len(rows) > 1 and (comp != comp[0]).any():
+            sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
+            pairs, more = choose(rows["id"].to_numpy(), sketch, rows["side"].to_numpy(), comp, set(zip(old["a"], old["b"], strict=True)), most, similarity)
         a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
         return pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "a": np.minimum(a, b), "b": np.maximum(a, b), "more": more})
 
-    return run
+    group = ("key", "i", "j")
+    return members.groupBy(*group).cogroup(tried.groupBy(*group)).applyInPandas(run, _PAIRS)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -305,26 +415,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sigs = signatures(docs.where("doc_id is not null"), idf).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sigs = stored(sigs, "signatures")
     members = cut(_bucket_members(sigs))
-    spark = docs.sparkSession
-    comp = spark.createDataFrame([], "id long, component long")
-    tried = spark.createDataFrame([], _PAIRS)
-    edges = spark.createDataFrame([], "a long, b long")
-    left, most = members, PER_MEMBER
-    while True:
-        now = left.join(comp, "id", "left").select("key", "i", "j", "id", "side", "sig", F.coalesce("component", "id").alias("comp"))
-        group = ("key", "i", "j")
-        new = cut(now.groupBy(*group).cogroup(tried.groupBy(*group)).applyInPandas(_pairs_of(most), _PAIRS))
-        if new.isEmpty():
+    group = ["key", "i", "j"]
+    new = cut(_first_pairs(members, similarity))
+    edges = cut(verify(new.select("a", "b").distinct(), docs, idf, similarity))
+    comp = components(edges)
+    tried, left, most = new, members, PER_MEMBER
+    while not (more := new.where("more").select(*group).distinct()).isEmpty():
+        most *= 4
+        left = left.join(more, group, "left_semi")
+        left = cut(left.drop("comp").join(comp, "id", "left").select(*group, "id", "side", "sketch", F.coalesce("component", "id").alias("comp")))
+        new = cut(_later_pairs(left, tried.join(more, group, "left_semi"), most, similarity))
+        pairs = cut(new.select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
             break
-        pairs = new.select("a", "b").distinct()
-        if not tried.isEmpty():
-            pairs = pairs.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
         edges = cut(edges.union(verify(pairs, docs, idf, similarity)))
-        comp = cut(components(edges))
-        more = new.where("more").select(*group).distinct()
-        if more.isEmpty():
-            break
-        left, tried, most = cut(left.join(more, list(group), "left_semi")), cut(tried.union(new)), 4 * most
+        comp = components(edges)
+        tried = cut(tried.union(new))
     named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h", "l", F.coalesce("component", "rep").alias("component_id"))
     out = hashed.where("doc_id is not null").join(named, ["h", "l"]).select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     return out.union(hashed.where("doc_id is null").select("doc_id", "doc_id", F.lit(True)))

@@ -151,8 +151,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROW
     """Texts and labels to fit on: labelled rows not held out, at most ``rows``, by hashed id."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
     marked = marked.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    return pa.array(got["text"].fillna("").tolist(), pa.string()), got["y"].to_numpy(dtype=np.float64)
+    got = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    return pa.concat_arrays(got["text"].chunks) if got.num_rows else pa.array([], pa.string()), got["y"].to_numpy().astype(np.float64)
 
 
 def held_out():

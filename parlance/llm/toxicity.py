@@ -34,7 +34,9 @@ LEXICON = {
     "contempt": frozenset("scum trash worthless pathetic disgusting".split()),
 }
 CHAIN = ("insult", "contempt", "veiled", "toxic")
-FIT_ROWS = 8000
+FIT_ROWS = 6000
+#: Rows whose words are counted at once while fitting.
+SLICE = 500
 BUCKETS = 1 << 18
 #: Features with the largest chi-square kept for the linear models.
 FEATURES = 512
@@ -100,17 +102,18 @@ class Chain:
     def fit(texts: pa.Array, toxic: np.ndarray) -> Chain:
         if len(np.unique(toxic > 0)) < 2:
             return Chain(np.zeros(0, dtype=np.int64), [np.array([0.0] * k + [-40.0]) for k in range(len(CHAIN))])
-        doc, code, words = tokens(texts)
-        by = buckets(words)
-        n = len(toxic)
+        n, known = len(toxic), set().union(*LEXICON.values())
         own: list[set[str]] = [set() for _ in range(n)]
-        known = set().union(*LEXICON.values())
-        for d, c in zip(doc.tolist(), code.tolist(), strict=True):
-            if words[c] in known:
-                own[d].add(words[c])
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, n, SLICE):
+            doc, code, words = tokens(texts.slice(at, SLICE))
+            pairs = np.unique(np.repeat(doc, 3) * BUCKETS + buckets(words)[code].ravel())
+            parts.append(((pairs // BUCKETS + at).astype(np.int32), (pairs % BUCKETS).astype(np.int32)))
+            lexical = np.array([w in known for w in words], dtype=bool)[code]
+            for d, c in zip(doc[lexical].tolist(), code[lexical].tolist(), strict=True):
+                own[d + at].add(words[c])
         y = categories(own, toxic)
-        pairs = np.unique((np.repeat(doc, 3) * BUCKETS) + by[code].ravel())
-        rows, feats = pairs // BUCKETS, pairs % BUCKETS
+        rows, feats = (np.concatenate(x) for x in zip(*parts, strict=True))
         there = np.bincount(feats, minlength=BUCKETS).astype(float)
         hit = np.bincount(feats, weights=y[rows, -1], minlength=BUCKETS)
         rate = y[:, -1].mean()
