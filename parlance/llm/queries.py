@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import html_extract, minhash, mixing, pieces, pii, quality_mil, quality_rules, secret_scan, toxicity
+import corpus_pipeline
+
+from parlance.llm import embedding_dedup, html_extract, minhash, mixing, pieces, pii, quality_mil, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,11 +17,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op7_minhash": minhash.op7_minhash,
         "op8_quality_mil": quality_mil.op8_quality_mil,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_pii": pii.op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
