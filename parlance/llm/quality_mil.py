@@ -26,6 +26,8 @@ from parlance.llm.minhash import _slices
 
 PASSAGE = 512
 FIT_ROWS = 4000
+#: Rows that are encoded at once while fitting.
+SLICE = 200
 FOLDS = 5
 HIDDEN, ATTEND, TRIGRAMS = 24, 12, 192
 EPOCHS, BATCH, STEP, DECAY = 12, 64, 0.01, 1e-4
@@ -166,8 +168,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> AttentionMil:
         model = AttentionMil()
         model.constant = True
         return model
-    x, bag = passages(texts)
-    return AttentionMil().fit(x, bag, y)
+    parts = [passages(texts.slice(at, SLICE)) for at in range(0, len(texts), SLICE)]
+    bag = np.concatenate([b + k * SLICE for k, (_, b) in enumerate(parts)])
+    return AttentionMil().fit(np.concatenate([x for x, _ in parts]), bag, y)
 
 
 def quality(docs: DataFrame, model: AttentionMil) -> DataFrame:
