@@ -50,6 +50,8 @@ PER_MEMBER = 4
 #: Buckets of at most so many members emit all pairs that pass.
 SMALL = 16
 SEED = 7
+#: Ids that are broadcast at most (16 MB).
+BROADCAST_IDS = 2_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 44) - 1)
@@ -164,7 +166,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about ``most_bytes`` together."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -383,11 +385,20 @@ def _later_pairs(members: DataFrame, tried: DataFrame, most: int, similarity: fl
     return members.groupBy(*group).cogroup(tried.groupBy(*group)).applyInPandas(run, _PAIRS)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) for the given ids, once each.
+
+    Ids are broadcast while they are few enough for that; beyond, both sides are shuffled.
+    """
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    found = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id", "left_semi")
+    return cut(found.groupBy("doc_id").agg(F.any_value("text").alias("text")))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts have a weighted Jaccard similarity of at least ``similarity``."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = cut(docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,7 +428,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = cut(_bucket_members(sigs))
     group = ["key", "i", "j"]
     new = cut(_first_pairs(members, similarity))
-    edges = cut(verify(new.select("a", "b").distinct(), docs, idf, similarity))
+    again = members.join(new.where("more").select(*group).distinct(), group, "left_semi")
+    ids = cut(new.select(F.col("a").alias("doc_id")).union(new.select("b")).union(again.select("id")).distinct())
+    texts = texts_of(docs, ids)
+    edges = cut(verify(new.select("a", "b").distinct(), texts, idf, similarity))
     comp = components(edges)
     tried, left, most = new, members, PER_MEMBER
     while not (more := new.where("more").select(*group).distinct()).isEmpty():
@@ -428,7 +442,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         pairs = cut(new.select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        edges = cut(edges.union(verify(pairs, docs, idf, similarity)))
+        edges = cut(edges.union(verify(pairs, texts, idf, similarity)))
         comp = components(edges)
         tried = cut(tried.union(new))
     named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h", "l", F.coalesce("component", "rep").alias("component_id"))
