@@ -5,15 +5,12 @@ Its weight is (1 + ln tf) times the mean smoothed idf of its words, 1 + ln((1+N)
 ln(1+N).  Document frequencies are counted over all documents in ``DF_BUCKETS`` hashed
 buckets, so that the table that workers hold has a fixed size; a table of all shingles
 would grow with the corpus.  ICWS draws ``BANDS * ROWS`` samples; texts that agree on all
-rows of a band meet in a bucket.  Within a bucket a sketch of the same weighted shingles
-(the least exponential variate of each of ``BINS`` bins) drops pairs far below the threshold;
-the others are verified by their weighted Jaccard similarity over whole texts.
+rows of a band meet in a bucket, and every pair of a bucket is verified by its weighted
+Jaccard similarity over whole texts.
 
-A bucket never emits all of its pairs: it emits at most ``PER_MEMBER`` pairs a member, the
-edges of maximum spanning forests of the estimated similarities.  Buckets with more go
-through further rounds, in which only pairs between different components that have not been
-tried are left, until none is; so no link between components is lost to that limit.  Large
-buckets are compared in pairs of blocks.
+A bucket never emits its pairs: a task compares a block of its members, or two, by a product
+of matrices and emits the edges of a forest that spans the links found.  Large buckets are
+compared in pairs of blocks, so that no task holds more than two.
 
 Results for odd input: equal texts form one class before anything is compared; null counts
 as the empty text; a text without words is like no text but an equal one.  A class is named
@@ -39,16 +36,11 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-#: Bins of the one-pass sketch that estimates similarities within a bucket, a byte each, and
-#: by how many standard deviations an estimate may fall short before its pair is left out.
-BINS, SLACK = 256, 4.0
 DF_BUCKETS = 1 << 18
 #: Random variates are taken from a pool of this size, another place for each sample.
 POOL = 1 << 17
-BLOCK = 512
-PER_MEMBER = 4
-#: Buckets of at most so many members emit all pairs that pass.
-SMALL = 16
+#: Members of a block, and shared layers that are multiplied at once.
+BLOCK, COLUMNS = 256, 8192
 SEED = 7
 #: Ids that are broadcast at most (16 MB).
 BROADCAST_IDS = 2_000_000
@@ -95,8 +87,8 @@ def words_hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[codes], count
 
 
-def weighted(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of the text, 44-bit hash and weight of each different shingle, sorted by the first two."""
+def weighted(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place of the text, 44-bit hash and weight of each different shingle, sorted by the first two; then its tf and idf."""
     wh, count = words_hashed(texts)
     n, ends = len(wh), np.cumsum(count)
     value = idf[(wh & np.uint64(len(idf) - 1)).astype(np.int64)].astype(np.float64)
@@ -120,7 +112,7 @@ def weighted(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     key, w = key[order], w[order]
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
     tf = np.diff(np.append(new, len(key)))
-    return (key[new] >> np.uint64(44)).astype(np.int64), key[new] & _LOW, w[new] * (1 + np.log(tf))
+    return (key[new] >> np.uint64(44)).astype(np.int64), key[new] & _LOW, w[new] * (1 + np.log(tf)), tf, w[new]
 
 
 def _pool(seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,189 +192,130 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return (1 + np.log((1 + n) / (1 + df)) / np.log(2 + n)).astype(np.float32), n
 
 
-def sketches(doc: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """A row of ``BINS`` bytes for each of ``n`` texts; 0 marks a bin without shingles."""
-    out = np.zeros((n, BINS), dtype=np.uint8)
-    if len(doc):
-        h = _mix(ids ^ np.uint64(0x5BD1E995C0FFEE11))
-        u = ((h >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
-        value = (-np.log(u) / weights.astype(np.float32)).astype(np.float32).view(np.uint32).astype(np.uint64)
-        group = doc.astype(np.uint64) * np.uint64(BINS) + (h & np.uint64(BINS - 1))
-        tag = (h >> np.uint64(8)) % np.uint64(255) + np.uint64(1)
-        packed = np.sort((group << np.uint64(40)) | (value << np.uint64(8)) | tag)
-        group = packed >> np.uint64(40)
-        first = np.append(True, group[1:] != group[:-1])
-        out.ravel()[group[first].astype(np.int64)] = (packed[first] & np.uint64(0xFF)).astype(np.uint8)
-    return out
-
-
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Rows (doc_id, sketch, keys) for the documents with words."""
+    """Rows (doc_id, keys) for the documents with words: a key for each band of ICWS samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _pool()
         for batch in batches:
             for part in _slices(batch):
-                doc, ids, weights = weighted(part["text"], idf)
+                doc, ids, weights = weighted(part["text"], idf)[:3]
                 some = np.unique(doc)
-                sig = samples(doc, ids, weights, part.num_rows, pool)[some]
-                sketch = sketches(doc, ids, weights, part.num_rows)[some]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(some) + 1, BANDS, dtype=np.int32)), pa.array(band_keys(sig).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(pa.array(some)), pa.array([x.tobytes() for x in sketch], pa.binary()), keys], names=["doc_id", "sketch", "keys"]
-                )
+                keys = band_keys(samples(doc, ids, weights, part.num_rows, pool)[some])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(some) + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(some)), keys], names=["doc_id", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sketch binary, keys array<bigint>")
-
-
-def _passing(hits: np.ndarray, either: np.ndarray, similarity: float) -> np.ndarray:
-    """Estimated similarities; 0 where they fall short of the threshold by more than chance allows."""
-    either = np.maximum(either, 1)
-    found = (hits / either).astype(np.float32)
-    return np.where(found >= similarity - SLACK * np.sqrt(0.16 / either), found, np.float32(0))
-
-
-def _estimates(sketch: np.ndarray, similarity: float) -> np.ndarray:
-    """Matrix of the estimates of all pairs of a block."""
-    n = len(sketch)
-    hits = np.zeros((n, n), dtype=np.int16)
-    for k in range(BINS):
-        c = sketch[:, k]
-        hits += (c[:, None] == c[None, :]) & (c != 0)[:, None]
-    full = (sketch != 0).astype(np.float32)
-    own = full.sum(1)
-    return _passing(hits, own[:, None] + own[None, :] - full @ full.T, similarity)
-
-
-def _forest(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest of a symmetric matrix, whose zeros are no edges."""
-    n = len(weight)
-    free, best, via, edges = np.ones(n, dtype=bool), np.zeros(n, dtype=weight.dtype), np.full(n, -1), []
-    for _ in range(n):
-        v = int(np.argmax(np.where(free, best, -1)))
-        if best[v] > 0:
-            edges.append((int(via[v]), v))
-        free[v] = False
-        closer = free & (weight[v] > best)
-        best[closer], via[closer] = weight[v][closer], v
-    return edges
-
-
-def choose(ids: np.ndarray, sketch: np.ndarray, side: np.ndarray, comp: np.ndarray, tried: set, most: int, similarity: float) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one bucket to verify, and whether others are left for a later round.
-
-    ``side`` tells two blocks apart (-1: one block), of which only pairs across count; pairs
-    within a component and those tried are left out.
-    """
-    n = len(ids)
-    weight = _estimates(sketch, similarity)
-    weight[(comp[:, None] == comp[None, :]) | ((side >= 0)[:, None] & (side[:, None] == side[None, :]))] = 0
-    if tried:
-        place = {int(v): k for k, v in enumerate(ids)}
-        for a, b in tried:
-            weight[place[a], place[b]] = weight[place[b], place[a]] = 0
-    a, b = np.nonzero(np.triu(weight))
-    if len(a) <= most * n:
-        return list(zip(ids[a].tolist(), ids[b].tolist(), strict=True)), False
-    out = []
-    for _ in range(most):
-        edges = _forest(weight)
-        for x, y in edges:
-            weight[x, y] = weight[y, x] = 0
-        out += [(int(ids[x]), int(ids[y])) for x, y in edges]
-    return out, bool(weight.any())
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, keys array<bigint>")
 
 
 def _bucket_members(sigs: DataFrame) -> DataFrame:
-    """Rows (key, i, j, id, side, sketch): members of buckets with at least two, in pairs of blocks."""
+    """Rows (key, i, j, id, side): members of buckets with at least two, in pairs of blocks.
+
+    Of buckets with the same members (told by their number and the sum of their hashes) one is kept.
+    """
     rows = cut(sigs.select("doc_id", F.explode("keys").alias("key")))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(many, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sets = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")).where("n > 1")
+    once = sets.groupBy("n", "h").agg(F.min("key").alias("key")).select("key", "n")
+    rows = rows.join(once, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("blocks")).cast("int"))
     rows = rows.select("key", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "own")
-    side = F.when(F.col("i") == F.col("j"), F.lit(-1)).otherwise(F.col("own")).alias("side")
-    return rows.join(sigs.select("doc_id", "sketch"), "doc_id").select("key", "i", "j", F.col("doc_id").alias("id"), side, "sketch")
-
-
-_PAIRS = "key long, i int, j int, a long, b long, more boolean"
-_NAMES = ("key", "i", "j", "a", "b", "more")
-
-
-def _first_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """The first round over all buckets: each partition's buckets stand together, small ones are compared at once."""
-
-    def small(c: dict, starts: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-        x, y = np.triu_indices(size, 1)
-        step = max(1, 8192 // len(x))
-        for at in range(0, len(starts), step):
-            rows = starts[at : at + step, None]
-            a, b = (rows + x).ravel(), (rows + y).ravel()
-            across = (c["side"][a] < 0) | (c["side"][a] != c["side"][b])
-            a, b = a[across], b[across]
-            p, q = c["sketch"][a], c["sketch"][b]
-            hits = ((p == q) & (p != 0)).sum(1)
-            ok = _passing(hits, ((p != 0) | (q != 0)).sum(1), similarity) > 0
-            yield record(c, a[ok], c["id"][a[ok]], c["id"][b[ok]], False)
-
-    def record(c: dict, row: np.ndarray, a: np.ndarray, b: np.ndarray, more: bool) -> pa.RecordBatch:
-        parts = [c["key"][row], c["i"][row], c["j"][row], np.minimum(a, b), np.maximum(a, b), np.full(len(row), more)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=list(_NAMES))
-
-    def done(c: dict) -> Iterator[pa.RecordBatch]:
-        n = len(c["key"])
-        new = np.append(True, (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1]))
-        starts = np.flatnonzero(new)
-        size = np.diff(np.append(starts, n))
-        for k in np.unique(size):
-            if 1 < k <= SMALL:
-                yield from small(c, starts[size == k], int(k))
-        for s, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            ids = c["id"][s : s + k]
-            pairs, more = choose(ids, c["sketch"][s : s + k], c["side"][s : s + k], ids, set(), PER_MEMBER, similarity)
-            if pairs:
-                a, b = np.array(pairs, dtype=np.int64).T
-                yield record(c, np.full(len(a), s), a, b, more)
-
-    def columns(t: pa.Table) -> dict:
-        out = {k: t[k].to_numpy() for k in ("key", "i", "j", "id", "side")}
-        return out | {"sketch": np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)}
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side")
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("doc_id").alias("id"), side)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            t = pa.Table.from_batches(held)
-            last = t.num_rows - 1
-            ends = np.stack([t[k].to_numpy() for k in ("key", "i", "j")])
-            whole = int(np.flatnonzero((ends != ends[:, last : last + 1]).any(0)).max(initial=-1)) + 1
-            if whole:
-                yield from done(columns(t.slice(0, whole)))
-            held = t.slice(whole).to_batches()
-        if held:
-            yield from done(columns(pa.Table.from_batches(held)))
 
-    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(5000, members.count() // 20_000))
-    return members.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, _PAIRS)
+def similar(doc: np.ndarray, column: np.ndarray, weight: np.ndarray, n: int, similarity: float) -> np.ndarray:
+    """Which pairs of ``n`` texts have a weighted Jaccard similarity of at least ``similarity``, as a matrix.
 
+    A text is a set of layers: one for each shingle and each time that it occurs, so that
+    the sum of least weights is a product of matrices.  Layers of one text alone only
+    count for its total; the others are taken in runs of ``COLUMNS``.
+    """
+    total = np.bincount(doc, weights=weight, minlength=n)
+    order = np.argsort(column, kind="stable")
+    doc, column, weight = doc[order], column[order], weight[order]
+    new = np.append(True, column[1:] != column[:-1])
+    place = np.cumsum(new) - 1
+    shared = np.bincount(place)[place] > 1
+    doc, weight, new = doc[shared], weight[shared], new[shared]
+    place = np.cumsum(new) - 1
+    common = np.zeros((n, n))
+    ends = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + COLUMNS, COLUMNS))
+    for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if e > s:
+            k = place[s:e] - place[s]
+            there = np.zeros((n, int(k[-1]) + 1), dtype=np.float32)
+            there[doc[s:e], k] = np.sqrt(weight[s:e])
+            common += there @ there.T
+    return common >= similarity * (total[:, None] + total[None, :] - common) - 1e-6
+
+
+def _spanning(links: np.ndarray) -> np.ndarray:
+    """Edges (x, least of x's component) of a symmetric matrix of links."""
+    least = np.arange(len(links))
+    while True:
+        new = np.minimum(least, np.where(links, least[None, :], len(links)).min(1))
+        if (new == least).all():
+            break
+        least = new
+    apart = np.flatnonzero(least != np.arange(len(links)))
+    return np.stack([apart, least[apart]], axis=1)
 
-def _later_pairs(members: DataFrame, tried: DataFrame, most: int, similarity: float) -> DataFrame:
-    """A later round over the buckets that had more, with ``comp`` for each member."""
 
-    def run(key: tuple, rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        comp = rows["comp"].to_numpy()
-        pairs, more = [], False
-        if len(rows) > 1 and (comp != comp[0]).any():
-            sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
-            pairs, more = choose(rows["id"].to_numpy(), sketch, rows["side"].to_numpy(), comp, set(zip(old["a"], old["b"], strict=True)), most, similarity)
-        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "a": np.minimum(a, b), "b": np.maximum(a, b), "more": more})
+def bucket_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Edges (a, b) of forests that span the verified links of each bucket.
 
-    group = ("key", "i", "j")
-    return members.groupBy(*group).cogroup(tried.groupBy(*group)).applyInPandas(run, _PAIRS)
+    Each partition's buckets stand together; a task holds one pair of blocks at a time.
+    """
+
+    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = np.stack([t[k].to_numpy() for k in ("key", "i", "j")])
+        starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+        ids, side = t["id"].to_numpy(), t["side"].to_numpy()
+        text = t["text"].combine_chunks()
+        row, shingle, weight, tf, base = weighted(text, idf)
+        # Layers: the first time a shingle occurs, and what each further time adds.
+        most = int(tf.max(initial=1))
+        rows, columns, weights = [row], [shingle], [base]
+        for k in range(2, most + 1):
+            again = tf >= k
+            rows.append(row[again])
+            columns.append(_mix(shingle[again] + np.uint64(k * int(_P) % (1 << 64))))
+            weights.append(base[again] * (np.log(k) - np.log(k - 1)))
+        row, column, weight = (np.concatenate(x) for x in (rows, columns, weights))
+        order = np.argsort(row, kind="stable")
+        row, column, weight = row[order], column[order], weight[order]
+        cuts = np.searchsorted(row, np.append(starts, t.num_rows))
+        for k, s in enumerate(starts.tolist()):
+            e = int(starts[k + 1]) if k + 1 < len(starts) else t.num_rows
+            if e - s < 2:
+                continue
+            at = slice(int(cuts[k]), int(cuts[k + 1]))
+            links = similar(row[at] - s, column[at], weight[at], e - s, similarity)
+            own = side[s:e]
+            links &= (own < 0)[:, None] | (own[:, None] != own[None, :])
+            edges = _spanning(links)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][edges[:, 0]]), pa.array(ids[s:e][edges[:, 1]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            for batch in _slices(whole, 4 << 20):
+                held.append(batch)
+                t = pa.Table.from_batches(held)
+                last = t.num_rows - 1
+                key = np.stack([t[k].to_numpy() for k in ("key", "i", "j")])
+                end = int(np.flatnonzero((key != key[:, last : last + 1]).any(0)).max(initial=-1)) + 1
+                if end:
+                    yield from done(t.slice(0, end))
+                    held = t.slice(end).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    rows = members.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "i", "j", "id", "side", "text")
+    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, members.count() // 5_000))
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -393,29 +326,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     found = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id", "left_semi")
-    return cut(found.groupBy("doc_id").agg(F.any_value("text").alias("text")))
-
-
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts have a weighted Jaccard similarity of at least ``similarity``."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch):
-                left, right = weighted(part["text"], idf), weighted(part["other"], idf)
-                key = np.concatenate([(x[0].astype(np.uint64) << np.uint64(44)) | x[1] for x in (left, right)])
-                w = np.concatenate([left[2], right[2]])
-                order = np.argsort(key, kind="stable")
-                key, w = key[order], w[order]
-                twice = np.flatnonzero(key[1:] == key[:-1])
-                row = (key >> np.uint64(44)).astype(np.int64)
-                total = np.bincount(row, weights=w, minlength=part.num_rows)
-                common = np.bincount(row[twice], weights=np.minimum(w[twice], w[twice + 1]), minlength=part.num_rows)
-                found = common >= similarity * (total - common) - 1e-9
-                yield pa.RecordBatch.from_arrays([part[c].filter(pa.array(found)) for c in ("a", "b")], names=["a", "b"])
-
-    return both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
+    return found.groupBy("doc_id").agg(F.any_value("text").alias("text"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -426,25 +337,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sigs = signatures(docs.where("doc_id is not null"), idf).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sigs = stored(sigs, "signatures")
     members = cut(_bucket_members(sigs))
-    group = ["key", "i", "j"]
-    new = cut(_first_pairs(members, similarity))
-    again = members.join(new.where("more").select(*group).distinct(), group, "left_semi")
-    ids = cut(new.select(F.col("a").alias("doc_id")).union(new.select("b")).union(again.select("id")).distinct())
-    texts = texts_of(docs, ids)
-    edges = cut(verify(new.select("a", "b").distinct(), texts, idf, similarity))
-    comp = components(edges)
-    tried, left, most = new, members, PER_MEMBER
-    while not (more := new.where("more").select(*group).distinct()).isEmpty():
-        most *= 4
-        left = left.join(more, group, "left_semi")
-        left = cut(left.drop("comp").join(comp, "id", "left").select(*group, "id", "side", "sketch", F.coalesce("component", "id").alias("comp")))
-        new = cut(_later_pairs(left, tried.join(more, group, "left_semi"), most, similarity))
-        pairs = cut(new.select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        edges = cut(edges.union(verify(pairs, texts, idf, similarity)))
-        comp = components(edges)
-        tried = cut(tried.union(new))
+    ids = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    comp = components(cut(bucket_links(members, texts_of(docs, ids), idf, similarity)))
     named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h", "l", F.coalesce("component", "rep").alias("component_id"))
     out = hashed.where("doc_id is not null").join(named, ["h", "l"]).select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     return out.union(hashed.where("doc_id is null").select("doc_id", "doc_id", F.lit(True)))
