@@ -1,15 +1,343 @@
-"""Every registered query of the library's own operators, with its SQL."""
+"""Every registered query of the library's own operators, with its SQL.
+
+Inputs are derived from the driver's tables by expressions that Spark and DuckDB read
+alike; ``{events}`` and the like name a table in either.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from parlance.functions import models
+from parlance.operators import align, store, tiers, timing, words
+from parlance.sources import chat
+from parlance.streaming import feed
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TOTAL_MS = 40_000_000
+
+# --- derived inputs --------------------------------------------------------------------
+
+#: Utterances: file, speaker, ordinal, start and end (null where untimed), words.
+UTT = """SELECT user_id % 10 AS f, user_id % 40 AS speaker, event_id AS i,
+  CASE WHEN event_id % 3 <> 0 THEN event_id * 37 + (user_id * 101) % 9000 END AS a,
+  CASE WHEN event_id % 3 <> 0 THEN event_id * 37 + (user_id * 101) % 9000 + event_id % 1500 END AS b, event_id % 7 AS w FROM {events}"""
+#: Words of utterances with times, within utterances with bullets.
+WORD = """SELECT user_id % 10 AS f, event_id % 50 AS u, event_id AS i, CASE WHEN event_id % 4 <> 0 THEN event_id * 40 END AS a,
+  CASE WHEN event_id % 4 <> 0 THEN event_id * 40 + (event_id % 3) * 100 END AS b,
+  CASE WHEN event_id % 50 <> 7 THEN (event_id % 50) * 7000 END AS ua, CASE WHEN event_id % 50 <> 7 THEN (event_id % 50) * 7000 + 200000 END AS ub FROM {events}"""
+TURN = "SELECT conv_id AS f, turn AS u, role, text FROM {conversations} WHERE text IS NOT NULL"
+SEG = "SELECT o_custkey % 10 AS f, o_orderkey AS seg_idx, (o_orderkey * 7919) % 4000000 AS seg_end, o_orderstatus AS speaker FROM {orders}"
+JOB = """SELECT o_orderkey AS job_id, o_custkey AS submitted_by, CASE o_orderkey % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' WHEN 3 THEN 'error'
+  WHEN 4 THEN 'cancelled' ELSE 'interrupted' END AS status, CAST(o_orderkey * 10 AS DOUBLE) AS submitted_at,
+  CASE WHEN o_orderkey % 4 = 0 THEN CAST((o_orderkey % 97) * 1000 AS DOUBLE) END AS lease_expires_at, CASE WHEN o_orderkey % 5 = 0 THEN CAST((o_orderkey % 89) * 1000 AS DOUBLE) END AS next_eligible_at FROM {orders}"""
+FILE = """SELECT l_orderkey AS job_id, l_linenumber AS n, concat('p', l_partkey % 300) AS path, l_suppkey AS submitted_by,
+  CASE l_partkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'done' ELSE 'error' END AS status FROM {lineitem}"""
+CACHE = """SELECT concat('k', l_partkey) AS key, concat('t', l_linenumber % 3) AS task, CASE WHEN l_suppkey % 5 = 0 THEN 'v1' ELSE 'v2' END AS engine_version,
+  l_orderkey * 10 + l_linenumber AS created_at FROM {lineitem}"""
+#: DuckDB's words of a turn, and the rows of them.
+D_TURN = "SELECT conv_id AS f, turn AS u, role, CASE WHEN trim(text) = '' THEN [] ELSE regexp_split_to_array(trim(text), '\\s+') END AS ws FROM conversations WHERE text IS NOT NULL"
+D_WORDS = f"SELECT f, u, role, CAST(p AS INTEGER) AS p, ws[p + 1] AS word FROM ({D_TURN}) t, unnest(range(len(ws))) AS r(p)"
+
+
+def _read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+
+
+def _duck(sql: str) -> str:
+    return "(" + re.sub(r"\{(\w+)\}", r"\1", sql) + ")"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return words.exploded(_read(spark, d, TURN))
+
+
+U, W, J, FI, CA, SG = (_duck(x) for x in (UTT, WORD, JOB, FILE, CACHE, SEG))
+PREV = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+# --- flagship --------------------------------------------------------------------------
+
+_RUNS = "flatten([[{'b': b, 'e': b + n} FOR n IN range(1, (len(ws) - b) // 2 + 1) IF ws[b + 1] = ws[b + n + 1] AND ws[b + 1:b + n] = ws[b + n + 1:b + 2 * n]] FOR b IN range(len(ws))])"
+_MARKS = f"(SELECT *, [len([x FOR x IN runs IF x.b <= p AND p < x.e]) > 0 FOR p IN range(len(ws))] AS r FROM (SELECT *, {_RUNS} AS runs FROM ({D_TURN}) t) q)"
+_FILLERS = ", ".join(f"'{x}'" for x in words.FILLERS)
+_PUNCT = ", ".join("'" + x + "'" for x in words.PUNCTUATION)
+
+
+@query(
+    "flagship_conversation_words",
+    f"""SELECT f, role, sum(len(ws))::BIGINT AS n_words, sum(len([x FOR x IN r IF x]))::BIGINT AS n_retraced, sum(len([x FOR x IN ws IF lower(x) IN ({_FILLERS})]))::BIGINT AS n_fillers
+    FROM {_MARKS} z GROUP BY f, role""",
+)
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Words, retraced words and fillers of each conversation and role."""
+    t = _read(spark, d, TURN).withColumn("ws", F.when(F.trim("text") == "", F.array().cast("array<string>")).otherwise(F.split(F.trim("text"), r"\s+")))
+    t = t.select("f", "role", "ws", words.retraced(F.col("ws")).alias("r"))
+    return t.groupBy("f", "role").agg(
+        F.sum(F.size("ws")).alias("n_words"), F.sum(F.size(F.filter("r", lambda x: x))).alias("n_retraced"), F.sum(F.size(F.filter("ws", lambda x: F.lower(x).isin(*words.FILLERS)))).alias("n_fillers")
+    )
+
+
+# --- timing ----------------------------------------------------------------------------
+
+query("e1_monotonic", f"SELECT f, i, coalesce(a < m, false) AS stripped, CASE WHEN NOT coalesce(a < m, false) THEN a END AS a, CASE WHEN NOT coalesce(a < m, false) THEN b END AS b FROM (SELECT *, max(a) OVER (PARTITION BY f ORDER BY i {PREV}) AS m FROM {U}) t")(
+    lambda s, d: timing.monotonic(_read(s, d, UTT)).select("f", "i", "stripped", "a", "b")
+)
+query("e2_same_speaker_overlap", f"SELECT f, i, coalesce(a IS NOT NULL AND b > n + 500, false) AS stripped FROM (SELECT *, lead(a) OVER (PARTITION BY f, speaker, a IS NOT NULL ORDER BY i) AS n FROM {U}) t")(
+    lambda s, d: timing.same_speaker_overlap(_read(s, d, UTT)).select("f", "i", "stripped")
+)
+_GAPS = f"""SELECT *, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY f ORDER BY i {PREV}), 0) AS gs,
+  coalesce(first_value(a IGNORE NULLS) OVER (PARTITION BY f ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), {TOTAL_MS}) AS ge, count(a) OVER (PARTITION BY f ORDER BY i) AS run FROM {U}"""
+query(
+    "e3_estimate_untimed",
+    f"""SELECT f, i, CAST(CASE WHEN a IS NOT NULL THEN a WHEN rw = 0 THEN gs ELSE greatest(gs + CAST(floor(wb / rw * greatest(ge - gs, 0)) AS BIGINT) - 2000, 0) END AS BIGINT) AS est_start,
+    CAST(CASE WHEN b IS NOT NULL THEN b WHEN rw = 0 THEN gs ELSE least(gs + CAST(floor((wb + w) / rw * greatest(ge - gs, 0)) AS BIGINT) + 2000, {TOTAL_MS}) END AS BIGINT) AS est_end
+    FROM (SELECT *, sum(w) OVER (PARTITION BY f, run, a IS NULL) AS rw, coalesce(sum(w) OVER (PARTITION BY f, run, a IS NULL ORDER BY i {PREV}), 0) AS wb FROM ({_GAPS}) x) y""",
+)(lambda s, d: timing.estimate_untimed(_read(s, d, UTT), TOTAL_MS).select("f", "i", "est_start", "est_end"))
+query(
+    "e4_untimed_windows",
+    f"""SELECT f, min(s) AS win_start, max(e) AS win_end FROM (SELECT *, sum(fresh) OVER (PARTITION BY f ORDER BY s, run) AS island FROM (SELECT *,
+    CASE WHEN coalesce(s <= max(e) OVER (PARTITION BY f ORDER BY s, run {PREV}), false) THEN 0 ELSE 1 END AS fresh FROM (SELECT f, run, greatest(min(gs) - 500, 0) AS s,
+    least(min(ge) + 500, {TOTAL_MS}) AS e FROM ({_GAPS}) x WHERE a IS NULL GROUP BY f, run) r) q) p GROUP BY f, island""",
+)(lambda s, d: timing.untimed_windows(_read(s, d, UTT), TOTAL_MS))
+_E11 = f"""SELECT *, CASE WHEN a IS NULL THEN NULL WHEN n IS NOT NULL THEN n WHEN a = b THEN CASE WHEN ub > a THEN ub ELSE a + 500 END ELSE b END AS "end" FROM (SELECT *,
+  first_value(a IGNORE NULLS) OVER (PARTITION BY f, u ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM {W}) t"""
+query("e11_continuous_ends", f'SELECT f, u, i, "end" AS end_ms FROM ({_E11}) z')(lambda s, d: timing.continuous_ends(_read(s, d, WORD)).select("f", "u", "i", F.col("end").alias("end_ms")))
+query(
+    "e12_clamp_to_utterance",
+    f'SELECT f, i, CASE WHEN a IS NOT NULL AND (ua IS NULL OR greatest(a, ua) < least("end", ub)) THEN greatest(a, ua) END AS start2, CASE WHEN a IS NOT NULL AND (ua IS NULL OR greatest(a, ua) < least("end", ub)) THEN least("end", ub) END AS end2 FROM ({_E11}) z',
+)(lambda s, d: timing.clamp_to_utterance(timing.continuous_ends(_read(s, d, WORD))).select("f", "i", "start2", "end2"))
+_BUL = "SELECT DISTINCT f, u, u * 7000 AS bullet_start, u * 7000 + 200000 AS bullet_end FROM"
+query("d11_utterance_bullets", f"SELECT f, u, least(min(a), min(bs)) AS start_ms, greatest(max(b), max(be)) AS end_ms FROM (SELECT *, u * 7000 AS bs, u * 7000 + 200000 AS be FROM {W}) t GROUP BY f, u")(
+    lambda s, d: timing.utterance_bullets(w := _read(s, d, WORD), w.select("f", "u", (F.col("u") * 7000).alias("bullet_start"), (F.col("u") * 7000 + 200000).alias("bullet_end")).distinct())
+)
+query("b13_timed_counts", f"SELECT f, count(a) AS timed, count(*) - count(a) AS untimed FROM {U} GROUP BY f")(lambda s, d: timing.timed_counts(_read(s, d, UTT)))
+query("c13_predecessor_end", f"SELECT f, i, last_value(b IGNORE NULLS) OVER (PARTITION BY f ORDER BY i {PREV}) AS prev_end FROM {U}")(lambda s, d: timing.predecessor_end(_read(s, d, UTT)).select("f", "i", "prev_end"))
+_TOK = "SELECT f, i AS tok, a AS start, b AS end FROM"
+query("c7_overlap_join", f"SELECT t.f, w.i AS win, t.i AS tok FROM {U} t JOIN {U} w ON t.f = w.f AND w.i % 20 = 1 AND t.a < w.b + 300 AND t.b > w.a WHERE w.a IS NOT NULL AND t.a IS NOT NULL")(
+    lambda s, d: timing.overlap_join(
+        (u := _read(s, d, UTT).where("a is not null")).select("f", F.col("i").alias("tok"), F.col("a").alias("start"), F.col("b").alias("end")),
+        u.where("i % 20 = 1").select("f", F.col("i").alias("win"), F.col("a").alias("ws"), (F.col("b") + 300).alias("we")),
+    )
+)
+query(
+    "c8_speaker_as_of",
+    f"""SELECT u.f, u.i, coalesce(arg_max(s.speaker, s.seg_idx) FILTER (WHERE s.seg_end <= u.b), arg_min(s.speaker, s.seg_idx)) AS speaker
+    FROM {U} u LEFT JOIN {SG} s ON s.f = u.f WHERE u.b IS NOT NULL AND u.i % 10 = 1 GROUP BY u.f, u.i""",
+)(lambda s, d: timing.speaker_as_of(_read(s, d, UTT).where("b is not null and i % 10 = 1"), _read(s, d, SEG)))
+query("e5_group_by_duration")(lambda s, d: timing.group_by_duration(_read(s, d, UTT), 20_000))
+query("e17_budget_windows")(lambda s, d: timing.budget_windows(_read(s, d, "SELECT user_id % 10 AS part, event_id AS i, event_id % 40 AS n FROM {events}"), 100))
+query("c15_positional_timings", "SELECT f, u, len(ws)::BIGINT AS n, CASE WHEN len(ws) > 0 THEN ws[1] END AS first_word, CASE WHEN len(ws) > 0 THEN u * 100 END AS first_ms FROM (" + D_TURN + ") t")(
+    lambda s, d: timing.positional_timings(
+        _read(s, d, TURN).withColumn("words", F.when(F.trim("text") == "", F.array().cast("array<string>")).otherwise(F.split(F.trim("text"), r"\s+"))).withColumn("timings", F.transform("words", lambda _, k: F.col("u") * 100 + k))
+    ).select("f", "u", F.size("timed").cast("long").alias("n"), F.get("timed", 0)["word"].alias("first_word"), F.get("timed", 0)["ms"].alias("first_ms"))
+)
+
+# --- words -----------------------------------------------------------------------------
+
+query("b1_words", f"SELECT f, u, p, word FROM ({D_WORDS}) t")(lambda s, d: _words(s, d).select("f", "u", "p", "word"))
+query("b2_comparable_words", f"SELECT f, u, p, word FROM ({D_WORDS}) t WHERE trim(word) NOT IN ({_PUNCT}) AND lower(trim(word)) NOT IN ({_FILLERS})")(lambda s, d: words.comparable(_words(s, d)).select("f", "u", "p", "word"))
+query("e6_speaker_runs", f"SELECT f, i, sum(c) OVER (PARTITION BY f ORDER BY i)::BIGINT - 1 AS mono FROM (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY f ORDER BY i) THEN 0 ELSE 1 END AS c FROM (SELECT f, i, speaker % 3 AS speaker FROM {U}) u) t")(
+    lambda s, d: words.speaker_runs(_read(s, d, UTT).selectExpr("f", "i", "speaker % 3 as speaker")).select("f", "i", "mono")
+)
+_PAIR = f"SELECT DISTINCT word AS a, nxt AS b FROM (SELECT word, lead(word) OVER (PARTITION BY f, u ORDER BY p) AS nxt FROM ({D_WORDS}) t) z WHERE length(word) = 3 AND length(nxt) IN (2, 3)"
+query(
+    "e7_merged_compounds",
+    f"""WITH w AS ({D_WORDS}), x AS (SELECT *, lead(word) OVER (PARTITION BY f, u ORDER BY p) AS nxt FROM w), m AS (SELECT x.*, coalesce(length(word) = 3 AND length(nxt) IN (2, 3), false) AS m FROM x),
+    r AS (SELECT *, p - row_number() OVER (PARTITION BY f, u, m ORDER BY p) AS run FROM m), g AS (SELECT *, m AND row_number() OVER (PARTITION BY f, u, m, run ORDER BY p) % 2 = 1 AS merge FROM r),
+    o AS (SELECT *, coalesce(lag(merge) OVER (PARTITION BY f, u ORDER BY p), false) AS gone FROM g) SELECT f, u, p, CASE WHEN merge THEN word || nxt ELSE word END AS word FROM o WHERE NOT gone""",
+)(lambda s, d: words.merged_compounds(w := _words(s, d), _pairs(w)))
+
+
+def _pairs(w: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = w.withColumn("second", F.lead("word").over(Window.partitionBy("f", "u").orderBy("p")))
+    return n.where("length(word) = 3 and length(second) in (2, 3)").select(F.col("word").alias("first"), "second").distinct()
+
+
+query("e8_long_turns", f"SELECT f, u, p, CAST(floor((row_number() OVER (PARTITION BY f, u ORDER BY p) - 1) / 5) AS BIGINT) AS chunk FROM ({D_WORDS}) t")(lambda s, d: words.long_turns(_words(s, d), 5).select("f", "u", "p", "chunk"))
+query(
+    "e10_into_utterances",
+    f"""WITH w AS (SELECT f, u * 100000 + p AS p, word FROM ({D_WORDS}) t), y AS (SELECT f, p, j, [body, fin][j] AS word FROM (SELECT f, p, regexp_extract(word, '^(.*?)([.?!]?)$', 1) AS body,
+    regexp_extract(word, '^(.*?)([.?!]?)$', 2) AS fin FROM w) z, unnest([1, 2]) AS r(j) WHERE [body, fin][j] <> ''), e AS (SELECT *, CASE WHEN word IN ('.', '?', '!') THEN 1 ELSE 0 END AS fin FROM y),
+    n AS (SELECT *, coalesce(sum(fin) OVER (PARTITION BY f ORDER BY p, j {PREV}), 0)::BIGINT AS utt FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY f, utt ORDER BY p, j) - 1 AS tok FROM n)
+    SELECT f, utt, tok, word FROM k UNION ALL SELECT f, utt, max(tok) + 1 AS tok, '.' AS word FROM k GROUP BY f, utt HAVING max(fin) = 0""",
+)(lambda s, d: words.into_utterances(_words(s, d).selectExpr("f", "u * 100000 + p as p", "word")))
+query("e13_retraced", f"SELECT f, u, list_aggregate([CASE WHEN x THEN '1' ELSE '0' END FOR x IN r], 'string_agg', '') AS marks FROM {_MARKS} t WHERE len(ws) > 0")(
+    lambda s, d: _read(s, d, TURN).where("trim(text) != ''").select("f", "u", F.split(F.trim("text"), r"\s+").alias("ws")).select("f", "u", F.array_join(F.transform(words.retraced(F.col("ws")), lambda x: F.when(x, "1").otherwise("0")), "").alias("marks"))
+)
+query(
+    "e16_combined_letters",
+    f"""SELECT f, u, min(p) AS p, string_agg(word, '' ORDER BY p) AS word FROM (SELECT *, sum(fresh) OVER (PARTITION BY f, u ORDER BY p) AS g FROM (SELECT *, CASE WHEN one AND coalesce(lag(one) OVER (PARTITION BY f, u ORDER BY p), false)
+    THEN 0 ELSE 1 END AS fresh FROM (SELECT f, u, p, word, strlen(word) = 1 AND regexp_matches(word, '[A-Za-z]') AS one FROM (SELECT f, u, p, CASE WHEN p % 3 = 0 THEN word ELSE substr(word, 1, 1) END AS word FROM ({D_WORDS}) q) t) x) y) z GROUP BY f, u, g""",
+)(lambda s, d: words.combined_letters(_words(s, d).withColumn("word", F.expr("case when p % 3 = 0 then word else substr(word, 1, 1) end"))).select("f", "u", "p", "word"))
+query("e18_by_assignment", f"SELECT f, u, p, sum(c) OVER (PARTITION BY f, u ORDER BY p)::BIGINT AS part FROM (SELECT *, CASE WHEN g <> lag(g) OVER (PARTITION BY f, u ORDER BY p) THEN 1 ELSE 0 END AS c FROM (SELECT f, u, p, length(word) % 2 AS g FROM ({D_WORDS}) q) t) x")(
+    lambda s, d: words.by_assignment(_words(s, d).withColumn("g", F.length("word") % 2)).select("f", "u", "p", "part")
+)
+query("e9_long_pauses")(lambda s, d: words.long_pauses(_words(s, d).selectExpr("f", "u as chunk", "cast(p as bigint) as i", "word", "cast(p * 400 + (p % 3) * 900 as bigint) as a", "cast(p * 400 + (p % 3) * 900 + 200 as bigint) as b")))
+query(
+    "h8_proportional_split",
+    """SELECT f, i, j, piece, 1000 + CAST(floor(700 * (hi - length(piece)) / total) AS BIGINT) AS a, 1000 + CAST(floor(700 * hi / total) AS BIGINT) AS b FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY f, i ORDER BY j) AS hi,
+    sum(length(piece)) OVER (PARTITION BY f, i) AS total FROM (SELECT f, i, CAST(j AS INTEGER) AS j, ws[j + 1] AS piece FROM (SELECT f, u AS i, ws FROM (""" + D_TURN + """) t WHERE len(ws) > 0) q, unnest(range(len(ws))) AS r(j)) x) y""",
+)(lambda s, d: words.proportional_split(_read(s, d, TURN).where("trim(text) != ''").selectExpr("f", "u as i", "text as word", "1000L as a", "1700L as b")))
+query(
+    "c16_word_spans",
+    f"""WITH w AS (SELECT f * 1000 + u AS f, p, word FROM ({D_WORDS}) q), a AS (SELECT f, p, sum(length(word)) OVER (PARTITION BY f ORDER BY p) AS hi, sum(length(word)) OVER (PARTITION BY f ORDER BY p) - length(word) AS lo FROM w),
+    g AS (SELECT f, p // 2 AS t, sum(length(word)) AS n FROM w GROUP BY f, p // 2), b AS (SELECT f, t, sum(n) OVER (PARTITION BY f ORDER BY t) AS hi, sum(n) OVER (PARTITION BY f ORDER BY t) - n AS lo FROM g)
+    SELECT a.f, a.p, b.t FROM a JOIN b ON a.f = b.f AND b.hi > a.lo AND b.lo < a.hi""",
+)(lambda s, d: words.word_spans(w := _words(s, d).selectExpr("f * 1000 + u as f", "p", "word as piece"), w.groupBy("f", F.expr("p div 2").cast("int").alias("t")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "piece"))), lambda x: x["piece"]), "").alias("piece"))))
+
+
+def _scalar(name: str, source: str, columns: Callable[[], dict], sql: str) -> None:
+    query(name, sql)(lambda s, d: _read(s, d, source).select("k", *[c.alias(n) for n, c in columns().items()]))
+
+
+DOC = "SELECT doc_id AS k, text, lang FROM {documents}"
+_scalar("h9_normal_separators", DOC, lambda: {"t": words.normal_separators(F.col("text"))}, "SELECT doc_id AS k, translate(text, '？؟！，、،。¿¡', '??!,,,.') AS t FROM documents")
+_scalar("h10_is_cjk", DOC, lambda: {"c": words.is_cjk(F.concat("text", F.when(F.col("k") % 3 == 0, "語").otherwise("")))}, "SELECT doc_id AS k, doc_id % 3 = 0 AS c FROM documents WHERE text IS NOT NULL")
+_scalar("h13_mor_safe", DOC, lambda: {"t": words.mor_safe(F.col("text"))}, r"SELECT doc_id AS k, regexp_replace(regexp_replace(text, '[|#\-&$~]', '_', 'g'), '\s+', '', 'g') AS t FROM documents")
+_scalar("h24_cache_key", DOC, lambda: {"key": words.cache_key(F.lit("translate"), F.col("lang"), F.col("text"))}, "SELECT doc_id AS k, sha256(concat_ws('|', 'translate', lang, text)) AS key FROM documents")
+_scalar("h32_wer_normal", DOC, lambda: {"t": words.wer_normal(F.col("text"))}, r"SELECT doc_id AS k, regexp_replace(lower(text), '[()\-]', '', 'g') AS t FROM documents")
+_scalar("h12_translation", DOC, lambda: {"i": words.translation_input(F.col("text"), F.when(F.col("k") % 2 == 0, "zho").otherwise("eng")), "o": words.translation_output(F.col("text"))},
+        "SELECT doc_id AS k, CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, ' ', ''), '.', '。') ELSE text END AS i, replace(replace(replace(replace(replace(replace(replace(translate(text, '。‘’' || chr(9), '.'''' '), chr(8203), ''), '‡', ' ‡'), '„', ' „'), ',', ' ,'), '.', ' .'), '?', ' ?'), '!', ' !') AS o FROM documents")
+WORDROW = "SELECT event_id AS k, event_type AS word, concat('SPEAKER_0', user_id % 10) AS label, user_id % 12 AS n FROM {events}"
+_scalar("h17_gra_relation", "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN 'acl:relcl' WHEN 1 THEN 'nsubj' ELSE '1bad' END AS r FROM {events}", lambda: {"r": words.gra_relation(F.col("r"))}, "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN 'ACL-RELCL' WHEN 1 THEN 'NSUBJ' END AS r FROM events")
+_scalar("h26_speaker_index", WORDROW, lambda: {"n": words.speaker_index(F.col("label"))}, "SELECT event_id AS k, CAST(user_id % 10 AS INTEGER) AS n FROM events")
+_scalar("a6_participant_code", WORDROW, lambda: {"code": chat.participant_code(F.col("n"))}, "SELECT event_id AS k, coalesce(['PAR', 'INV', 'CHI', 'MOT', 'FAT', 'SIS', 'BRO', 'GRM'][user_id % 12 + 1], 'SP' || (user_id % 12)) AS code FROM events")
+_scalar("h31_retryable", "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN 'worker_crash' WHEN 1 THEN 'validation' ELSE 'provider_transient' END AS c FROM {events}", lambda: {"again": words.retryable(F.col("c"))}, "SELECT event_id AS k, event_id % 3 <> 1 AS again FROM events")
+_scalar("h14_features_map", "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN '_' ELSE concat('Number=Sing|Person=', user_id % 3) END AS x FROM {events}", lambda: {"person": words.features_map(F.col("x"))["Person"]}, "SELECT event_id AS k, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id % 3 AS VARCHAR) END AS person FROM events")
+_scalar("h23_status_marks", WORDROW, lambda: {"m": words.status_marks(F.when(F.col("k") % 3 == 0, "extra_main").when(F.col("k") % 3 == 1, "extra_gold").otherwise("match"), F.col("word"))}, "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '' END || event_type AS m FROM events")
+_scalar("h7_disfluency", "SELECT event_id AS k, CASE event_id % 4 WHEN 0 THEN 'Um' WHEN 1 THEN 'cuz' WHEN 2 THEN 'mm-hmm' ELSE event_type END AS w FROM {events}", lambda: {"w": words.disfluency(F.col("w"))}, "SELECT event_id AS k, CASE event_id % 4 WHEN 0 THEN '&-um' WHEN 1 THEN '(be)cause' WHEN 2 THEN 'mhm' ELSE event_type END AS w FROM events")
+_scalar("h22_chain_marks", "SELECT event_id AS k, event_id % 3 = 0 AS o, event_id % 2 = 0 AS c FROM {events}", lambda: {"m": words.chain_marks(F.array(F.array(F.struct((F.col("k") % 5).alias("chain_id"), F.col("o").alias("is_start"), F.col("c").alias("is_end"))), F.array().cast("array<struct<chain_id:bigint,is_start:boolean,is_end:boolean>>")))}, "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN '(' ELSE '' END || (event_id % 5) || CASE WHEN event_id % 2 = 0 THEN ')' ELSE '' END || ', -' AS m FROM events")
+_scalar("b12_with_tier", WORDROW, lambda: {"v": tiers.with_tier(F.create_map(F.lit("mor"), F.lit("x"), F.lit("gra"), F.lit("y")), "mor", F.col("word"))["mor"], "n": F.size(tiers.without_tiers(F.create_map(F.lit("mor"), F.lit("x"), F.lit("gra"), F.lit("y")), "gra"))}, "SELECT event_id AS k, event_type AS v, 1 AS n FROM events")
+_scalar("b8_utterance_language", "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN 'spa' END AS l, CASE WHEN event_id % 2 = 0 THEN 'fra' END AS p FROM {events}", lambda: {"lang": tiers.utterance_language(F.col("l"), F.when(F.col("p").isNotNull(), F.array("p")).otherwise(F.array().cast("array<string>")), F.lit("eng"))}, "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN 'spa' WHEN event_id % 2 = 0 THEN 'fra' ELSE 'eng' END AS lang FROM events")
+
+# --- comparison ------------------------------------------------------------------------
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    """Each benchmark text against itself with every seventh word changed and every eleventh gone."""
+    t = _read(s, d, "SELECT item_id AS f, text FROM {benchmark} WHERE text IS NOT NULL").select("f", F.split(F.trim("text"), r"\s+").alias("gold"))
+    main = F.filter(F.transform("gold", lambda w, k: F.when(k % 7 == 3, F.concat(w, F.lit("x"))).when(k % 11 == 5, F.lit(None)).otherwise(w)), lambda w: w.isNotNull())
+    return t.select("f", "gold", main.alias("main"))
+
+
+def _edits(s: SparkSession, d: str) -> DataFrame:
+    return _compared(s, d).select("f", F.explode(align.alignment(F.col("main"), F.col("gold"), "caseless")).alias("e")).select("f", "e.*")
+
+
+query("c1_alignment")(_edits)
+query("c2_character_alignment")(lambda s, d: _read(s, d, "SELECT item_id AS f, text FROM {benchmark}").select("f", F.split(F.substring("text", 1, 40), "").alias("x"), F.split(F.substring("text", 3, 40), "").alias("y")).select("f", F.explode(align.alignment(F.col("x"), F.col("y"))).alias("e")).select("f", "e.*"))
+query("c3_similarity")(lambda s, d: _compared(s, d).select("f", F.posexplode(F.arrays_zip("gold", F.slice("main", 1, F.size("gold")).alias("m"))).alias("p", "z")).select("f", "p", align.similarity(F.col("z.gold"), F.col("z.m")).alias("sim")))
+query("d1_edit_metrics")(lambda s, d: align.edit_metrics(_edits(s, d)))
+_STATUS = "SELECT CASE event_id % 4 WHEN 0 THEN 'noun' WHEN 1 THEN 'PUNCT' WHEN 2 THEN 'verb' END AS pos, CASE user_id % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'extra_main' ELSE 'extra_gold' END AS status FROM {events}"
+query("d2_category_errors", f"SELECT p AS pos, count(*) FILTER (status = 'match') AS matches, count(*) FILTER (status = 'extra_main') AS insertions, count(*) FILTER (status = 'extra_gold') AS deletions, count(*) FILTER (status IN ('match', 'extra_gold')) AS total FROM (SELECT coalesce(upper(pos), '?') AS p, status FROM {_duck(_STATUS)}) t WHERE p <> 'PUNCT' GROUP BY p")(
+    lambda s, d: align.category_errors(_read(s, d, _STATUS))
+)
+query("d4_bag_overlap", f"WITH w AS ({D_WORDS}), a AS (SELECT f, word, count(*) AS n FROM w WHERE role = 'user' GROUP BY f, word), b AS (SELECT f, word, count(*) AS m FROM w WHERE role = 'assistant' GROUP BY f, word) SELECT f, sum(least(n, m))::BIGINT AS overlap FROM a JOIN b USING (f, word) GROUP BY f")(
+    lambda s, d: align.bag_overlap((w := _words(s, d)).where("role = 'user'"), w.where("role = 'assistant'"))
+)
+_LANG = "SELECT source AS f, doc_id AS i, lang FROM {documents}"
+_VOTES = f"SELECT f, lang, count(*) AS n, min(i) AS first FROM {_duck(_LANG)} WHERE lang IS NOT NULL GROUP BY f, lang"
+query("d5_primary_language", f"SELECT f, lang FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, first) AS r FROM ({_VOTES}) v) t WHERE r = 1")(lambda s, d: align.primary_language(_read(s, d, _LANG)))
+query("d6_language_list", f"SELECT f, string_agg(lang, ',' ORDER BY r) AS langs FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, first) AS r FROM ({_VOTES}) v) t WHERE r = 1 OR n >= 3 GROUP BY f")(lambda s, d: align.language_list(_read(s, d, _LANG)))
+_WIN = "SELECT l_orderkey AS g, l_linenumber AS id, l_partkey % 5 AS score, l_suppkey % 3 AS delta, l_linenumber AS end FROM {lineitem}"
+query("c4_best_windows", "SELECT g, id, score FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, delta, fin DESC) AS r FROM (SELECT l_orderkey AS g, l_linenumber AS id, l_partkey % 5 AS score, l_suppkey % 3 AS delta, l_linenumber AS fin FROM lineitem) w) t WHERE r = 1")(
+    lambda s, d: align.best_windows(_read(s, d, _WIN.replace("AS end", "AS `end`"))).select("g", "id", "score")
+)
+
+# --- stores ----------------------------------------------------------------------------
+
+query("c21_cache_hits", f"SELECT key, task, bool_or(v = 'v2') AS hit FROM (SELECT key, task, engine_version AS v FROM {CA}) c GROUP BY key, task")(lambda s, d: store.cache_hits((c := _read(s, d, CACHE)).select("key", "task").distinct(), c, "v2"))
+query("g4_cache_put", f"SELECT key, task, max(created_at) AS created_at FROM {CA} c GROUP BY key, task")(lambda s, d: store.cache_put((c := _read(s, d, CACHE)).where("engine_version = 'v1'"), c.where("engine_version = 'v2'")).select("key", "task", "created_at"))
+query("g6_cache_delete", f"SELECT key, task, created_at FROM {CA} c WHERE key NOT IN (SELECT concat('k', p_partkey) FROM part WHERE p_size > 10)")(lambda s, d: store.cache_delete(_read(s, d, CACHE), _read(s, d, "SELECT concat('k', p_partkey) AS key FROM {part} WHERE p_size > 10")).select("key", "task", "created_at"))
+query("d8_cache_stats", f"SELECT task, count(*) AS entries FROM {CA} c GROUP BY ROLLUP (task)")(lambda s, d: store.cache_stats(_read(s, d, CACHE)))
+query("g2_merged_results", f"SELECT key, task FROM {CA} c")(lambda s, d: store.merged_results((c := _read(s, d, CACHE)).where("engine_version = 'v1'"), c.where("engine_version = 'v2'")).select("key", "task"))
+query("c22_job_conflicts", f"SELECT submitted_by, path, job_id FROM {FI} x WHERE status IN ('queued', 'running') AND EXISTS (SELECT 1 FROM {FI} n WHERE n.job_id % 50 = 0 AND n.submitted_by = x.submitted_by AND n.path = x.path)")(lambda s, d: store.job_conflicts((f := _read(s, d, FILE)), f.where("job_id % 50 = 0")))
+query("a18_job_listing", f"SELECT j.job_id, j.submitted_at, coalesce(n, 0) AS n_files FROM {J} j LEFT JOIN (SELECT job_id, count(*) AS n FROM {FI} x GROUP BY job_id) f USING (job_id)")(lambda s, d: store.job_listing(_read(s, d, JOB), _read(s, d, FILE)).selectExpr("job_id", "submitted_at", "n_files"))
+query("d9_operational_counters", f"SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running, greatest(0, 100000 - count(*) FILTER (status IN ('queued', 'running'))) AS slots FROM {J} j")(lambda s, d: store.operational_counters(_read(s, d, JOB), 100_000))
+query("d10_job_status", f"SELECT job_id, count(*) FILTER (status IN ('done', 'error', 'cancelled')) > 0 AND count(*) FILTER (status IN ('done', 'error', 'cancelled')) = count(*) FILTER (status = 'error') AS all_failed FROM {FI} x GROUP BY job_id")(lambda s, d: store.job_status(_read(s, d, FILE)))
+_PROG = "SELECT l_returnflag AS lang, l_partkey % 10 AS done, 10 AS total FROM {lineitem}"
+query("d13_batch_progress", f"SELECT lang, sum(done)::BIGINT AS done, sum(total)::BIGINT AS total, sum(done) / sum(total) AS fraction FROM {_duck(_PROG)} x GROUP BY lang")(lambda s, d: store.batch_progress(_read(s, d, _PROG)))
+query("g8_recovered", f"SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN 'interrupted' ELSE status END AS status FROM {J} j")(lambda s, d: store.recovered(_read(s, d, JOB)).select("job_id", "status"))
+query("g9_pruned", f"SELECT job_id, n FROM {FI} x WHERE job_id IN (SELECT job_id FROM {J} j WHERE submitted_at >= 100000.0 - 86400)")(lambda s, d: store.pruned(_read(s, d, JOB), _read(s, d, FILE), 100_000.0, 1)[1].select("job_id", "n"))
+_READY = "NOT coalesce(lease_expires_at > 50000, false) AND NOT coalesce(next_eligible_at > 50000, false)"
+query("g10_lease_state", f"SELECT job_id, {_READY} AS ready, greatest(CASE WHEN lease_expires_at > 50000 THEN lease_expires_at END, CASE WHEN next_eligible_at > 50000 THEN next_eligible_at END)::DOUBLE AS wake FROM {J} j")(lambda s, d: store.lease_state(_read(s, d, JOB), 50_000.0).selectExpr("job_id", "ready", "cast(wake as double) as wake"))
+query("f3_ready_queue", f"SELECT job_id FROM {J} j WHERE status = 'queued' AND {_READY}")(lambda s, d: store.ready_queue(_read(s, d, JOB), 50_000.0).select("job_id"))
+query("f6_retained", "SELECT event_id AS id FROM events WHERE event_id >= (SELECT max(event_id) FROM events) - 3600 ORDER BY event_id DESC LIMIT 50")(lambda s, d: store.retained((e := _read(s, d, "SELECT event_id AS id, event_id AS at FROM {events}")), e.agg(F.max("at")).first()[0]).select("id"))
+query("f2_by_size", "SELECT path, size FROM (SELECT concat(url) AS path, length(html) AS size FROM pages) p")(lambda s, d: store.by_size(_read(s, d, "SELECT url AS path, cast(length(html) as bigint) AS size FROM {pages}")))
+query("g3_speakers_in_order", f"SELECT f, row_number() OVER (PARTITION BY f ORDER BY a)::INTEGER - 1 AS n, speaker FROM (SELECT f, speaker, min(seg_idx) AS a FROM {SG} s GROUP BY f, speaker) t")(lambda s, d: store.speakers_in_order(_read(s, d, SEG)))
+query("d12_speaker_count", f"SELECT f, count(DISTINCT speaker) AS speakers FROM {SG} s GROUP BY f")(lambda s, d: store.speaker_count(_read(s, d, SEG)))
+query("a10_paired_files", "SELECT concat('d/', p_partkey, '.cha') AS path, CASE WHEN p_partkey % 3 = 0 THEN concat('d/', p_partkey, '.gold.cha') END AS partner FROM part")(
+    lambda s, d: store.paired_files(_read(s, d, "SELECT concat('d/', p_partkey, '.cha') AS path FROM {part}"), _read(s, d, "SELECT concat('d/', p_partkey, '.gold.cha') AS path FROM {part} WHERE p_partkey % 3 = 0"))
+)
+query("b7_payloads", "SELECT f, u, len(ws) > 0 AS for_translate, len(ws) > 1 AS for_utseg FROM (" + D_TURN + ") t")(lambda s, d: tiers.payloads(_read(s, d, TURN)).select("f", "u", "for_translate", "for_utseg"))
+query("b9_monolingual", "SELECT doc_id FROM documents WHERE lang IS NULL OR lang = 'en'")(lambda s, d: tiers.monolingual(_read(s, d, "SELECT doc_id, lang FROM {documents}"), "en").select("doc_id"))
+query("b10_unsupported", "SELECT lang, count(*) AS skipped FROM documents WHERE lang NOT IN ('en', 'fr') GROUP BY lang")(lambda s, d: tiers.supported(_read(s, d, "SELECT doc_id, lang FROM {documents}"), s.createDataFrame([("en",), ("fr",)], "lang string"))[1])
+_LOST = "SELECT user_id % 10 AS f, event_id AS i, CASE WHEN event_id % 9 <> 0 THEN '.' END AS terminator, event_id % 4 AS n_tags, event_id % 5 AS n_words, event_id % 7 AS a, event_id % 6 AS b FROM {events}"
+query("b6_lost_annotations", f"SELECT f, i, 'terminator' AS problem FROM {_duck(_LOST)} x WHERE terminator IS NULL UNION ALL SELECT f, i, 'tags' FROM {_duck(_LOST)} x WHERE n_tags <> n_words UNION ALL SELECT f, i, 'timing' FROM {_duck(_LOST)} x WHERE b < a")(lambda s, d: tiers.lost_annotations(_read(s, d, _LOST)))
+query("d15_voice_quality", "SELECT l_orderkey, l_linenumber, (4.152 - 0.177 * l_quantity - 0.006 * l_tax - 0.037 * l_discount + 0.941 * l_tax + 0.01 * l_quantity + 0.093 * l_discount) * 2.8902 AS avqi FROM lineitem")(
+    lambda s, d: tiers.voice_quality(_read(s, d, "SELECT l_orderkey, l_linenumber, l_quantity AS cpps, l_tax AS hnr, l_discount AS shim, l_tax AS shdb, l_quantity AS slope, l_discount AS tilt FROM {lineitem}")).select("l_orderkey", "l_linenumber", "avqi")
+)
+query("a15_json_scan", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, d: _read(s, d, "SELECT event_id, props FROM {events}").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
+
+# --- transcripts, streams and models ---------------------------------------------------
+
+_CHAT = "SELECT conv_id AS file_id, turn AS utt_idx, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 9 END AS speaker, coalesce(trim(regexp_replace(text, '[^A-Za-z ]+', ' ')), '') AS text, turn * 1000 AS start_ms, turn * 1000 + 900 AS end_ms FROM {conversations}"
+
+
+def _transcripts(s: SparkSession, d: str) -> DataFrame:
+    return chat.build(_read(s, d, _CHAT))
+
+
+query("a1_parse_chat", "SELECT conv_id AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS utt_idx, CASE role WHEN 'user' THEN 'PAR' WHEN 'assistant' THEN 'INV' ELSE 'SP9' END AS speaker, '.' AS terminator, turn * 1000 AS start_ms, turn * 1000 + 900 AS end_ms FROM conversations")(
+    lambda s, d: chat.utterances(chat.parse_lines(_transcripts(s, d))).select("file_id", "utt_idx", "speaker", "terminator", "start_ms", "end_ms")
+)
+query("a5_build_chat", "SELECT conv_id AS file_id, count(*) + 5 AS n_lines FROM conversations GROUP BY conv_id")(lambda s, d: _transcripts(s, d).select("file_id", (F.size(F.split("text", "\n")) - 1).cast("long").alias("n_lines")))
+query("b5_undeclared_speakers", "SELECT conv_id AS file_id, 'PAR' AS speaker FROM conversations WHERE false")(lambda s, d: chat.undeclared_speakers(chat.parse_lines(_transcripts(s, d))))
+query("a3_options", "SELECT DISTINCT conv_id AS file_id, false AS dummy, false AS no_align FROM conversations")(lambda s, d: chat.options(chat.parse_lines(_transcripts(s, d))))
+_FEED = "SELECT user_id % 100 AS job_id, event_type AS status, event_id FROM {events}"
+query("s1_status_changes", "SELECT user_id % 100 AS job_id, event_type AS status, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1, 2")(lambda s, d: _streamed(s, d))
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    source = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return feed.run_to_table(s, feed.status_changes(source.selectExpr("user_id % 100 as job_id", "event_type as status", "event_id")), "status_changes")
+
+
+def _fake_model(batches):
+    for b in batches:
+        yield b.assign(result=b["text"].str.len())[["text", "result"]]
+
+
+@query("u1_cached_map", "SELECT text, length(text) AS result FROM conversations WHERE text IS NOT NULL")
+def _cached(s: SparkSession, d: str) -> DataFrame:
+    models.register("length", _fake_model, "text string, result long")
+    rows = _read(s, d, "SELECT text FROM {conversations} WHERE text IS NOT NULL")
+    cache = rows.where("length(text) % 2 = 0").distinct().select("text", F.length("text").cast("long").alias("result"))
+    return models.cached_map(rows, cache, "text", "length")[0]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
