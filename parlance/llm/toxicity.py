@@ -42,7 +42,7 @@ BUCKETS = 1 << 18
 FEATURES = 512
 FOLDS, ROUNDS, RIDGE = 3, 150, 2e-5
 #: Features in more than this share of rows are left out: they tell categories apart least and slow the fit.
-COMMON = 0.1
+COMMON = 0.2
 THRESHOLD = 0.5
 _TRIM = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -123,7 +123,7 @@ class Chain:
         x = np.zeros((n, len(chosen) + 1), dtype=np.float32)
         x[rows, chain.place[feats]] = 1
         x = x[:, :-1]
-        fold = np.arange(n) % FOLDS
+        fold = np.random.default_rng(n).permutation(n) % FOLDS
         before = np.zeros((n, 0), dtype=np.float32)
         for j in range(len(CHAIN)):
             z = np.hstack([x, before])
