@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parlance.llm._common import cut, stored, table, text_of
+from parlance.llm._common import cut, release, stored, table, text_of
 from parlance.llm.graph import components
 
 WORDS = 5
@@ -182,6 +182,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total += np.bincount(seen % DF_BUCKETS, minlength=DF_BUCKETS)
                 n += len(count)
         some = np.flatnonzero(total)
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["b", "df"])
 
     rows = docs.select("text").mapInArrow(run, "b long, df long").groupBy("b").agg(F.sum("df").alias("df")).toPandas()
@@ -204,6 +205,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 keys = band_keys(samples(doc, ids, weights, part.num_rows, pool)[some])
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(some) + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(some)), keys], names=["doc_id", "keys"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, keys array<bigint>")
@@ -301,7 +303,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similari
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for whole in batches:
-            for batch in _slices(whole, 4 << 20):
+            for batch in _slices(whole):
                 held.append(batch)
                 t = pa.Table.from_batches(held)
                 last = t.num_rows - 1
@@ -312,6 +314,8 @@ def bucket_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similari
                     held = t.slice(end).to_batches()
         if held:
             yield from done(pa.Table.from_batches(held))
+        held.clear()
+        release()
 
     rows = members.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "i", "j", "id", "side", "text")
     n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, members.count() // 5_000))

@@ -21,18 +21,18 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm._common import table
+from parlance.llm._common import release, table
+from parlance.llm.minhash import _slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of concatenated units that are indexed at once.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 #: Units whose ids a task remembers before it starts anew.
-CACHE_UNITS = 300_000
-#: Rows that are turned into a result at once.
-ROWS = 1000
+CACHE_UNITS = 100_000
 #: Units with more characters than this are merged with a heap, the others together.
 LONG_UNIT = 48
 
@@ -188,7 +188,7 @@ class PieceCodec:
 
     def fill(self, texts: list[list[str]], cache: dict[str, tuple[int, ...]]) -> None:
         """Adds the ids of all units of ``texts`` that ``cache`` lacks."""
-        new = list(dict.fromkeys(u for t in texts for u in t if u not in cache))
+        new = list(set().union(*texts) - cache.keys())  # a unit's ids do not depend on what is indexed beside it
         at = 0
         while at < len(new):
             end, total = at, 0
@@ -223,20 +223,23 @@ def codec(path: str = MODEL) -> PieceCodec:
 def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """Rows (doc_id, ids, round_trip): the ids of each text, and whether decoding gives the text again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = codec(path), {}
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.iloc[at : at + ROWS]
+            for part in _slices(batch):
                 if len(cache) > CACHE_UNITS:
                     cache.clear()
-                texts = [t or "" for t in part["text"]]
+                texts = [t or "" for t in part["text"].to_pylist()]
                 ids = own.encode(texts, cache)
                 same = [own.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "round_trip": same})
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same)], names=["doc_id", "ids", "round_trip"])
+        cache.clear()
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
