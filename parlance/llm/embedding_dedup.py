@@ -2,13 +2,13 @@
 
 Two codebooks, one for each half of the unit vectors, are fitted by k-means on at most
 ``FIT_ROWS`` vectors; their product is a grid of cells into which every vector is put.  A
-query walks the cells in the order of a lower bound of its squared distance (multi-sequence
-traversal over the two sorted lists) and stops where the bound passes the distance of the
-threshold.  The bounds use the nearest and farthest member of each code over all vectors,
-so the target recall is 1: no linked pair lies in a cell that is not visited.  Vectors in
-visited cells are verified by their cosine in double precision.  Cells with many members
-are split into blocks.  A block adds up link counts, and passes on only the edges of a
-forest that spans its links, never all pairs.
+query visits the cells nearest to it, in the order of its squared distances from their two
+codes (multi-sequence traversal), until the target recall: as many cells as find ``RECALL``
+of vectors turned just as far as the threshold allows, which is set on ``CALIBRATE`` rows.
+A link is found if either end visits the other's cell.  Vectors in visited cells are
+verified by their cosine in double precision, so no other pair is linked.  Cells with many
+members are split into blocks.  A block adds up link counts, and passes on only the edges
+of a forest that spans its links, never all pairs.
 
 Results for odd input: equal vectors are compared once and count as links of each other;
 vectors that are null, empty, zero, or hold null or non-finite components link with nothing
@@ -31,10 +31,12 @@ from parlance.llm.graph import components
 COSINE = 0.95
 FIT_ROWS = 20_000
 #: Vectors in a cell, about; codes of a codebook, at most.
-PER_CELL, MOST_CODES = 8, 512
+PER_CELL, MOST_CODES = 128, 256
+#: Share of the faintest links that a query's own traversal is to find, and vectors on which that is set.
+RECALL, CALIBRATE = 0.995, 2000
 ROUNDS = 8
 BLOCK = 2048
-QUERIES = 512
+QUERIES = 128
 SEED = 3
 
 
@@ -61,7 +63,7 @@ def codebook(x: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
 
 
 class MultiIndex:
-    """Codebooks, the nearest and farthest member of each code, and which cells have members."""
+    """Codebooks, which cells have members, and how many cells a query visits."""
 
     def __init__(self, sample: np.ndarray, n: int):
         self.half = sample.shape[1] // 2 or sample.shape[1]
@@ -73,33 +75,41 @@ class MultiIndex:
     def halves(self, x: np.ndarray) -> list[np.ndarray]:
         return [distances(x[:, : self.half], self.codes[0]), distances(x[:, self.half :], self.codes[1])]
 
-    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cell of each unit vector and its distances from both codes."""
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Cell of each unit vector."""
+        near = [m.argmin(1) for m in self.halves(x)]
+        return near[0] * self.k[1] + near[1]
+
+    def calibrate(self, sample: np.ndarray, counts: np.ndarray, cosine: float, recall: float, seed: int = SEED) -> None:
+        """Sets how many cells a query visits: as many as find the share ``recall`` of vectors that are just near enough to link."""
+        self.counts = counts
+        rng = np.random.default_rng(seed)
+        x = unit(sample[:CALIBRATE])
+        noise = rng.standard_normal(x.shape)
+        noise -= (noise * x).sum(1, keepdims=True) * x
+        noise /= np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-12)
+        there = self.cells(cosine * x + np.sqrt(1 - cosine**2) * noise)
         d = self.halves(x)
-        near = [m.argmin(1) for m in d]
-        rows = np.arange(len(x))
-        return near[0] * self.k[1] + near[1], d[0][rows, near[0]], d[1][rows, near[1]]
-
-    def bound(self, ranges: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) -> None:
-        self.ranges, self.counts = ranges, counts
-
-    def visits(self, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, cell): the cells that each query's traversal visits before its bound passes the threshold."""
-        limit = 2 - 2 * cosine + 1e-9
-        low = [np.maximum(0, np.maximum(d - far, near - d)) ** 2 for d, (near, far) in zip(self.halves(x), self.ranges, strict=True)]
-        order = [np.argsort(m, axis=1, kind="stable") for m in low]
-        rows, cells = [], []
-        for r in range(len(x)):
-            a, b = low[0][r][order[0][r]], low[1][r][order[1][r]]
-            a = a[: np.searchsorted(a, limit, side="right")]
-            reach = np.searchsorted(b, limit - a, side="right")  # for each first code, how far the second list is walked
-            first = np.repeat(order[0][r][: len(a)], reach)
-            second = order[1][r][np.arange(len(first)) - np.repeat(np.cumsum(reach) - reach, reach)]
-            cell = first * self.k[1] + second
-            cell = cell[self.counts[cell] > 0]
-            rows.append(np.full(len(cell), r))
-            cells.append(cell)
-        return np.concatenate(rows), np.concatenate(cells)
+        own = d[0][np.arange(len(x)), there // self.k[1]] ** 2 + d[1][np.arange(len(x)), there % self.k[1]] ** 2
+        rank = np.array([((p[:, None] ** 2 + q[None, :] ** 2) < o).sum() for p, q, o in zip(*d, own, strict=True)])
+        self.most = int(np.quantile(rank, recall, method="higher")) + 1
+        i, j = np.meshgrid(np.arange(self.k[0]), np.arange(self.k[1]), indexing="ij")
+        # In the traversal's order the n-th cell is a pair of places whose product is at most n.
+        near = (i + 1) * (j + 1) <= self.most
+        self.first, self.second = i[near], j[near]
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, cell): the cells with members that each query's traversal visits, nearest first."""
+        d = self.halves(x)
+        order = [np.argsort(m, axis=1, kind="stable") for m in d]
+        near = [np.take_along_axis(m, o, axis=1) ** 2 for m, o in zip(d, order, strict=True)]
+        total = near[0][:, self.first] + near[1][:, self.second]
+        pick = np.argsort(total, axis=1, kind="stable")[:, : self.most]
+        cell = np.take_along_axis(order[0][:, self.first] * self.k[1] + order[1][:, self.second], pick, axis=1)
+        row = np.repeat(np.arange(len(x)), cell.shape[1])
+        cell = cell.ravel()
+        some = self.counts[cell] > 0
+        return row[some], cell[some]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -128,7 +138,7 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _FOUND = "id long, n long, other long"
 
 
-def _verified(rows: DataFrame, cosine: float) -> DataFrame:
+def _verified(rows: DataFrame, index: MultiIndex, cosine: float) -> DataFrame:
     """Link counts (other is null) and spanning edges (n is null) from members and queries of cell blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +169,14 @@ def _verified(rows: DataFrame, cosine: float) -> DataFrame:
                     other = a != b
                     if not other.any():
                         continue
-                    a, b, w = a[other], b[other], members[1][x[other]]
-                    who, inverse = np.unique(a, return_inverse=True)
-                    count = np.bincount(inverse, weights=w).astype(np.int64)
+                    a, b, q, x = a[other], b[other], q[other], x[other]
+                    # The member counts the link too, unless its own traversal finds the query.
+                    hit = np.unique(x)
+                    row, seen = index.visits(members[2][hit])
+                    theirs = index.cells(vec[at:end])[q]
+                    finds = np.isin(np.searchsorted(hit, x) * len(index.counts) + theirs, row * len(index.counts) + seen)
+                    who, inverse = np.unique(np.concatenate([a, b[~finds]]), return_inverse=True)
+                    count = np.bincount(inverse, weights=np.concatenate([members[1][x], many[at:end][q[~finds]]])).astype(np.int64)
                     edges = _spanning(a, b)
                     none = np.full(len(edges), None)
                     yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(count), pa.nulls(len(who), pa.int64())], names=["id", "n", "other"])
@@ -174,32 +189,27 @@ def _links(vectors: DataFrame, cosine: float) -> DataFrame:
     """As ``_verified``, for different vectors (id, m, vec) of one length."""
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow()
-    index = MultiIndex(_matrix(sample["vec"].combine_chunks()), n)
+    sample = _matrix(sample["vec"].combine_chunks())
+    index = MultiIndex(sample, n)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell, e, f = index.cells(unit(_matrix(batch["vec"])))
-                yield pa.RecordBatch.from_arrays([batch["id"], batch["m"], batch["vec"], pa.array(cell), pa.array(e), pa.array(f)], names=["id", "m", "vec", "cell", "e", "f"])
+                cell = index.cells(unit(_matrix(batch["vec"])))
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["m"], batch["vec"], pa.array(cell)], names=["id", "m", "vec", "cell"])
 
-    placed = cut(vectors.select("id", "m", "vec").mapInArrow(put, "id long, m long, vec binary, cell long, e double, f double"))
+    placed = cut(vectors.select("id", "m", "vec").mapInArrow(put, "id long, m long, vec binary, cell long"))
     # Of fixed size whatever the number of vectors: a row for each cell of the grid.
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}{k}") for c in "ef" for k, f in (("0", F.min), ("1", F.max)))).toPandas()
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
     counts = np.zeros(index.k[0] * index.k[1], dtype=np.int64)
     counts[stats["cell"]] = stats["n"]
-    ranges = []
-    for c, code, k in (("e", stats["cell"] // index.k[1], index.k[0]), ("f", stats["cell"] % index.k[1], index.k[1])):
-        near, far = np.full(k, np.inf), np.full(k, -np.inf)
-        np.minimum.at(near, code, stats[f"{c}0"])
-        np.maximum.at(far, code, stats[f"{c}1"])
-        ranges.append((np.where(np.isfinite(near), near - 1e-7, 1e9), np.where(np.isfinite(far), far + 1e-7, -1e9)))
-    index.bound(ranges, counts)
+    index.calibrate(sample, counts, cosine, RECALL)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(at, QUERIES)
-                row, cell = index.visits(unit(_matrix(part["vec"])), cosine)
+                row, cell = index.visits(unit(_matrix(part["vec"])))
                 blocks = -(-counts[cell] // BLOCK)
                 again = np.repeat(np.arange(len(row)), blocks)
                 block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -221,7 +231,7 @@ def _links(vectors: DataFrame, cosine: float) -> DataFrame:
     schema = "cell long, block long, query int, id long, m long, vec binary"
     rows = placed.mapInArrow(own, schema).union(placed.select("id", "m", "vec").mapInArrow(probe, schema))
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
-    return _verified(rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "query"), cosine)
+    return _verified(rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "query"), index, cosine)
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
