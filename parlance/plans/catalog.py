@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlance.functions import models
-from parlance.operators import align, store, tiers, timing, words
+from parlance.operators import align, sequence, store, tiers, timing, words
 from parlance.sources import chat
 from parlance.streaming import feed
 
@@ -335,6 +335,46 @@ def _cached(s: SparkSession, d: str) -> DataFrame:
     return models.cached_map(rows, cache, "text", "length")[0]
 
 
+
+# --- sequential algorithms ---------------------------------------------------------------
+
+query("h1_conformed")(lambda s, d: _read(s, d, TURN).select("f", "u", F.explode(sequence.conformed(F.split(F.trim("text"), r"\s+"))).alias("word")))
+query("d3_word_error_rate")(lambda s, d: _compared(s, d).select("f", sequence.word_error_rate(F.col("main"), F.col("gold")).alias("e")).select("f", "e.*"))
+query("c5_compare")(lambda s, d: sequence.compared(_compared(s, d).select("f", "main", F.array(F.slice("gold", 1, 10), F.slice("gold", 11, 10)).alias("gold"))))
+_UTTS = "SELECT conv_id AS f, turn, named_struct('speaker', role, 'text', coalesce(text, ''), 'timing', turn) AS u, named_struct('speaker', CASE WHEN turn % 5 = 4 THEN 'other' ELSE role END, 'text', CASE WHEN turn % 4 = 2 THEN 'changed' ELSE coalesce(text, '') END, 'timing', turn + turn % 2) AS v FROM {conversations}"
+
+
+def _deltas(s: SparkSession, d: str) -> DataFrame:
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c))), lambda x: x[c])
+    return sequence.diffed(_read(s, d, _UTTS).groupBy("f").agg(listed("u").alias("before"), listed("v").alias("after")))
+
+
+query("c19_transcript_diff")(_deltas)
+query("d7_diff_summary")(lambda s, d: sequence.diff_summary(_deltas(s, d)))
+
+
+@query("c10_recovered_timing")
+def _recovered(s: SparkSession, d: str) -> DataFrame:
+    w = _words(s, d).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("u", "p", "word"))).alias("w"))
+    spoken = F.filter("w", lambda x: x["p"] % 5 != 3)
+    tokens = F.transform(spoken, lambda x, k: F.struct(x["word"].alias("text"), (k * 300).cast("long").alias("start_ms"), (k * 300 + 250).cast("long").alias("end_ms")))
+    return sequence.recovered_timing(w.select("f", F.transform("w", lambda x: F.struct(x["u"].cast("int").alias("u"), x["word"].alias("word"))).alias("words"), tokens.alias("tokens")))
+
+
+query("c12_needs_two_passes", "SELECT conv_id AS f, bool_or(turn % 6 = 5) AS two_pass FROM conversations GROUP BY conv_id")(
+    lambda s, d: sequence.needs_two_passes(_read(s, d, "SELECT conv_id AS f, turn % 6 = 5 AS lazy_overlap, coalesce(text, '') AS text FROM {conversations}"))
+)
+_scalar("c17_length_mapping", "SELECT event_id AS k, cast(1 + event_id % 7 as int) AS w, cast(1 + user_id % 9 as int) AS t FROM {events}", lambda: {"m": F.array_join(F.transform(sequence.length_mapping(F.col("w"), F.col("t")), lambda x: F.array_join(x.cast("array<string>"), " ")), ",")},
+        "SELECT k, array_to_string([array_to_string(range(i * t // w, greatest((i + 1) * t // w, least(i * t // w + 1, t))), ' ') FOR i IN range(w)], ',') AS m FROM (SELECT event_id AS k, 1 + event_id % 7 AS w, 1 + user_id % 9 AS t FROM events) x")
+query("h4_chinese_numbers")(lambda s, d: _read(s, d, "SELECT o_orderkey AS k, o_orderkey * 1003 AS n FROM {orders}").select("k", sequence.chinese_numbers(F.col("n")).alias("t")))
+query("h19_graph_problems")(lambda s, d: _read(s, d, "SELECT event_id AS k, array(cast(event_id % 4 as int), cast(user_id % 5 as int), 1) AS heads FROM {events}").select("k", sequence.graph_problems(F.col("heads")).alias("problem")))
+query("e19_reusable_words", f"SELECT f, u, bool_and(a IS NOT NULL) AND count(*) = max(n) AS reusable FROM (SELECT user_id % 10 AS f, event_id % 500 AS u, CASE WHEN event_id % 9 <> 0 THEN 1 END AS a, 2 + event_id % 2 AS n FROM events) x GROUP BY f, u")(
+    lambda s, d: sequence.reusable_words(_read(s, d, "SELECT user_id % 10 AS f, event_id % 500 AS u, CASE WHEN event_id % 9 <> 0 THEN 1 END AS a, 2 + event_id % 2 AS n_words FROM {events}"))
+)
+_scalar("h30_diarization_line", "SELECT event_id AS k, concat('SPEAKER file 1 ', event_id, '.5 2.25 <NA> <NA> S', user_id % 3, ' <NA>') AS l FROM {events}", lambda: {"speaker": sequence.diarization_line(F.col("l"))["speaker"], "end_ms": sequence.diarization_line(F.col("l"))["end_ms"]},
+        "SELECT event_id AS k, 'S' || (user_id % 3) AS speaker, event_id * 1000 + 2750 AS end_ms FROM events")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -100,3 +100,25 @@ def test_query_equals_its_sql(spark, name):
 
 def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_chinese_numbers():
+    from parlance.operators.sequence import chinese_number
+
+    want = {0: "零", 10: "十", 12: "十二", 20: "二十", 101: "一百零一", 110: "一百一十", 1005: "一千零五", 10000: "一万", 10005: "一万零五", 12345: "一万二千三百四十五", 100000: "十万", 100010001: "一亿零一万零一"}
+    assert {n: chinese_number(n) for n in want} == want
+
+
+def test_sequences():
+    from parlance.operators import sequence as q
+
+    assert q.conform("It's") == ["it", "is"] and q.conform("gonna") == ["going", "to"] and q.conform("x-y") == ["x", "y"] and q.conform("eh") == ["um"]
+    assert q.word_errors("aa bb cc".split(), "aa xx cc".split())["errors"] == 1 and q.word_errors([], ["a"])["wer"] == 1.0
+    assert q.best_window(list("bcd"), list("aabcdaa")) == (2, 5)
+    assert [x["status"] for x in q.compare(["the", "dog", "ran"], [["the", "cat", "ran"]])].count("match") == 2
+    assert q.stitch(["hello", "there"], ["hel", "lo", "there"]) == [[0, 1], [2]] and q.stitch(["a", "b"], ["x", "b"]) == [[], []]
+    assert q.utterance_groups([[0, 1, 2], [3, 4, 5, 6]], 7) == [0, 0, 0, 1, 1, 1, 1] and q.utterance_groups([], 1) == [0]
+    assert [q.graph_problem(h) for h in ([0, 1, 1], [0, 0], [2, 1, 0], [0, 9])] == [None, "roots", "cycle", "missing head"]
+    u = lambda t, s="A", m=0: {"text": t, "speaker": s, "timing": m}
+    kinds = [x["kind"] for x in q.transcript_diff([u("a"), u("b"), u("c"), u("d")], [u("a", "B"), u("x"), u("c", m=1), u("e"), u("f")])]
+    assert kinds.count("speaker_changed") == 1 and "timing_only" in kinds and "words_changed" in kinds
