@@ -5,6 +5,7 @@ Each takes whole lists in a row, so a row is the unit of work and nothing is gat
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from itertools import groupby
 
@@ -337,3 +338,96 @@ def diarization_line(line: Column) -> Column:
 def audio_identity(path: Column, modified: Column, size: Column) -> Column:
     """What an audio file is known by."""
     return F.concat_ws("|", path, modified, size)
+
+
+def tree_ranges(tree: str) -> list[list[int]]:
+    """Word places below each clause that is coordinated with others, from a bracketed tree.
+
+    A clause counts if its label is ``S`` and a sibling is a conjunction (``CC``).
+    """
+    stack: list[list] = [["", [], 0]]  # label, children as (label, words), words so far
+    out: list[list[int]] = []
+    at = 0
+    for tok in re.findall(r"[()]|[^\s()]+", tree):
+        if tok == "(":
+            stack.append([None, [], at])
+        elif tok == ")":
+            if len(stack) < 2:
+                raise ValueError("a bracket closes that none opened")
+            label, kids, begin = stack.pop()
+            if any(k == "CC" for k, _, _ in kids):
+                out += [list(range(b, e)) for k, b, e in kids if k == "S"]
+            stack[-1][1].append((label, begin, at))
+        elif stack[-1][0] is None:
+            stack[-1][0] = tok
+        else:
+            at += 1
+    if len(stack) != 1:
+        raise ValueError("a bracket is left open")
+    return out
+
+
+def utterance_groups_of(trees: Column, n_words: Column) -> Column:
+    """E14 as a column: an utterance number for each word, from an array of bracketed trees; trees that can't be read are left out."""
+
+    @F.pandas_udf("array<int>")
+    def run(rows: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for row, k in zip(rows, n, strict=True):
+            ranges: list[list[int]] = []
+            for tree in row if row is not None else []:
+                try:
+                    ranges += tree_ranges(tree)
+                except ValueError:
+                    continue
+            out.append(utterance_groups(ranges, int(k)))
+        return pd.Series(out)
+
+    return run(trees, n_words)
+
+
+def merged_letters(words: list[str], known: frozenset) -> list[str]:
+    """Runs of single capital letters that spell a known abbreviation become it, the longest first."""
+    longest, out, k = max(map(len, known), default=0), [], 0
+    while k < len(words):
+        size = next((n for n in range(min(longest, len(words) - k), 1, -1) if all(len(w) == 1 and w.isupper() for w in words[k : k + n]) and "".join(words[k : k + n]) in known), 1)
+        out.append("".join(words[k : k + size]))
+        k += size
+    return out
+
+
+def letters_merged(words: Column, known: frozenset) -> Column:
+    """E15 as a column over arrays of words."""
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ws: None if ws is None else merged_letters(list(ws), known))
+
+    return run(words)
+
+
+def spoken_number(n: int, table: dict[int, str]) -> str:
+    """H2 and H3: a number in words, from a language's table of values; greedy, the largest value first.
+
+    A value above one hundred takes a spoken multiplier.  A number that the table can't reach stays in digits.
+    """
+    if n in table and n < 100:
+        return table[n]
+    for value in sorted(table, reverse=True):
+        if 0 < value <= n:
+            times, rest = divmod(n, value)
+            head = f"{spoken_number(times, table)} {table[value]}" if value >= 100 else table[value]
+            rest = rest if value >= 100 else n - value
+            return head if not rest else f"{head} {spoken_number(rest, table)}"
+    return str(n)
+
+
+def spoken_numbers(words: Column, table: dict[int, str]) -> Column:
+    """H2 as a column over arrays of words: words of digits are spoken, with hyphens between groups kept apart."""
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        one = lambda w: " ".join(spoken_number(int(p), table) if p.isascii() and p.isdigit() else p for p in w.split("-")) if any(c.isdigit() for c in w) else w
+        return rows.map(lambda ws: None if ws is None else [one(w) for w in ws])
+
+    return run(words)

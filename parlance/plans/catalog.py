@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlance.functions import models
-from parlance.operators import align, sequence, store, tiers, timing, words
+from parlance.operators import align, records, sequence, store, tiers, timing, words
 from parlance.sources import chat
 from parlance.streaming import feed
 
@@ -375,6 +375,62 @@ _scalar("h30_diarization_line", "SELECT event_id AS k, concat('SPEAKER file 1 ',
         "SELECT event_id AS k, 'S' || (user_id % 3) AS speaker, event_id * 1000 + 2750 AS end_ms FROM events")
 
 
+query("e14_utterance_groups")(lambda s, d: _read(s, d, "SELECT event_id AS k, concat('(S (S (NP a b) (VP c)) (CC and) (S (NP d) (VP e f', if(event_id % 3 = 0, '', ')'), '))') AS t FROM {events}").select("k", F.array_join(sequence.utterance_groups_of(F.array("t"), F.lit(7)), "").alias("g")))
+query("e15_letters_merged", "SELECT event_id AS k, CASE WHEN event_id % 2 = 0 THEN 'the FBI A x' ELSE 'US B' END AS w FROM events")(
+    lambda s, d: _read(s, d, "SELECT event_id AS k, CASE WHEN event_id % 2 = 0 THEN 'the F B I A x' ELSE 'U S B' END AS w FROM {events}").select("k", F.array_join(sequence.letters_merged(F.split("w", " "), frozenset({"FBI", "US", "FB"})), " ").alias("w"))
+)
+#: Names of English numbers, for the query below; callers bring their own language's.
+ENGLISH = dict(zip([*range(1, 21), *range(30, 100, 10), 100, 1000, 10**6], "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split(), strict=True))
+query("h2_spoken_numbers")(lambda s, d: _read(s, d, "SELECT l_orderkey AS k, l_linenumber AS n, cast(cast(l_quantity as bigint) * 137 as string) AS w FROM {lineitem}").select("k", "n", F.array_join(sequence.spoken_numbers(F.array("w"), ENGLISH), " ").alias("w")))
+
+# --- files, tiers, timings, reports --------------------------------------------------------
+
+_ELEMENTS = "SELECT user_id % 10 AS f, event_id AS i, CASE WHEN event_id % 5 = 0 THEN '<pause>' WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS value, event_id * 0.5 AS ts, event_id * 0.5 + (event_id % 3) * 0.25 AS end_ts FROM {events}"
+query("b3_timed_elements", "SELECT user_id % 10 AS f, event_id AS i, event_type AS value, CASE WHEN event_id % 3 > 0 THEN event_id * 500 END AS start_ms, CASE WHEN event_id % 3 > 0 THEN event_id * 500 + (event_id % 3) * 250 END AS end_ms FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")(
+    lambda s, d: records.timed_elements(_read(s, d, _ELEMENTS))
+)
+_GATE = "SELECT conv_id AS f, turn AS i, role AS speaker, CASE WHEN turn % 6 = 5 THEN ' ' ELSE 'x' END AS text, turn % 4 AS a, turn % 5 AS b FROM {conversations}"
+query("b4_violations", "SELECT conv_id AS f, turn AS i, 0 AS level, 'empty' AS problem FROM conversations WHERE turn % 6 = 5 UNION ALL SELECT conv_id, turn, 1, 'speaker' FROM conversations WHERE role = 'system' UNION ALL SELECT conv_id, turn, 2, 'timing' FROM conversations WHERE turn % 5 < turn % 4")(
+    lambda s, d: records.violations((u := _read(s, d, _GATE)), u.where("speaker != 'system'").select("f", "speaker"))
+)
+query("b4_passing", "SELECT conv_id AS f, turn AS i FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn % 6 = 5 OR role = 'system')")(
+    lambda s, d: records.passing((u := _read(s, d, _GATE)), records.violations(u, u.where("speaker != 'system'").select("f", "speaker")), 1).select("f", "i")
+)
+query("a9_media_of", "SELECT concat('d/', p_partkey, '.cha') AS path, CASE WHEN p_partkey % 2 = 0 THEN concat('d/', p_partkey, '.mp3') WHEN p_partkey % 3 = 0 THEN concat('d/', p_partkey, '.wav') END AS media FROM part")(
+    lambda s, d: records.media_of(_read(s, d, "SELECT concat('d/', p_partkey, '.cha') AS path FROM {part}"), _read(s, d, "SELECT concat('d/', p_partkey, '.wav') AS path FROM {part} WHERE p_partkey % 3 = 0 UNION ALL SELECT concat('d/', p_partkey, '.mp3') FROM {part} WHERE p_partkey % 2 = 0"))
+)
+_scalar("a11_output_path", "SELECT p_partkey AS k, concat('a.b/', p_partkey, '.cha') AS path FROM {part}", lambda: {"e": records.output_path(F.col("path"), "extension", "csv"), "s": records.output_path(F.col("path"), "suffix", ".gold")}, "SELECT p_partkey AS k, concat('a.b/', p_partkey, '.csv') AS e, concat('a.b/', p_partkey, '.gold.cha') AS s FROM part")
+query("a13_feature_table", "SELECT l_orderkey AS f, max(l_quantity) FILTER (l_linenumber = 1) AS f1, max(l_quantity) FILTER (l_linenumber = 2) AS f2 FROM lineitem GROUP BY l_orderkey")(
+    lambda s, d: records.feature_table(_read(s, d, "SELECT l_orderkey AS f, 0 AS frame, concat('f', l_linenumber) AS name, l_quantity AS value FROM {lineitem}"), ["f2", "f1"]).drop("frame")
+)
+query("a12_metric_rows", "SELECT event_type AS f, 'n' AS metric, CAST(count(*) AS VARCHAR) AS value FROM events GROUP BY event_type UNION ALL SELECT event_type, 'share', printf('%.4f', count(*) / 1000000) FROM events GROUP BY event_type")(
+    lambda s, d: tiers.metric_rows(_read(s, d, "SELECT event_type AS f, count(*) AS n, count(*) / 1000000 AS share FROM {events} GROUP BY event_type"), "f", ["n", "share"])
+)
+query("c20_with_kept_tiers", "SELECT conv_id AS f, turn AS after_idx, CASE WHEN turn % 2 = 0 THEN 'old' END AS mor, 'new' AS gra FROM conversations")(
+    lambda s, d: records.with_kept_tiers(
+        (t := _read(s, d, "SELECT conv_id AS f, turn AS after_idx, turn AS before_idx FROM {conversations}")).select("f", "after_idx", F.create_map(F.lit("gra"), F.lit("new")).alias("tiers")),
+        t.where("before_idx % 2 = 0").select("f", "before_idx", F.create_map(F.lit("mor"), F.lit("old"), F.lit("gra"), F.lit("old")).alias("tiers")), t,
+    ).select("f", "after_idx", F.col("tiers")["mor"].alias("mor"), F.col("tiers")["gra"].alias("gra"))
+)
+query("c23_injected", f"SELECT f, u, p, n * 10 AS a, n * 10 + 5 AS b FROM (SELECT f, u, p, row_number() OVER (PARTITION BY f, u // 2 ORDER BY u, p) - 1 AS n FROM ({D_WORDS}) t) x")(
+    lambda s, d: records.injected((w := _words(s, d).withColumn("g", F.expr("u div 2"))).select("f", "g", "u", "p"), w.groupBy("f", "g").agg(F.count("*").alias("c")).select("f", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("n")).select("f", "g", "n", (F.col("n") * 10).alias("a"), (F.col("n") * 10 + 5).alias("b")))
+)
+query("c24_reused_groups", "SELECT conv_id AS f, turn // 3 AS g, bool_and(turn % 4 <> 2) AS reused FROM conversations GROUP BY conv_id, turn // 3")(
+    lambda s, d: records.reused_groups(_read(s, d, "SELECT conv_id AS f, turn div 3 AS g, turn AS after_idx FROM {conversations}"), _read(s, d, "SELECT conv_id AS f, turn AS after_idx, CASE WHEN turn % 4 = 2 THEN 'words_changed' ELSE 'unchanged' END AS kind FROM {conversations}"))
+)
+query("c25_cached_tiers", "SELECT conv_id AS f, turn AS line_idx, CASE WHEN turn % 3 = 0 THEN 'cached' ELSE role END AS tier FROM conversations")(
+    lambda s, d: records.cached_tiers(_read(s, d, "SELECT conv_id AS f, turn AS line_idx, role AS tier FROM {conversations}"), _read(s, d, "SELECT conv_id AS f, turn AS line_idx, 'cached' AS tier FROM {conversations} WHERE turn % 3 = 0"))
+)
+query("f5_in_position", "SELECT f, seq, row_number() OVER (PARTITION BY f ORDER BY pos, seq)::INTEGER AS rank FROM (SELECT user_id % 10 AS f, event_id AS seq, (event_id % 50) + 0.5 AS pos FROM events) x")(
+    lambda s, d: records.in_position(_read(s, d, "SELECT user_id % 10 AS f, event_id AS seq, (event_id % 50) + 0.5 AS pos FROM {events}")).select("f", "seq", "rank")
+)
+_scalar("g1_uncovered", "SELECT event_id AS k, cast(event_id % 5 as int) AS a, cast(user_id % 5 as int) AS b FROM {events}", lambda: {"n": F.size(records.uncovered(F.sequence(F.lit(0), F.col("a")), F.sequence(F.lit(0), F.col("b"))))}, "SELECT event_id AS k, CAST(greatest(event_id % 5 - user_id % 5, 0) AS INTEGER) AS n FROM events")
+_scalar("h29_provenance", WORDROW, lambda: {"c": records.provenance(F.lit("parlance"), F.col("label"), F.col("word"))}, "SELECT event_id AS k, '@Comment:' || chr(9) || 'parlance SPEAKER_0' || (user_id % 10) || ', ' || event_type AS c FROM events")
+query("h27_stanza_word", "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'be' END AS lemma, CASE WHEN event_id % 4 = 0 THEN 'dep' ELSE 'nsubj' END AS deprel FROM events")(
+    lambda s, d: records.stanza_word(_read(s, d, "SELECT event_id AS k, event_type AS text, CASE WHEN event_id % 3 = 0 THEN '.' ELSE 'be' END AS lemma, CASE WHEN event_id % 4 = 0 THEN '<PAD>' ELSE 'nsubj' END AS deprel FROM {events}")).select("k", "lemma", "deprel")
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

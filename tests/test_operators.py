@@ -122,3 +122,14 @@ def test_sequences():
     u = lambda t, s="A", m=0: {"text": t, "speaker": s, "timing": m}
     kinds = [x["kind"] for x in q.transcript_diff([u("a"), u("b"), u("c"), u("d")], [u("a", "B"), u("x"), u("c", m=1), u("e"), u("f")])]
     assert kinds.count("speaker_changed") == 1 and "timing_only" in kinds and "words_changed" in kinds
+
+
+def test_numbers_letters_and_trees():
+    from parlance.operators import sequence as q
+
+    say = lambda n: q.spoken_number(n, catalog.ENGLISH)
+    assert [say(n) for n in (0, 7, 21, 100, 342, 1005, 2000000)] == ["0", "seven", "twenty one", "one hundred", "three hundred forty two", "one thousand five", "two million"]
+    assert q.merged_letters("the F B I A".split(), frozenset({"FBI", "FB"})) == ["the", "FBI", "A"]
+    assert q.tree_ranges("(S (S (NP a) (VP b)) (CC and) (S (NP c) (VP d)))") == [[0, 1], [3, 4]]
+    with pytest.raises(ValueError, match="open"):
+        q.tree_ranges("(S (S a)")
