@@ -13,7 +13,6 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -224,10 +223,6 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, base {span}, added {span}")
 
 
-def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in sorted(spans[k]))
-
-
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(table(spark, sf_dir, "documents"))
     order = F.expr("array_sort(concat(base, added), (x, y) -> case when array_position(array('email', 'ip', 'card', 'phone'), x.kind) < array_position(array('email', 'ip', 'card', 'phone'), y.kind) then -1 when x.kind != y.kind then 1 when x.start < y.start then -1 when x.start > y.start then 1 else 0 end)")
