@@ -4,7 +4,8 @@ Base detectors read the text as it is.  Texts with a trace of disguise pass two
 as well: one over characters (homoglyphs, wide and foreign digits, invisible characters) and
 one over tokens (spelled digits, ``plus``, ``at`` and ``dot``).  Each output character keeps the
 source interval it came from, so that what the detectors find in the normalised text is
-mapped back to source characters.  Such spans are added to the base ones, which all stay.
+mapped back to source characters.  Such spans are added to the base ones, which all stay; one
+that a base span of its kind covers wholly adds nothing, a longer one stands beside the base span.
 
 Results for odd input: a null text counts as empty; an empty text has no spans and the
 digest of the empty string.  Rows are read one by one, so repeated rows get equal results;
@@ -70,7 +71,7 @@ _NAMES_RUN = re.compile(rf"(?<![^\W_]){_NAME}(?:[\x20\-,.]{{1,2}}(?:dot[\x20])?{
 _SOME_NAMES = re.compile(rf"{_NAME}(?:[\x20\-,.]{{1,2}}(?:dot[\x20])?{_NAME}(?![^\W_])){{3}}", re.IGNORECASE)
 _AT = r"(?:\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?|\x20@\x20|\x20at\x20)"
 _DOT = r"(?:\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20|\.)"
-_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)?)({_AT})([A-Za-z0-9-]+)((?:{_DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
+_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)?)({_AT}|@)([A-Za-z0-9-]+)((?:{_DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
 _AT_ONLY = re.compile(rf"{_AT}", re.IGNORECASE)
 _DOT_ONLY = re.compile(rf"{_DOT}", re.IGNORECASE)
 _BRACKET = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]", re.IGNORECASE)
@@ -167,7 +168,8 @@ def _mail_edits(m: re.Match) -> list[tuple[int, int, str]]:
     if plain and not disguised_dot and not re.search(r"[0-9._+-]", m.group(1)):
         return []  # "look at example.com" names no mailbox
     edits = [(m.start(1) + x.start(), m.start(1) + x.end(), ".") for x in _DOT_ONLY.finditer(m.group(1)) if x.group() != "."]
-    edits.append((m.start(2), m.end(2), "@"))
+    if m.group(2) != "@":
+        edits.append((m.start(2), m.end(2), "@"))
     return edits + [(m.start(4) + x.start(), m.start(4) + x.end(), ".") for x in _DOT_ONLY.finditer(m.group(4)) if x.group() != "."]
 
 
@@ -187,7 +189,7 @@ def normalise(text: str) -> Mapped | None:
     if _BRACKET.search(now) or "dot" in lower and _DOT_BETWEEN_DIGITS.search(now):
         out = (out or Mapped(text)).rewritten([(m.start(), m.end(), ".") for m in _DOT_BETWEEN_DIGITS.finditer(now)])
         now = out.text
-    if _BRACKET.search(now) or _SPACED_AT.search(now):
+    if _BRACKET.search(now) or _SPACED_AT.search(now) or "@" in now and "\x20dot\x20" in lower:
         out = (out or Mapped(text)).rewritten([e for m in _MAIL.finditer(now) for e in _mail_edits(m)])
     return out
 
@@ -202,7 +204,7 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
             had = base[kind]
             for span in spans:
                 a, b = mapped.source(span)
-                if not any(x < b and a < y for x, y in had):
+                if not any(x <= a and b <= y for x, y in had):
                     added[kind].append((a, b))
     return base, added
 
@@ -225,7 +227,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(table(spark, sf_dir, "documents"))
-    order = F.expr("array_sort(concat(base, added), (x, y) -> case when array_position(array('email', 'ip', 'card', 'phone'), x.kind) < array_position(array('email', 'ip', 'card', 'phone'), y.kind) then -1 when x.kind != y.kind then 1 when x.start < y.start then -1 when x.start > y.start then 1 else 0 end)")
+    order = F.expr("array_sort(concat(base, added), (x, y) -> case when array_position(array('email', 'ip', 'card', 'phone'), x.kind) < array_position(array('email', 'ip', 'card', 'phone'), y.kind) then -1 when x.kind != y.kind then 1 when x.start < y.start then -1 when x.start > y.start then 1 when x.end < y.end then -1 when x.end > y.end then 1 else 0 end)")
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, KINDS), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(order).alias("spans"))

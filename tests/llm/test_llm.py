@@ -308,6 +308,23 @@ def test_pii_disguises(text, kind, span):
     assert span not in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base", "added", "masked"),
+    [
+        ("to jоhn@example.com now", "email", ["hn@example.com"], ["jоhn@example.com"], "to <EMAIL> now"),
+        ("to a@mail.example [dot] com now", "email", ["a@mail.example"], ["a@mail.example [dot] com"], "to <EMAIL> now"),
+        ("to a@mail.example dot com", "email", ["a@mail.example"], ["a@mail.example dot com"], "to <EMAIL>"),
+        ("to john [dot] doe@example.com", "email", ["doe@example.com"], ["john [dot] doe@example.com"], "to <EMAIL>"),
+        ("+49 30 1234 56 seven eight nine one.", "phone", ["+49 30 1234 56"], ["+49 30 1234 56 seven eight nine one"], "<PHONE>."),
+        ("a@mail.example and one two three four", "email", ["a@mail.example"], [], "<EMAIL> and one two three four"),
+    ],
+)
+def test_pii_fragment_of_a_disguise(text, kind, base, added, masked):
+    got = pii.find(text)
+    assert [[text[a:b] for a, b in x[kind]] for x in got] == [base, added]
+    assert pii.masked(text) == masked
+
+
 def test_pii_table(spark, docs, empty):
     out = {r.doc_id: r for r in pii.pii_spans(docs).collect()}
     assert len(out) == len(BASE) and out[0].base == [] and [s.kind for s in out[9].base] == ["email", "ip", "card", "phone"]
