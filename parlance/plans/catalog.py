@@ -243,7 +243,7 @@ def _edits(s: SparkSession, d: str) -> DataFrame:
 
 
 query("c1_alignment")(_edits)
-query("c2_character_alignment")(lambda s, d: _read(s, d, "SELECT item_id AS f, text FROM {benchmark}").select("f", F.split(F.substring("text", 1, 40), "").alias("x"), F.split(F.substring("text", 3, 40), "").alias("y")).select("f", F.explode(align.alignment(F.col("x"), F.col("y"))).alias("e")).select("f", "e.*"))
+query("c2_character_alignment")(lambda s, d: _read(s, d, "SELECT item_id AS f, text FROM {benchmark}").select("f", F.split("text", "").alias("x"), F.split(F.expr("substring(text, 3)"), "").alias("y")).select("f", F.explode(align.alignment(F.col("x"), F.col("y"))).alias("e")).select("f", "e.*"))
 query("c3_similarity")(lambda s, d: _compared(s, d).select("f", F.posexplode(F.arrays_zip("gold", F.slice("main", 1, F.size("gold")).alias("m"))).alias("p", "z")).select("f", "p", align.similarity(F.col("z.gold"), F.col("z.m")).alias("sim")))
 query("d1_edit_metrics")(lambda s, d: align.edit_metrics(_edits(s, d)))
 _STATUS = "SELECT CASE event_id % 4 WHEN 0 THEN 'noun' WHEN 1 THEN 'PUNCT' WHEN 2 THEN 'verb' END AS pos, CASE user_id % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'extra_main' ELSE 'extra_gold' END AS status FROM {events}"

@@ -25,6 +25,20 @@ def test_alignment_is_complete_and_monotone():
     assert all(e["op"] == "match" for e in align.align(list("same"), list("same")))
 
 
+def test_character_alignment_takes_whole_texts(spark):
+    d = __spark_entry__.SMOKE_DIR
+    edits = {}
+    for e in catalog.queries()["c2_character_alignment"](spark, d).collect():
+        edits.setdefault(e.f, []).append(e)
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    assert edits.keys() == texts.keys()
+    for f, text in texts.items():
+        for side, want in (("payload_idx", text), ("reference_idx", text[2:])):
+            assert "".join(e.key for e in sorted((e for e in edits[f] if e[side] is not None), key=lambda e: e[side])) == want
+            assert sorted(e[side] for e in edits[f] if e[side] is not None) == list(range(len(want)))
+        assert sum(e.op != "match" for e in edits[f]) == align._last_row(list(text), list(text[2:]), lambda x, y: x == y)[-1]
+
+
 def test_jaro_winkler():
     assert abs(align.jaro_winkler("martha", "marhta") - 0.9611) < 1e-3 and align.jaro_winkler("", "a") == 0 and align.jaro_winkler("a", "a") == 1
 
