@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parlance.functions import models
 from parlance.operators import align, records, sequence, store, tiers, timing, words
@@ -340,7 +340,14 @@ def _cached(s: SparkSession, d: str) -> DataFrame:
 
 query("h1_conformed")(lambda s, d: _read(s, d, TURN).select("f", "u", F.explode(sequence.conformed(F.split(F.trim("text"), r"\s+"))).alias("word")))
 query("d3_word_error_rate")(lambda s, d: _compared(s, d).select("f", sequence.word_error_rate(F.col("main"), F.col("gold")).alias("e")).select("f", "e.*"))
-query("c5_compare")(lambda s, d: sequence.compared(_compared(s, d).select("f", "main", F.array(F.slice("gold", 1, 10), F.slice("gold", 11, 10)).alias("gold"))))
+
+
+def _tens(words: str) -> Column:
+    """An array's items, all of them, as arrays of ten at most; none for an empty array."""
+    return F.expr(f"if(size({words}) > 0, transform(sequence(1, size({words}), 10), k -> slice({words}, k, 10)), array())")
+
+
+query("c5_compare")(lambda s, d: sequence.compared(_compared(s, d).select("f", "main", _tens("gold").alias("gold"))))
 _UTTS = "SELECT conv_id AS f, turn, named_struct('speaker', role, 'text', coalesce(text, ''), 'timing', turn) AS u, named_struct('speaker', CASE WHEN turn % 5 = 4 THEN 'other' ELSE role END, 'text', CASE WHEN turn % 4 = 2 THEN 'changed' ELSE coalesce(text, '') END, 'timing', turn + turn % 2) AS v FROM {conversations}"
 
 

@@ -138,6 +138,23 @@ def test_sequences():
     assert kinds.count("speaker_changed") == 1 and "timing_only" in kinds and "words_changed" in kinds
 
 
+def test_compare_takes_every_gold_word(spark):
+    from parlance.operators import sequence as q
+
+    d = __spark_entry__.SMOKE_DIR
+    got = {}
+    for r in catalog.queries()["c5_compare"](spark, d).where("status != 'extra_main'").collect():
+        got.setdefault((r.f, r.utt), []).append((r.gold_idx, r.word.lower()))
+    want = {}
+    for r in spark.read.parquet(f"{d}/benchmark.parquet").collect():
+        gold = r.text.split()
+        for u in range(0, len(gold), 10):
+            want[r.item_id, u // 10] = [(k, w.lower()) for k, w in enumerate(y for x in gold[u : u + 10] for y in q.conform(x))]
+    assert max(u for _, u in want) > 1 and {k: sorted(v) for k, v in got.items()} == want
+    rows = spark.createDataFrame([(0, []), (1, ["a"] * 10), (2, list("abcdefghijk"))], "k int, w array<string>")
+    assert [r.g for r in rows.select("k", catalog._tens("w").alias("g")).orderBy("k").collect()] == [[], [["a"] * 10], [list("abcdefghij"), ["k"]]]
+
+
 def test_numbers_letters_and_trees():
     from parlance.operators import sequence as q
 
