@@ -140,6 +140,18 @@ query(
     f"""SELECT u.f, u.i, coalesce(arg_max(s.speaker, s.seg_idx) FILTER (WHERE s.seg_end <= u.b), arg_min(s.speaker, s.seg_idx)) AS speaker
     FROM {U} u LEFT JOIN {SG} s ON s.f = u.f WHERE u.b IS NOT NULL AND u.i % 10 = 1 GROUP BY u.f, u.i""",
 )(lambda s, d: timing.speaker_as_of(_read(s, d, UTT).where("b is not null and i % 10 = 1"), _read(s, d, SEG)))
+# The two queries before take every 20th window and every 10th utterance; these take all.
+query("c7_overlap_join_whole", f"SELECT t.f, w.i AS win, t.i AS tok FROM {U} t JOIN {U} w ON t.f = w.f AND t.a < w.b + 300 AND t.b > w.a WHERE w.a IS NOT NULL AND t.a IS NOT NULL")(
+    lambda s, d: timing.overlap_join(
+        (u := _read(s, d, UTT).where("a is not null")).select("f", F.col("i").alias("tok"), F.col("a").alias("start"), F.col("b").alias("end")),
+        u.select("f", F.col("i").alias("win"), F.col("a").alias("ws"), (F.col("b") + 300).alias("we")),
+    )
+)
+query(
+    "c8_speaker_as_of_whole",
+    f"""SELECT u.f, u.i, coalesce(arg_max(s.speaker, s.seg_idx) FILTER (WHERE s.seg_end <= u.b), arg_min(s.speaker, s.seg_idx)) AS speaker
+    FROM {U} u LEFT JOIN {SG} s ON s.f = u.f WHERE u.b IS NOT NULL GROUP BY u.f, u.i""",
+)(lambda s, d: timing.speaker_as_of(_read(s, d, UTT).where("b is not null"), _read(s, d, SEG)))
 query("e5_group_by_duration")(lambda s, d: timing.group_by_duration(_read(s, d, UTT), 20_000))
 query("e17_budget_windows")(lambda s, d: timing.budget_windows(_read(s, d, "SELECT user_id % 10 AS part, event_id AS i, event_id % 40 AS n FROM {events}"), 100))
 query("c15_positional_timings", "SELECT f, u, len(ws)::BIGINT AS n, CASE WHEN len(ws) > 0 THEN ws[1] END AS first_word, CASE WHEN len(ws) > 0 THEN u * 100 END AS first_ms FROM (" + D_TURN + ") t")(

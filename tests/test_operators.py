@@ -84,6 +84,22 @@ def test_transcript_parse(spark):
         chat.strict_lines(spark.createDataFrame([("f", text)], "file_id string, text string")).collect()
 
 
+def test_whole_joins_equal_brute_force(spark):
+    d = __spark_entry__.SMOKE_DIR
+    utts = [r for r in catalog._read(spark, d, catalog.UTT).collect() if r.a is not None]
+    got = sorted(tuple(r) for r in catalog.queries()["c7_overlap_join_whole"](spark, d).select("f", "win", "tok").collect())
+    assert got == sorted((w.f, w.i, t.i) for w in utts for t in utts if t.f == w.f and t.a < w.b + 300 and t.b > w.a)
+    assert {i for _, i, _ in got} >= {u.i for u in utts if u.b > u.a}
+    segs = sorted(catalog._read(spark, d, catalog.SEG).collect(), key=lambda r: r.seg_idx)
+    want = {}
+    for u in utts:
+        own = [s for s in segs if s.f == u.f]
+        ended = [s for s in own if s.seg_end <= u.b]
+        want[u.f, u.i] = (ended[-1] if ended else own[0]).speaker if own else None
+    rows = catalog.queries()["c8_speaker_as_of_whole"](spark, d).collect()
+    assert len(rows) == len(utts) and {(r.f, r.i): r.speaker for r in rows} == want
+
+
 def test_groups_by_duration(spark):
     rows = [(1, k, a, b, w) for k, (a, b, w) in enumerate([(0, 10, 1), (10, 25, 2), (25, 40, 1), (5, 8, 0), (50, 60, 0)])]
     got = {r.i: r.grp for r in timing.group_by_duration(spark.createDataFrame(rows, "f long, i long, a long, b long, w long"), 30).collect()}
