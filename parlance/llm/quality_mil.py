@@ -7,7 +7,8 @@ layer scores the weighted representation.  The network is fitted on at most ``FI
 labelled rows, those with the smallest hashed ids among the rows not held out.
 
 Results for odd input: null counts as the empty text, which is one empty passage with a
-score of its own; documents are scored one by one, so repeated rows get equal scores;
+score of its own; a score depends on its text alone to the last bit, so repeated rows get
+equal scores; of several texts under one labelled id the greatest is fitted on;
 labels, lang, source and doc_id are never inputs; without labelled rows of both kinds every
 score is 0.5; an empty table gives an empty result.
 """
@@ -81,6 +82,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _grid(x: np.ndarray) -> np.ndarray:
+    """Multiples of 2^-20, at most 32 in size.
+
+    In every product here one factor is at most 1 and a row of them sums to less than 2^8,
+    so that sums of products have 40 bits after the point and 13 before it: exact.
+    """
+    return np.rint(np.clip(x.astype(np.float64), -32, 32) * 2.0**20) / 2.0**20
+
+
 class AttentionMil:
     """The network's parameters and its forward and backward passes."""
 
@@ -143,17 +153,33 @@ class AttentionMil:
         return self
 
     def score(self, texts: pa.Array) -> np.ndarray:
+        """Scores of texts, each the same to the last bit whatever texts stand beside it.
+
+        What enters a product of matrices is rounded to a grid of powers of two first, so
+        that every sum of products is exact in a double and its order does not matter; sums
+        over a document's passages run in the order of the passages.
+        """
         if self.constant:
             return np.full(len(texts), 0.5)
         x, bag = passages(texts)
-        return np.round(self.forward(x, bag, len(texts))["p"], 9)  # sums may differ in their last bits between batches
+        n, w = len(texts), {k: _grid(v) for k, v in self.w.items()}
+        h = _grid(np.tanh(_grid(x) @ w["enc"] + w["enc0"]))
+        gate = _grid(np.tanh(h @ w["v"]) * _sigmoid(h @ w["u"]))
+        e = gate @ w["a"]
+        most = np.full(n, -np.inf)
+        np.maximum.at(most, bag, e)
+        a = np.exp(e - most[bag])
+        a /= np.bincount(bag, weights=a, minlength=n)[bag]
+        z = np.stack([np.bincount(bag, weights=a * h[:, j], minlength=n) for j in range(HIDDEN)], axis=1)
+        return _sigmoid(_grid(z) @ w["out"] + w["out0"][0])
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels to fit on: labelled rows not held out, at most ``rows``, by hashed id."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
     marked = marked.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    # Of texts under one id the greatest is taken, so that reruns fit on the same rows.
+    got = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).orderBy("doc_id").toArrow()
     return pa.concat_arrays(got["text"].chunks) if got.num_rows else pa.array([], pa.string()), got["y"].to_numpy().astype(np.float64)
 
 

@@ -237,6 +237,46 @@ def test_quality_network(spark, docs, empty):
     assert quality_mil.quality(empty, model).count() == 0
 
 
+def test_quality_scores_do_not_depend_on_the_batch():
+    texts = [prose(RNG.randint(1, 900), k) for k in range(90)] + [None, "", "x" * 5000, "é" * 700, prose(40, 3), prose(40, 3)]
+    x, bag = quality_mil.passages(pa.array(texts))
+    model = quality_mil.AttentionMil().fit(x, bag, np.arange(len(texts)) % 2.0)
+    whole = model.score(pa.array(texts))
+    for size in (1, 7):
+        parts = [model.score(pa.array(texts[k : k + size], pa.string())) for k in range(0, len(texts), size)]
+        assert (np.concatenate(parts) == whole).all()
+    shuffled = list(range(len(texts)))
+    random.Random(2).shuffle(shuffled)
+    assert (model.score(pa.array([texts[k] for k in shuffled])) == whole[shuffled]).all() and whole[-1] == whole[-2]
+
+
+def test_quality_query_learns_without_held_out_rows(spark, tmp_path):
+    import zlib
+
+    good = lambda k: prose(120, k)
+    bad = lambda k: " ".join(w.upper() + "!!" for w in prose(90, k).split())
+    texts = [good(k) if k % 2 else bad(k) for k in range(400)] + [None, ""]
+    spark.createDataFrame(rows_of(texts), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    held = [zlib.crc32(str(k).encode()) % 5 == 0 for k in range(len(texts))]
+    # Labels of held out rows are turned round: a model that learned from them would not be right on them.
+    labels = spark.createDataFrame([(k, (k % 2) ^ int(held[k]), k % 2) for k in range(400)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in quality_mil.op8_quality_mil(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and all(got[k].held_out == held[k] for k in got)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+    assert sum(got[k].predicted == k % 2 for k in range(400) if held[k]) > 0.95 * sum(held[:400])
+    toxic = {r.doc_id: r for r in toxicity.op2_toxicity(spark, str(tmp_path)).collect()}
+    assert len(toxic) == len(texts) and all(toxic[k].held_out == held[k] for k in toxic)
+    assert all(r.toxic == (r.p_toxic >= toxicity.THRESHOLD) for r in toxic.values())
+
+
+def test_fit_rows_do_not_depend_on_order(spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(k, f"text {k} {c}") for k in range(40) for c in "abc"]
+    got = [quality_mil.fit_rows(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels, "quality", 20) for n, x in ((3, rows), (7, rows[::-1]))]
+    assert got[0][0].to_pylist() == got[1][0].to_pylist() and (got[0][1] == got[1][1]).all() and all(t.endswith("c") for t in got[0][0].to_pylist())
+
+
 def test_html():
     model = html_extract.fitted()
     page = (
