@@ -6,8 +6,11 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space between words, as a Java/Python character class body and as characters.
@@ -63,8 +66,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where the session leaves Spark's own number, so that neither side holds long texts by the thousands.
+BATCH_ROWS = 1000
+#: A key with more than this share of all rows is joined by broadcast; there are as many such keys at most.
+HOT_KEYS, HOT_LEAST = 256, 100
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The same rows; functions over Arrow batches that follow get batches of few rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about ``most_bytes`` together."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, side="right"))
+        end = max(end, at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def keyed_join(many: DataFrame, one: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``many``, which has ``rows`` rows, joined to ``one``, which has a row for each key and in ``n`` how many of ``many`` it meets.
+
+    The rows of one key all meet in one task.  Keys with over a ``HOT_KEYS``-th of the rows are
+    therefore joined by broadcast; they are ``HOT_KEYS`` at most, whatever the number of rows.
+    """
+    least = max(HOT_LEAST, rows // HOT_KEYS)
+    hot, cold = one.where(F.col("n") > least).drop("n"), one.where(F.col("n") <= least).drop("n")
+    met = many.join(F.broadcast(hot), keys)
+    return met.union(many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def release() -> None:
     """Gives a worker's freed memory back, as the process may serve other operators after this one."""
+    pa.set_memory_pool(pa.system_memory_pool())  # the allocator of the C library, which can be trimmed
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -9,8 +9,13 @@ rows of a band meet in a bucket, and every pair of a bucket is verified by its w
 Jaccard similarity over whole texts.
 
 A bucket never emits its pairs: a task compares a block of its members, or two, by a product
-of matrices and emits the edges of a forest that spans the links found.  Large buckets are
-compared in pairs of blocks, so that no task holds more than two.
+of matrices and emits the edges of a forest that spans the links found.  The members of a
+bucket with more than one block are first compared with a leader, the member with the smallest
+id; those that link with it are one component.  Weighted Jaccard distance obeys the triangle
+inequality, so members whose distances from the leader differ by more than a link's can't
+link: the rest falls into shells around the leader, and only the blocks of a shell and its
+neighbours, but not those of the innermost one among themselves, are compared in pairs.  A
+bucket of near copies of one text thus sends each text about once.
 
 Results for odd input: equal texts form one class before anything is compared; null counts
 as the empty text; a text without words is like no text but an equal one.  A class is named
@@ -21,14 +26,14 @@ kept.  Other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parlance.llm._common import cut, release, stored, table, text_of
+from parlance.llm._common import cut, in_batches, keyed_join, release, slices, stored, table, text_of
 from parlance.llm.graph import components
 
 WORDS = 5
@@ -40,6 +45,8 @@ DF_BUCKETS = 1 << 18
 POOL = 1 << 17
 #: Members of a block, and shared layers that are multiplied at once.
 BLOCK, COLUMNS = 256, 8192
+#: Shells around a leader, the last one open; at least as many as fit between distances 0 and 1.
+SHELLS = 6
 SEED = 7
 #: Ids that are broadcast at most (16 MB).
 BROADCAST_IDS = 2_000_000
@@ -157,24 +164,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have about ``most_bytes`` together."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, side="right"))
-        end = max(end, at + 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Smoothed idf of each hashed bucket, and the number of documents; counted over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DF_BUCKETS, dtype=np.int64), 0
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 wh, count = words_hashed(part["text"])
                 doc = np.repeat(np.arange(len(count), dtype=np.int64), count)
                 seen = np.unique((doc * DF_BUCKETS) + (wh & np.uint64(DF_BUCKETS - 1)).astype(np.int64))
@@ -184,7 +180,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         release()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["b", "df"])
 
-    rows = docs.select("text").mapInArrow(run, "b long, df long").groupBy("b").agg(F.sum("df").alias("df")).toPandas()
+    rows = in_batches(docs.select("text")).mapInArrow(run, "b long, df long").groupBy("b").agg(F.sum("df").alias("df")).toPandas()
     n = int(rows.loc[rows.b < 0, "df"].sum())
     df = np.zeros(DF_BUCKETS)
     rows = rows[rows.b >= 0]
@@ -198,7 +194,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = _pool()
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 doc, ids, weights = weighted(part["text"], idf)[:3]
                 some = np.unique(doc)
                 keys = band_keys(samples(doc, ids, weights, part.num_rows, pool)[some])
@@ -207,22 +203,36 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, keys array<bigint>")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, keys array<bigint>")
 
 
-def _bucket_members(sigs: DataFrame) -> DataFrame:
-    """Rows (key, i, j, id, side): members of buckets with at least two, in pairs of blocks.
+def _buckets(sigs: DataFrame) -> DataFrame:
+    """Rows (key, id, n, leader): members of the buckets with at least two.
 
     Of buckets with the same members (told by their number and the sum of their hashes) one is kept.
     """
-    rows = cut(sigs.select("doc_id", F.explode("keys").alias("key")))
-    sets = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")).where("n > 1")
-    once = sets.groupBy("n", "h").agg(F.min("key").alias("key")).select("key", "n")
-    rows = rows.join(once, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side")
-    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("doc_id").alias("id"), side)
+    rows = cut(sigs.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")))
+    sets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h")).where("n > 1")
+    once = sets.groupBy("n", "h").agg(F.min_by(F.struct("key", "leader"), "key").alias("b")).select("b.key", "n", F.col("n").alias("members"), "b.leader")
+    return keyed_join(rows, once, ["key"], rows.count()).withColumnRenamed("members", "n")
+
+
+def _block(n: str) -> Column:
+    """The block, of as many as ``n`` members need, that an id falls into."""
+    return F.pmod(F.xxhash64("id", F.lit(SEED)), F.ceil(F.col(n) / BLOCK)).cast("int")
+
+
+def _shell_pairs(near: DataFrame) -> DataFrame:
+    """Rows (key, i, j, id, side) from rows (key, id, shell): pairs of blocks of the same shell or neighbouring ones, but not within shell 0."""
+    counts = [F.count_if(F.col("shell") == k).alias(f"n{k}") for k in range(SHELLS)]
+    sizes = near.groupBy("key").agg(F.count("*").alias("n"), F.array(*[c for c in counts]).alias("sizes")).where(F.col("sizes")[0] < F.col("n"))
+    rows = keyed_join(near, sizes, ["key"], near.count())
+    blocks = lambda k: F.ceil(F.get("sizes", k) / BLOCK).cast("int")
+    own = F.col("shell") * (1 << 24) + F.pmod(F.xxhash64("id", F.lit(SEED)), blocks(F.col("shell"))).cast("int")
+    other = lambda k: F.when(blocks(k) > 0, F.transform(F.sequence(F.lit(0), blocks(k) - 1), lambda x: k * (1 << 24) + x)).otherwise(F.array().cast("array<int>"))
+    shells = F.filter(F.sequence(F.col("shell") - 1, F.col("shell") + 1), lambda k: (k >= 0) & (k < SHELLS) & ((k > 0) | (F.col("shell") > 0)))
+    rows = rows.select("key", "id", own.alias("own"), F.explode(F.flatten(F.transform(shells, other))).alias("other"))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
 
 
 def similar(doc: np.ndarray, column: np.ndarray, weight: np.ndarray, n: int, similarity: float) -> np.ndarray:
@@ -263,62 +273,119 @@ def _spanning(links: np.ndarray) -> np.ndarray:
     return np.stack([apart, least[apart]], axis=1)
 
 
-def bucket_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """Edges (a, b) of forests that span the verified links of each bucket.
+def _layers(text: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the text, layer and weight, sorted by the first: a layer is the first time that a shingle occurs, and what each further time adds."""
+    row, shingle, weight, tf, base = weighted(text, idf)
+    rows, columns, weights = [row], [shingle], [base]
+    for k in range(2, int(tf.max(initial=1)) + 1):
+        again = tf >= k
+        rows.append(row[again])
+        columns.append(_mix(shingle[again] + np.uint64(k * int(_P) % (1 << 64))))
+        weights.append(base[again] * (np.log(k) - np.log(k - 1)))
+    row, column, weight = (np.concatenate(x) for x in (rows, columns, weights))
+    order = np.argsort(row, kind="stable")
+    return row[order], column[order], weight[order]
 
-    Each partition's buckets stand together; a task holds one pair of blocks at a time.
-    """
 
-    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = np.stack([t[k].to_numpy() for k in ("key", "i", "j")])
-        starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-        ids, side = t["id"].to_numpy(), t["side"].to_numpy()
-        text = t["text"].combine_chunks()
-        row, shingle, weight, tf, base = weighted(text, idf)
-        # Layers: the first time a shingle occurs, and what each further time adds.
-        most = int(tf.max(initial=1))
-        rows, columns, weights = [row], [shingle], [base]
-        for k in range(2, most + 1):
-            again = tf >= k
-            rows.append(row[again])
-            columns.append(_mix(shingle[again] + np.uint64(k * int(_P) % (1 << 64))))
-            weights.append(base[again] * (np.log(k) - np.log(k - 1)))
-        row, column, weight = (np.concatenate(x) for x in (rows, columns, weights))
-        order = np.argsort(row, kind="stable")
-        row, column, weight = row[order], column[order], weight[order]
-        cuts = np.searchsorted(row, np.append(starts, t.num_rows))
-        for k, s in enumerate(starts.tolist()):
-            e = int(starts[k + 1]) if k + 1 < len(starts) else t.num_rows
-            if e - s < 2:
-                continue
-            at = slice(int(cuts[k]), int(cuts[k + 1]))
-            links = similar(row[at] - s, column[at], weight[at], e - s, similarity)
-            own = side[s:e]
-            links &= (own < 0)[:, None] | (own[:, None] != own[None, :])
-            edges = _spanning(links)
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][edges[:, 0]]), pa.array(ids[s:e][edges[:, 1]])], names=["a", "b"])
+def _blocks(rows: DataFrame, done: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``done`` of rows with (key, i, j, side, text), a few whole blocks at a time, and of where in them blocks begin.
+
+    The rows of a block stand together in one partition, in the order of ``side``, the largest first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole):
                 held.append(batch)
                 t = pa.Table.from_batches(held)
-                last = t.num_rows - 1
                 key = np.stack([t[k].to_numpy() for k in ("key", "i", "j")])
-                end = int(np.flatnonzero((key != key[:, last : last + 1]).any(0)).max(initial=-1)) + 1
-                if end:
-                    yield from done(t.slice(0, end))
-                    held = t.slice(end).to_batches()
+                starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+                if starts[-1]:  # the last block may go on
+                    yield from done(t.slice(0, starts[-1]), starts)
+                    held = t.slice(starts[-1]).to_batches()
         if held:
-            yield from done(pa.Table.from_batches(held))
+            t = pa.Table.from_batches(held)
+            key = np.stack([t[k].to_numpy() for k in ("key", "i", "j")])
+            yield from done(t, np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))), t.num_rows))
         held.clear()
         release()
 
-    rows = members.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "i", "j", "id", "side", "text")
-    n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, members.count() // 5_000))
-    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, rows.count() // 5_000))
+    return in_batches(rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("side"))).mapInArrow(run, schema)
+
+
+def _with_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
+    return members.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "i", "j", "id", "side", "text")
+
+
+def bucket_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Edges (a, b) of forests that span the verified links of each pair of blocks of rows (key, i, j, id, side).
+
+    Rows of one side are not compared with each other, but those of side -1 are.
+    """
+
+    def done(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side, ids = t["side"].to_numpy(), t["id"].combine_chunks()
+        row, column, weight = _layers(t["text"].combine_chunks(), idf)
+        cuts = np.searchsorted(row, starts)
+        for k in range(len(starts) - 1):
+            s, e = int(starts[k]), int(starts[k + 1])
+            if e - s < 2:
+                continue
+            at = slice(int(cuts[k]), int(cuts[k + 1]))
+            links = similar(row[at] - s, column[at], weight[at], e - s, similarity)
+            own = side[s:e]
+            links &= (own < 0)[:, None] | (own[:, None] != own[None, :])
+            edges = _spanning(links)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s + edges[:, j])) for j in (0, 1)], names=["a", "b"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    return _blocks(_with_texts(members, texts), done, f"a {kind}, b {kind}")
+
+
+def shells(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Rows (key, id, shell) of members (key, id, n, leader): shell 0 links with the leader, and shells that are no neighbours can't link."""
+    blocked = members.select("key", _block("n").alias("i"), _block("n").alias("j"), "id", F.lit(0).alias("side"))
+    heads = members.select("key", F.col("leader").alias("id"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).distinct()
+    heads = heads.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    heads = heads.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "id", "text").select("key", "i", F.col("i").alias("j"), "id", F.lit(1).alias("side"), "text")
+
+    def done(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row, column, weight = _layers(t["text"].combine_chunks(), idf)
+        total = np.bincount(row, weights=weight, minlength=t.num_rows)
+        cuts = np.searchsorted(row, starts)
+        for k in range(len(starts) - 1):
+            s, e = int(starts[k]), int(starts[k + 1])
+            head = np.sort(column[cuts[k] : np.searchsorted(row, s + 1)])  # the leader comes first
+            inner, at = column[cuts[k] : cuts[k + 1]], slice(int(cuts[k]), int(cuts[k + 1]))
+            met = head[np.minimum(np.searchsorted(head, inner), len(head) - 1)] == inner if len(head) else np.zeros(len(inner), dtype=bool)
+            common = np.bincount(row[at] - s, weights=weight[at] * met, minlength=e - s)
+            union = total[s] + total[s:e] - common
+            # Links are told as in ``similar``; shells beyond are wider than a link is long.
+            linked = common >= similarity * union - 1e-6
+            far = 1 - common / np.maximum(union, 1e-12)
+            width = 1 - similarity + 1e-3
+            shell = np.where(linked, 0, 1 + np.clip(((far - (1 - similarity)) / width).astype(np.int64), 0, SHELLS - 2))
+            part = t.slice(s + 1, e - s - 1)
+            yield pa.RecordBatch.from_arrays([part["key"].combine_chunks(), part["id"].combine_chunks(), pa.array(shell[1:].astype(np.int32))], names=["key", "id", "shell"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    return _blocks(_with_texts(blocked, texts).union(heads.select("key", "i", "j", "id", "side", "text")), done, f"key long, id {kind}, shell int")
+
+
+def links(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what the buckets' members (key, id, n, leader) link."""
+    small = members.where(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", F.lit(-1).alias("side"))
+    found = cut(bucket_links(small, texts, idf, similarity))
+    large = members.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return found
+    near = cut(shells(large, texts, idf, similarity))
+    heads = large.select("key", "leader", "n").distinct()
+    stars = keyed_join(near.where("shell = 0"), heads, ["key"], near.count()).select(F.col("id").alias("a"), F.col("leader").alias("b")).where("a != b")
+    return found.union(stars).union(cut(bucket_links(cut(_shell_pairs(near)), texts, idf, similarity)))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -334,16 +401,16 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, component_id, kept), one for each row of ``docs``."""
+    named = docs.where("doc_id is not null")
     hashed = cut(docs.select("doc_id", F.md5(text_of()).alias("h"), F.length(text_of()).alias("l")))
-    reps = cut(hashed.where("doc_id is not null").groupBy("h", "l").agg(F.min("doc_id").alias("rep")))
-    idf, _ = document_frequencies(docs)
-    sigs = signatures(docs.where("doc_id is not null"), idf).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sigs = stored(sigs, "signatures")
-    members = cut(_bucket_members(sigs))
+    reps = cut(hashed.where("doc_id is not null").groupBy("h", "l").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    idf, rows = document_frequencies(docs)
+    sigs = signatures(named, idf).join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = cut(_buckets(stored(sigs, "signatures")))
     ids = cut(members.select(F.col("id").alias("doc_id")).distinct())
-    comp = components(cut(bucket_links(members, texts_of(docs, ids), idf, similarity)))
-    named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h", "l", F.coalesce("component", "rep").alias("component_id"))
-    out = hashed.where("doc_id is not null").join(named, ["h", "l"]).select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    comp = components(cut(links(members, texts_of(docs, ids), idf, similarity)))
+    classes = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h", "l", F.coalesce("component", "rep").alias("component_id"), "n")
+    out = keyed_join(hashed.where("doc_id is not null"), classes, ["h", "l"], rows).select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     return out.union(hashed.where("doc_id is null").select("doc_id", "doc_id", F.lit(True)))
 
 

@@ -24,15 +24,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm._common import release, table
-from parlance.llm.minhash import _slices
+from parlance.llm._common import in_batches, release, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of concatenated units that are indexed at once.
-INDEX_BYTES = 1 << 18
+INDEX_BYTES = 3 << 16
 #: Units whose ids a task remembers before it starts anew.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 100_000
 #: Units with more characters than this are merged with a heap, the others together.
 LONG_UNIT = 48
 
@@ -41,12 +40,12 @@ _NONE = 0xFFFF
 
 
 class PieceCodec:
-    """Encoder and decoder for a SentencePiece model of kind BPE with byte fallback."""
+    """Encoder and decoder for a SentencePiece model of kind BPE with byte fallback, from its file's bytes."""
 
-    def __init__(self, path: str = MODEL):
+    def __init__(self, raw: bytes):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=raw)
         n = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(n)]
         self.byte_ids = np.full(256, model.unk_id(), dtype=np.int32)
@@ -91,7 +90,7 @@ class PieceCodec:
         return lo
 
     def edges(self, data: np.ndarray) -> np.ndarray:
-        """All occurrences of pieces in ``data``, sorted by position: rows of position, length and rank."""
+        """All occurrences of pieces in ``data``, sorted by position: words with position, length (8 bits) and rank (16 bits)."""
         n = len(data)
         padded = np.concatenate([data, np.full(self.width + 8, 0xFF, dtype=np.uint8)]).astype(np.uint64)
         windows = np.zeros(n + self.width, dtype=np.uint64)
@@ -103,7 +102,8 @@ class PieceCodec:
             follow = np.concatenate([rank[span:], np.zeros(span, dtype=np.uint64)])
             rank = np.unique((rank << np.uint64(32)) | follow, return_inverse=True)[1].astype(np.uint64)
             span *= 2
-        order = np.argsort(rank[:n], kind="stable")
+        order = np.argsort(rank[:n], kind="stable").astype(np.int32)
+        del rank
         # Pieces of up to eight bytes are told apart by one window; longer ones by all of theirs.
         ordered, long = windows[order], ~self.short
         first, last = np.zeros(len(self.short), dtype=np.int64), np.zeros(len(self.short), dtype=np.int64)
@@ -111,10 +111,13 @@ class PieceCodec:
         last[self.by_low] = np.searchsorted(ordered, self.high[self.by_low, 0], side="right")
         first[long], last[long] = self._search(windows, order, self.low[long], False), self._search(windows, order, self.high[long], True)
         count = last - first
-        ranks = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(ranks)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        packed = np.sort((order[place] << 24) | (self.rank_len[ranks] << 16) | ranks)
-        return np.stack([packed >> 24, (packed >> 16) & 0xFF, packed & 0xFFFF], axis=1)
+        del ordered, windows, padded
+        place = np.arange(count.sum(), dtype=np.int32) + np.repeat((first - (np.cumsum(count) - count)).astype(np.int32), count)
+        packed = order[place].astype(np.int64) << 24
+        del place
+        packed |= np.repeat((self.rank_len << 16) | np.arange(len(count)), count)
+        packed.sort()
+        return packed
 
     def _merge_long(self, starts: list[int], end: int, table: np.ndarray) -> list[tuple[int, int]]:
         """Symbols (start, length) of one unit after all merges, by a heap."""
@@ -155,7 +158,8 @@ class PieceCodec:
         data = np.frombuffer(b"\xff".join(raw) + b"\xff", dtype=np.uint8)
         table = np.full((len(data), self.longest + 1), _NONE, dtype=np.uint16)
         edges = self.edges(data)
-        table[edges[:, 0], edges[:, 1]] = edges[:, 2]
+        table[edges >> 24, (edges >> 16) & 0xFF] = edges & 0xFFFF
+        del edges
         lengths = np.array([len(b) for b in raw], dtype=np.int64)
         begins = np.cumsum(lengths + 1) - lengths - 1
         start = np.flatnonzero(((data & 0xC0) != 0x80) & (data != 0xFF))
@@ -218,23 +222,34 @@ class PieceCodec:
         return out[1:] if out.startswith(" ") else out
 
 
-_CODECS: dict[str, PieceCodec] = {}
+_CODECS: dict[int, PieceCodec] = {}
 
 
-def codec(path: str = MODEL) -> PieceCodec:
-    """One codec for each worker process and model."""
-    if path not in _CODECS:
-        _CODECS[path] = PieceCodec(path)
-    return _CODECS[path]
+def model_bytes(path: str = MODEL) -> bytes:
+    """A model's file, read on the driver and sent along with a query, so that executors need no copy."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def codec(raw: bytes | None = None) -> PieceCodec:
+    """One codec for each worker process, made anew for another model."""
+    raw = model_bytes() if raw is None else raw
+    key = hash(raw)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = PieceCodec(raw)
+    return _CODECS[key]
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """Rows (doc_id, ids, round_trip): the ids of each text, and whether decoding gives the text again."""
 
+    raw = model_bytes(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = codec(path), {}
+        own, cache = codec(raw), {}
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 if len(cache) > CACHE_UNITS:
                     cache.clear()
                 texts = [t or "" for t in part["text"].to_pylist()]
@@ -243,18 +258,22 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same)], names=["doc_id", "ids", "round_trip"])
+                del texts, ids, flat
+            release()
         cache.clear()
         release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, round_trip boolean")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """Rows (doc_id, text) from rows (doc_id, ids); null ids count as none."""
 
+    raw = model_bytes(path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
+        own = codec(raw)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [own.decode([] if i is None else list(i)) for i in batch["ids"]]})
 

@@ -16,18 +16,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parlance.llm._common import table
+from parlance.llm._common import in_batches, release, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match begins at the first of a run of digits or not in the run at all, so no other place is tried.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -67,13 +70,19 @@ _DISGUISED_CHAR = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_CH
 _NAME = "(?:" + "|".join(sorted(map(re.escape, _VALUE), key=lambda x: (-len(x), x))) + ")"
 _NAMES = frozenset(_VALUE)
 _BREAKS = re.compile(r"[-,.]+")
-_NAMES_RUN = re.compile(rf"(?<![^\W_]){_NAME}(?:[\x20\-,.]{{1,2}}(?:dot[\x20])?{_NAME}(?![^\W_]))+", re.IGNORECASE)
-_SOME_NAMES = re.compile(rf"{_NAME}(?:[\x20\-,.]{{1,2}}(?:dot[\x20])?{_NAME}(?![^\W_])){{3}}", re.IGNORECASE)
-_AT = r"(?:\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?|\x20@\x20|\x20at\x20)"
-_DOT = r"(?:\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20|\.)"
-_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)?)({_AT}|@)([A-Za-z0-9-]+)((?:{_DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
-_AT_ONLY = re.compile(rf"{_AT}", re.IGNORECASE)
-_DOT_ONLY = re.compile(rf"{_DOT}", re.IGNORECASE)
+_UNIT = rf"(?:{_NAME}(?![^\W_])|[0-9]+)"
+_GAP = r"(?:[\x20\-,.]{1,2}(?:dot[\x20])?)"
+#: Runs of digit names and written digits, and two of them of which one is a name: where there is none there is no run.
+_NAMES_RUN = re.compile(rf"(?<![^\W_]){_UNIT}(?:{_GAP}{_UNIT})+", re.IGNORECASE)
+_SOME_NAMES = re.compile(rf"(?<![^\W_])(?:{_NAME}{_GAP}{_UNIT}|[0-9]+{_GAP}{_NAME})(?![^\W_])", re.IGNORECASE)
+_MARKED_AT = r"\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?|\x20@\x20|\x20at\x20"
+_MARKED_DOT = r"\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20"
+_AT = re.compile(rf"{_MARKED_AT}|@", re.IGNORECASE)
+_DOT_BEFORE = re.compile(rf"(?:{_MARKED_DOT})\Z", re.IGNORECASE)
+_DOT = re.compile(rf"{_MARKED_DOT}|\.", re.IGNORECASE)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+#: A disguised dot has no more characters than this.
+_DOT_WIDTH = 9
 _BRACKET = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]", re.IGNORECASE)
 _SPACED_AT = re.compile(r"\x20(?:@|at)\x20[A-Za-z0-9-]+(?:\.|\x20dot\x20)[A-Za-z0-9]", re.IGNORECASE)
 _DOT_BETWEEN_DIGITS = re.compile(r"(?<=[0-9])(?:\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20)(?=[0-9])", re.IGNORECASE)
@@ -149,28 +158,78 @@ class Mapped:
 
 
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    """Edits that turn a run of at least four digit names into digits."""
-    names = [(n.start(), n.end(), n.group().lower()) for n in re.finditer(r"[^\W\d_]+|\.", m.group())]
-    if sum(n in _VALUE for *_, n in names) < 4:
+    """Edits that turn a run of digit names into digits, if it has at least four digits, written ones included.
+
+    Names that stand side by side become one number; next to written digits the gap stays.
+    """
+    units = [(n.start(), n.end(), n.group().lower()) for n in re.finditer(r"[^\W\d_]+|[0-9]+", m.group())]
+    digits = sum(len(n) if n.isdigit() else n in _VALUE for *_, n in units)
+    if digits < 4 or not any(n in _VALUE for *_, n in units):
         return []
-    edits, at = [], None
-    for a, b, n in names:
-        new = _VALUE.get(n, ".")
-        start = m.start() + (a if at is None else at)
-        edits.append((start, m.start() + b, new))
-        at = b
+    edits, at, base = [], None, m.start()
+    for a, b, n in units:
+        if n.isdigit():
+            at = None
+        elif n in _VALUE:
+            edits.append((base + (a if at is None else at), base + b, _VALUE[n]))
+            at = b
+        else:  # the word "dot"
+            start = a
+            while start and m.group()[start - 1] in " -,.":
+                start -= 1
+            edits.append((base + (start if at is None else at), base + b + 1, "."))
+            at = b + 1
     return edits
 
 
-def _mail_edits(m: re.Match) -> list[tuple[int, int, str]]:
-    plain = m.group(2).lower() == " at "
-    disguised_dot = any(x.group() != "." for x in _DOT_ONLY.finditer(m.group(4)))
-    if plain and not disguised_dot and not re.search(r"[0-9._+-]", m.group(1)):
-        return []  # "look at example.com" names no mailbox
-    edits = [(m.start(1) + x.start(), m.start(1) + x.end(), ".") for x in _DOT_ONLY.finditer(m.group(1)) if x.group() != "."]
-    if m.group(2) != "@":
-        edits.append((m.start(2), m.end(2), "@"))
-    return edits + [(m.start(4) + x.start(), m.start(4) + x.end(), ".") for x in _DOT_ONLY.finditer(m.group(4)) if x.group() != "."]
+def _mail_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that undo the disguises of mail addresses: each is sought around its ``@``, over no character twice."""
+    edits, floor = [], 0
+    for m in _AT.finditer(text):
+        if m.start() < floor:
+            continue
+        dots, start, disguised = [], m.start(), False
+        while True:
+            end = start
+            while start > floor and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            if start == end:
+                start = dots.pop(0)[1] if dots else start  # nothing stands before this dot
+                break
+            d = _DOT_BEFORE.search(text[max(floor, start - _DOT_WIDTH) : start])
+            if d is None:
+                break
+            low = start - len(d.group())
+            if low <= floor or text[low - 1] not in _LOCAL_CHARS:
+                break
+            dots.insert(0, (low, start))
+            start = low
+        if start == m.start():
+            continue
+        label = _LABEL.match(text, m.end())
+        at, after = (label.end() if label else -1), []
+        while at >= 0:
+            d = _DOT.match(text, at)
+            label = _LABEL.match(text, d.end()) if d else None
+            if label is None:
+                break
+            if d.group() != ".":
+                after.append((d.start(), d.end()))
+                disguised = True
+            else:
+                after.append(None)
+            at = label.end()
+        if not after:
+            continue
+        plain = m.group().lower() == " at "
+        if plain and not disguised and not dots and not re.search(r"[0-9._+-]", text[start : m.start()]):
+            continue  # "look at example.com" names no mailbox
+        edits += [(a, b, ".") for a, b in dots]
+        if m.group() != "@":
+            edits.append((m.start(), m.end(), "@"))
+        edits += [(x[0], x[1], ".") for x in after if x]
+        floor = at
+    return edits
 
 
 def normalise(text: str) -> Mapped | None:
@@ -181,8 +240,9 @@ def normalise(text: str) -> Mapped | None:
     now = out.text if out else text
     lower = now.lower()
     if not _NAMES.isdisjoint(_BREAKS.sub(" ", lower).split()) and _SOME_NAMES.search(now):
-        out = (out or Mapped(text)).rewritten([e for m in _NAMES_RUN.finditer(now) for e in _spelled(m)])
-        now = out.text
+        edits = [e for m in _NAMES_RUN.finditer(now) for e in _spelled(m)]
+        out = (out or Mapped(text)).rewritten(edits) if edits else out
+        now = out.text if out else now
     if "plus" in lower and _PLUS.search(now):
         out = (out or Mapped(text)).rewritten([(m.start(), m.end(), "+") for m in _PLUS.finditer(now)])
         now = out.text
@@ -190,7 +250,7 @@ def normalise(text: str) -> Mapped | None:
         out = (out or Mapped(text)).rewritten([(m.start(), m.end(), ".") for m in _DOT_BETWEEN_DIGITS.finditer(now)])
         now = out.text
     if _BRACKET.search(now) or _SPACED_AT.search(now) or "@" in now and "\x20dot\x20" in lower:
-        out = (out or Mapped(text)).rewritten([e for m in _MAIL.finditer(now) for e in _mail_edits(m)])
+        out = (out or Mapped(text)).rewritten(_mail_edits(now))
     return out
 
 
@@ -201,28 +261,31 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     mapped = normalise(text)
     if mapped is not None and mapped.text != text:
         for kind, spans in detect(mapped.text).items():
-            had = base[kind]
+            had = base[kind]  # in order, without overlap
+            starts = [x for x, _ in had]
             for span in spans:
                 a, b = mapped.source(span)
-                if not any(x <= a and b <= y for x, y in had):
+                k = bisect_right(starts, a) - 1
+                if k < 0 or had[k][1] < b:
                     added[kind].append((a, b))
     return base, added
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, base, added, every): spans as arrays of (kind, start, end) of the source text."""
+    """Rows (doc_id, base, added): spans as arrays of (kind, start, end) of the source text."""
     span = "array<struct<kind:string,start:int,end:int>>"
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                base, added = find(text or "")
-                rows.append(tuple([{"kind": k, "start": a, "end": b} for k in KINDS for a, b in x[k]] for x in (base, added)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "base": [b for b, _ in rows], "added": [a for _, a in rows]})
+            for part in slices(batch):
+                found = [find(t or "") for t in part["text"].to_pylist()]
+                both = [pa.array([[{"kind": k, "start": a, "end": b} for k in KINDS for a, b in f[j][k]] for f in found], kind) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *both], names=["doc_id", "base", "added"])
+            release()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, base {span}, added {span}")
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {id_kind}, base {span}, added {span}")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,15 +314,21 @@ def masked(text: str) -> str:
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document, with personal data masked and ``n_chars`` counted anew; a null text stays null."""
+    """Pipeline stage: every document, with personal data masked and ``n_chars`` counted anew; a null text stays null.
+
+    Only texts pass through Python; other columns stay as they are.
+    """
     names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            new = [None if t is None else masked(t) for t in batch["text"]]
-            yield batch.assign(text=new)
+    @F.pandas_udf("string")
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else masked(t))
+            release()
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = in_batches(docs).withColumn("text", mask("text"))
     if "n_chars" in names:
+        # The new text is bound by an outer explode of one element, so that it is made once for both columns.
+        out = out.withColumn("text", F.explode_outer(F.array("text")))
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

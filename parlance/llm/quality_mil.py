@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlance.llm._common import table
-from parlance.llm.minhash import _slices
+from parlance.llm._common import slices
 
 PASSAGE = 512
 FIT_ROWS = 4000
@@ -204,7 +204,7 @@ def quality(docs: DataFrame, model: AttentionMil) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 2 << 20):
+            for part in slices(batch, most_bytes=2 << 20):
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(model.score(part["text"]), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

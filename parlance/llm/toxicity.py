@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlance.llm._common import table
-from parlance.llm.minhash import _slices
+from parlance.llm._common import slices
 from parlance.llm.quality_mil import _sigmoid, fit_rows, held_out
 
 #: Terms that tell the finer categories of toxic rows apart when labels are made.
@@ -158,7 +158,7 @@ def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 p = chain.probabilities(part["text"])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(p[:, j]) for j in range(len(CHAIN)))], names=["doc_id", *(f"p_{c}" for c in CHAIN)])
 

@@ -67,8 +67,9 @@ def test_pieces_equal_the_model_and_decode(spark, docs, empty):
 def test_suffix_array_finds_every_occurrence():
     codec = pieces.codec()
     data = np.frombuffer(b" the then\xff here", dtype=np.uint8)
-    edges = codec.edges(data)
-    assert (np.diff(edges[:, 0]) >= 0).all()
+    packed = codec.edges(data)
+    assert (np.diff(packed) > 0).all()
+    edges = np.stack([packed >> 24, (packed >> 16) & 0xFF, packed & 0xFFFF], axis=1)
     want = {(p, n) for p in range(len(data)) for n in range(1, codec.longest + 1) if bytes(data[p : p + n]) in set(codec.bytes_of[259:]) and p + n <= len(data)}
     assert {(int(p), int(n)) for p, n, _ in edges} == want
 
@@ -155,17 +156,60 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
-def test_mixing(spark, docs, empty):
-    sized, sources, takes = mixing.mix(docs)
-    out = sized.join(takes, ["skey", "block"], "left").join(sources, "skey").collect()
-    assert len(out) == len(BASE)
-    again = {(r.skey, r.block): r.shards for r in mixing.mix(docs)[2].collect()}
-    assert again == {(r.skey, r.block): r.shards for r in takes.collect()}
-    assert all(len(r.shards or []) <= 2 for r in out)
-    assert mixing.mix(empty)[0].count() == 0
+def brute_targets(sizes):
+    """Shares by weight, stopped at twice a size, by trying ever higher levels of what one unit of weight gets."""
+    weights = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+    low, high = 0.0, 3.0 * sum(sizes) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * s, mid * w) for s, w in zip(sizes, weights, strict=True)) < 1.5 * sum(sizes) else (low, mid)
+    return [min(2 * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_mixing(spark, docs, empty, tmp_path):
+    texts = [prose(RNG.randint(5, 60), k) for k in range(3000)] + [None, ""]
+    rows = [(k, t, "en", None if k % 9 == 0 else f"s{min(k % 7, 4)}", 1, "x", 5) for k, t in enumerate(texts)] + [(7, texts[7], "en", "s0", 1, "x", 5)] * 2
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op6_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    n_words = lambda t: len(WORD.findall(t or ""))
+    names = sorted({r[3] for r in rows if r[3] is not None}) + [None]
+    sizes = {s: sum(n_words(r[1]) for r in rows if r[3] == s) for s in names}
+    want = dict(zip(names, brute_targets([sizes[s] for s in names]), strict=True))
+    source = {r[0]: r[3] for r in rows}
+    taken = dict.fromkeys(names, 0)
+    for r in got:
+        s = source[r.doc_id]
+        assert r.size == n_words(texts[r.doc_id]) and r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 * max(1, want[s])
+        assert r.taken % max(1, r.size) == 0 and r.taken <= 2 * r.size and len(r.shards) * r.size == r.taken
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.01 * max(want[s], 100) for s in names)
+    again = mixing.op6_mixing(spark, str(tmp_path)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    sized, _, takes = mixing.mix(docs)
+    assert sized.count() == len(BASE) and all(len(r.shards) <= 2 for r in takes.collect())
+    assert mixing.mix(empty)[0].count() == 0 and mixing.stage_mix(spark, empty, "").count() == 0
     assert mixing.stage_mix(spark, docs, "").columns == docs.columns
 
 
+def test_mix_stage_takes_what_the_query_takes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    texts = [prose(RNG.randint(5, 60), k) for k in range(800)]
+    # Extra columns whose names the operator uses itself.
+    kind = "doc_id long, text string, source string, size long, shards string, block long, h long, skey string, c0 int"
+    table = spark.createDataFrame([(k, t, f"s{k % 3}", 1, "x", 2, 3, "y", 4) for k, t in enumerate(texts)], kind)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    query = {r.doc_id: r for r in mixing.op6_mixing(spark, str(tmp_path)).collect()}
+    staged = mixing.stage_mix(spark, table, "")
+    assert staged.columns == table.columns
+    counts = {r.doc_id: r["count"] for r in staged.groupBy("doc_id").count().collect()}
+    assert counts == {k: len(r.shards) for k, r in query.items() if r.shards}
+    assert {r.c0 for r in staged.collect()} == {4} and len({s for r in query.values() for s in r.shards}) > 5
+    # A tree that grows on executors deals the same.
+    monkeypatch.setattr(mixing, "TOP_SHARDS", 2)
+    assert {r.doc_id: sorted(r.shards) for r in mixing.op6_mixing(spark, str(tmp_path)).collect()} == {k: sorted(r.shards) for k, r in query.items()}
+
+
 def test_targets_and_tree():
     sizes = [100, 1000, 50, 0, 400]
     t = mixing.targets(sizes)
@@ -209,16 +253,83 @@ def test_near_duplicates(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_blocks_do_not_change_links(spark, monkeypatch):
+def weighted_jaccard(texts):
+    """Weighted Jaccard similarities of all pairs, from the definition, with the operator's document frequencies."""
+    idf = {}
+    n = len(texts)
+    words = [(t or "").lower().split() for t in texts]
+    buckets = {w: int(minhash._hash_strings(pa.array([w]))[0][0]) & (minhash.DF_BUCKETS - 1) for ws in words for w in ws}
+    df = {}
+    for ws in words:
+        for b in {buckets[w] for w in ws}:
+            df[b] = df.get(b, 0) + 1
+    idf = {w: 1 + np.log((1 + n) / (1 + df[b])) / np.log(2 + n) for w, b in buckets.items()}
+    bags = []
+    for ws in words:
+        tf = {}
+        for k in range(max(1, len(ws) - 4) if ws else 0):
+            g = tuple(ws[k : k + 5])
+            tf[g] = tf.get(g, 0) + 1
+        bags.append({g: (1 + np.log(c)) * np.mean([idf[w] for w in g]) for g, c in tf.items()})
+    out = np.zeros((n, n))
+    for a in range(n):
+        for b in range(n):
+            low = sum(min(v, bags[b][g]) for g, v in bags[a].items() if g in bags[b])
+            high = sum(bags[a].values()) + sum(bags[b].values()) - low
+            out[a, b] = low / high if high else 0
+    return out
+
+
+def test_near_duplicates_equal_weighted_similarity(spark):
+    texts = [prose(120, k) for k in range(20)]
+    for k in range(20):
+        texts += [changed(texts[k], share, 100 * k + j) for j, share in enumerate((0.005, 0.01, 0.02, 0.03, 0.05))]
+    texts += [texts[3] + " " + texts[3], "one two three", "one two three four"]
+    sims = weighted_jaccard(texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if sims[a, b] >= 0.8 + 1e-4]
+    assert len(linked) > 60 and sum(got[a] == got[b] for a, b in linked) >= 0.98 * len(linked)
+    # No class holds more than what links of 0.8 connect.
+    least = np.arange(len(texts))
+    for _ in range(len(texts)):
+        least = np.minimum(least, np.where(sims >= 0.8 - 1e-4, least[None, :], len(texts)).min(1))
+    assert all(least[a] == least[c] for a, c in got.items())
+
+
+@pytest.mark.parametrize("block", [8, 3])
+def test_blocks_do_not_change_links(spark, monkeypatch, block):
     chain = [prose(150, 7)]
     for k in range(60):
         chain.append(changed(chain[-1], 0.01, k))
-    table = spark.createDataFrame(rows_of(chain), SCHEMA)
+    star = [changed(chain[0], 0.02, 500 + k) for k in range(60)]
+    table = spark.createDataFrame(rows_of(chain + star), SCHEMA)
     want = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table).collect())
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table).collect()) == want
 
 
+def test_near_duplicates_odd_rows(spark, empty):
+    a, b = prose(80, 1), prose(80, 2)
+    kind = "doc_id string, text string, n long, h long, key long, rep string, block int"
+    rows = [("b", a), ("a", a), ("c", changed(a, 0.01, 3)), ("c", changed(a, 0.01, 3)), (None, a), (None, None), ("d", b), ("e", None), ("f", "")]
+    table = spark.createDataFrame([(i, t, 1, 2, 3, "x", 4) for i, t in rows], kind)
+    got = sorted(map(tuple, minhash.near_duplicates(table).collect()), key=str)
+    assert [r for r in got if r[0] is None] == [(None, None, True)] * 2
+    assert [r for r in got if r[0] is not None] == [("a", "a", True), ("b", "a", False), ("c", "a", False), ("c", "a", False), ("d", "d", True), ("e", "e", True), ("f", "e", False)]
+    kept = minhash.stage_near_duplicates(spark, table, "")
+    assert kept.columns == table.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["None", "None", "a", "d", "e"]
+    assert minhash.stage_near_duplicates(spark, empty, "").count() == 0
+
+
+def test_hot_keys_join_as_others(spark):
+    from parlance.llm._common import keyed_join
+
+    many = spark.createDataFrame([(0 if k % 3 else k, k) for k in range(3000)], "k long, v long")
+    one = many.groupBy("k").agg(F.count("*").alias("n")).withColumn("x", F.col("k") * 2)
+    got = keyed_join(many, one, ["k"], 3000)
+    assert sorted(map(tuple, got.collect())) == sorted((0 if k % 3 else k, k, 2 * (0 if k % 3 else k)) for k in range(3000))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(5, 5), (200, 201)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -357,6 +468,10 @@ def test_pii_disguises(text, kind, span):
         ("to john [dot] doe@example.com", "email", ["doe@example.com"], ["john [dot] doe@example.com"], "to <EMAIL>"),
         ("+49 30 1234 56 seven eight nine one.", "phone", ["+49 30 1234 56"], ["+49 30 1234 56 seven eight nine one"], "<PHONE>."),
         ("a@mail.example and one two three four", "email", ["a@mail.example"], [], "<EMAIL> and one two three four"),
+        ("bob [dot] smith@example.com", "email", ["smith@example.com"], ["bob [dot] smith@example.com"], "<EMAIL>"),
+        ("+1 555 one two three 4567", "phone", [], ["+1 555 one two three 4567"], "<PHONE>"),
+        ("at 192 dot 168 dot one dot one now", "ip", [], ["192 dot 168 dot one dot one"], "at <IP> now"),
+        ("look at example.com", "email", [], [], "look at example.com"),
     ],
 )
 def test_pii_fragment_of_a_disguise(text, kind, base, added, masked):
@@ -370,7 +485,26 @@ def test_pii_table(spark, docs, empty):
     assert len(out) == len(BASE) and out[0].base == [] and [s.kind for s in out[9].base] == ["email", "ip", "card", "phone"]
     staged = pii.stage_pii(spark, docs, "")
     assert staged.columns == docs.columns and staged.where("doc_id = 0").first().text is None
-    assert pii.pii_spans(empty).count() == 0
+    assert pii.pii_spans(empty).count() == 0 and pii.stage_pii(spark, empty, "").count() == 0
+    # Other columns stay as they are, long integers with nulls too.
+    big = spark.createDataFrame([(1, "a@b.example.org", 2**60 + 1), (2, None, None)], "doc_id long, text string, base long")
+    assert sorted(map(tuple, pii.stage_pii(spark, big, "").collect())) == [(1, "<EMAIL>", 2**60 + 1), (2, None, None)]
+
+
+LONG = {
+    "digits": "1" * 10**6, "dotted": "a." * 500_000 + " [at] x", "ats": "a@" * 500_000, "dots": " dot " * 200_000 + "@", "names": "one " * 250_000, "plus": "+1((((" * 170_000,
+    "marks": "[at]" * 250_000, "parts": "1." * 500_000, "mixed": "one 1 " * 160_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_pii_time_grows_with_the_text(name):
+    import time
+
+    pii.find(LONG[name][:1000])
+    at = time.process_time()
+    pii.find(LONG[name])
+    assert time.process_time() - at < 10  # a scan in the square of a text's length takes minutes here
 
 
 def test_pipeline(spark, tmp_path):
