@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -29,18 +30,33 @@ def jaro_winkler(a: str, b: str) -> float:
     m = len(hits)
     if not m:
         return 0.0
-    swaps = sum(x != y for x, y in zip(hits, (c for c, u in zip(b, used, strict=True) if u), strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(hits, (c for c, u in zip(b, used, strict=True) if u), strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    if jaro <= 0.7:
+        return jaro
     prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-def matcher(mode: str = "exact", threshold: float = 0.85) -> Callable[[str, str], bool]:
+def _fold(word: str) -> bytes:
+    """A word with ASCII capitals, and no others, made small."""
+    return word.encode("utf-8", "surrogatepass").lower()
+
+
+def _prepared(payload: list[str], reference: list[str], mode: str, threshold: float) -> tuple[list, list, Callable]:
+    """Both sequences as what is compared, and how."""
     if mode == "exact":
-        return lambda x, y: x == y
+        return payload, reference, eq
     if mode == "caseless":
-        return lambda x, y: x.lower() == y.lower()
-    return lambda x, y: x.lower() == y.lower() or jaro_winkler(x.lower(), y.lower()) >= threshold
+        return [_fold(w) for w in payload], [_fold(w) for w in reference], eq
+    known: dict[tuple[str, str], bool] = {}
+
+    def near(x: str, y: str) -> bool:
+        if (x, y) not in known:
+            known[x, y] = known[y, x] = _fold(x) == _fold(y) or jaro_winkler(x.lower(), y.lower()) >= threshold
+        return known[x, y]
+
+    return payload, reference, near
 
 
 def _last_row(a: list[str], b: list[str], same: Callable[[str, str], bool]) -> list[int]:
@@ -52,30 +68,33 @@ def _last_row(a: list[str], b: list[str], same: Callable[[str, str], bool]) -> l
     return row
 
 
-def _steps(a: list[str], b: list[str], i0: int, j0: int, same: Callable[[str, str], bool]) -> list[tuple[str, int, int]]:
-    """Edits of a over b as (op, i, j); gaps cost 1, a substitution 2, so that it is a pair of gaps."""
+def _steps(a: list, b: list, same: Callable) -> list[tuple[str, int, int]]:
+    """Edits of payload a over reference b as (op, i, j); gaps cost 1, a substitution 2, so that it is a pair of gaps.
+
+    Equal ends are matched first.  What is between is aligned by one table if it is small;
+    otherwise the reference is halved, and the payload where that costs least, first of ties.
+    """
     head = 0
     while head < min(len(a), len(b)) and same(a[head], b[head]):
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and same(a[-1 - tail], b[-1 - tail]):
         tail += 1
-    before = [("match", i0 + k, j0 + k) for k in range(head)]
-    after = [("match", i0 + len(a) - k, j0 + len(b) - k) for k in range(tail, 0, -1)]
-    x, y, i, j = a[head : len(a) - tail], b[head : len(b) - tail], i0 + head, j0 + head
-    if not x:
-        middle = [("extra_reference", -1, j + k) for k in range(len(y))]
-    elif not y:
-        middle = [("extra_payload", i + k, -1) for k in range(len(x))]
-    elif len(x) == 1 or (len(x) + 1) * (len(y) + 1) <= TABLE_CELLS:
-        middle = _table(x, y, i, j, same)
-    else:
-        half = len(x) // 2
-        left, right = _last_row(x[:half], y, same), _last_row(x[half:][::-1], y[::-1], same)[::-1]
-        costs = [p + q for p, q in zip(left, right, strict=True)]
-        k = costs.index(min(costs))
-        middle = _steps(x[:half], y[:k], i, j, same) + _steps(x[half:], y[k:], i + half, j + k, same)
-    return before + middle + after
+    middle: list[tuple[str, int, int]] = []
+    todo = [(head, len(a) - tail, head, len(b) - tail)]
+    while todo:
+        i, m, j, n = todo.pop()
+        if i == m or j == n:
+            middle += [("extra_reference", -1, k) for k in range(j, n)] + [("extra_payload", k, -1) for k in range(i, m)]
+        elif m - i == 1 or n - j == 1 or (m - i) * (n - j) <= TABLE_CELLS:
+            middle += _table(a[i:m], b[j:n], i, j, same)
+        else:
+            half, x = j + (n - j) // 2, a[i:m]
+            left, right = _last_row(b[j:half], x, same), _last_row(b[half:n][::-1], x[::-1], same)[::-1]
+            costs = [p + q for p, q in zip(left, right, strict=True)]
+            k = i + costs.index(min(costs))
+            todo += [(k, m, half, n), (i, k, j, half)]
+    return [("match", k, k) for k in range(head)] + middle + [("match", len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def _table(x: list[str], y: list[str], i: int, j: int, same: Callable[[str, str], bool]) -> list[tuple[str, int, int]]:
@@ -93,7 +112,7 @@ def _table(x: list[str], y: list[str], i: int, j: int, same: Callable[[str, str]
             out.append(("match", i + r, j + c))
         elif r and c and not hit and cost[r][c] == cost[r - 1][c - 1] + 2:
             r, c = r - 1, c - 1
-            out += [("extra_reference", -1, j + c), ("extra_payload", i + r, -1)]
+            out += [("extra_payload", i + r, -1), ("extra_reference", -1, j + c)]  # turned round below
         elif c and cost[r][c] == cost[r][c - 1] + 1:
             c -= 1
             out.append(("extra_reference", -1, j + c))
@@ -105,7 +124,7 @@ def _table(x: list[str], y: list[str], i: int, j: int, same: Callable[[str, str]
 
 def align(payload: list[str], reference: list[str], mode: str = "exact", threshold: float = 0.85) -> list[dict]:
     """The edits that turn one sequence into the other, in order; a match's key is the reference's."""
-    steps = _steps(list(payload), list(reference), 0, 0, matcher(mode, threshold))
+    steps = _steps(*_prepared(list(payload), list(reference), mode, threshold))
     return [{"op": op, "key": reference[j] if j >= 0 else payload[i], "payload_idx": None if i < 0 else i, "reference_idx": None if j < 0 else j} for op, i, j in steps]
 
 

@@ -2,28 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-
-def timed_elements(df: DataFrame) -> DataFrame:
-    """Recognised elements (f, i, value, ts, end_ts in seconds) without pauses and blanks, in milliseconds; times that do not advance are null."""
-    kept = df.where((F.trim("value") != "") & (F.col("value") != "<pause>"))
-    s, e = (F.round(F.col(c) * 1000).cast("long") for c in ("ts", "end_ts"))
-    good = F.coalesce(e > s, F.lit(False))
-    return kept.select("f", "i", "value", F.when(good, s).alias("start_ms"), F.when(good, e).alias("end_ms"))
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def violations(utterances: DataFrame, participants: DataFrame) -> DataFrame:
-    """Rows (f, i, level, problem): all that is wrong at each level, so that a gate is an anti join."""
-    empty = utterances.where(F.coalesce(F.trim("text"), F.lit("")) == "").select("f", "i", F.lit(0).alias("level"), F.lit("empty").alias("problem"))
-    unknown = utterances.join(participants.select("f", "speaker").distinct(), ["f", "speaker"], "left_anti").select("f", "i", F.lit(1).alias("level"), F.lit("speaker").alias("problem"))
-    back = utterances.where(F.col("b") < F.col("a")).select("f", "i", F.lit(2).alias("level"), F.lit("timing").alias("problem"))
-    return empty.unionByName(unknown).unionByName(back)
+from parlance.sources.chat import utterance_lines
 
 
-def passing(utterances: DataFrame, found: DataFrame, level: int) -> DataFrame:
-    """Utterances of files without a violation up to a level."""
-    return utterances.join(found.where(F.col("level") <= level).select("f").distinct(), "f", "left_anti")
+def timed_elements(df: DataFrame) -> DataFrame:
+    """Recognised elements (f, i, value, ts, end_ts in seconds) without blanks and marks such as ``<pause>``, trimmed, in milliseconds; times that do not advance are null."""
+    value = F.regexp_replace("value", r"^\s+|\s+$", "")
+    kept = df.withColumn("value", value).where((F.col("value") != "") & ~(F.startswith("value", F.lit("<")) & F.endswith("value", F.lit(">"))))
+    ms = lambda c: F.when(~F.isnan(c) & (F.abs(c) < 9e15), F.round(F.col(c) * 1000).cast("long"))
+    good = F.coalesce(ms("end_ts") > ms("ts"), F.lit(False))
+    return kept.select("f", "i", "value", F.when(good, ms("ts")).alias("start_ms"), F.when(good, ms("end_ts")).alias("end_ms"))
+
+
+def violations(lines: DataFrame) -> DataFrame:
+    """Rows (file_id, line_idx, level, problem) from parsed lines (A1): all that is wrong at each level.
+
+    Level 0: lines that can't be read.  Level 1: no participants, no languages, an utterance without a terminator
+    (unless the ``CA`` option is set), an undeclared speaker.  Level 2: an utterance with nothing on its main tier.
+    """
+    files = lines.groupBy("file_id").agg(
+        F.coalesce(F.max(F.when((F.col("kind") == "header") & (F.col("key") == "Participants"), F.col("value"))), F.lit("")).alias("participants"),
+        F.coalesce(F.max(F.when((F.col("kind") == "header") & (F.col("key") == "Languages"), F.col("value"))), F.lit("")).alias("languages"),
+        F.coalesce(F.bool_or((F.col("kind") == "header") & (F.col("key") == "Options") & F.array_contains(F.split("value", r",\s*"), "CA")), F.lit(False)).alias("ca"),
+    )
+    codes = F.transform(F.split("participants", r"\s*,\s*"), lambda p: F.substring_index(F.trim(p), " ", 1))
+    blank = lambda c: F.trim(c) == ""
+    found = lambda level, problem: [F.lit(level).alias("level"), F.lit(problem).alias("problem")]
+    none = F.lit(None).cast(lines.schema["line_idx"].dataType).alias("line_idx")
+    said = utterance_lines(lines).join(files, "file_id")
+    return reduce(
+        DataFrame.union,
+        [
+            lines.where("kind = 'error'").select("file_id", "line_idx", *found(0, "unreadable line")),
+            files.where(blank("participants")).select("file_id", none, *found(1, "no participants")),
+            files.where(blank("languages")).select("file_id", none, *found(1, "no languages")),
+            said.where(~F.col("ca") & F.col("terminator").isNull()).select("file_id", "line_idx", *found(1, "no terminator")),
+            said.where(~F.array_contains(codes, F.col("speaker"))).select("file_id", "line_idx", *found(1, "undeclared speaker")),
+            said.where(blank("text") & ~F.col("lazy_overlap") & F.col("lang").isNull()).select("file_id", "line_idx", *found(2, "empty main tier")),
+        ],
+    )
+
+
+def passing(lines: DataFrame, found: DataFrame, level: int) -> DataFrame:
+    """The lines of files without a violation up to a level."""
+    return lines.join(found.where(F.col("level") <= level).select("file_id").distinct(), "file_id", "left_anti")
 
 
 def media_of(files: DataFrame, media: DataFrame) -> DataFrame:
@@ -42,11 +68,21 @@ def output_path(path: Column, policy: str, value: str = "") -> Column:
     return F.regexp_replace(path, r"(\.[^./]+)$", f"{value}$1")
 
 
-def feature_table(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows (f, frame) with a column for each feature of (f, frame, name, value), in order of name; of repeats the largest."""
+def feature_table(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Rows (f, frame) with a column for each feature of (f, frame, name, value), in order of name; of repeats the largest.
+
+    The names are the caller's, or all that the table has: a feature set's, some thousands at most.
+    """
+    if names is None:
+        names = [r.name for r in df.select("name").distinct().collect()]
     return df.groupBy("f", "frame").pivot("name", sorted(names)).agg(F.max("value"))
 
 
+def functionals(df: DataFrame) -> DataFrame:
+    """Rows (f, name, mean, deviation, low, high) over the frames of rows (f, frame, name, value)."""
+    return df.groupBy("f", "name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 def with_kept_tiers(after: DataFrame, before: DataFrame, matches: DataFrame) -> DataFrame:
     """C20: later utterances (f, after_idx, tiers) get the tiers of the earlier ones they match; their own win."""
     old = before.select("f", "before_idx", F.col("tiers").alias("old"))
@@ -84,6 +120,18 @@ def uncovered(ranges: Column, covered: Column) -> Column:
     return F.array_except(ranges, covered)
 
 
+def without_subsets(ranges: Column) -> Column:
+    """G1: arrays of places, longest first (later ones of a length first), each without what those before it hold; none left empty."""
+    ordered = F.reverse(F.array_sort(F.transform(ranges, lambda r, k: F.struct(F.size(r).alias("n"), k.alias("k"), r.alias("r")))))
+    none = F.array().cast("array<array<int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.array_sort(F.array_except(x["r"], F.flatten(acc)))
+        return F.when(F.size(own) == 0, acc).otherwise(F.concat(acc, F.array(own)))
+
+    return F.aggregate(ordered, none, step)
+
+
 def provenance(tool: Column, version: Column, model: Column) -> Column:
     """The comment line that says what made a tier."""
     return F.format_string("@Comment:\t%s %s, %s", tool, version, model)

@@ -10,9 +10,10 @@ from collections import Counter
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parlance.operators.align import align
+from parlance.operators.align import align, edit_metrics
+from parlance.operators.words import FILLERS, PUNCTUATION, let
 
 # Spoken forms and what they are compared as; earlier groups win.
 CLITICS = (("'s", "is"), ("'ve", "have"), ("'d", "had"), ("'m", "am"))
@@ -47,34 +48,57 @@ def conform(word: str, compounds: dict[str, tuple[str, str]] | None = None, lett
     return low.split("_")
 
 
-def conformed(words: Column) -> Column:
-    """H1 as a column over arrays of words."""
+def conformed(words: Column, compounds: dict[str, tuple[str, str]] | None = None, letters: frozenset = frozenset(), names: frozenset = frozenset()) -> Column:
+    """H1 as an expression over arrays of words: the rules of ``conform`` in their order."""
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    spoken = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), listed(v.split(" ")))])
 
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ws: None if ws is None else [y for w in ws for y in conform(w)])
+    def one(word: Column) -> Column:
+        def rules(x: Column) -> Column:
+            bare, low = x["bare"], x["low"]
+            out = F.when(F.lit(False), F.array().cast("array<string>"))
+            if compounds:
+                table = F.create_map(*[x for k, v in sorted(compounds.items()) for x in (F.lit(k), listed(v))])
+                out = out.when(low.isin(*compounds), table[low])
+            if letters:
+                out = out.when(bare.isin(*letters), F.filter(F.split(bare, ""), lambda c: c != ""))
+            for mark, verb in CLITICS:
+                out = out.when(F.contains(low, F.lit(mark)), F.array(F.substring_index(low, "'", 1), F.lit(verb)))
+            out = out.when(low.isin(*HESITATIONS), listed(["um"])).when(F.contains(low, F.lit("-")), F.transform(F.split(low, "-"), F.trim))
+            if names:
+                out = out.when(low.isin(*names) & ~low.isin("ok", "gimme", "hafta", "havta"), listed(["name"]))
+            return F.coalesce(out.when(low.isin(*EXPANSIONS), spoken[low]), F.split(low, "_"))
 
-    return run(words)
+        return let(F.struct(F.trim(word).alias("bare"), F.lower(F.trim(word)).alias("low")), rules)
+
+    return F.flatten(F.transform(words, one))
 
 
 def word_errors(hypothesis: list[str], reference: list[str], chinese: bool = False) -> dict:
-    """D3: substitutions, insertions and deletions after normal forms; the rate is over the reference's own length."""
+    """D3: substitutions, insertions and deletions after normal forms, the words matched, and the lines of a diff.
+
+    The rate is over the reference's own length.
+    """
     if not reference:
-        return {"wer": 0.0, "errors": 0, "total": 0}
+        return {"wer": 0.0, "errors": 0, "total": 0, "matches": 0, "diff": ""}
     hyp, ref = ([w.replace("-", "") for w in x] for x in (hypothesis, reference))
     if chinese:
         hyp, ref = ([c for w in x for c in w] for x in (hyp, ref))
     else:
         hyp = [y for single, g in groupby(hyp, lambda w: len(w) == 1 and w.isascii() and w.isalpha()) for y in (["".join(g)] if single else g)]
     hyp, ref = ([y.lower().replace("(", "").replace(")", "") for w in x for y in conform(w)] for x in (hyp, ref))
-    errors, before, expect, last = 0, None, False, None
+    errors, before, expect = 0, None, False
+    kept: list[tuple[str, str]] = []
     for e in align(hyp, ref):
         op = e["op"]
         if op == "match":
             before = None
         elif op == "extra_reference" and "name" in e["key"] and not e["key"].startswith("name"):
-            # A placeholder for a name takes the place of one word of the hypothesis.
-            expect = expect or last != "extra_payload"
+            # A placeholder for a name takes the place of one word of the hypothesis, the one before it or the next.
+            if kept and kept[-1][0] == "extra_payload":
+                kept.pop()
+            else:
+                expect = True
             before = None
         elif op == "extra_payload" and expect:
             expect = False
@@ -83,16 +107,17 @@ def word_errors(hypothesis: list[str], reference: list[str], chinese: bool = Fal
             before = None  # with the error before it, a substitution: already counted once
         else:
             errors, before = errors + 1, op
-        last = op
-    return {"wer": errors / len(reference), "errors": errors, "total": len(reference)}
+        kept.append((op, e["key"]))
+    sign = {"match": "  ", "extra_reference": "+ ", "extra_payload": "- "}
+    return {"wer": errors / len(reference), "errors": errors, "total": len(reference), "matches": max(0, len(reference) - errors), "diff": "\n".join(sign[op] + key for op, key in kept)}
 
 
 def word_error_rate(hypothesis: Column, reference: Column) -> Column:
     """D3 as a column over two arrays of words."""
 
-    @F.pandas_udf("struct<wer:double,errors:int,total:int>")
+    @F.pandas_udf("struct<wer:double,errors:int,total:int,matches:int,diff:string>")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([word_errors(list(x), list(y)) for x, y in zip(a, b, strict=True)], columns=["wer", "errors", "total"])
+        return pd.DataFrame([word_errors(list(x), list(y)) for x, y in zip(a, b, strict=True)], columns=["wer", "errors", "total", "matches", "diff"])
 
     return run(hypothesis, reference)
 
@@ -121,35 +146,128 @@ def best_window(gold: list[str], main: list[str]) -> tuple[int, int]:
     return best[1] if best else (0, min(len(main), len(gold)))
 
 
-def compare(main: list[str], gold: list[list[str]], kept=lambda w: True) -> list[dict]:
-    """Each gold utterance is aligned within its best window of the main words that are left."""
-    words = [(k, y) for k, w in enumerate(main) if kept(w) for y in conform(w)]
-    out, at = [], 0
+def _flat(utterances: list[dict], kept) -> tuple[list[str], list[tuple]]:
+    """The normal forms of all compared words, and for each its utterance, place, place among compared words, and tag."""
+    forms, info = [], []
+    for u, utterance in enumerate(utterances):
+        nth, tags = 0, utterance.get("tags")
+        tags = [] if tags is None else list(tags)
+        for p, w in enumerate(utterance["words"]):
+            if kept(w):
+                for y in conform(w):
+                    forms.append(y)
+                    info.append((u, p, nth, tags[p].upper() if p < len(tags) and tags[p] is not None else None))
+                nth += 1
+    return forms, info
+
+
+def compare(main: list[dict], gold: list[dict], kept=lambda w: w.strip() not in PUNCTUATION and w.strip().lower() not in FILLERS) -> list[dict]:
+    """Each gold utterance (words, tags, terminator) is aligned within its best window of the main words that are left.
+
+    Returns the tokens that each side's utterances show, in order of their place: words of the other side
+    stand half a place behind the word they follow.  A match carries where its words are on both sides.
+    """
+    words, info = _flat(main, kept)
+    shown: list[tuple] = []  # side, utterance, place, then what is returned
+    at, anywhere = 0, None
     for u, utterance in enumerate(gold):
-        own = [y for w in utterance if kept(w) for y in conform(w)]
-        if not own:
-            continue
-        rest = words[at:]
-        s, e = best_window(own, [w for _, w in rest])
-        for x in align([w for _, w in rest[s:e]], own, "caseless"):
-            status = {"match": "match", "extra_payload": "extra_main", "extra_reference": "extra_gold"}[x["op"]]
-            place = None if x["payload_idx"] is None else rest[s + x["payload_idx"]][0]
-            out.append({"utt": u, "status": status, "word": x["key"], "main_idx": place, "gold_idx": x["reference_idx"]})
-        at += e
+        own, places = _flat([utterance], kept)
+        if own:
+            s, e = (at + x for x in best_window(own, words[at:]))
+            start = info[s][:2] if s < len(words) else None
+            i, j, here, before = s, 0, None, None
+            for edit in align(words[s:e], own, "caseless"):
+                token = {"word": edit["key"], "main_utt": None, "main_word": None, "gold_word": None}
+                if edit["op"] != "extra_reference":
+                    mu, mp, mn, tag = info[i]
+                    here = anywhere = (mu, mp)
+                    i += 1
+                if edit["op"] != "extra_payload":
+                    _, gp, gn, gold_tag = places[j]
+                    j += 1
+                if edit["op"] == "match":
+                    token |= {"status": "match", "tag": tag, "main_utt": mu, "main_word": mn, "gold_word": gn}
+                    shown += [("main", mu, float(mp), token), ("gold", u, float(gp), token)]
+                    before = gp
+                elif edit["op"] == "extra_payload":
+                    token |= {"status": "extra_main", "tag": tag}
+                    shown += [("main", mu, float(mp), token), ("gold", u, -0.5 if before is None else before + 0.5, token)]
+                else:
+                    token |= {"status": "extra_gold", "tag": gold_tag}
+                    shown.append(("gold", u, float(gp), token))
+                    if anchor := here or start or anywhere:
+                        shown.append(("main", anchor[0], anchor[1] + 0.5, token))
+                    before = gp
+            at = e
+        if utterance.get("terminator"):
+            shown.append(("gold", u, float(len(own)), {"word": utterance["terminator"], "tag": "PUNCT", "status": "match", "main_utt": None, "main_word": None, "gold_word": None}))
+    out, seq = [], 0
+    for side, u, place, token in sorted(shown, key=lambda x: (x[0], x[1], x[2])):  # a stable sort, as ties keep the order they came in
+        seq = seq + 1 if out and (out[-1]["side"], out[-1]["utt"]) == (side, u) else 0
+        out.append({"side": side, "utt": u, "seq": seq, "place": place, **token})
     return out
 
 
 def compared(df: DataFrame) -> DataFrame:
-    """Rows (f, utt, status, word, main_idx, gold_idx) from rows (f, main array<string>, gold array<array<string>>)."""
-    kind = "array<struct<utt:int,status:string,word:string,main_idx:int,gold_idx:int>>"
+    """Rows (f, side, utt, seq, place, status, word, tag, main_utt, main_word, gold_word).
+
+    From rows (f, main, gold), arrays of utterances (words array<string>, tags array<string>, terminator string).
+    """
+    kind = "array<struct<side:string,utt:int,seq:int,place:double,status:string,word:string,tag:string,main_utt:int,main_word:int,gold_word:int>>"
+    listed = lambda us: [{"words": list(u["words"]), "tags": u.get("tags"), "terminator": u.get("terminator")} for u in us]
 
     @F.pandas_udf(kind)
     def run(main: pd.Series, gold: pd.Series) -> pd.Series:
-        return pd.Series([compare(list(m), [list(x) for x in g]) for m, g in zip(main, gold, strict=True)])
+        return pd.Series([compare(listed(m), listed(g)) for m, g in zip(main, gold, strict=True)])
 
     return df.select("f", F.explode(run("main", "gold")).alias("t")).select("f", "t.*")
 
 
+def compare_metrics(tokens: DataFrame) -> DataFrame:
+    """D1 over C5's tokens: the gold side's, without its terminators."""
+    op = F.when(F.col("status") == "match", "match").when(F.col("status") == "extra_main", "extra_payload").otherwise("extra_reference")
+    return edit_metrics(tokens.where("side = 'gold' and coalesce(tag, '') != 'PUNCT'").select("f", op.alias("op")))
+
+
+def gold_projection(tokens: DataFrame, main: DataFrame, gold: DataFrame) -> DataFrame:
+    """Gold utterances (f, utt, tiers) with the tiers that the comparison lets them take from the main transcript.
+
+    ``main`` and ``gold`` have rows (f, utt, n_compared, n_words, mor array<string>, tiers map) of all utterances.  A gold utterance
+    all of whose words match all words of one main utterance, and nothing else, takes its ``mor``, ``gra`` and
+    ``wor``.  One whose words all match somewhere, each with a word of its own, takes only their ``mor`` items.  Others stay.
+    """
+    g = tokens.where("side = 'gold'")
+    pair = F.struct("main_utt", "main_word")
+    hits = g.where("main_utt is not null")
+    # A word of several normal forms matches once for each of them in a row; these count as one.
+    w = Window.partitionBy("f", "utt").orderBy("seq")
+    key = F.struct("main_utt", "main_word", "gold_word")
+    hits = hits.withColumn("again", F.coalesce(F.lag(key).over(w) == key, F.lit(False))).where("not again")
+    per = hits.groupBy("f", "utt").agg(
+        F.count("*").alias("n"), F.count_distinct("gold_word").alias("n_gold"), F.count_distinct(pair).alias("n_main"), F.min("main_utt").alias("first"), F.max("main_utt").alias("last"),
+        F.collect_list(F.struct("gold_word", "main_utt", "main_word")).alias("hits"),
+    )
+    other = g.groupBy("f", "utt").agg(F.bool_and(F.col("status") == "match").alias("only"))
+    m = main.select("f", F.col("utt").alias("main_utt"), F.col("n_compared").alias("m_compared"), F.col("n_words").alias("m_words"), F.col("mor").alias("m_mor"), F.col("tiers").alias("m_tiers"))
+    out = gold.join(per, ["f", "utt"], "left").join(other, ["f", "utt"], "left").join(m.drop("m_mor").withColumnRenamed("main_utt", "first"), ["f", "first"], "left")
+    full = (F.col("n_compared") > 0) & (F.col("n_gold") == F.col("n_compared"))
+    exact = full & (F.col("n") == F.col("n_gold")) & (F.col("n_main") == F.col("n")) & (F.col("first") == F.col("last")) & (F.col("m_compared") == F.col("n")) & (F.col("m_words") == F.col("n_words")) & F.col("only")
+    out = out.withColumns({"exact": F.coalesce(exact, F.lit(False)), "full": F.coalesce(full & (F.col("n_main") == F.col("n")), F.lit(False))})
+    # The items of those that match in full are fetched word by word.
+    items = out.where("full and not exact").select("f", "utt", F.explode("hits").alias("h")).select("f", "utt", "h.*").join(m.select("f", "main_utt", "m_mor"), ["f", "main_utt"], "left")
+    items = items.groupBy("f", "utt").agg(F.array_sort(F.collect_list(F.struct("gold_word", F.get("m_mor", F.col("main_word")).alias("item")))).alias("items"))
+    items = items.select("f", "utt", F.map_from_entries(F.transform("items", lambda x: F.struct(x["gold_word"], x["item"]))).alias("taken"))
+    out = out.join(items, ["f", "utt"], "left")
+    own = F.when(F.size("mor") == F.col("n_compared"), F.col("mor"))
+    mor = F.transform(F.sequence(F.lit(0), F.col("n_compared") - 1), lambda k: F.coalesce(F.col("taken")[k.cast("int")], F.get(own, k.cast("int"))))
+    mor = F.when(F.col("full") & ~F.col("exact") & ~F.exists(F.map_values("taken"), lambda x: x.isNull()), F.when(~F.exists(mor, lambda x: x.isNull()), F.array_join(mor, " ")))
+    none = F.create_map().cast("map<string,string>")
+    mine = F.coalesce("tiers", none)
+    copied = F.map_filter(F.coalesce("m_tiers", none), lambda k, _: k.isin("mor", "gra", "wor"))
+    put = lambda new: F.map_concat(F.map_filter(mine, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+    return out.select("f", "utt", F.when(F.col("exact"), put(copied)).when(mor.isNotNull(), put(F.create_map(F.lit("mor"), mor))).otherwise(mine).alias("tiers"))
+
+
 def transcript_diff(before: list[dict], after: list[dict]) -> list[dict]:
     """What became of each utterance (speaker, text, timing), in the order of the later text; deletions come last."""
     edits = align([u["text"] for u in after], [u["text"] for u in before])
@@ -160,23 +278,23 @@ def transcript_diff(before: list[dict], after: list[dict]) -> list[dict]:
         if e["op"] == "match":
             x, y = before[e["reference_idx"]], after[e["payload_idx"]]
             kind = "speaker_changed" if x["speaker"] != y["speaker"] else "timing_only" if x["timing"] != y["timing"] else "unchanged"
-            out.append({"kind": kind, "before_idx": e["reference_idx"], "after_idx": e["payload_idx"]})
+            out.append({"kind": kind, "before_idx": e["reference_idx"], "after_idx": e["payload_idx"], "timing_changed": x["timing"] != y["timing"]})
         elif nxt and nxt["op"] != "match" and nxt["op"] != e["op"]:
             p, r = (e, nxt) if e["op"] == "extra_payload" else (nxt, e)
-            out.append({"kind": "words_changed", "before_idx": r["reference_idx"], "after_idx": p["payload_idx"]})
+            out.append({"kind": "words_changed", "before_idx": r["reference_idx"], "after_idx": p["payload_idx"], "timing_changed": before[r["reference_idx"]]["timing"] != after[p["payload_idx"]]["timing"]})
             k += 1
         elif e["op"] == "extra_payload":
-            out.append({"kind": "inserted", "before_idx": None, "after_idx": e["payload_idx"]})
+            out.append({"kind": "inserted", "before_idx": None, "after_idx": e["payload_idx"], "timing_changed": False})
         else:
-            gone.append({"kind": "deleted", "before_idx": e["reference_idx"], "after_idx": None})
+            gone.append({"kind": "deleted", "before_idx": e["reference_idx"], "after_idx": None, "timing_changed": False})
         k += 1
     return out + gone
 
 
 def diffed(df: DataFrame) -> DataFrame:
-    """Rows (f, kind, before_idx, after_idx) from rows (f, before, after), arrays of (speaker, text, timing)."""
+    """Rows (f, kind, before_idx, after_idx, timing_changed) from rows (f, before, after), arrays of (speaker, text, timing)."""
 
-    @F.pandas_udf("array<struct<kind:string,before_idx:int,after_idx:int>>")
+    @F.pandas_udf("array<struct<kind:string,before_idx:int,after_idx:int,timing_changed:boolean>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([transcript_diff(list(x), list(y)) for x, y in zip(a, b, strict=True)])
 
@@ -189,43 +307,44 @@ def diff_summary(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("f").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
 
 
-def recovered_timing(df: DataFrame) -> DataFrame:
-    """Rows (f, u, start_ms, end_ms): bullets from tokens aligned with a file's words.
+def _letters(text: str) -> str:
+    return "".join(c for c in text.lower() if c.isalnum())
 
-    Rows carry ``words``, an array of (u, word), and ``tokens``, an array of (text, start_ms, end_ms).
-    """
 
-    @F.pandas_udf("array<struct<u:int,start_ms:bigint,end_ms:bigint>>")
-    def run(words: pd.Series, tokens: pd.Series) -> pd.Series:
-        out = []
-        for ws, ts in zip(words, tokens, strict=True):
-            edits = align([w["word"] for w in ws], [t["text"] for t in ts], "caseless")
-            out.append([{"u": ws[e["payload_idx"]]["u"], "start_ms": ts[e["reference_idx"]]["start_ms"], "end_ms": ts[e["reference_idx"]]["end_ms"]} for e in edits if e["op"] == "match"])
-        return pd.Series(out)
+def stitch(words: list[str], tokens: list[dict], offset_ms: int = 0, pauses: bool = True) -> list[tuple[int, int] | None]:
+    """C14: the times of words that tokens (text, time_s) spell one after another; from the first that they do not spell on, none.
 
-    hits = df.select("f", F.explode(run("words", "tokens")).alias("t")).select("f", "t.*")
-    return hits.groupBy("f", "u").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    A word without letters or digits leaves all untimed; tokens without any, and markers ``<|…|>``, are passed over.
+    With ``pauses`` a word lasts to the next token's start (the last one half a second), otherwise its end is its start.
+    """
+    want = [_letters(w) for w in words]
+    if not all(want):
+        return [None] * len(words)
+    own = [t for t in tokens if not (t["text"].strip().startswith("<|") and t["text"].strip().endswith("|>"))]
+    spelled = [(x, int(t["time_s"] * 1000) + offset_ms) for t in own if (x := _letters(t["text"]))]
+    out: list[tuple[int, int] | None] = []
+    at = 0
+    for w in want:
+        first, got = at, ""
+        while at < len(spelled) and got != w and w.startswith(got + spelled[at][0]):
+            got, at = got + spelled[at][0], at + 1
+        if got != w:
+            break
+        start = spelled[first][1]
+        nxt = spelled[at][1] if at < len(spelled) else start + 500
+        out.append((start, max(nxt, start + 1) if pauses else start))
+    return out + [None] * (len(words) - len(out))
 
 
-def needs_two_passes(utterances: DataFrame) -> DataFrame:
-    """Files with a lazy overlap or an overlap mark."""
-    return utterances.groupBy("f").agg(F.bool_or(F.col("lazy_overlap") | F.contains("text", F.lit("⌊"))).alias("two_pass"))
+def stitched(df: DataFrame, pauses: bool = True) -> DataFrame:
+    """C14: rows (f, g, p, start_ms, end_ms) from rows (f, g, words array<string>, tokens array<struct<text, time_s>>, offset_ms)."""
 
+    @F.pandas_udf("array<struct<start_ms:bigint,end_ms:bigint>>")
+    def run(words: pd.Series, tokens: pd.Series, offset: pd.Series) -> pd.Series:
+        made = [stitch(list(w), list(t), int(o), pauses) for w, t, o in zip(words, tokens, offset, strict=True)]
+        return pd.Series([[None if x is None else {"start_ms": x[0], "end_ms": x[1]} for x in row] for row in made])
 
-def stitch(words: list[str], tokens: list[str]) -> list[list[int]]:
-    """C14: the tokens that spell each word, in order; from the first word that they do not spell, none."""
-    norm = lambda x: "".join(c for c in x.lower() if c.isalnum())
-    out, at = [[] for _ in words], 0
-    for k, w in enumerate(words):
-        want, got, used = norm(w), "", []
-        while at < len(tokens) and got != want and want.startswith(got + norm(tokens[at])):
-            got += norm(tokens[at])
-            used.append(at)
-            at += 1
-        if got != want or not used:
-            break
-        out[k] = used
-    return out
+    return df.select("f", "g", F.posexplode(run("words", "tokens", "offset_ms")).alias("p", "t")).select("f", "g", "p", "t.*")
 
 
 def length_mapping(n_words: Column, n_tokens: Column) -> Column:
@@ -265,22 +384,28 @@ def utterance_groups(ranges: list[list[int]], n: int, least: int = 3) -> list[in
 
 
 def chinese_number(n: int, traditional: bool = False) -> str:
-    """H4: a number in Chinese characters."""
+    """H4: a number in Chinese characters, by groups of four digits."""
     if n == 0:
         return "零"
     digits, small = "零一二三四五六七八九", ("", "十", "百", "千")
     large = ("", *("萬億兆京垓秭穰溝澗正載" if traditional else "万亿兆京垓秭穰沟涧正载"))
     text = str(n)
-    out, gap = "", False
-    for k, c in enumerate(text):
-        place = len(text) - 1 - k
-        if c == "0":
-            gap = True
-        else:
-            out += ("零" if gap and out else "") + ("" if c == "1" and place % 4 == 1 and not out else digits[int(c)]) + small[place % 4]
-            gap = False
-        if place % 4 == 0 and place and int(text[max(0, k - 3) : k + 1]):
-            out += large[place // 4]
+    cuts = [0, *range(len(text) % 4 or 4, len(text) + 1, 4)]
+    out, empty = "", False
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if not int(text[a:b]):
+            empty = True  # a zero stands for it before the next group
+            continue
+        out += "零" if empty else ""
+        group, gap, empty = "", False, False
+        for place, c in zip(range(b - a - 1, -1, -1), text[a:b], strict=True):
+            if c == "0":
+                gap = bool(out or group)
+            else:
+                one = c == "1" and place == 1 and not group and not out
+                group += ("零" if gap else "") + ("" if one else digits[int(c)]) + small[place]
+                gap = False
+        out += group + large[len(cuts) - 2 - k]
     return out
 
 
@@ -294,34 +419,6 @@ def chinese_numbers(n: Column, traditional: bool = False) -> Column:
     return run(n)
 
 
-def graph_problem(heads: list[int]) -> str | None:
-    """What is wrong with a dependency graph (heads counted from 1, 0 or itself for a root); None if nothing is."""
-    n = len(heads)
-    if any(h < 0 or h > n for h in heads):
-        return "missing head"
-    roots = [k for k, h in enumerate(heads, 1) if h in (0, k)]
-    if len(roots) != 1:
-        return "roots"
-    for k in range(1, n + 1):
-        seen, at = set(), k
-        while at not in roots:
-            if at in seen:
-                return "cycle"
-            seen.add(at)
-            at = heads[at - 1]
-    return None
-
-
-def graph_problems(heads: Column) -> Column:
-    """H19 as a column over arrays of heads."""
-
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda h: None if h is None else graph_problem([int(v) for v in h]))
-
-    return run(heads)
-
-
 def reusable_words(words: DataFrame) -> DataFrame:
     """Rows (f, u, reusable): every word is timed, and there are as many as the utterance has."""
     return words.groupBy("f", "u").agg((F.bool_and(F.col("a").isNotNull()) & (F.count("*") == F.max("n_words"))).alias("reusable"))
@@ -341,30 +438,30 @@ def audio_identity(path: Column, modified: Column, size: Column) -> Column:
 
 
 def tree_ranges(tree: str) -> list[list[int]]:
-    """Word places below each clause that is coordinated with others, from a bracketed tree.
+    """Word places below each clause that is coordinated with others, from a bracketed tree, outer clauses first.
 
-    A clause counts if its label is ``S`` and a sibling is a conjunction (``CC``).
+    A clause counts if its label is ``S`` and a sibling is a conjunction (``CC`` or ``CONJ``, in any case).
     """
-    stack: list[list] = [["", [], 0]]  # label, children as (label, words), words so far
-    out: list[list[int]] = []
-    at = 0
+    stack: list[list] = [["", [], 0]]  # label, children as (label, begin, end, ranges below), words before it
+    at, roots = 0, 0
     for tok in re.findall(r"[()]|[^\s()]+", tree):
         if tok == "(":
+            roots += len(stack) == 1
             stack.append([None, [], at])
         elif tok == ")":
             if len(stack) < 2:
                 raise ValueError("a bracket closes that none opened")
             label, kids, begin = stack.pop()
-            if any(k == "CC" for k, _, _ in kids):
-                out += [list(range(b, e)) for k, b, e in kids if k == "S"]
-            stack[-1][1].append((label, begin, at))
+            joined = any(k.lower() in ("cc", "conj") for k, *_ in kids)
+            below = [r for k, b, e, inner in kids for r in ([list(range(b, e))] if joined and k == "S" else []) + inner]
+            stack[-1][1].append((label or "", begin, at, below))
         elif stack[-1][0] is None:
             stack[-1][0] = tok
         else:
             at += 1
-    if len(stack) != 1:
-        raise ValueError("a bracket is left open")
-    return out
+    if len(stack) != 1 or roots != 1 or len(stack[0][1]) != 1 or at == 0 and not stack[0][1]:
+        raise ValueError("not one bracketed tree")
+    return stack[0][1][0][3]
 
 
 def utterance_groups_of(trees: Column, n_words: Column) -> Column:
@@ -387,10 +484,10 @@ def utterance_groups_of(trees: Column, n_words: Column) -> Column:
 
 
 def merged_letters(words: list[str], known: frozenset) -> list[str]:
-    """Runs of single capital letters that spell a known abbreviation become it, the longest first."""
+    """Runs of single letters that spell a known abbreviation in capitals become one word as they are written, the longest first."""
     longest, out, k = max(map(len, known), default=0), [], 0
     while k < len(words):
-        size = next((n for n in range(min(longest, len(words) - k), 1, -1) if all(len(w) == 1 and w.isupper() for w in words[k : k + n]) and "".join(words[k : k + n]) in known), 1)
+        size = next((n for n in range(min(longest, len(words) - k), 1, -1) if all(len(w) == 1 and w.isalpha() for w in words[k : k + n]) and "".join(words[k : k + n]).upper() in known), 1)
         out.append("".join(words[k : k + size]))
         k += size
     return out
@@ -406,28 +503,64 @@ def letters_merged(words: Column, known: frozenset) -> Column:
     return run(words)
 
 
-def spoken_number(n: int, table: dict[int, str]) -> str:
-    """H2 and H3: a number in words, from a language's table of values; greedy, the largest value first.
+# Signs of currencies, before or behind a number.
+BEFORE_NUMBER = {"$": "dollars", "€": "euros", "£": "pounds", "¥": "yen", "₹": "rupees", "₩": "won", "₽": "rubles"}
+BEHIND_NUMBER = {"€": "euros", "₹": "rupees"}
+#: Languages whose numbers are written in simplified or traditional characters.
+SIMPLIFIED, TRADITIONAL = ("zho", "cmn"), ("jpn", "yue")
+
 
-    A value above one hundred takes a spoken multiplier.  A number that the table can't reach stays in digits.
+def spoken_number(n: int, table: dict[int, str]) -> str | None:
+    """H3: a number in words, from a language's table of values, the largest first; a value from a hundred on takes a spoken multiplier.
+
+    None for a number that the table can't reach.
     """
-    if n in table and n < 100:
-        return table[n]
-    for value in sorted(table, reverse=True):
-        if 0 < value <= n:
-            times, rest = divmod(n, value)
-            head = f"{spoken_number(times, table)} {table[value]}" if value >= 100 else table[value]
-            rest = rest if value >= 100 else n - value
-            return head if not rest else f"{head} {spoken_number(rest, table)}"
-    return str(n)
+    if n == 0:
+        return table.get(0)
+    parts = []
+    for value in sorted((v for v in table if v > 0), reverse=True):
+        if value > n:
+            continue
+        if value >= 100:
+            times, n = divmod(n, value)
+            head = "" if times == 1 else spoken_number(times, table)
+            if head is None:
+                return None
+            parts.append(f"{head} {table[value]}".strip())
+        else:
+            parts.append(table[value])
+            n -= value
+        if not n:
+            return " ".join(parts)
+    return None
+
+
+def expanded_number(word: str, table: dict[int, str], lang: str = "eng") -> str:
+    """H2: a word of digits, of groups of digits between dashes, or of digits with a currency's sign, in words; others as they are."""
+
+    def spoken(digits: str) -> str:
+        if lang.lower() in SIMPLIFIED + TRADITIONAL:
+            return chinese_number(int(digits), lang.lower() in TRADITIONAL)
+        own = table.get(int(digits)) if str(int(digits)) == digits else None
+        return own or spoken_number(int(digits), table) or digits
+
+    is_number = lambda x: bool(x) and x.isascii() and x.isdigit()
+    plain = word.replace("—", "-").replace("–", "-")
+    parts = plain.split("-")
+    if len(parts) > 1 and all(map(is_number, parts)):
+        return " ".join(map(spoken, parts))
+    for signs, rest in ((BEFORE_NUMBER, plain[1:]), (BEHIND_NUMBER, plain[:-1])):
+        name = signs.get(plain[:1] if signs is BEFORE_NUMBER else plain[-1:])
+        if name and is_number(rest.strip()):
+            return f"{spoken(rest.strip())} {name}"
+    return spoken(plain) if is_number(plain) else plain
 
 
-def spoken_numbers(words: Column, table: dict[int, str]) -> Column:
-    """H2 as a column over arrays of words: words of digits are spoken, with hyphens between groups kept apart."""
+def spoken_numbers(words: Column, table: dict[int, str], lang: str = "eng") -> Column:
+    """H2 as a column over arrays of words."""
 
     @F.pandas_udf("array<string>")
     def run(rows: pd.Series) -> pd.Series:
-        one = lambda w: " ".join(spoken_number(int(p), table) if p.isascii() and p.isdigit() else p for p in w.split("-")) if any(c.isdigit() for c in w) else w
-        return rows.map(lambda ws: None if ws is None else [one(w) for w in ws])
+        return rows.map(lambda ws: None if ws is None else [expanded_number(w, table, lang) for w in ws])
 
     return run(words)

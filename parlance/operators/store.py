@@ -85,6 +85,17 @@ def lease_state(jobs: DataFrame, now_s: float) -> DataFrame:
     return jobs.withColumns({"ready": ~leased & ~early, "wake": wake})
 
 
+def attempts_in_order(attempts: DataFrame) -> DataFrame:
+    """attempts (job_id, started_at, attempt) of each job by their start, with their ``rank``."""
+    w = Window.partitionBy("job_id").orderBy("started_at", "attempt")
+    return attempts.withColumn("rank", F.row_number().over(w))
+
+
+def next_wake(jobs: DataFrame, now_s: float) -> DataFrame:
+    """one row (wake): the soonest that a queued job that is not ready may be."""
+    return lease_state(jobs.where("status = 'queued'"), now_s).where("not ready").agg(F.min("wake").alias("wake"))
+
+
 def ready_queue(jobs: DataFrame, now_s: float) -> DataFrame:
     """ready queued jobs by time of submission."""
     return lease_state(jobs.where("status = 'queued'"), now_s).where("ready").orderBy("submitted_at", "job_id")
@@ -116,3 +127,26 @@ def paired_files(main: DataFrame, other: DataFrame, suffix: str = ".gold") -> Da
     stem = F.regexp_replace("path", r"\.[^./]+$", "")
     gold = other.select(F.col("path").alias("partner"), F.regexp_replace(stem, F.lit(suffix.replace(".", "\\.") + "$"), F.lit("")).alias("stem"))
     return main.select("path", stem.alias("stem")).join(gold, "stem", "left").select("path", "partner")
+
+
+#: Entries that the hot part of a cache has at most, and seconds after which an idle one goes.
+HOT_ENTRIES, HOT_IDLE_S = 10_000, 86_400
+
+
+def tiered_get(wanted: DataFrame, hot: DataFrame, cold: DataFrame, version: str) -> DataFrame:
+    """Wanted keys (key, task) with ``data`` and ``tier``: ``hot``, ``cold``, or null for a miss.
+
+    The hot part is bounded (``hot_entries``), so it is broadcast; only keys that it lacks, or has for another
+    task or version, reach the cold part.
+    """
+    fit = lambda c: c.where(F.col("engine_version") == version).select("key", "task", "data")
+    first = wanted.join(F.broadcast(fit(hot).withColumn("tier", F.lit("hot"))), ["key", "task"], "left")
+    rest = first.where("tier is null").select("key", "task").join(fit(cold).withColumn("tier", F.lit("cold")), ["key", "task"], "left")
+    return first.where("tier is not null").unionByName(rest)
+
+
+def hot_entries(hot: DataFrame, used: DataFrame, now_s: float, most: int = HOT_ENTRIES, idle_s: int = HOT_IDLE_S) -> DataFrame:
+    """The hot part after use: entries (key, task, engine_version, data, used_at) used within ``idle_s``, the ``most`` latest; one for each key."""
+    every = hot.unionByName(used).where(F.col("used_at") >= now_s - idle_s)
+    w = Window.partitionBy("key").orderBy(F.desc("used_at"))
+    return every.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").orderBy(F.desc("used_at"), "key").limit(most)

@@ -37,6 +37,24 @@ def payloads(df: DataFrame) -> DataFrame:
     return df.withColumns({"for_translate": F.coalesce(n > 0, F.lit(False)), "for_utseg": F.coalesce(n > 1, F.lit(False))})
 
 
+def coref_payloads(df: DataFrame) -> DataFrame:
+    """Rows (f, sentences): the words of each file's utterances (f, line_idx, words) that have some, with their lines, in order."""
+    some = df.where(F.size("words") > 0)
+    return some.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("line_idx", "words"))).alias("sentences"))
+
+
+def morphosyntax_payloads(df: DataFrame, primary: str, skip_other: bool = False) -> DataFrame:
+    """Rows (f, line_idx, words, terminator, lang) of utterances (f, line_idx, words, terminator, lang, declared, tiers) to be tagged.
+
+    Those that have a ``mor`` tier or no words are left out, and with ``skip_other`` those that say they are in another language.
+    """
+    tagged = F.coalesce(F.map_contains_key("tiers", F.lit("mor")), F.lit(False))
+    rows = df.where(~tagged & (F.size("words") > 0))
+    if skip_other:
+        rows = monolingual(rows, primary)
+    return rows.select("f", "line_idx", "words", F.coalesce("terminator", F.lit(".")).alias("terminator"), utterance_language(F.col("lang"), F.col("declared"), F.lit(primary)).alias("lang"))
+
+
 def documents_with(df: DataFrame, language: str) -> DataFrame:
     """Files that declare a language."""
     return df.where(F.array_contains("languages", language))

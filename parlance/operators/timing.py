@@ -8,13 +8,17 @@ the largest group that one task holds.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Fixed values in milliseconds: tolerated overlap of one speaker, padding of estimates, and the end of a last untimed word.
 OVERLAP_MS, PAD_MS, LAST_WORD_MS = 500, 2000, 500
 
 _BEFORE = (Window.unboundedPreceding, -1)
-_AFTER = (1, Window.unboundedFollowing)
+
+
+def _next(column: str, *keys: str) -> Column:
+    """The first value that is not null after a row: a running ``last`` against the order, as a frame that looks ahead is read anew for each row."""
+    return F.last(column, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(*_BEFORE))
 
 
 def monotonic(df: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def _gaps(df: DataFrame, total_ms: int) -> DataFrame:
     return df.withColumns(
         {
             "gap_start": F.coalesce(F.last("b", ignorenulls=True).over(w.rowsBetween(*_BEFORE)), F.lit(0)),
-            "gap_end": F.coalesce(F.first("a", ignorenulls=True).over(w.rowsBetween(*_AFTER)), F.lit(total_ms)),
+            "gap_end": F.coalesce(_next("a", "f"), F.lit(total_ms)),
             "run": F.count("a").over(w),
         }
     )
@@ -71,8 +75,7 @@ def untimed_windows(df: DataFrame, total_ms: int, pad: int = 500) -> DataFrame:
 
 def continuous_ends(df: DataFrame, group: str = "u") -> DataFrame:
     """Adds ``end``: each timed word lasts to the next timed start; the last keeps its end, or gets the utterance's ``ub`` or a default."""
-    w = Window.partitionBy("f", group).orderBy("i")
-    following = F.first("a", ignorenulls=True).over(w.rowsBetween(*_AFTER))
+    following = _next("a", "f", group)
     last = F.when(F.col("a") == F.col("b"), F.when(F.col("ub") > F.col("a"), F.col("ub")).otherwise(F.col("a") + LAST_WORD_MS)).otherwise(F.col("b"))
     return df.withColumn("end", F.when(F.col("a").isNotNull(), F.coalesce(following, last)))
 
@@ -130,12 +133,15 @@ def predecessor_end(df: DataFrame) -> DataFrame:
     return df.withColumn("prev_end", F.last("b", ignorenulls=True).over(w))
 
 
-def group_by_duration(df: DataFrame, most_ms: int) -> DataFrame:
-    """E5: adds ``grp``: consecutive timed rows, a new group where the span would pass ``most_ms`` or the row ends by the group's start.
+def group_by_duration(df: DataFrame, most_ms: int, total_ms: int | None = None) -> DataFrame:
+    """E5: adds ``grp``: consecutive rows, a new group where the span would pass ``most_ms`` or the row ends by the group's start.
 
-    Rows without words (``w`` = 0) lengthen a group but do not begin one, and a group without words is left
-    out.  The reset depends on where the group began, so rows of a file are folded in order.
+    Untimed rows take their estimates (E3) if the audio's length ``total_ms`` is given, and are left out otherwise.  Rows
+    without words (``w`` = 0) lengthen a group but do not begin one, and a group without words is left out.  The reset
+    depends on where the group began, so rows of a file are folded in order.
     """
+    if total_ms is not None:
+        df = estimate_untimed(df, total_ms).withColumns({"a": F.coalesce("a", "est_start"), "b": F.coalesce("b", "est_end")})
     kept = df.where("a is not null and b is not null").select("f", "i", "a", "b", "w")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:

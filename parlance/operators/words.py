@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parlance.operators.timing import overlap_join
+
 # Fixed values.
 PUNCTUATION = (".", "?", "!", ",", "‡", "„", "+/.", "+//.", "+//?", "+...", "++.", '+".', '+"?')
 FILLERS = ("um", "uhm", "em", "mhm", "uhhm", "eh", "uh", "hm")
@@ -17,10 +20,19 @@ STARTERS = (
     "what", "when", "where", "who", "why", "yes", "you",
 )
 LONG_PAUSE_MS = 800
+#: Ideographs, as a Java character class.
+CJK = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2CEAF}\\x{2F800}-\\x{2FA1F}]"
+#: Words of a chunk that separate its parts, and right-to-left marks that end an utterance.
+SEPARATORS, RTL_MARKS = ("‡", "„", ","), ("؟", "۔", "،", "؛")
 ENDINGS = (".", "?", "!", "+...", "+/.", "+//.", "+/?", "+!?", '+"/.', '+".', "+//?", "+..?", "+.", "...", "(.)")
 LONG_TURN = 300
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is bound as the element of an array, so that it is made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def exploded(df: DataFrame, text: str = "text") -> DataFrame:
     """B1: a row for each word, with its zero-based ordinal ``p``."""
     trimmed = F.trim(F.col(text))
@@ -64,18 +76,29 @@ def long_turns(df: DataFrame, most: int = LONG_TURN) -> DataFrame:
 
 
 def into_utterances(df: DataFrame) -> DataFrame:
-    """Words of each file end an utterance at final punctuation; adds rows (f, utt, tok, word).
+    """Words of each file end an utterance at an ending mark; rows (f, utt, tok, word).
 
-    Final punctuation is split off its word; an unterminated rest gets a period.
+    A word may be an ending mark (``ENDINGS``, or a right-to-left one, which becomes ASCII) or have one
+    as its last character, which is split off.  An unterminated rest loses its trailing separators and
+    gets a period; nothing is left of a rest of separators.
     """
-    body, end = F.regexp_extract("word", r"^(.*?)([.?!]?)$", 1), F.regexp_extract("word", r"^(.*?)([.?!]?)$", 2)
-    parts = F.filter(F.array(body, end), lambda x: x != "")
-    y = df.select("f", "p", F.posexplode(parts).alias("j", "word")).withColumn("is_end", F.col("word").isin(".", "?", "!"))
-    before = Window.partitionBy("f").orderBy("p", "j").rowsBetween(Window.unboundedPreceding, -1)
-    y = y.withColumn("utt", F.coalesce(F.sum(F.col("is_end").cast("int")).over(before), F.lit(0)).cast("long"))
-    y = y.withColumn("tok", (F.row_number().over(Window.partitionBy("f", "utt").orderBy("p", "j")) - 1).cast("long"))
-    open_ = y.groupBy("f", "utt").agg(F.max("is_end").alias("closed"), F.max("tok").alias("last")).where("not closed")
-    return y.select("f", "utt", "tok", "word").union(open_.select("f", "utt", F.col("last") + 1, F.lit(".")))
+    word = F.translate(F.replace(F.col("word"), F.lit("。"), F.lit(".")), "¿¡", "  ")
+    whole = F.col("word").isin(*ENDINGS, *RTL_MARKS)
+    last = F.substring("word", -1, 1)
+    split = ~whole & last.isin(".", "?", "!", *RTL_MARKS)
+    end = lambda c: F.struct(rtl_ascii(c).alias("word"), F.lit(True).alias("is_end"))
+    body = F.struct(F.expr("substring(word, 1, length(word) - 1)").alias("word"), F.lit(False).alias("is_end"))
+    plain = F.struct(F.col("word"), F.lit(False).alias("is_end"))
+    parts = F.when(whole, F.array(end(F.col("word")))).when(split, F.array(body, end(last))).otherwise(F.array(plain))
+    y = df.select("f", "p", word.alias("word")).select("f", "p", F.posexplode(parts).alias("j", "t")).select("f", "p", "j", "t.*")
+    in_file = Window.partitionBy("f").orderBy("p", "j")
+    y = y.withColumn("utt", F.coalesce(F.sum(F.col("is_end").cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    in_utt = Window.partitionBy("f", "utt")
+    y = y.withColumn("tok", (F.row_number().over(in_utt.orderBy("p", "j")) - 1).cast("long"))
+    y = y.withColumn("closed", F.max("is_end").over(in_utt)).withColumn("kept", F.max(F.when(~F.col("word").isin(*SEPARATORS), F.col("tok"))).over(in_utt))
+    y = y.where(F.col("closed") | F.coalesce(F.col("tok") <= F.col("kept"), F.lit(False)))
+    periods = y.where(~F.col("closed") & (F.col("tok") == F.col("kept"))).select("f", "utt", F.col("tok") + 1, F.lit("."))
+    return y.select("f", "utt", "tok", "word").union(periods)
 
 
 def retraced(words: Column, least: int = 1) -> Column:
@@ -95,6 +118,16 @@ def retraced(words: Column, least: int = 1) -> Column:
     return F.get(F.transform(F.array(runs), lambda rs: F.transform(places, lambda p: F.exists(rs, lambda r: (r["b"] <= p) & (p < r["e"])))), 0)
 
 
+def retraced_words(words: Column, lang: Column | None = None) -> Column:
+    """E13 over an utterance's words: as ``retraced``, but marks and separators are passed over, and Chinese repeats have two words."""
+    content = F.filter(words, lambda x: ~x.isin(*ENDINGS, *SEPARATORS))
+    found = retraced(content, 1)
+    if lang is not None:
+        found = F.when(lang.isin("yue", "zho"), retraced(content, 2)).otherwise(found)
+    place = lambda k: F.size(F.filter(F.slice(words, 1, k), lambda y: ~y.isin(*ENDINGS, *SEPARATORS)))
+    return let(found, lambda r: F.transform(words, lambda x, k: F.when(x.isin(*ENDINGS, *SEPARATORS), F.lit(False)).otherwise(F.get(r, place(k)))))
+
+
 def combined_letters(df: DataFrame) -> DataFrame:
     """Runs of one-letter words become one word."""
     w = Window.partitionBy("f", "u").orderBy("p")
@@ -113,29 +146,61 @@ def by_assignment(df: DataFrame) -> DataFrame:
     return df.withColumn("_c", change).withColumn("part", F.sum("_c").over(w).cast("long")).drop("_c")
 
 
-def proportional_split(df: DataFrame) -> DataFrame:
-    """H8: words with inner spaces become several, with the time shared by characters (integer division)."""
-    parts = df.withColumn("pieces", F.split(F.trim("word"), r"\s+"))
-    total = F.aggregate("pieces", F.lit(0), lambda acc, x: acc + F.length(x))
-    parts = parts.select("f", "i", "a", "b", total.alias("total"), F.posexplode("pieces").alias("j", "piece"))
-    w = Window.partitionBy("f", "i").orderBy("j")
-    hi = F.sum(F.length("piece")).over(w)
-    parts = parts.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.length("piece"))
-    at = lambda c: F.col("a") + F.floor((F.col("b") - F.col("a")) * F.col(c) / F.col("total")).cast("long")
-    return parts.select("f", "i", "j", "piece", at("lo").alias("a"), at("hi").alias("b"))
+#: Separators inside recognised words, and what they become; marks without an entry go.
+_SPLIT_MARKS, _SPLIT_ASCII = ".?？؟!！,，、،。", ".???!!,,,,."
+
 
+def proportional_split(df: DataFrame, lang: str = "eng") -> DataFrame:
+    """H8: rows (f, i, j, piece, a, b): recognised words cut at white space and separators, with the time shared by characters.
 
-def word_spans(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Rows (f, p, t): tokens that share characters with a word, for two splittings of the same string."""
+    A separator is a piece of its own without times, and inverted marks go.  A word that stays whole
+    keeps its times; pieces of one whose end is not after its start have none.  A word that begins
+    with a hyphen is joined to the piece before, which ends where it ends.  Cantonese pieces of
+    ideographs are cut into characters.
+    """
+    pieces = F.regexp_extract_all(F.translate("word", "¿¡", "  "), F.lit(rf"([{_SPLIT_MARKS}]|[^\s\u3000{_SPLIT_MARKS}]+)"), 1)
+    pieces = F.transform(pieces, lambda x: F.struct(F.translate(x, _SPLIT_MARKS, _SPLIT_ASCII).alias("piece"), F.rlike(x, F.lit(f"^[{_SPLIT_MARKS}]")).alias("mark")))
+    if lang == "yue":
+        cut = lambda x: ~x["mark"] & is_cjk(x["piece"]) & ~F.rlike(x["piece"], F.lit("[A-Za-z0-9]"))
+        one = lambda c: F.struct(c.alias("piece"), F.lit(False).alias("mark"))
+        pieces = F.flatten(F.transform(pieces, lambda x: F.when(cut(x), F.transform(cantonese_characters(x["piece"]), one)).otherwise(F.array(x))))
+    rows = df.select("f", "i", "word", "a", "b").withColumn("pieces", pieces)
+    in_file = Window.partitionBy("f").orderBy("i")
+    before = F.coalesce(F.sum(F.size("pieces")).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joins = F.startswith("word", F.lit("-")) & (before > 0)
+    rows = rows.withColumn("joins", joins)
+    as_is = F.array(F.struct(F.col("word").alias("piece"), F.lit(False).alias("mark")))
+    rows = rows.withColumn("pieces", F.when(F.col("joins"), as_is).otherwise(F.col("pieces")))
+    whole = (F.size("pieces") == 1) & (F.get("pieces", 0)["piece"] == F.col("word")) & ~F.get("pieces", 0)["mark"]
+    total = F.aggregate("pieces", F.lit(0), lambda acc, x: acc + F.when(x["mark"], 0).otherwise(F.length(x["piece"])))
+    rows = rows.withColumns({"whole": whole, "total": total}).select("f", "i", "a", "b", "joins", "whole", "total", F.posexplode("pieces").alias("j", "x")).select("*", "x.*").drop("x")
+    in_word = Window.partitionBy("f", "i").orderBy("j")
+    length = F.when(F.col("mark"), 0).otherwise(F.length("piece"))
+    rows = rows.withColumn("hi", F.sum(length).over(in_word)).withColumn("lo", F.col("hi") - length)
+    span = (F.col("b") > F.col("a")) & (F.col("total") > 0) & ~F.col("mark")
+    at = lambda c: F.when(span, F.col("a") + F.expr(f"((b - a) * {c}) div total"))
+    rows = rows.withColumns({"s": F.when(F.col("whole"), F.col("a")).otherwise(at("lo")), "e": F.when(F.col("whole"), F.col("b")).otherwise(at("hi"))})
+    # Words that join are tied to the last piece before them.
+    rows = rows.withColumn("own", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(Window.partitionBy("f").orderBy("i", "j")))
+    joined = F.array_sort(F.collect_list(F.struct("i", "j", "piece", F.when(F.col("joins"), F.col("b")).otherwise(F.col("e")).alias("e"))))
+    out = rows.groupBy("f", "own").agg(F.min_by(F.struct("i", "j", F.col("s").alias("a")), F.struct("i", "j")).alias("h"), joined.alias("t"))
+    return out.select("f", "h.i", "h.j", F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("piece"), "h.a", F.element_at("t", -1)["e"].alias("b"))
+
+
+def word_spans(words: DataFrame, tokens: DataFrame, bucket: int = 256) -> DataFrame:
+    """Rows (f, p, t): tokens that share characters with a word, for two splittings of the same string.
+
+    Both are joined as intervals of characters, by the buckets of them that they touch.
+    """
 
     def offsets(df: DataFrame, n: str) -> DataFrame:
         w = Window.partitionBy("f").orderBy(n)
         hi = F.sum(F.length("piece")).over(w)
-        return df.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.length("piece"))
+        return df.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.length("piece")).where("hi > lo")
 
-    a = offsets(words, "p").select("f", "p", F.col("lo").alias("wl"), F.col("hi").alias("wh"))
-    b = offsets(tokens, "t").select("f", "t", F.col("lo").alias("tl"), F.col("hi").alias("th"))
-    return a.join(b, "f").where("th > wl and tl < wh").select("f", "p", "t")
+    a = offsets(words, "p").select("f", F.col("p").alias("win"), F.col("lo").alias("ws"), F.col("hi").alias("we"))
+    b = offsets(tokens, "t").select("f", F.col("t").alias("tok"), F.col("lo").alias("start"), F.col("hi").alias("end"))
+    return overlap_join(b, a, bucket).select("f", F.col("win").alias("p"), F.col("tok").alias("t"))
 
 
 # --- normal forms of one string ------------------------------------------------------
@@ -147,13 +212,38 @@ def normal_separators(text: Column) -> Column:
 
 
 def is_cjk(text: Column) -> Column:
-    """Whether the text has a CJK ideograph of the basic plane."""
-    return F.rlike(text, F.lit("[\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF]"))
+    """Whether the text has a CJK ideograph."""
+    return F.rlike(text, F.lit(CJK))
+
+
+def rtl_ascii(text: Column) -> Column:
+    """Right-to-left marks as ASCII ones."""
+    return F.translate(text, "؟۔،؛", "?.,;")
+
+
+# Corrections of Cantonese text; where several fit, the first from the left, and of those the longest, is made.
+CANTONESE = {
+    "聯繫": "聯繫", "聯係": "聯繫", "系啊": "係啊", "真系": "真係", "唔系": "唔係", "中意": "鍾意", "遊水": "游水", "羣組": "群組", "古仔": "故仔", "較剪": "鉸剪", "衝涼": "沖涼", "分鍾": "分鐘", "重復": "重複",
+    "系": "係", "繫": "係", "呀": "啊", "噶": "㗎", "咧": "呢", "嗬": "喎", "只": "隻", "咯": "囉", "嚇": "吓", "啫": "咋", "哇": "嘩", "着": "著", "嘞": "喇", "啵": "噃", "甕": "㧬", "牀": "床", "松": "鬆", "吵": "嘈",
+}
+_CANTONESE_SPACE = "[\\s\u3000、。，！？「」：；]"
 
 
-def chinese_characters(text: Column) -> Column:
-    """H6: the characters of a text but for CJK punctuation."""
-    return F.filter(F.split(text, ""), lambda c: (c != "") & ~c.isin("，", "。", "！", "？", "、", "；", "：", "「", "」", "『", "』"))
+def cantonese_normal(text: Column, converted: Callable[[Column], Column] = lambda c: c) -> Column:
+    """H5: Cantonese text with ``CANTONESE`` corrected.
+
+    ``converted`` turns simplified into Hong Kong characters; its table is large and the caller's to bring.
+    The text is cut into entries and what stands between, longest entries first, and each entry replaced.
+    """
+    keys = sorted(CANTONESE, key=lambda k: (-len(k), k))
+    parts = F.regexp_extract_all(converted(text), F.lit("(?s)(" + "|".join(keys) + "|.)"), 1)
+    table = F.create_map(*[F.lit(x) for kv in CANTONESE.items() for x in kv])
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(table[x], x)), "")
+
+
+def cantonese_characters(text: Column, converted: Callable[[Column], Column] = lambda c: c) -> Column:
+    """H6: the characters of corrected Cantonese text but for CJK punctuation and white space."""
+    return F.filter(F.split(F.regexp_replace(cantonese_normal(text, converted), _CANTONESE_SPACE, ""), ""), lambda c: c != "")
 
 
 def mor_safe(text: Column) -> Column:
@@ -162,10 +252,11 @@ def mor_safe(text: Column) -> Column:
 
 
 def features_map(feats: Column) -> Column:
-    """Features ``A=x|B=y`` as a map; ``_`` and null have none."""
+    """Features ``A=x|B=y`` as a map; of a repeated name the last value counts, and of ``A=x=y`` what stands between."""
     some = F.filter(F.split(feats, r"\|"), lambda x: F.contains(x, F.lit("=")))
-    entries = F.transform(some, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substring_index(x, "=", -1).alias("value")))
-    return F.map_from_entries(F.when(feats.isNotNull() & (feats != "_"), entries).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+    entries = F.transform(some, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.get(F.split(x, "="), 1).alias("value")))
+    last = lambda es: F.filter(es, lambda e, k: ~F.exists(F.slice(es, k + 2, F.size(es)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(let(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), last))
 
 
 def gra_relation(deprel: Column) -> Column:
@@ -198,6 +289,23 @@ def speaker_index(label: Column) -> Column:
     return F.element_at(F.split(label, "_"), -1).try_cast("int")
 
 
+def is_detectable(text: Column, least: int = 40) -> Column:
+    """Whether a text has enough letters for its language to be told."""
+    return F.regexp_count(F.trim(text), F.lit(r"\p{L}")) >= least
+
+
+def detected_language(text: Column, detect: Callable[[Column], Column], confidence: float = 0.5) -> Column:
+    """The language of a text, null where it is too short or ``detect`` (a struct of lang and confidence) is not sure."""
+    return let(detect(F.trim(text)), lambda d: F.when(is_detectable(text) & (d["confidence"] >= confidence), d["lang"]))
+
+
+def provider_text(text: Column) -> Column:
+    """A recognised segment's text without markers ``<|…|>`` and corner brackets, its stops as single spaces."""
+    out = F.regexp_replace(text, r"(?s)<\|.*?\|>", "")
+    out = F.regexp_replace(out, r"(?s)<\|.*\z", "<|")
+    return F.trim(F.regexp_replace(F.translate(out, "。，！？「」", "    "), r"\s+", " "))
+
+
 def wer_normal(word: Column) -> Column:
     """Lower case without parentheses and hyphens."""
     return F.regexp_replace(F.lower(word), r"[()\-]", "")
@@ -247,6 +355,15 @@ def long_pauses(df: DataFrame) -> DataFrame:
     return df.select("f", "chunk", "i", "word", "a", "b").groupBy("f", "chunk").applyInPandas(fold, "f long, chunk long, i long, word string, a long, b long, part int")
 
 
+def failure_category(error: Column, message: Column) -> Column:
+    """The category of a failure from the kind of its error and its message."""
+    return (
+        F.when(error.isin("ready_timeout", "health_check_failed"), "worker_timeout").when(error.isin("process_exited", "worker_io"), "worker_crash")
+        .when(error == "protocol", F.when(F.contains(message, F.lit("timeout")), "worker_timeout").otherwise("worker_protocol")).when(error == "worker_response", "provider_transient")
+        .when(error == "validation", "validation").when(error == "memory_pressure", "memory_pressure").otherwise("system")
+    )
+
+
 def retryable(category: Column) -> Column:
     """Whether a failure of this category may be tried again."""
     return category.isin("worker_crash", "worker_timeout", "provider_transient")

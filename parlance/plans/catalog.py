@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from parlance.functions import models
-from parlance.operators import align, records, sequence, store, tiers, timing, words
+from parlance.operators import align, records, recovery, sequence, store, tiers, timing, words
 from parlance.sources import chat
 from parlance.streaming import feed
 
@@ -129,31 +129,46 @@ query("d11_utterance_bullets", f"SELECT f, u, least(min(a), min(bs)) AS start_ms
 query("b13_timed_counts", f"SELECT f, count(a) AS timed, count(*) - count(a) AS untimed FROM {U} GROUP BY f")(lambda s, d: timing.timed_counts(_read(s, d, UTT)))
 query("c13_predecessor_end", f"SELECT f, i, last_value(b IGNORE NULLS) OVER (PARTITION BY f ORDER BY i {PREV}) AS prev_end FROM {U}")(lambda s, d: timing.predecessor_end(_read(s, d, UTT)).select("f", "i", "prev_end"))
 _TOK = "SELECT f, i AS tok, a AS start, b AS end FROM"
-query("c7_overlap_join", f"SELECT t.f, w.i AS win, t.i AS tok FROM {U} t JOIN {U} w ON t.f = w.f AND w.i % 20 = 1 AND t.a < w.b + 300 AND t.b > w.a WHERE w.a IS NOT NULL AND t.a IS NOT NULL")(
-    lambda s, d: timing.overlap_join(
-        (u := _read(s, d, UTT).where("a is not null")).select("f", F.col("i").alias("tok"), F.col("a").alias("start"), F.col("b").alias("end")),
-        u.where("i % 20 = 1").select("f", F.col("i").alias("win"), F.col("a").alias("ws"), (F.col("b") + 300).alias("we")),
-    )
-)
-query(
-    "c8_speaker_as_of",
-    f"""SELECT u.f, u.i, coalesce(arg_max(s.speaker, s.seg_idx) FILTER (WHERE s.seg_end <= u.b), arg_min(s.speaker, s.seg_idx)) AS speaker
-    FROM {U} u LEFT JOIN {SG} s ON s.f = u.f WHERE u.b IS NOT NULL AND u.i % 10 = 1 GROUP BY u.f, u.i""",
-)(lambda s, d: timing.speaker_as_of(_read(s, d, UTT).where("b is not null and i % 10 = 1"), _read(s, d, SEG)))
-# The two queries before take every 20th window and every 10th utterance; these take all.
-query("c7_overlap_join_whole", f"SELECT t.f, w.i AS win, t.i AS tok FROM {U} t JOIN {U} w ON t.f = w.f AND t.a < w.b + 300 AND t.b > w.a WHERE w.a IS NOT NULL AND t.a IS NOT NULL")(
-    lambda s, d: timing.overlap_join(
-        (u := _read(s, d, UTT).where("a is not null")).select("f", F.col("i").alias("tok"), F.col("a").alias("start"), F.col("b").alias("end")),
-        u.select("f", F.col("i").alias("win"), F.col("a").alias("ws"), (F.col("b") + 300).alias("we")),
-    )
-)
+_C7 = f"SELECT t.f, w.i AS win, t.i AS tok FROM {U} t JOIN {U} w ON t.f = w.f AND t.a < w.b + 300 AND t.b > w.a WHERE w.a IS NOT NULL AND t.a IS NOT NULL"
+_C8 = f"""SELECT u.f, u.i, coalesce(arg_max(s.speaker, s.seg_idx) FILTER (WHERE s.seg_end <= u.b), arg_min(s.speaker, s.seg_idx)) AS speaker
+    FROM {U} u LEFT JOIN {SG} s ON s.f = u.f WHERE u.b IS NOT NULL GROUP BY u.f, u.i"""
+
+
+def _overlaps(s: SparkSession, d: str) -> DataFrame:
+    u = _read(s, d, UTT).where("a is not null")
+    tokens = u.select("f", F.col("i").alias("tok"), F.col("a").alias("start"), F.col("b").alias("end"))
+    return timing.overlap_join(tokens, u.select("f", F.col("i").alias("win"), F.col("a").alias("ws"), (F.col("b") + 300).alias("we")))
+
+
+def _speakers(s: SparkSession, d: str) -> DataFrame:
+    return timing.speaker_as_of(_read(s, d, UTT).where("b is not null"), _read(s, d, SEG))
+
+
+# Each under two names: those with "_whole" are older.
+for _name in ("c7_overlap_join", "c7_overlap_join_whole"):
+    query(_name, _C7)(_overlaps)
+for _name in ("c8_speaker_as_of", "c8_speaker_as_of_whole"):
+    query(_name, _C8)(_speakers)
+
+#: A fold in SQL: rows of a file in order, with what was carried so far.
+_E5_FOLD = """WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY i) AS k FROM ({rows}) q),
+    r AS (SELECT f, i, k, a, b, w, 0 AS grp, a AS start, w AS words FROM t WHERE k = 1
+    UNION ALL SELECT t.f, t.i, t.k, t.a, t.b, t.w, r.grp + CASE WHEN r.words > 0 AND (t.b <= r.start OR t.b - r.start > 20000) THEN 1 ELSE 0 END,
+    CASE WHEN r.words > 0 AND NOT (t.b <= r.start OR t.b - r.start > 20000) THEN r.start ELSE t.a END,
+    CASE WHEN r.words > 0 AND (t.b <= r.start OR t.b - r.start > 20000) THEN t.w ELSE r.words + t.w END FROM r JOIN t ON t.f = r.f AND t.k = r.k + 1),
+    keep AS (SELECT f, grp FROM r GROUP BY f, grp HAVING sum(w) > 0)
+    SELECT r.f, r.i, r.a, r.b, r.w, CAST(r.grp AS INTEGER) AS grp FROM r JOIN keep USING (f, grp)"""
+query("e5_group_by_duration", _E5_FOLD.format(rows=f"SELECT f, i, a, b, w FROM {U} u WHERE a IS NOT NULL AND b IS NOT NULL"))(lambda s, d: timing.group_by_duration(_read(s, d, UTT), 20_000))
+_E3 = f"""SELECT f, i, CAST(CASE WHEN a IS NOT NULL THEN a WHEN rw = 0 THEN gs ELSE greatest(gs + CAST(floor(wb / rw * greatest(ge - gs, 0)) AS BIGINT) - 2000, 0) END AS BIGINT) AS a,
+    CAST(CASE WHEN b IS NOT NULL THEN b WHEN rw = 0 THEN gs ELSE least(gs + CAST(floor((wb + w) / rw * greatest(ge - gs, 0)) AS BIGINT) + 2000, {TOTAL_MS}) END AS BIGINT) AS b, w
+    FROM (SELECT *, sum(w) OVER (PARTITION BY f, run, a IS NULL) AS rw, coalesce(sum(w) OVER (PARTITION BY f, run, a IS NULL ORDER BY i {PREV}), 0) AS wb FROM ({_GAPS}) x) y"""
+query("e5_group_with_estimates", _E5_FOLD.format(rows=_E3))(lambda s, d: timing.group_by_duration(_read(s, d, UTT), 20_000, TOTAL_MS))
 query(
-    "c8_speaker_as_of_whole",
-    f"""SELECT u.f, u.i, coalesce(arg_max(s.speaker, s.seg_idx) FILTER (WHERE s.seg_end <= u.b), arg_min(s.speaker, s.seg_idx)) AS speaker
-    FROM {U} u LEFT JOIN {SG} s ON s.f = u.f WHERE u.b IS NOT NULL GROUP BY u.f, u.i""",
-)(lambda s, d: timing.speaker_as_of(_read(s, d, UTT).where("b is not null"), _read(s, d, SEG)))
-query("e5_group_by_duration")(lambda s, d: timing.group_by_duration(_read(s, d, UTT), 20_000))
-query("e17_budget_windows")(lambda s, d: timing.budget_windows(_read(s, d, "SELECT user_id % 10 AS part, event_id AS i, event_id % 40 AS n FROM {events}"), 100))
+    "e17_budget_windows",
+    """WITH RECURSIVE t AS (SELECT user_id % 10 AS part, event_id AS i, event_id % 40 AS n, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS k FROM events),
+    r AS (SELECT part, i, k, n, 0 AS win, n AS total FROM t WHERE k = 1 UNION ALL SELECT t.part, t.i, t.k, t.n, r.win + CASE WHEN r.total + t.n > 100 THEN 1 ELSE 0 END,
+    CASE WHEN r.total + t.n > 100 THEN t.n ELSE r.total + t.n END FROM r JOIN t ON t.part = r.part AND t.k = r.k + 1) SELECT part, i, n, CAST(win AS INTEGER) AS win FROM r""",
+)(lambda s, d: timing.budget_windows(_read(s, d, "SELECT user_id % 10 AS part, event_id AS i, event_id % 40 AS n FROM {events}"), 100))
 query("c15_positional_timings", "SELECT f, u, len(ws)::BIGINT AS n, CASE WHEN len(ws) > 0 THEN ws[1] END AS first_word, CASE WHEN len(ws) > 0 THEN u * 100 END AS first_ms FROM (" + D_TURN + ") t")(
     lambda s, d: timing.positional_timings(
         _read(s, d, TURN).withColumn("words", F.when(F.trim("text") == "", F.array().cast("array<string>")).otherwise(F.split(F.trim("text"), r"\s+"))).withColumn("timings", F.transform("words", lambda _, k: F.col("u") * 100 + k))
@@ -177,23 +192,40 @@ query(
 
 
 def _pairs(w: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     n = w.withColumn("second", F.lead("word").over(Window.partitionBy("f", "u").orderBy("p")))
     return n.where("length(word) = 3 and length(second) in (2, 3)").select(F.col("word").alias("first"), "second").distinct()
 
 
 query("e8_long_turns", f"SELECT f, u, p, CAST(floor((row_number() OVER (PARTITION BY f, u ORDER BY p) - 1) / 5) AS BIGINT) AS chunk FROM ({D_WORDS}) t")(lambda s, d: words.long_turns(_words(s, d), 5).select("f", "u", "p", "chunk"))
+#: Words with the marks that utterances end at, also as words of their own and right-to-left, and with separators.
+_MARKED = "CASE WHEN p % 13 = 3 THEN '+...' WHEN p % 17 = 2 THEN '„' WHEN p % 11 = 5 THEN concat(word, '؟') WHEN p % 19 = 4 THEN concat('¿', word) WHEN p % 23 = 6 THEN concat(word, '。') ELSE word END"
+_ENDS = ", ".join("'" + x + "'" for x in (*words.ENDINGS, *words.RTL_MARKS))
 query(
     "e10_into_utterances",
-    f"""WITH w AS (SELECT f, u * 100000 + p AS p, word FROM ({D_WORDS}) t), y AS (SELECT f, p, j, [body, fin][j] AS word FROM (SELECT f, p, regexp_extract(word, '^(.*?)([.?!]?)$', 1) AS body,
-    regexp_extract(word, '^(.*?)([.?!]?)$', 2) AS fin FROM w) z, unnest([1, 2]) AS r(j) WHERE [body, fin][j] <> ''), e AS (SELECT *, CASE WHEN word IN ('.', '?', '!') THEN 1 ELSE 0 END AS fin FROM y),
-    n AS (SELECT *, coalesce(sum(fin) OVER (PARTITION BY f ORDER BY p, j {PREV}), 0)::BIGINT AS utt FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY f, utt ORDER BY p, j) - 1 AS tok FROM n)
-    SELECT f, utt, tok, word FROM k UNION ALL SELECT f, utt, max(tok) + 1 AS tok, '.' AS word FROM k GROUP BY f, utt HAVING max(fin) = 0""",
-)(lambda s, d: words.into_utterances(_words(s, d).selectExpr("f", "u * 100000 + p as p", "word")))
+    f"""WITH w AS (SELECT f, u * 100000 + p AS p, translate(replace({_MARKED}, '。', '.'), '¿¡', '  ') AS word FROM ({D_WORDS}) t),
+    k AS (SELECT *, word IN ({_ENDS}) AS whole, NOT word IN ({_ENDS}) AND right(word, 1) IN ('.', '?', '!', '؟', '۔', '،', '؛') AS cut FROM w),
+    y AS (SELECT f, p, 0 AS j, CASE WHEN cut THEN left(word, length(word) - 1) WHEN whole THEN translate(word, '؟۔،؛', '?.,;') ELSE word END AS word, whole AS fin FROM k
+    UNION ALL SELECT f, p, 1, translate(right(word, 1), '؟۔،؛', '?.,;'), true FROM k WHERE cut),
+    n AS (SELECT *, coalesce(sum(CASE WHEN fin THEN 1 ELSE 0 END) OVER (PARTITION BY f ORDER BY p, j {PREV}), 0)::BIGINT AS utt FROM y),
+    o AS (SELECT *, row_number() OVER (PARTITION BY f, utt ORDER BY p, j) - 1 AS tok, bool_or(fin) OVER (PARTITION BY f, utt) AS closed FROM n),
+    e AS (SELECT *, max(CASE WHEN word NOT IN ('‡', '„', ',') THEN tok END) OVER (PARTITION BY f, utt) AS kept FROM o)
+    SELECT f, utt, tok, word FROM e WHERE closed OR tok <= kept UNION ALL SELECT f, utt, tok + 1, '.' FROM e WHERE NOT closed AND tok = kept""",
+)(lambda s, d: words.into_utterances(_words(s, d).selectExpr("f", "u * 100000 + p as p", f"{_MARKED} as word")))
 query("e13_retraced", f"SELECT f, u, list_aggregate([CASE WHEN x THEN '1' ELSE '0' END FOR x IN r], 'string_agg', '') AS marks FROM {_MARKS} t WHERE len(ws) > 0")(
     lambda s, d: _read(s, d, TURN).where("trim(text) != ''").select("f", "u", F.split(F.trim("text"), r"\s+").alias("ws")).select("f", "u", F.array_join(F.transform(words.retraced(F.col("ws")), lambda x: F.when(x, "1").otherwise("0")), "").alias("marks"))
 )
+_SEPARATED = "CASE WHEN p % 5 = 2 THEN ',' WHEN p % 7 = 6 THEN '.' WHEN p % 4 = 3 THEN prev ELSE word END"
+_D_SEPARATED = f"SELECT f, u, list({_SEPARATED} ORDER BY p) AS ws FROM (SELECT *, coalesce(lag(word, 1) OVER (PARTITION BY f, u ORDER BY p), 'x') AS prev FROM ({D_WORDS}) t) q GROUP BY f, u"
+query(
+    "e13_retraced_words",
+    f"""WITH t AS ({_D_SEPARATED}), c AS (SELECT f, u, ws AS every, list_filter(ws, lambda x: x NOT IN (',', '.', '?', '!', '+...')) AS ws FROM t), z AS (SELECT *, {_RUNS} AS runs FROM c),
+    m AS (SELECT f, u, every, [len([x FOR x IN runs IF x.b <= p AND p < x.e]) > 0 FOR p IN range(len(ws))] AS r FROM z)
+    SELECT f, u, array_to_string([CASE WHEN every[k + 1] IN (',', '.', '?', '!', '+...') THEN '0' WHEN r[len(list_filter(every[1:k], lambda x: x NOT IN (',', '.', '?', '!', '+...'))) + 1] THEN '1' ELSE '0' END FOR k IN range(len(every))], '') AS marks FROM m""",
+)(
+    lambda s, d: _words(s, d).withColumn("prev", F.coalesce(F.lag("word").over(Window.partitionBy("f", "u").orderBy("p")), F.lit("x"))).groupBy("f", "u")
+    .agg(F.transform(F.array_sort(F.collect_list(F.struct("p", F.expr(_SEPARATED).alias("w")))), lambda x: x["w"]).alias("ws"))
+    .select("f", "u", F.array_join(F.transform(words.retraced_words(F.col("ws")), lambda x: F.when(x, "1").otherwise("0")), "").alias("marks"))
+)
 query(
     "e16_combined_letters",
     f"""SELECT f, u, min(p) AS p, string_agg(word, '' ORDER BY p) AS word FROM (SELECT *, sum(fresh) OVER (PARTITION BY f, u ORDER BY p) AS g FROM (SELECT *, CASE WHEN one AND coalesce(lag(one) OVER (PARTITION BY f, u ORDER BY p), false)
@@ -202,12 +234,28 @@ query(
 query("e18_by_assignment", f"SELECT f, u, p, sum(c) OVER (PARTITION BY f, u ORDER BY p)::BIGINT AS part FROM (SELECT *, CASE WHEN g <> lag(g) OVER (PARTITION BY f, u ORDER BY p) THEN 1 ELSE 0 END AS c FROM (SELECT f, u, p, length(word) % 2 AS g FROM ({D_WORDS}) q) t) x")(
     lambda s, d: words.by_assignment(_words(s, d).withColumn("g", F.length("word") % 2)).select("f", "u", "p", "part")
 )
-query("e9_long_pauses")(lambda s, d: words.long_pauses(_words(s, d).selectExpr("f", "u as chunk", "cast(p as bigint) as i", "word", "cast(p * 400 + (p % 3) * 900 as bigint) as a", "cast(p * 400 + (p % 3) * 900 + 200 as bigint) as b")))
+_STARTERS = ", ".join(f"'{x}'" for x in words.STARTERS)
+query(
+    "e9_long_pauses",
+    f"""WITH RECURSIVE t AS (SELECT f, u AS chunk, CAST(p AS BIGINT) AS i, word, p * 400 + (p % 3) * 900 AS a, p * 400 + (p % 3) * 900 + 200 AS b FROM ({D_WORDS}) q),
+    r AS (SELECT f, chunk, i, word, a, b, 0 AS part, 1 AS size FROM t WHERE i = 0 UNION ALL SELECT t.f, t.chunk, t.i, t.word, t.a, t.b,
+    r.part + CASE WHEN r.size >= 2 AND t.a - r.b >= 800 AND s THEN 1 ELSE 0 END, CASE WHEN r.size >= 2 AND t.a - r.b >= 800 AND s THEN 1 ELSE r.size + 1 END
+    FROM r JOIN (SELECT *, lower(regexp_replace(word, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) IN ({_STARTERS}) AS s FROM t) t ON t.f = r.f AND t.chunk = r.chunk AND t.i = r.i + 1)
+    SELECT f, chunk, i, word, a, b, CAST(part AS INTEGER) AS part FROM r""",
+)(lambda s, d: words.long_pauses(_words(s, d).selectExpr("f", "u as chunk", "cast(p as bigint) as i", "word", "cast(p * 400 + (p % 3) * 900 as bigint) as a", "cast(p * 400 + (p % 3) * 900 + 200 as bigint) as b")))
+#: Recognised words: turns as one word each, words with separators inside, words that begin with a hyphen, and some without a span.
+_RECOGNISED = "SELECT f, u * 1000 + p AS i, CASE WHEN p % 5 = 1 THEN concat(word, ',and ¿', word, '？') WHEN p % 7 = 3 THEN concat('-', word) WHEN p % 11 = 4 THEN concat(word, ' ', word) ELSE word END AS word, p * 500 AS a, CASE WHEN p % 6 = 5 THEN p * 500 ELSE p * 500 + 431 END AS b FROM"
 query(
     "h8_proportional_split",
-    """SELECT f, i, j, piece, 1000 + CAST(floor(700 * (hi - length(piece)) / total) AS BIGINT) AS a, 1000 + CAST(floor(700 * hi / total) AS BIGINT) AS b FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY f, i ORDER BY j) AS hi,
-    sum(length(piece)) OVER (PARTITION BY f, i) AS total FROM (SELECT f, i, CAST(j AS INTEGER) AS j, ws[j + 1] AS piece FROM (SELECT f, u AS i, ws FROM (""" + D_TURN + """) t WHERE len(ws) > 0) q, unnest(range(len(ws))) AS r(j)) x) y""",
-)(lambda s, d: words.proportional_split(_read(s, d, TURN).where("trim(text) != ''").selectExpr("f", "u as i", "text as word", "1000L as a", "1700L as b")))
+    f"""WITH w AS ({_RECOGNISED} ({D_WORDS}) t), x AS (SELECT *, regexp_extract_all(translate(word, '¿¡', '  '), '([.?？؟!！,，、،。]|[^\\s.?？؟!！,，、،。]+)', 1) AS raw FROM w),
+    n AS (SELECT *, starts_with(word, '-') AND coalesce(sum(len(raw)) OVER (PARTITION BY f ORDER BY i {PREV}), 0) > 0 AS joins FROM x),
+    p AS (SELECT f, i, word, a, b, joins, k AS j, CASE WHEN joins THEN word ELSE translate(raw[k + 1], '？؟！，、،。', '??!,,,.') END AS piece, NOT joins AND regexp_matches(raw[k + 1], '^[.?？؟!！,，、،。]$') AS mark,
+      len(raw) = 1 AND raw[1] = word AS whole FROM n, unnest(CASE WHEN joins THEN [0] ELSE range(len(raw)) END) AS r(k)),
+    c AS (SELECT *, sum(CASE WHEN mark THEN 0 ELSE length(piece) END) OVER (PARTITION BY f, i) AS total, sum(CASE WHEN mark THEN 0 ELSE length(piece) END) OVER (PARTITION BY f, i ORDER BY j) AS hi FROM p),
+    t AS (SELECT *, CASE WHEN whole AND NOT mark THEN a WHEN b > a AND total > 0 AND NOT mark THEN a + (b - a) * (hi - length(piece)) // total END AS s, CASE WHEN whole AND NOT mark THEN b WHEN b > a AND total > 0 AND NOT mark THEN a + (b - a) * hi // total END AS e FROM c),
+    g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY f ORDER BY i, j) AS own FROM t)
+    SELECT f, first(i ORDER BY i, j) AS i, CAST(first(j ORDER BY i, j) AS INTEGER) AS j, string_agg(piece, '' ORDER BY i, j) AS piece, CAST(list(s ORDER BY i, j)[1] AS BIGINT) AS a, CAST(list(CASE WHEN joins THEN b ELSE e END ORDER BY i, j)[-1] AS BIGINT) AS b FROM g GROUP BY f, own""",
+)(lambda s, d: words.proportional_split(s.sql(_RECOGNISED + " {t}", t=_words(s, d))).selectExpr("cast(f as bigint) as f", "cast(i as bigint) as i", "j", "piece", "cast(a as bigint) as a", "cast(b as bigint) as b"))
 query(
     "c16_word_spans",
     f"""WITH w AS (SELECT f * 1000 + u AS f, p, word FROM ({D_WORDS}) q), a AS (SELECT f, p, sum(length(word)) OVER (PARTITION BY f ORDER BY p) AS hi, sum(length(word)) OVER (PARTITION BY f ORDER BY p) - length(word) AS lo FROM w),
@@ -222,7 +270,9 @@ def _scalar(name: str, source: str, columns: Callable[[], dict], sql: str) -> No
 
 DOC = "SELECT doc_id AS k, text, lang FROM {documents}"
 _scalar("h9_normal_separators", DOC, lambda: {"t": words.normal_separators(F.col("text"))}, "SELECT doc_id AS k, translate(text, '？؟！，、،。¿¡', '??!,,,.') AS t FROM documents")
-_scalar("h10_is_cjk", DOC, lambda: {"c": words.is_cjk(F.concat("text", F.when(F.col("k") % 3 == 0, "語").otherwise("")))}, "SELECT doc_id AS k, doc_id % 3 = 0 AS c FROM documents WHERE text IS NOT NULL")
+_H10 = "SELECT doc_id AS k, CASE doc_id % 7 WHEN 0 THEN concat(text, '語') WHEN 1 THEN concat('ｶﾅ', text) WHEN 2 THEN concat(text, '𠀋') WHEN 3 THEN concat('한', text) WHEN 4 THEN concat(text, '؟۔،؛') WHEN 5 THEN concat('豈', text) ELSE text END AS text FROM {documents}"
+_scalar("h10_is_cjk", _H10, lambda: {"c": words.is_cjk(F.col("text")), "t": words.rtl_ascii(F.col("text"))},
+        f"SELECT k, regexp_matches(text, '[' || chr(13312) || '-' || chr(19903) || chr(19968) || '-' || chr(40959) || chr(63744) || '-' || chr(64255) || chr(131072) || '-' || chr(173791) || ']') AS c, translate(text, '؟۔،؛', '?.,;') AS t FROM {_duck(_H10)} x")
 _scalar("h13_mor_safe", DOC, lambda: {"t": words.mor_safe(F.col("text"))}, r"SELECT doc_id AS k, regexp_replace(regexp_replace(text, '[|#\-&$~]', '_', 'g'), '\s+', '', 'g') AS t FROM documents")
 _scalar("h24_cache_key", DOC, lambda: {"key": words.cache_key(F.lit("translate"), F.col("lang"), F.col("text"))}, "SELECT doc_id AS k, sha256(concat_ws('|', 'translate', lang, text)) AS key FROM documents")
 _scalar("h32_wer_normal", DOC, lambda: {"t": words.wer_normal(F.col("text"))}, r"SELECT doc_id AS k, regexp_replace(lower(text), '[()\-]', '', 'g') AS t FROM documents")
@@ -233,7 +283,10 @@ _scalar("h17_gra_relation", "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN
 _scalar("h26_speaker_index", WORDROW, lambda: {"n": words.speaker_index(F.col("label"))}, "SELECT event_id AS k, CAST(user_id % 10 AS INTEGER) AS n FROM events")
 _scalar("a6_participant_code", WORDROW, lambda: {"code": chat.participant_code(F.col("n"))}, "SELECT event_id AS k, coalesce(['PAR', 'INV', 'CHI', 'MOT', 'FAT', 'SIS', 'BRO', 'GRM'][user_id % 12 + 1], 'SP' || (user_id % 12)) AS code FROM events")
 _scalar("h31_retryable", "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN 'worker_crash' WHEN 1 THEN 'validation' ELSE 'provider_transient' END AS c FROM {events}", lambda: {"again": words.retryable(F.col("c"))}, "SELECT event_id AS k, event_id % 3 <> 1 AS again FROM events")
-_scalar("h14_features_map", "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN '_' ELSE concat('Number=Sing|Person=', user_id % 3) END AS x FROM {events}", lambda: {"person": words.features_map(F.col("x"))["Person"]}, "SELECT event_id AS k, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id % 3 AS VARCHAR) END AS person FROM events")
+_H14 = "SELECT event_id AS k, CASE event_id % 5 WHEN 0 THEN '_' WHEN 1 THEN concat('Number=Sing|Person=', user_id % 3) WHEN 2 THEN concat('Person=1|Number=Plur|Person=', user_id % 3) WHEN 3 THEN concat('Person=', user_id % 3, '=x|Odd') END AS x FROM {events}"
+_scalar("h14_features_map", _H14, lambda: {"person": words.features_map(F.col("x"))["Person"], "n": F.size(words.features_map(F.col("x")))},
+        f"""SELECT k, string_split(list_filter(parts, lambda p: starts_with(p, 'Person='))[-1], '=')[2] AS person, len(list_distinct([string_split(p, '=')[1] FOR p IN parts IF contains(p, '=')]))::INTEGER AS n
+        FROM (SELECT k, string_split(coalesce(x, ''), '|') AS parts FROM {_duck(_H14)} t) q""")
 _scalar("h23_status_marks", WORDROW, lambda: {"m": words.status_marks(F.when(F.col("k") % 3 == 0, "extra_main").when(F.col("k") % 3 == 1, "extra_gold").otherwise("match"), F.col("word"))}, "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '' END || event_type AS m FROM events")
 _scalar("h7_disfluency", "SELECT event_id AS k, CASE event_id % 4 WHEN 0 THEN 'Um' WHEN 1 THEN 'cuz' WHEN 2 THEN 'mm-hmm' ELSE event_type END AS w FROM {events}", lambda: {"w": words.disfluency(F.col("w"))}, "SELECT event_id AS k, CASE event_id % 4 WHEN 0 THEN '&-um' WHEN 1 THEN '(be)cause' WHEN 2 THEN 'mhm' ELSE event_type END AS w FROM events")
 _scalar("h22_chain_marks", "SELECT event_id AS k, event_id % 3 = 0 AS o, event_id % 2 = 0 AS c FROM {events}", lambda: {"m": words.chain_marks(F.array(F.array(F.struct((F.col("k") % 5).alias("chain_id"), F.col("o").alias("is_start"), F.col("c").alias("is_end"))), F.array().cast("array<struct<chain_id:bigint,is_start:boolean,is_end:boolean>>")))}, "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN '(' ELSE '' END || (event_id % 5) || CASE WHEN event_id % 2 = 0 THEN ')' ELSE '' END || ', -' AS m FROM events")
@@ -256,8 +309,23 @@ def _edits(s: SparkSession, d: str) -> DataFrame:
 
 query("c1_alignment")(_edits)
 query("c2_character_alignment")(lambda s, d: _read(s, d, "SELECT item_id AS f, text FROM {benchmark}").select("f", F.split("text", "").alias("x"), F.split(F.expr("substring(text, 3)"), "").alias("y")).select("f", F.explode(align.alignment(F.col("x"), F.col("y"))).alias("e")).select("f", "e.*"))
-query("c3_similarity")(lambda s, d: _compared(s, d).select("f", F.posexplode(F.arrays_zip("gold", F.slice("main", 1, F.size("gold")).alias("m"))).alias("p", "z")).select("f", "p", align.similarity(F.col("z.gold"), F.col("z.m")).alias("sim")))
-query("d1_edit_metrics")(lambda s, d: align.edit_metrics(_edits(s, d)))
+query(
+    "c3_similarity",
+    f"""WITH t AS (SELECT item_id AS f, CASE WHEN trim(text) = '' THEN [''] ELSE regexp_split_to_array(trim(text), '\\s+') END AS gold FROM benchmark WHERE text IS NOT NULL),
+    m AS (SELECT f, gold, [CASE WHEN k % 7 = 3 THEN gold[k + 1] || 'x' ELSE gold[k + 1] END FOR k IN range(len(gold)) IF k % 7 = 3 OR k % 11 <> 5] AS main FROM t)
+    SELECT f, CAST(p AS INTEGER) AS p, CASE WHEN p < len(main) THEN jaro_winkler_similarity(lower(gold[p + 1]), lower(main[p + 1])) END AS sim FROM m, unnest(range(len(gold))) AS r(p)""",
+)(lambda s, d: _compared(s, d).select("f", F.posexplode(F.arrays_zip("gold", F.slice("main", 1, F.size("gold")).alias("m"))).alias("p", "z")).select("f", "p", align.similarity(F.col("z.gold"), F.col("z.m")).alias("sim")))
+#: Longest common subsequences, a row of their table at a time: without a substitution that costs less than two gaps, the edits follow from their length.
+query(
+    "d1_edit_metrics",
+    f"""WITH RECURSIVE t AS (SELECT item_id AS f, CASE WHEN trim(text) = '' THEN [''] ELSE regexp_split_to_array(trim(text), '\\s+') END AS gold FROM benchmark WHERE text IS NOT NULL),
+    m AS (SELECT f, [lower(x) FOR x IN gold] AS g, [lower(CASE WHEN k % 7 = 3 THEN gold[k + 1] || 'x' ELSE gold[k + 1] END) FOR k IN range(len(gold)) IF k % 7 = 3 OR k % 11 <> 5] AS h FROM t),
+    r AS (SELECT f, g, h, 0 AS i, [0 FOR x IN range(len(h) + 1)] AS row FROM m UNION ALL
+    SELECT f, g, h, i + 1, [list_max(c[1:j]) FOR j IN range(1, len(c) + 1)] FROM (SELECT f, g, h, i, list_prepend(0, [greatest(row[j + 1], row[j] + CASE WHEN g[i + 1] = h[j] THEN 1 ELSE 0 END) FOR j IN range(1, len(h) + 1)]) AS c FROM r WHERE i < len(g)) x),
+    n AS (SELECT f, len(g) AS gold, len(h) AS main, row[len(h) + 1] AS matches FROM r WHERE i = len(g))
+    SELECT f, matches::BIGINT AS matches, (main - matches)::BIGINT AS insertions, (gold - matches)::BIGINT AS deletions, gold::BIGINT AS gold, CASE WHEN gold = 0 THEN 0.0 ELSE (main + gold - 2 * matches) / gold END AS wer,
+    greatest(0.0, least(1.0, 1 - CASE WHEN gold = 0 THEN 0.0 ELSE (main + gold - 2 * matches) / gold END)) AS accuracy FROM n""",
+)(lambda s, d: align.edit_metrics(_edits(s, d)))
 _STATUS = "SELECT CASE event_id % 4 WHEN 0 THEN 'noun' WHEN 1 THEN 'PUNCT' WHEN 2 THEN 'verb' END AS pos, CASE user_id % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'extra_main' ELSE 'extra_gold' END AS status FROM {events}"
 query("d2_category_errors", f"SELECT p AS pos, count(*) FILTER (status = 'match') AS matches, count(*) FILTER (status = 'extra_main') AS insertions, count(*) FILTER (status = 'extra_gold') AS deletions, count(*) FILTER (status IN ('match', 'extra_gold')) AS total FROM (SELECT coalesce(upper(pos), '?') AS p, status FROM {_duck(_STATUS)}) t WHERE p <> 'PUNCT' GROUP BY p")(
     lambda s, d: align.category_errors(_read(s, d, _STATUS))
@@ -322,9 +390,6 @@ def _transcripts(s: SparkSession, d: str) -> DataFrame:
 query("a1_parse_chat", "SELECT conv_id AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS utt_idx, CASE role WHEN 'user' THEN 'PAR' WHEN 'assistant' THEN 'INV' ELSE 'SP9' END AS speaker, '.' AS terminator, turn * 1000 AS start_ms, turn * 1000 + 900 AS end_ms FROM conversations")(
     lambda s, d: chat.utterances(chat.parse_lines(_transcripts(s, d))).select("file_id", "utt_idx", "speaker", "terminator", "start_ms", "end_ms")
 )
-query("a5_build_chat", "SELECT conv_id AS file_id, count(*) + 5 AS n_lines FROM conversations GROUP BY conv_id")(lambda s, d: _transcripts(s, d).select("file_id", (F.size(F.split("text", "\n")) - 1).cast("long").alias("n_lines")))
-query("b5_undeclared_speakers", "SELECT conv_id AS file_id, 'PAR' AS speaker FROM conversations WHERE false")(lambda s, d: chat.undeclared_speakers(chat.parse_lines(_transcripts(s, d))))
-query("a3_options", "SELECT DISTINCT conv_id AS file_id, false AS dummy, false AS no_align FROM conversations")(lambda s, d: chat.options(chat.parse_lines(_transcripts(s, d))))
 _FEED = "SELECT user_id % 100 AS job_id, event_type AS status, event_id FROM {events}"
 query("s1_status_changes", "SELECT user_id % 100 AS job_id, event_type AS status, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1, 2")(lambda s, d: _streamed(s, d))
 
@@ -351,7 +416,6 @@ def _cached(s: SparkSession, d: str) -> DataFrame:
 
 # --- sequential algorithms ---------------------------------------------------------------
 
-query("h1_conformed")(lambda s, d: _read(s, d, TURN).select("f", "u", F.explode(sequence.conformed(F.split(F.trim("text"), r"\s+"))).alias("word")))
 query("d3_word_error_rate")(lambda s, d: _compared(s, d).select("f", sequence.word_error_rate(F.col("main"), F.col("gold")).alias("e")).select("f", "e.*"))
 
 
@@ -360,7 +424,6 @@ def _tens(words: str) -> Column:
     return F.expr(f"if(size({words}) > 0, transform(sequence(1, size({words}), 10), k -> slice({words}, k, 10)), array())")
 
 
-query("c5_compare")(lambda s, d: sequence.compared(_compared(s, d).select("f", "main", _tens("gold").alias("gold"))))
 _UTTS = "SELECT conv_id AS f, turn, named_struct('speaker', role, 'text', coalesce(text, ''), 'timing', turn) AS u, named_struct('speaker', CASE WHEN turn % 5 = 4 THEN 'other' ELSE role END, 'text', CASE WHEN turn % 4 = 2 THEN 'changed' ELSE coalesce(text, '') END, 'timing', turn + turn % 2) AS v FROM {conversations}"
 
 
@@ -369,25 +432,24 @@ def _deltas(s: SparkSession, d: str) -> DataFrame:
     return sequence.diffed(_read(s, d, _UTTS).groupBy("f").agg(listed("u").alias("before"), listed("v").alias("after")))
 
 
-query("c19_transcript_diff")(_deltas)
-query("d7_diff_summary")(lambda s, d: sequence.diff_summary(_deltas(s, d)))
-
-
-@query("c10_recovered_timing")
-def _recovered(s: SparkSession, d: str) -> DataFrame:
-    w = _words(s, d).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("u", "p", "word"))).alias("w"))
-    spoken = F.filter("w", lambda x: x["p"] % 5 != 3)
-    tokens = F.transform(spoken, lambda x, k: F.struct(x["word"].alias("text"), (k * 300).cast("long").alias("start_ms"), (k * 300 + 250).cast("long").alias("end_ms")))
-    return sequence.recovered_timing(w.select("f", F.transform("w", lambda x: F.struct(x["u"].cast("int").alias("u"), x["word"].alias("word"))).alias("words"), tokens.alias("tokens")))
+_C19 = """SELECT conv_id AS f, CASE WHEN turn % 4 = 2 THEN 'words_changed' WHEN turn % 5 = 4 THEN 'speaker_changed' WHEN turn % 2 = 1 THEN 'timing_only' ELSE 'unchanged' END AS kind, k AS before_idx, k AS after_idx,
+    turn % 2 = 1 AS timing_changed FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS k FROM conversations) c"""
+query("c19_transcript_diff", _C19)(_deltas)
+query("d7_diff_summary", "SELECT f, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("unchanged", "words_changed", "timing_only", "speaker_changed", "inserted", "deleted")) + f" FROM ({_C19}) d GROUP BY f")(lambda s, d: sequence.diff_summary(_deltas(s, d)))
 
 
 query("c12_needs_two_passes", "SELECT conv_id AS f, bool_or(turn % 6 = 5) AS two_pass FROM conversations GROUP BY conv_id")(
-    lambda s, d: sequence.needs_two_passes(_read(s, d, "SELECT conv_id AS f, turn % 6 = 5 AS lazy_overlap, coalesce(text, '') AS text FROM {conversations}"))
+    lambda s, d: recovery.needs_two_passes(_read(s, d, "SELECT conv_id AS f, turn % 6 = 5 AS lazy_overlap, coalesce(text, '') AS text FROM {conversations}"))
 )
 _scalar("c17_length_mapping", "SELECT event_id AS k, cast(1 + event_id % 7 as int) AS w, cast(1 + user_id % 9 as int) AS t FROM {events}", lambda: {"m": F.array_join(F.transform(sequence.length_mapping(F.col("w"), F.col("t")), lambda x: F.array_join(x.cast("array<string>"), " ")), ",")},
         "SELECT k, array_to_string([array_to_string(range(i * t // w, greatest((i + 1) * t // w, least(i * t // w + 1, t))), ' ') FOR i IN range(w)], ',') AS m FROM (SELECT event_id AS k, 1 + event_id % 7 AS w, 1 + user_id % 9 AS t FROM events) x")
-query("h4_chinese_numbers")(lambda s, d: _read(s, d, "SELECT o_orderkey AS k, o_orderkey * 1003 AS n FROM {orders}").select("k", sequence.chinese_numbers(F.col("n")).alias("t")))
-query("h19_graph_problems")(lambda s, d: _read(s, d, "SELECT event_id AS k, array(cast(event_id % 4 as int), cast(user_id % 5 as int), 1) AS heads FROM {events}").select("k", sequence.graph_problems(F.col("heads")).alias("problem")))
+query(
+    "h4_chinese_numbers",
+    """WITH d AS (SELECT o_orderkey AS k, [CAST(substr(lpad(CAST(o_orderkey * 1003 AS VARCHAR), 8, '0'), i, 1) AS INTEGER) FOR i IN range(1, 9)] AS ds FROM orders),
+    p AS (SELECT k, ds, [CASE WHEN ds[i] = 0 THEN '' ELSE CASE WHEN i NOT IN (1, 5) AND ds[i - 1] = 0 AND list_sum(ds[1:i - 1]) > 0 THEN '零' ELSE '' END
+    || CASE WHEN ds[i] = 1 AND i IN (3, 7) AND list_sum(ds[1:i - 1]) = 0 THEN '' ELSE substr('一二三四五六七八九', ds[i], 1) END || ['千', '百', '十', ''][(i - 1) % 4 + 1] END FOR i IN range(1, 9)] AS ps FROM d)
+    SELECT k, array_to_string(ps[1:4], '') || CASE WHEN list_sum(ds[1:4]) > 0 THEN '万' ELSE '' END || array_to_string(ps[5:8], '') || CASE WHEN k = 0 THEN '零' ELSE '' END AS t FROM p""",
+)(lambda s, d: _read(s, d, "SELECT o_orderkey AS k, o_orderkey * 1003 AS n FROM {orders}").select("k", sequence.chinese_numbers(F.col("n")).alias("t")))
 query("e19_reusable_words", f"SELECT f, u, bool_and(a IS NOT NULL) AND count(*) = max(n) AS reusable FROM (SELECT user_id % 10 AS f, event_id % 500 AS u, CASE WHEN event_id % 9 <> 0 THEN 1 END AS a, 2 + event_id % 2 AS n FROM events) x GROUP BY f, u")(
     lambda s, d: sequence.reusable_words(_read(s, d, "SELECT user_id % 10 AS f, event_id % 500 AS u, CASE WHEN event_id % 9 <> 0 THEN 1 END AS a, 2 + event_id % 2 AS n_words FROM {events}"))
 )
@@ -395,27 +457,8 @@ _scalar("h30_diarization_line", "SELECT event_id AS k, concat('SPEAKER file 1 ',
         "SELECT event_id AS k, 'S' || (user_id % 3) AS speaker, event_id * 1000 + 2750 AS end_ms FROM events")
 
 
-query("e14_utterance_groups")(lambda s, d: _read(s, d, "SELECT event_id AS k, concat('(S (S (NP a b) (VP c)) (CC and) (S (NP d) (VP e f', if(event_id % 3 = 0, '', ')'), '))') AS t FROM {events}").select("k", F.array_join(sequence.utterance_groups_of(F.array("t"), F.lit(7)), "").alias("g")))
-query("e15_letters_merged", "SELECT event_id AS k, CASE WHEN event_id % 2 = 0 THEN 'the FBI A x' ELSE 'US B' END AS w FROM events")(
-    lambda s, d: _read(s, d, "SELECT event_id AS k, CASE WHEN event_id % 2 = 0 THEN 'the F B I A x' ELSE 'U S B' END AS w FROM {events}").select("k", F.array_join(sequence.letters_merged(F.split("w", " "), frozenset({"FBI", "US", "FB"})), " ").alias("w"))
-)
-#: Names of English numbers, for the query below; callers bring their own language's.
-ENGLISH = dict(zip([*range(1, 21), *range(30, 100, 10), 100, 1000, 10**6], "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split(), strict=True))
-query("h2_spoken_numbers")(lambda s, d: _read(s, d, "SELECT l_orderkey AS k, l_linenumber AS n, cast(cast(l_quantity as bigint) * 137 as string) AS w FROM {lineitem}").select("k", "n", F.array_join(sequence.spoken_numbers(F.array("w"), ENGLISH), " ").alias("w")))
-
 # --- files, tiers, timings, reports --------------------------------------------------------
 
-_ELEMENTS = "SELECT user_id % 10 AS f, event_id AS i, CASE WHEN event_id % 5 = 0 THEN '<pause>' WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS value, event_id * 0.5 AS ts, event_id * 0.5 + (event_id % 3) * 0.25 AS end_ts FROM {events}"
-query("b3_timed_elements", "SELECT user_id % 10 AS f, event_id AS i, event_type AS value, CASE WHEN event_id % 3 > 0 THEN event_id * 500 END AS start_ms, CASE WHEN event_id % 3 > 0 THEN event_id * 500 + (event_id % 3) * 250 END AS end_ms FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")(
-    lambda s, d: records.timed_elements(_read(s, d, _ELEMENTS))
-)
-_GATE = "SELECT conv_id AS f, turn AS i, role AS speaker, CASE WHEN turn % 6 = 5 THEN ' ' ELSE 'x' END AS text, turn % 4 AS a, turn % 5 AS b FROM {conversations}"
-query("b4_violations", "SELECT conv_id AS f, turn AS i, 0 AS level, 'empty' AS problem FROM conversations WHERE turn % 6 = 5 UNION ALL SELECT conv_id, turn, 1, 'speaker' FROM conversations WHERE role = 'system' UNION ALL SELECT conv_id, turn, 2, 'timing' FROM conversations WHERE turn % 5 < turn % 4")(
-    lambda s, d: records.violations((u := _read(s, d, _GATE)), u.where("speaker != 'system'").select("f", "speaker"))
-)
-query("b4_passing", "SELECT conv_id AS f, turn AS i FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn % 6 = 5 OR role = 'system')")(
-    lambda s, d: records.passing((u := _read(s, d, _GATE)), records.violations(u, u.where("speaker != 'system'").select("f", "speaker")), 1).select("f", "i")
-)
 query("a9_media_of", "SELECT concat('d/', p_partkey, '.cha') AS path, CASE WHEN p_partkey % 2 = 0 THEN concat('d/', p_partkey, '.mp3') WHEN p_partkey % 3 = 0 THEN concat('d/', p_partkey, '.wav') END AS media FROM part")(
     lambda s, d: records.media_of(_read(s, d, "SELECT concat('d/', p_partkey, '.cha') AS path FROM {part}"), _read(s, d, "SELECT concat('d/', p_partkey, '.wav') AS path FROM {part} WHERE p_partkey % 3 = 0 UNION ALL SELECT concat('d/', p_partkey, '.mp3') FROM {part} WHERE p_partkey % 2 = 0"))
 )
@@ -451,9 +494,16 @@ query("h27_stanza_word", "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN
 )
 
 
+def _every() -> None:
+    """Registers the other modules' queries, which take their helpers from here."""
+    from parlance.plans import transcripts  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _every()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _every()
     return dict(_SQL)

@@ -40,6 +40,11 @@ def strict_lines(files: DataFrame) -> DataFrame:
 
 def utterances(lines: DataFrame) -> DataFrame:
     """Rows (file_id, utt_idx, speaker, lang, text, terminator, start_ms, end_ms, lazy_overlap)."""
+    return utterance_lines(lines).drop("line_idx")
+
+
+def utterance_lines(lines: DataFrame) -> DataFrame:
+    """As ``utterances``, with ``line_idx``: rows (file_id, utt_idx, line_idx, speaker, lang, text, terminator, start_ms, end_ms, lazy_overlap)."""
     w = Window.partitionBy("file_id").orderBy("line_idx")
     u = lines.where("kind = 'utterance'").withColumn("utt_idx", (F.row_number().over(w) - 1).cast("long"))
     bullet = lambda k: F.regexp_extract("value", f"{NAK}([0-9]+)_([0-9]+){NAK}", k).try_cast("long")
@@ -48,11 +53,44 @@ def utterances(lines: DataFrame) -> DataFrame:
     plain = F.trim(F.regexp_replace(F.regexp_replace(body, r"^\[- [a-z]+\]\s*", ""), r"^\+<\s*", ""))
     end = F.nullif(F.regexp_extract(plain, _TERMINATORS + "$", 1), F.lit(""))
     return u.select(
-        "file_id", "utt_idx", F.col("key").alias("speaker"), lang.alias("lang"), F.trim(F.regexp_replace(plain, _TERMINATORS + "$", "")).alias("text"),
+        "file_id", "utt_idx", "line_idx", F.col("key").alias("speaker"), lang.alias("lang"), F.trim(F.regexp_replace(plain, _TERMINATORS + "$", "")).alias("text"),
         end.alias("terminator"), bullet(1).alias("start_ms"), bullet(2).alias("end_ms"), F.rlike(body, F.lit(r"^(\[- [a-z]+\]\s*)?\+<")).alias("lazy_overlap"),
     )
 
 
+def main_tier(text: Column) -> Column:
+    """A1: the items (text, kind) of a main tier: ``word``, ``annotated`` (a word with a note behind it), ``mark`` (a separator with a tag), ``other``.
+
+    Groups in angle brackets are opened: their words count as words.  Notes in square brackets, events,
+    pauses, linkers and terminators are ``other``.
+    """
+    marks, note = ("‡", "„", ","), r"^\["
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(r"(\[[^\]]*\]|\+<|[^\s<>\[\]]+|[<>])"), 1), lambda x: ~x.isin("<", ">"))
+
+    def item(x: Column, k: Column) -> Column:
+        noted = F.rlike(F.coalesce(F.get(tokens, k + 1), F.lit("")), F.lit(note))
+        kind = (
+            F.when(x.isin(*marks), "mark").when(F.rlike(x, F.lit(rf"{note}|^\(\.+\)$|^&|^0|^(xxx|yyy|www)$|^{_TERMINATORS}$|^\+[<^,+\"]|^[⌈⌉⌊⌋↓↑]+$|{NAK}")), "other")
+            .when(noted, "annotated").otherwise("word")
+        )
+        return F.struct(x.alias("text"), kind.alias("kind"))
+
+    return F.transform(tokens, item)
+
+
+def alignable(text: Column, domain: str = "mor") -> Column:
+    """B1: the words of a main tier that a tier of a domain has items for: ``mor`` (with separators), ``wor`` (with fillers ``&-`` too), ``pho``, ``sin``."""
+    items = main_tier(text)
+    word = lambda x: x["kind"].isin("word", "annotated")
+    if domain == "mor":
+        kept = F.filter(items, lambda x: word(x) | (x["kind"] == "mark"))
+    elif domain == "wor":
+        kept = F.filter(items, lambda x: word(x) | F.startswith(x["text"], F.lit("&-")))
+    else:
+        kept = F.filter(items, word)
+    return F.transform(kept, lambda x: x["text"])
+
+
 def options(lines: DataFrame) -> DataFrame:
     """A3: rows (file_id, dummy, no_align) from ``@Options`` headers."""
     has = lambda name: F.coalesce(F.bool_or((F.col("kind") == "header") & (F.col("key") == "Options") & F.array_contains(F.split("value", r",\s*"), name)), F.lit(False))
@@ -79,13 +117,56 @@ def serialize(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file_id").agg(F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("text"))
 
 
-def build(utts: DataFrame, language: str = "eng") -> DataFrame:
-    """A5: transcripts from rows (file_id, utt_idx, speaker index, text, start_ms, end_ms)."""
+def build(utts: DataFrame, language: str = "eng", media: str | None = None, kind: str = "audio", corpus: str = "corpus_name") -> DataFrame:
+    """Transcripts from rows (file_id, utt_idx, speaker index, text, start_ms, end_ms), and ``lang`` if some differ."""
     code = participant_code(F.col("speaker"))
+    own = F.when(F.col("lang") != language, F.concat(F.lit("[- "), "lang", F.lit("] "))).otherwise("") if "lang" in utts.columns else F.lit("")
     bullet = F.when(F.col("start_ms").isNotNull(), F.concat(F.lit(f" {NAK}"), "start_ms", F.lit("_"), "end_ms", F.lit(NAK))).otherwise("")
-    body = utts.select("file_id", (F.col("utt_idx") + 10).alias("line_idx"), F.concat(F.lit("*"), code, F.lit(":\t"), "text", F.lit(" ."), bullet).alias("line"))
-    who = utts.select("file_id", "speaker", code.alias("code")).distinct().groupBy("file_id")
-    who = who.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("speaker", "code"))), lambda x: F.concat(x["code"], F.lit(" Participant"))), ", ").alias("people"))
-    head = who.select("file_id", F.posexplode(F.array(F.lit("@UTF8"), F.lit("@Begin"), F.lit(f"@Languages:\t{language}"), F.concat(F.lit("@Participants:\t"), "people"))).alias("line_idx", "line"))
-    tail = who.select("file_id", F.lit(1 << 40).alias("line_idx"), F.lit("@End").alias("line"))
-    return serialize(head.withColumn("line_idx", F.col("line_idx").cast("long")).unionByName(body).unionByName(tail))
+    end = F.when(F.rlike(F.col("text"), F.lit(_TERMINATORS + "$")), "").otherwise(" .")
+    body = utts.select("file_id", (F.col("utt_idx") + (1 << 20)).alias("line_idx"), F.concat(F.lit("*"), code, F.lit(":\t"), own, "text", end, bullet).alias("line"))
+    who = utts.select("file_id", "speaker", code.alias("code")).distinct().groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "code"))).alias("who"))
+    return serialize(_framed(who, F.transform("who", lambda x: F.struct(x["code"].alias("id"), F.lit("Participant").alias("role"), F.lit(corpus).alias("corpus"))), F.lit(language), F.lit(media), F.lit(kind)).unionByName(body))
+
+
+def _framed(files: DataFrame, people: Column, languages: Column, media: Column, kind: Column) -> DataFrame:
+    """Header and end lines of files from participants (id, role, corpus)."""
+    named = F.array_join(F.transform(people, lambda p: F.concat(p["id"], F.lit(" Participant"), F.when(p["role"] == "Participant", "").otherwise(F.concat(F.lit(" "), p["role"])))), ", ")
+    first = F.substring_index(languages, ",", 1)
+    ids = F.transform(people, lambda p: F.concat(F.lit("@ID:\t"), first, F.lit("|"), p["corpus"], F.lit("|"), p["id"], F.lit("|||||"), p["role"], F.lit("|||")))
+    stem = F.regexp_replace(F.regexp_extract(media, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    head = F.concat(
+        F.array(F.lit("@UTF8"), F.lit("@Begin"), F.concat(F.lit("@Languages:\t"), languages), F.concat(F.lit("@Participants:\t"), named)), ids,
+        F.when(media.isNotNull(), F.array(F.concat(F.lit("@Media:\t"), stem, F.lit(", "), F.coalesce(kind, F.lit("audio"))))).otherwise(F.array().cast("array<string>")),
+    )
+    top = files.select("file_id", F.posexplode(head).alias("line_idx", "line")).withColumn("line_idx", F.col("line_idx").cast("long"))
+    return top.unionByName(files.select("file_id", F.lit(1 << 60).alias("line_idx"), F.lit("@End").alias("line")))
+
+
+#: A transcript as JSON.
+DESCRIPTION = (
+    "struct<langs:array<string>,participants:array<struct<id:string,name:string,role:string,corpus:string>>,media_name:string,media_type:string,"
+    "utterances:array<struct<speaker:string,text:string,words:array<struct<text:string,start_ms:bigint,end_ms:bigint>>,start_ms:bigint,end_ms:bigint,lang:string>>>"
+)
+
+
+def build_from_json(df: DataFrame) -> DataFrame:
+    """A5: transcripts from rows (file_id, json); a file without participants is an error.
+
+    An utterance of words is timed by its first start and last end; one without words or text is left out.
+    """
+    d = df.select("file_id", F.from_json("json", DESCRIPTION).alias("d"))
+    ok = F.assert_true(F.size(F.coalesce("d.participants", F.array())) > 0, "at least one participant is required")
+    langs = F.when(F.size(F.coalesce("d.langs", F.array())) > 0, F.array_join("d.langs", ", ")).otherwise("eng")
+    d = d.withColumn("langs", F.when(ok.isNull(), langs))
+    part = F.lit("Participant")
+    people = F.transform("d.participants", lambda p: F.struct(p["id"].alias("id"), F.coalesce(p["role"], part).alias("role"), F.coalesce(p["corpus"], F.lit("corpus_name")).alias("corpus")))
+    u = d.select("file_id", "langs", F.posexplode("d.utterances").alias("k", "u"))
+    words = F.coalesce("u.words", F.array())
+    body = F.when(F.size(words) > 0, F.array_join(F.transform(words, lambda w: w["text"]), " ")).otherwise(F.col("u.text"))
+    starts, ends = F.filter(F.transform(words, lambda w: w["start_ms"]), lambda x: x.isNotNull()), F.filter(F.transform(words, lambda w: w["end_ms"]), lambda x: x.isNotNull())
+    start, end = F.coalesce(F.get(starts, 0), "u.start_ms"), F.coalesce(F.get(ends, F.size(ends) - 1), "u.end_ms")
+    bullet = F.when(start.isNotNull() & end.isNotNull(), F.concat(F.lit(f" {NAK}"), start, F.lit("_"), end, F.lit(NAK))).otherwise("")
+    own = F.when(F.col("u.lang") != F.substring_index("langs", ",", 1), F.concat(F.lit("[- "), "u.lang", F.lit("] "))).otherwise("")
+    stop = F.when(F.rlike(body, F.lit(_TERMINATORS + "$")), "").otherwise(" .")
+    lines = u.where(F.coalesce(body, F.lit("")) != "").select("file_id", (F.col("k") + (1 << 20)).cast("long").alias("line_idx"), F.concat(F.lit("*"), "u.speaker", F.lit(":\t"), own, body, stop, bullet).alias("line"))
+    return serialize(_framed(d, people, F.col("langs"), F.col("d.media_name"), F.col("d.media_type")).unionByName(lines))
