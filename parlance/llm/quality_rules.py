@@ -7,7 +7,7 @@ and a fixed threshold decides every document.  Everything runs as built-in expre
 
 Results for odd input: a null text counts as empty; an empty text has no words, fails the
 base rules and has score 0.  Rows are judged one by one, so repeated rows get equal
-results, and columns other than ``doc_id`` and ``text`` are ignored.  An empty table, or one
+results, and columns other than ``doc_id`` and ``text`` are ignored, whatever their names.  An empty table, or one
 without trusted rows, gives ratios of 0, and only the base rules decide.
 """
 
@@ -28,48 +28,51 @@ THRESHOLD = -0.1
 MIN_WORDS = 50
 
 
-#: Bits below a window's hash that hold its position; longer texts are sorted as structs.
-POSITION_BITS = 20
+#: Bits of a window's hash that are sorted, above its position; what they hold to be equal is then compared word by word.
+HASH_BITS = 32
 
 #: Hashes of the pairs of neighbouring words, from ``wh``.
 PAIRS = "zip_with(slice(wh, 1, greatest(size(wh) - 1, 0)), slice(wh, 2, size(wh)), (a, b) -> xxhash64(a, b))"
 
 
 def _hashed(df: DataFrame) -> DataFrame:
-    """Adds ``words`` and ``wh``, the hash of each word."""
-    df = df.withColumn("words", words_of(text_of()))
+    """Adds ``words`` and ``wh``, the hash of each word.
+
+    An outer explode of one element binds the words, so that later steps don't split the text anew.
+    """
+    df = df.withColumn("words", F.explode_outer(F.array(words_of(text_of()))))
     return df.withColumn("wh", F.expr("transform(words, w -> xxhash64(w))"))
 
 
 def base_counts(df: DataFrame) -> DataFrame:
-    """Adds ``wh`` and the counts that the base rules read to rows with a ``text``.
+    """Rows (row, text, wh, and the counts that the base rules read) from rows (row, text).
 
-    Three-word windows are found twice by sorting their hashes with their positions packed
-    into the same long; the positions that stand in such windows are then counted by gaps.
+    Windows of three words are sorted by their hashes, with their positions packed into the
+    same long.  Those whose hashes meet are few and are sorted once more by their words, so
+    that only equal windows count as found again; the positions that stand in such windows
+    are then counted by gaps.
     """
-    bits, low = POSITION_BITS, (1 << POSITION_BITS) - 1
-    df = _hashed(df)
-    df = df.withColumn("n_words", F.size("words").cast("long"))
-    df = df.withColumn("wide", F.col("n_words") > low)
+    low = 64 - HASH_BITS
+    df = _hashed(df.select("row", "text"))
     df = df.withColumn("windows", F.expr("zip_with(zip_with(slice(wh, 1, greatest(size(wh) - 2, 0)), slice(wh, 2, greatest(size(wh) - 2, 0)), (a, b) -> xxhash64(a, b)), slice(wh, 3, greatest(size(wh) - 2, 0)), (a, b) -> xxhash64(a, b))"))
-    df = df.withColumn("packed", F.expr(f"sort_array(if(wide, cast(array() as array<bigint>), transform(windows, (h, i) -> shiftleft(shiftright(h, {bits}), {bits}) | i)))"))
-    df = df.withColumn("structs", F.expr("sort_array(if(wide, transform(windows, (h, i) -> named_struct('h', h, 'i', i)), cast(array() as array<struct<h: bigint, i: int>>)))"))
-    # Lambdas see only their own arguments, so that an optimizer that inlines columns can't make them quadratic.
+    df = df.withColumn("packed", F.expr(f"sort_array(transform(windows, (h, i) -> shiftleft(shiftright(h, {low}), {low}) | i))"))
+    met = F.expr(
+        f"""array_distinct(flatten(filter(zip_with(slice(packed, 1, greatest(size(packed) - 1, 0)), slice(packed, 2, size(packed)),
+          (x, y) -> if(shiftright(x, {low}) = shiftright(y, {low}), array(cast(x & {(1 << low) - 1} as int), cast(y & {(1 << low) - 1} as int)), null)), x -> x is not null)))"""
+    )
+    df = df.withColumn("met", F.explode_outer(F.array(met)))  # bound, as the words are
+    df = df.withColumn("spelled", F.expr("sort_array(transform(met, i -> named_struct('w', concat_ws(' ', slice(words, i + 1, 3)), 'i', i)))"))
     df = df.withColumn(
         "again",
         F.expr(
-            f"""sort_array(array_distinct(flatten(filter(if(wide,
-              zip_with(slice(structs, 1, greatest(size(structs) - 1, 0)), slice(structs, 2, size(structs)),
-                (x, y) -> if(x.h = y.h, array(x.i, y.i), null)),
-              zip_with(slice(packed, 1, greatest(size(packed) - 1, 0)), slice(packed, 2, size(packed)),
-                (x, y) -> if(shiftright(x, {bits}) = shiftright(y, {bits}), array(cast(x & {low} as int), cast(y & {low} as int)), null))),
-              x -> x is not null))))"""
+            """sort_array(array_distinct(flatten(filter(zip_with(slice(spelled, 1, greatest(size(spelled) - 1, 0)), slice(spelled, 2, size(spelled)),
+              (x, y) -> if(x.w = y.w, array(x.i, y.i), null)), x -> x is not null))))"""
         ),
     )
-    lines = F.filter(F.split(text_of(), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    df = df.withColumn("lines", lines)
+    df = df.withColumn("lines", F.filter(F.split(text_of(), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     return df.select(
-        "*",
+        "row", "text", "wh",
+        F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text_of(), F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -77,7 +80,7 @@ def base_counts(df: DataFrame) -> DataFrame:
             "aggregate(zip_with(slice(again, 1, greatest(size(again) - 1, 0)), slice(again, 2, size(again)), (x, y) -> least(3, y - x)), "
             "if(size(again) = 0, 0L, 3L), (a, x) -> a + x)"
         ).alias("n_repeat_words"),
-    ).drop("wide", "windows", "packed", "structs", "again", "lines", "words")
+    )
 
 
 def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
@@ -93,7 +96,7 @@ def log_ratios(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, prior
     ``target_ids``.  Counts are summed in each partition before they are shuffled.
     """
     marked = docs.select("doc_id", "text").join(F.broadcast(target.withColumn("trusted", F.lit(1))), "doc_id", "left")
-    grams = _hashed(marked).select(
+    grams = marked.withColumn("wh", F.transform(words_of(text_of()), lambda w: F.xxhash64(w))).select(
         F.coalesce("trusted", F.lit(0)).alias("trusted"),
         F.expr(
             f"concat(transform(wh, h -> cast(pmod(h, {buckets}) as int)), transform({PAIRS}, h -> cast(pmod(h, {buckets}) as int)))"
@@ -113,30 +116,38 @@ def log_ratios(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, prior
 def score(df: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``llr``, the mean log ratio of a row's n-grams (0 without words), to rows with ``wh``."""
     model = ratios.first()["lr"]  # of fixed length
-    lr = F.split(F.lit(",".join(f"{x:.5f}" for x in model)), ",").cast("array<double>")  # folded into one constant
+    lr = F.split(F.lit(",".join(repr(x) for x in model)), ",").cast("array<double>")  # folded into one constant
     first = F.transform("wh", lambda h: lr[F.pmod(h, F.lit(buckets)).cast("int")])
     second = F.transform(F.expr(PAIRS), lambda h: lr[F.pmod(h, F.lit(buckets)).cast("int")])
     total = F.aggregate(F.concat(first, second), F.lit(0.0), lambda a, x: a + x)
     return df.withColumn("llr", F.when(F.size("wh") == 0, 0.0).otherwise(total / (2 * F.size("wh") - 1))).drop("wh")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with the counts of the base rules, ``base_failed``, ``llr`` and ``kept``."""
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """Rows (row, counts, llr, base_failed, kept): ``row`` is a row of ``docs`` as a struct, so that its columns may have any names."""
     ratios = log_ratios(docs, target_ids(labels), buckets)
-    out = score(base_counts(docs), ratios, buckets)
+    out = score(base_counts(docs.select(F.struct("*").alias("row"), "text")), ratios, buckets).drop("text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """``docs`` with the counts of the base rules, ``base_failed``, ``llr`` and ``kept``; columns of ``docs`` with such names are replaced."""
+    out = judged(docs, labels, threshold, buckets)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in COUNTS], *COUNTS)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = quality_rules(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *COUNTS)
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, with the columns they came with."""
-    judged = quality_rules(docs.select(F.struct("*").alias("row"), "doc_id", "text"), table(spark, sf_dir, "labels"))
+    out = judged(docs, table(spark, sf_dir, "labels"))
     # An outer explode of one element keeps the filter above the counts, which are then made once.
-    held = judged.select("row", F.explode_outer(F.array("kept")).alias("kept"))
+    held = out.select("row", F.explode_outer(F.array("kept")).alias("kept"))
     return held.where("kept").select("row.*")

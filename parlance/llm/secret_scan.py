@@ -1,14 +1,17 @@
 """Secret scans through a trigram inverted index.
 
-A Boolean query over trigrams is derived from each rule's regular expression.  The index
-holds postings (trigram, document) for the trigrams that some query names; postings are
-intersected per document, and only documents that satisfy a rule's query are verified with
-the expression itself.  A rule without mandatory trigrams (``hex``) reads every text.
+A Boolean query over trigrams is derived from each rule's regular expression.  Documents are
+dealt into blocks by a hash, and the index holds, for each block and each trigram that some
+query names, the postings: the hashes of the block's documents that have it.  A query is
+answered block by block by intersecting and uniting postings, and only the documents it
+leaves are verified with the expression itself; their hashes are joined to the texts by
+broadcast while they are few.  A rule without mandatory trigrams (``hex``) reads every text.
 Everything runs as built-in expressions.
 
 Results for odd input: a null text counts as empty and an empty text has no spans; the
 digest is then that of the empty string.  Spans count code points with the end exclusive.
-Rows that repeat an id share postings, which only widens the candidates: each row is
+Documents are known by a hash of id and text, so rows that repeat both share a posting, null
+ids are ids like others, and a clash of hashes only widens the candidates: each row is
 verified by itself.  Other columns are ignored, and an empty table gives an empty result.
 """
 
@@ -17,10 +20,12 @@ from __future__ import annotations
 import itertools
 import re._constants as sre
 import re._parser as sre_parser
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parlance.llm._common import table, text_of
+from parlance.llm._common import cut, table, text_of
 
 #: Kinds in the order in which ties are listed: (kind, expression, least length of group 2 or 0).
 #: The first three are the base; expressions are read alike by Java, RE2 and Python.
@@ -36,6 +41,8 @@ RULES: list[tuple[str, str, int]] = [
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0),
 ]
 BASE = 3
+#: Documents that a block of the index holds, about; candidates up to which their hashes are broadcast (some 40 MB).
+BLOCK_DOCS, BROADCAST_DOCS = 8192, 500_000
 _MARK = "\x01"
 #: Sets of exact strings larger than this are turned into trigrams before they grow further.
 _EXACT_LIMIT = 16
@@ -126,39 +133,39 @@ def grams_of(query: object) -> set[str]:
     return {query[1]} if query[0] == "gram" else set().union(*map(grams_of, query[1]))
 
 
-def _holds(query: object, masks: list[Column], place: dict[str, int]) -> Column:
+def _answer(query: object, postings: Column, place: dict[str, int]) -> Column:
+    """The documents of a block that satisfy a query, from a map of its postings."""
     if query[0] == "gram":
-        word, bit = divmod(place[query[1]], 62)
-        return masks[word].bitwiseAND(F.lit(1 << bit)) != 0
-    parts = [_holds(q, masks, place) for q in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
-    return out
+        return F.coalesce(postings[F.lit(place[query[1]])], F.array().cast("array<bigint>"))
+    parts = [_answer(q, postings, place) for q in query[1]]
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, parts)
 
 
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The index: rows (doc_id, gram), gram being its place in ``grams``."""
-    lower = F.lower(text_of())
-    there = F.array(*[F.when(F.contains(F.col("lower"), F.lit(g)), F.lit(k)) for k, g in enumerate(grams)])
-    with_lower = docs.select("doc_id", lower.alias("lower"))
-    return with_lower.select("doc_id", F.explode_outer(there).alias("gram")).where("gram is not null")
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, key): the text, never null, and a hash of both."""
+    return docs.select("doc_id", text_of().alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+
+
+def index(docs: DataFrame, grams: list[str], blocks: int) -> DataFrame:
+    """The index: rows (block, gram, docs) of keyed documents, ``gram`` being its place in ``grams``."""
+    there = F.array_compact(F.array(*[F.when(F.contains("lower", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
+    found = docs.select("key", F.lower("text").alias("lower")).select("key", F.explode(there).alias("gram"))
+    return found.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("key").alias("docs"))
 
 
 def candidates(docs: DataFrame, rules: list[tuple[str, str, int]] = RULES) -> DataFrame:
-    """Rows (doc_id, rules): the rules whose queries a document's postings satisfy."""
-    asked = {kind: trigram_query(p) for kind, p, _ in rules}
+    """Rows (key, rules): the rules whose queries a keyed document's postings satisfy."""
+    asked = {kind: q for kind, p, _ in rules if (q := trigram_query(p)) is not None}
     grams = sorted(set().union(*map(grams_of, asked.values())))
     place = {g: k for k, g in enumerate(grams)}
-    n = (len(grams) + 61) // 62
-    bits = [
-        F.expr(f"bit_or(if(gram >= {62 * w} and gram < {62 * w + 62}, shiftleft(1L, cast(gram - {62 * w} as int)), 0L))").alias(f"m{w}")
-        for w in range(n)
-    ]
-    met = postings(docs, grams).groupBy("doc_id").agg(*bits)
-    masks = [F.col(f"m{w}") for w in range(n)]
-    held = F.array_compact(F.array(*[F.when(_holds(q, masks, place), F.lit(k)) for k, q in asked.items() if q is not None]))
-    return met.select("doc_id", held.alias("rules")).where(F.size("rules") > 0)
+    blocks = max(64, docs.count() // BLOCK_DOCS)
+    postings = index(docs, grams, blocks).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "docs"))).alias("postings"))
+
+    def named(kind: str) -> Callable[[Column], Column]:
+        return lambda d: F.struct(d.alias("key"), F.lit(kind).alias("rule"))
+
+    met = F.flatten(F.array(*[F.transform(_answer(q, F.col("postings"), place), named(kind)) for kind, q in asked.items()]))
+    return postings.select(F.explode(met).alias("m")).groupBy("m.key").agg(F.collect_set("m.rule").alias("rules"))
 
 
 def spans(text: Column, k: int, rules: list[tuple[str, str, int]] = RULES) -> Column:
@@ -180,8 +187,9 @@ def spans(text: Column, k: int, rules: list[tuple[str, str, int]] = RULES) -> Co
 def secret_scan(docs: DataFrame, rules: list[tuple[str, str, int]] = RULES) -> DataFrame:
     """Rows (doc_id, text, found): ``found`` is a sorted array of (start, kind's place, end)."""
     free = {kind for kind, p, _ in rules if trigram_query(p) is None}
-    marked = docs.select("doc_id", "text").alias("d").join(candidates(docs, rules).alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left")
-    marked = marked.select("d.doc_id", text_of("d.text").alias("text"), "c.rules")
+    rows = keyed(docs)
+    few = cut(candidates(rows, rules))
+    marked = rows.join(F.broadcast(few) if few.count() <= BROADCAST_DOCS else few, "key", "left")
     empty = F.array().cast("array<struct<start:int,k:int,end:int>>")
     each = []
     for k, (kind, pattern, _) in enumerate(rules):

@@ -2,10 +2,12 @@
 
 import random
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parlance.llm import embedding_dedup, html_extract, minhash, mixing, pieces, pii, quality_mil, quality_rules, secret_scan, toxicity
@@ -97,7 +99,7 @@ def brute_secrets(text):
     return sorted(out)
 
 
-def test_secret_spans(spark, docs, empty):
+def test_secret_spans(spark, docs, empty, monkeypatch):
     more = ["ghp_" + "a1" * 20, "-----BEGIN RSA PRIVATE KEY-----", "\x01token=abcdefghij\x01", "API_KEY : \"abc.def-ghi\" apikey='12345678'", "sk_live_" + "a" * 20, "é token=abcdefgh"]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + k, t) for k, t in enumerate(more)] + [(100, more[0])], "doc_id long, text string"))
     got = secret_scan.secret_scan(table).collect()
@@ -106,6 +108,25 @@ def test_secret_spans(spark, docs, empty):
         assert [(s.start, s.k, s.end) for s in r.found] == brute_secrets(r.text)
     assert sum(len(r.found) for r in got) >= 9
     assert secret_scan.secret_scan(empty).count() == 0
+    # Null ids, repeated rows and clashing names; and many candidates, which are not broadcast.
+    odd = spark.createDataFrame([(None, more[0], 1, "x")] * 3 + [(None, None, 1, "x"), (5, "AKIA" + "B" * 20, 1, "x")], "doc_id long, text string, key int, rules string")
+    monkeypatch.setattr(secret_scan, "BROADCAST_DOCS", 0)
+    got = sorted((str(r.doc_id), len(r.found)) for r in secret_scan.secret_scan(odd).collect())
+    assert got == [("5", 1), ("None", 0), ("None", 2), ("None", 2), ("None", 2)]
+
+
+def test_index_answers_as_texts_do(spark):
+    texts = [prose(30, k) + RNG.choice(["", " secret", " tok en", " token ", " AKIA", " ghp_", " sk_live_x", " eyJ.eyJ"]) for k in range(300)]
+    rows = secret_scan.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    keys = {r.key: r.text.lower() for r in rows.collect()}
+    got = {r.key: set(r.rules) for r in secret_scan.candidates(rows).collect()}
+
+    def holds(q, t):
+        return q[1] in t if q[0] == "gram" else (all if q[0] == "and" else any)(holds(x, t) for x in q[1])
+
+    for kind, p, _ in secret_scan.RULES:
+        q = secret_scan.trigram_query(p)
+        assert q is None or {k for k, v in got.items() if kind in v} == {k for k, t in keys.items() if holds(q, t)}
 
 
 def test_trigram_queries_are_necessary():
@@ -123,18 +144,56 @@ def brute_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
-@pytest.mark.parametrize("bits", [20, 6])
+def spark_hash(value, seed=42):
+    """Spark's xxhash64 of a string, or of a long with the hash before it as its seed."""
+    raw = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+    h = xxhash.xxh64(raw, seed=seed & (2**64 - 1)).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_ratios(texts, trusted, buckets):
+    """The log ratio of each text from the definition: counts of hashed words and pairs, smoothed by the corpus."""
+    grams = []
+    for t in texts:
+        hs = [spark_hash(w) for w in WORD.findall(t or "")]
+        grams.append([h % buckets for h in hs] + [spark_hash(b, spark_hash(a)) % buckets for a, b in zip(hs, hs[1:], strict=False)])
+    raw, hit = np.zeros(buckets), np.zeros(buckets)
+    for k, g in enumerate(grams):
+        np.add.at(raw, g, 1)
+        if k in trusted:
+            np.add.at(hit, g, 1)
+    corpus = (raw + 1) / (raw.sum() + buckets)
+    target = (hit + quality_rules.PRIOR * buckets * corpus) / (hit.sum() + quality_rules.PRIOR * buckets)
+    lr = np.log(target) - np.log(corpus)
+    return [float(lr[g].mean()) if g else 0.0 for g in grams]
+
+
+@pytest.mark.parametrize("bits", [32, 3])
 def test_quality_rules(spark, docs, empty, labels, bits, monkeypatch):
-    monkeypatch.setattr(quality_rules, "POSITION_BITS", bits)  # 6: longer texts take the other way
-    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels, buckets=1 << 12).collect()}
+    monkeypatch.setattr(quality_rules, "HASH_BITS", bits)  # 3: windows of other words have the same hash
+    table = docs.withColumns({c: F.lit(9) for c in ("words", "wh", "lines", "again", "wide", "kept", "row", "llr", "met")})
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table, labels, buckets=1 << 12).collect()}
+    want = brute_ratios(BASE, {4, 6, 13}, 1 << 12)
     for k, t in enumerate(BASE):
         r = got[k]
         n = brute_counts(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
-        assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
-    assert got[4].llr == got[5].llr
+        assert abs(r.llr - want[k]) < 1e-9 and r.kept == (not r.base_failed and want[k] >= quality_rules.THRESHOLD)
+        assert (r.words, r.wh, r.lines, r.again, r.wide, r.met) == (9,) * 6
+    assert got[4].llr == got[5].llr and len({r.kept for r in got.values()}) == 2
     assert quality_rules.quality_rules(empty, labels).count() == 0
+    none = labels.where("quality > 5")
+    assert {r.llr for r in quality_rules.quality_rules(docs, none).collect()} == {0.0}
+
+
+def test_quality_stage_keeps_what_the_query_keeps(spark, docs, empty, labels, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    query = {r.doc_id for r in quality_rules.op4_quality_rules(spark, str(tmp_path)).where("kept").collect()}
+    staged = quality_rules.stage_quality(spark, docs, str(tmp_path))
+    assert staged.columns == docs.columns and {r.doc_id for r in staged.collect()} == query
+    assert quality_rules.stage_quality(spark, empty, str(tmp_path)).count() == 0
 
 
 def test_embeddings(spark):
