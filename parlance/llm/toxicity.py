@@ -3,10 +3,13 @@
 A chain predicts the categories ``CHAIN`` one after another.  Each link is a logistic model
 over the presence of hashed words and word beginnings, and over the probabilities of the
 categories before it.  While fitting, those probabilities are out-of-fold: they come from
-models that did not see the row.  Labels mark only what is toxic at all; the finer
-categories are told apart on labelled rows by the terms of ``LEXICON`` and learned from
-there: ``insult`` and ``contempt`` are toxic rows with such terms, ``veiled`` those with
-neither.  The chain is fitted on at most ``FIT_ROWS`` labelled rows, by hashed id.
+models that saw neither the row nor, in the choice of their features, its label.
+
+Labels mark only what is toxic at all.  The categories ``kind_1`` to ``kind_3`` are groups of
+the toxic labelled rows, found from the features that set toxic rows apart: each row is put
+with the group whose features it shares most (spherical k-means, seeded by the commonest features).  They
+are what the labelled rows hold, not a fixed list; ``toxic`` comes last and uses them.  The
+chain is fitted on at most ``FIT_ROWS`` labelled rows, by hashed id.
 
 Results for odd input: null counts as the empty text, which has the probabilities of no
 feature at all; documents are scored one by one, so repeated rows get equal results; without
@@ -28,12 +31,8 @@ from parlance.llm._common import table
 from parlance.llm._common import slices
 from parlance.llm.quality_mil import _sigmoid, fit_rows, held_out
 
-#: Terms that tell the finer categories of toxic rows apart when labels are made.
-LEXICON = {
-    "insult": frozenset("idiot moron loser clown stupid".split()),
-    "contempt": frozenset("scum trash worthless pathetic disgusting".split()),
-}
-CHAIN = ("insult", "contempt", "veiled", "toxic")
+GROUPS = 3
+CHAIN = (*(f"kind_{k + 1}" for k in range(GROUPS)), "toxic")
 FIT_ROWS = 6000
 #: Rows whose words are counted at once while fitting.
 SLICE = 500
@@ -69,11 +68,36 @@ def buckets(words: list[str]) -> np.ndarray:
     return (np.stack(hashed, axis=1) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def categories(words: list[set[str]], toxic: np.ndarray) -> np.ndarray:
-    """Labels of each row for every link of the chain."""
-    has = {k: np.array([not v.isdisjoint(w) for w in words], dtype=bool) for k, v in LEXICON.items()}
-    bad = toxic > 0
-    return np.stack([bad & has["insult"], bad & has["contempt"], bad & ~has["insult"] & ~has["contempt"], bad], axis=1).astype(np.float64)
+def chosen(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The buckets with the largest chi-square for toxic rows among the rows that are ``seen``, in order."""
+    own, n = seen[rows], int(seen.sum())
+    there = np.bincount(feats[own], minlength=BUCKETS).astype(float)
+    hit = np.bincount(feats[own], weights=toxic[rows[own]], minlength=BUCKETS)
+    rate = toxic[seen].mean()
+    chi = np.where((there >= 3) & (there <= COMMON * n) & (hit > there * rate), (hit - there * rate) ** 2 / np.maximum(there * rate * (1 - rate), 1e-9), 0)
+    return np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
+
+
+def groups(x: np.ndarray, toxic: np.ndarray, k: int = GROUPS, rounds: int = 20) -> np.ndarray:
+    """Labels of each row for every link of the chain: its group if it is toxic, and whether it is."""
+    y = np.zeros((len(x), k + 1))
+    y[:, -1] = toxic
+    bad = np.flatnonzero(toxic)
+    v = x[bad].astype(np.float64) * np.log(len(x) / np.maximum(x.sum(0), 1))  # rare features tell more
+    v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
+    # Seeds: the rows with the feature that most toxic rows have, then with the one that most of the rest have, and so on.
+    left, c = np.ones(len(bad), dtype=bool), np.zeros((k, x.shape[1]))
+    for j in range(k):
+        f = int((x[bad] * left[:, None]).sum(0).argmax()) if x.shape[1] else 0
+        has = left & (x[bad, f] > 0) if x.shape[1] else left
+        c[j] = v[has].mean(0) if has.any() else v.mean(0)
+        left &= ~has
+    for _ in range(rounds):
+        own = (v @ c.T).argmax(1)
+        sums = np.stack([v[own == j].sum(0) if (own == j).any() else c[j] for j in range(k)])
+        c = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
+    y[bad, own] = 1
+    return y
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -100,39 +124,41 @@ class Chain:
 
     @staticmethod
     def fit(texts: pa.Array, toxic: np.ndarray) -> Chain:
-        if len(np.unique(toxic > 0)) < 2:
+        toxic = (toxic > 0).astype(np.float64)
+        if len(np.unique(toxic)) < 2:
             return Chain(np.zeros(0, dtype=np.int64), [np.array([0.0] * k + [-40.0]) for k in range(len(CHAIN))])
-        n, known = len(toxic), set().union(*LEXICON.values())
-        own: list[set[str]] = [set() for _ in range(n)]
+        n = len(toxic)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, n, SLICE):
             doc, code, words = tokens(texts.slice(at, SLICE))
             pairs = np.unique(np.repeat(doc, 3) * BUCKETS + buckets(words)[code].ravel())
             parts.append(((pairs // BUCKETS + at).astype(np.int32), (pairs % BUCKETS).astype(np.int32)))
-            lexical = np.array([w in known for w in words], dtype=bool)[code]
-            for d, c in zip(doc[lexical].tolist(), code[lexical].tolist(), strict=True):
-                own[d + at].add(words[c])
-        y = categories(own, toxic)
         rows, feats = (np.concatenate(x) for x in zip(*parts, strict=True))
-        there = np.bincount(feats, minlength=BUCKETS).astype(float)
-        hit = np.bincount(feats, weights=y[rows, -1], minlength=BUCKETS)
-        rate = y[:, -1].mean()
-        chi = np.where((there >= 3) & (there <= COMMON * n) & (hit > there * rate), (hit - there * rate) ** 2 / np.maximum(there * rate * (1 - rate), 1e-9), 0)
-        chosen = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-        chain = Chain(chosen, [])
-        x = np.zeros((n, len(chosen) + 1), dtype=np.float32)
-        x[rows, chain.place[feats]] = 1
-        x = x[:, :-1]
         fold = np.random.default_rng(n).permutation(n) % FOLDS
-        before = np.zeros((n, 0), dtype=np.float32)
+
+        def matrix(seen: np.ndarray) -> tuple[Chain, np.ndarray]:
+            """A chain that reads the features which the rows seen choose, and those features of all rows."""
+            own = Chain(chosen(rows, feats, toxic, seen), [])
+            x = np.zeros((n, len(own.chosen) + 1), dtype=np.float32)
+            x[rows, own.place[feats]] = 1
+            return own, x[:, :-1]
+
+        chain, x = matrix(np.ones(n, dtype=bool))
+        y = groups(x, toxic)
+        # Out-of-fold probabilities of every link: features, and the links before, are of the other folds alone.
+        before = np.zeros((n, len(CHAIN)), dtype=np.float32)
+        for f in range(FOLDS):
+            seen, out = fold != f, fold == f
+            own = matrix(seen)[1]
+            inner = np.zeros((n, 0), dtype=np.float32)
+            for j in range(len(CHAIN)):
+                z = np.hstack([own, inner])
+                w = _logistic(z[seen], y[seen, j])
+                p = _sigmoid(z @ w[:-1] + w[-1]).astype(np.float32)
+                before[out, j] = p[out]
+                inner = np.hstack([inner, p[:, None]])
         for j in range(len(CHAIN)):
-            z = np.hstack([x, before])
-            out = np.zeros(n)
-            for f in range(FOLDS):
-                w = _logistic(z[fold != f], y[fold != f, j])
-                out[fold == f] = _sigmoid(z[fold == f] @ w[:-1] + w[-1])
-            chain.links.append(_logistic(z, y[:, j]))
-            before = np.hstack([before, out[:, None].astype(np.float32)])
+            chain.links.append(_logistic(np.hstack([x, before[:, :j]]), y[:, j]))
         return chain
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:

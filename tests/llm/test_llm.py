@@ -76,6 +76,17 @@ def test_suffix_array_finds_every_occurrence():
     assert {(int(p), int(n)) for p, n, _ in edges} == want
 
 
+def test_features_are_chosen_without_the_rows_left_out():
+    rows, feats = np.repeat(np.arange(100), 2), np.tile([5, 9], 100)
+    feats[::2] = np.where(np.arange(100) < 50, 7, 8)  # feature 7 marks toxic rows, of which the last ones are left out
+    toxic = (np.arange(100) < 50).astype(float)
+    assert 7 in toxicity.chosen(rows, feats, toxic, np.ones(100, dtype=bool))
+    turned = toxic.copy()
+    turned[60:] = 1 - turned[60:]
+    seen = np.arange(100) < 60
+    assert (toxicity.chosen(rows, feats, toxic, seen) == toxicity.chosen(rows, feats, turned, seen)).all()
+
+
 def test_toxicity_chain_learns_held_out_rows(spark, empty):
     texts, y = [], []
     for k in range(600):
@@ -86,6 +97,11 @@ def test_toxicity_chain_learns_held_out_rows(spark, empty):
     chain = toxicity.Chain.fit(pa.array(texts[:450]), y[:450])
     p = chain.probabilities(pa.array(texts[450:]))
     assert p.shape == (150, 4) and ((p[:, 3] >= 0.5) == (y[450:] > 0)).mean() > 0.95
+    # The categories are groups of the toxic rows, told apart by what they hold.
+    kinds = p[:, :3][y[450:] > 0].argmax(1)
+    words = [t.rsplit(" ", 1)[1] for t, v in zip(texts[450:], y[450:], strict=True) if v]
+    assert all(len({k for k, w in zip(kinds, words, strict=True) if w == v}) == 1 for v in set(words)) and len(set(kinds)) == 3
+    assert (toxicity.Chain.fit(pa.array(texts[:450]), y[:450]).probabilities(pa.array(texts[450:])) == p).all()
     assert toxicity.toxicity(empty, chain).count() == 0
     assert toxicity.Chain.fit(pa.array(["a"]), np.array([0.0])).probabilities(pa.array([None, "b"], pa.string())).max() < 1e-6
 
