@@ -8,6 +8,9 @@ known, because no table marks main text; pages of the corpus are never fitted on
 
 Results for odd input: a null html counts as empty; a page without main text gives the empty
 text.  Broken markup is read with implied ends, and an end without a start is skipped.
+Attributes are read as HTML says: a quote inside a bare value is part of it.  A quoted value
+without an end ends with its tag; a tag without an end is dropped with what follows.
+Reading takes time in proportion to a page, however it is broken.
 Pages are read one by one, so repeated rows get equal results; other columns are ignored;
 an empty table gives an empty result.
 """
@@ -20,29 +23,38 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm._common import table
+from parlance.llm._common import in_batches, release, slices, table
 
 TRAIN_PAGES = 800
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 24
 SEED = 11
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAME = re.compile(r"[^\s/>]+")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE) for name in ("script", "style", "template", "textarea", "title", "iframe")}
 _TOKEN = re.compile(r"[a-z]+")
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title svg iframe select button math object".split())
+RAW = frozenset(_ENDS)
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math annotation maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
-_CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+#: Elements that end with the one that opens (by name), unless one of the others stands between.
+_CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
+}
 
 #: Groups of tokens in class, id and role attributes.
 GROUPS = {
@@ -58,7 +70,7 @@ GROUPS = {
     "main": "content article post entry story main body text page blog news copy",
 }
 _GROUP_OF = {t: k for k, names in enumerate(GROUPS.values()) for t in names.split()}
-_TAGS = ("p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "td", "h1", "h2", "blockquote", "pre", "figure", "body")
+_TAGS = ("p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "td", "h1", "h2", "blockquote", "pre", "figure", "body", "button", "select", "noscript", "svg", "dialog")
 _TAG_NO = {t: k for k, t in enumerate(_TAGS)}
 _ABOVE = ("article", "main", "nav", "aside", "footer", "header", "form")
 N_FEATURES = len(_TAGS) + 2 * len(GROUPS) + len(_ABOVE) + 16
@@ -76,83 +88,126 @@ class Node:
         self.label: str | None = None
 
 
+def _attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from behind its name, and where the tag has ended; a quote that nothing closes ends with the tag."""
+    found: dict[str, str] = {}
+    n = len(source)
+    while True:
+        at = _GAP.match(source, at).end()
+        if at >= n or source[at] == ">":
+            return found, min(at + 1, n)
+        key = _KEY.match(source, at)
+        at, value = key.end(), ""
+        eq = _EQUALS.match(source, at)
+        if eq:
+            at = eq.end()
+            quote = source[at : at + 1]
+            if quote in ("'", '"') and quote:
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    end = source.find(">", at)
+                    return found, (end if end >= 0 else n - 1) + 1
+                value, at = source[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(source, at)
+                value, at = bare.group(), bare.end()
+        found.setdefault(key.group().lower(), value)
+
+
 def parse(source: str) -> Node:
     """The tree of block elements; inline elements leave only their text."""
     root = Node("body", None)
     stack: list[Node] = [root]
-    links, at = 0, 0
+    open_: dict[str, int] = {}  # how many elements of a name are open, so that an end without a start is known at once
+    links, at, n, last = 0, 0, len(source), source.rfind(">")
 
     def add(text: str) -> None:
         if "&" in text:
             text = html_lib.unescape(text)
         top = stack[-1]
         top.parts.append(text)
-        n = len(text) - text.count(" ")
-        top.own += n
+        size = len(text) - text.count(" ")
+        top.own += size
         if links:
-            top.links += n
+            top.links += size
 
-    for m in _TAG.finditer(source):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            add(source[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            open_[node.tag] -= 1
+        del stack[k:]
+
+    def close_above(names: tuple[str, ...], walls: tuple[str, ...]) -> None:
+        if any(open_.get(x) for x in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in walls:
+                    return
+                if stack[k].tag in names:
+                    return close(k)
+
+    while at < n:
+        less = source.find("<", at)
+        if less < 0:
+            add(source[at:])
+            break
+        nxt = source[less + 1 : less + 2]
+        closing = nxt == "/"
+        head = source[less + 2 : less + 3] if closing else nxt
+        if not (head.isascii() and head.isalpha()):
+            if nxt == "!" or nxt == "?" or closing and head:
+                if less > at:
+                    add(source[at:less])
+                if source.startswith("<!--", less):
+                    end = source.find("-->", less + 2)
+                    at = end + 3 if end >= 0 else n
+                elif source.startswith("<![CDATA[", less) and (end := source.find("]]>", less)) >= 0:
+                    at = end + 3
+                else:
+                    at = source.find(">", less) + 1 or n
+            else:  # a sign in the text
+                add(source[at : less + 1])
+                at = less + 1
             continue
-        name, closing = name.lower(), bool(m.group(1))
-        if not closing and name in RAW and not m.group(3).endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
-            at = end.end() if end else len(source)
+        if less > at:
+            add(source[at:less])
+        if less > last:
+            break  # nothing ends this tag
+        name = _NAME.match(source, less + 1 + closing)
+        end = name.end()
+        if source[end] == ">":
+            attributes, at = {}, end + 1
+        else:
+            attributes, at = _attributes(source, end)
+        tag = name.group().lower()
+        if not closing and tag in RAW and source[at - 2] != "/":
+            stop = _ENDS[tag].search(source, at)
+            at = stop.end() if stop else n
             continue
-        if name == "a":
+        if tag == "a":
             links = 0 if closing else 1
-        if name in INLINE or name in ("html", "head", "body"):
+        if tag in INLINE or tag in ("html", "head", "body"):
             continue
-        if name in VOID:
-            if name in ("br", "hr"):
+        if tag in VOID:
+            if tag in ("br", "hr"):
                 stack[-1].parts.append(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-            links = 0 if name in CLOSES_P else links
+            close_above((tag,), ())
+            links = 0 if tag in CLOSES_P else links
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table", "li", "div", "section", "article"):
-                    break
-        elif name in _CLOSES:
-            ends, walls = _CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in walls:
-                    break
-                if stack[k].tag in ends.split():
-                    del stack[k:]
-                    break
-        groups: tuple[int, ...] = ()
-        label = None
-        if m.group(3):
-            found = set()
-            for a in _ATTR.finditer(m.group(3)):
-                value = (a.group(2) or a.group(3) or a.group(4) or "").lower()
-                found |= {_GROUP_OF[t] for t in _TOKEN.findall(value) if t in _GROUP_OF}
-            groups = tuple(found)
-            if "data-truth" in m.group(3):
-                label = "in" if 'data-truth="in"' in m.group(3) else "out"
-        node = Node(name, stack[-1], groups)
+        if tag in CLOSES_P:
+            close_above(("p",), ("td", "th", "table", "li", "div", "section", "article"))
+        elif tag in _CLOSES:
+            close_above(*_CLOSES[tag])
+        groups, label = (), None
+        if attributes:
+            groups = tuple({_GROUP_OF[t] for k in ("class", "id", "role") for t in _TOKEN.findall(attributes.get(k, "").lower()) if t in _GROUP_OF})
+            label = attributes.get("data-truth")
+        node = Node(tag, stack[-1], groups)
         node.label = label
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
         stack.append(node)
-    if at < len(source):
-        add(source[at:])
+        open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
@@ -313,7 +368,7 @@ def _page(rng: np.random.Generator) -> str:
     para = lambda: f"<p>{pick('', '<b>')}{words(4, 90)}" + pick("</p>", "</p>", "<br></p>", "")
 
     def junk() -> str:
-        kind = int(rng.integers(13))
+        kind = int(rng.integers(15))
         n = int(rng.integers(2, 9))
         if kind == 0:
             return f"<nav{out}{attr('menu nav', 0.3)}><ul>{links(n)}</ul></nav>"
@@ -341,6 +396,10 @@ def _page(rng: np.random.Generator) -> str:
             return f"<header{out}{attr('masthead header', 0.4)}>{pick(f'<h2>{words(1, 5)}</h2>', words(2, 12))}{pick('', f'<ul>{links(n)}</ul>')}</header>"
         if kind == 11:
             return f"<div{out}{attr('footer copyright bottom legal', 1)}>{words(4, 40)}</div>"
+        if kind == 12:
+            return f"<noscript{out}>{words(3, 20)}</noscript>"
+        if kind == 13:
+            return f"<div{out}{attr('search form login', 0.5)}>{pick('<button>' + words(1, 3) + '</button>', '<select>' + ''.join(f'<option>{words(1, 2)}' for _ in range(n)) + '</select>')}</div>"
         return f"<div{out}{attr('header masthead topbar', 1)}>{words(2, 12)}</div>"
 
     def block() -> str:
@@ -361,6 +420,8 @@ def _page(rng: np.random.Generator) -> str:
             return f"<div>{pick(para() + para(), words(5, 60))}</div>"
         if kind == 7:
             return f"<section><h3>{words(1, 5)}</h3>{para()}{para()}</section>"
+        if kind == 8:
+            return f"<p>{words(3, 20)} <math><mi>{words(1, 2)}</mi><mo>=</mo><mn>42</mn></math> {words(3, 20)}</p>"
         return para()
 
     tag = pick("article", "article", "main", "div", "div", "section", "div")
@@ -419,14 +480,15 @@ def extract_pages(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """Rows (page_id, url, text)."""
     model = fitted() if model is None else model
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": extract([h or "" for h in part["html"]], model)})
+            for part in slices(batch, "html", 1 << 19):
+                texts = extract([h or "" for h in part["html"].to_pylist()], model)
+                yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            release()
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string")
+    return in_batches(pages.select("page_id", "url", "html")).mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

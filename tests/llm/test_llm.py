@@ -475,6 +475,49 @@ def test_html():
     assert none == "" and isinstance(broken, str)
 
 
+ARTICLE = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A title of some words</h1><p>{}</p><p>Another paragraph that is long enough to be read as prose by all means.</p></article><footer>&copy; Us</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("Area is <math><mi>x</mi><mo>=</mo><mn>42</mn></math> in all", "Area is x=42 in all"), ("See <span class=it's>this</span> and that, it's a text", "See this and that, it's a text"),
+        ("an <object data=x.pdf>old <b>fallback</b></object> text", "an old fallback text"), ('a <span title="un>closed</span> quote', "a closed quote"), ("1 < 2 and 3 > 2 <3", "1 < 2 and 3 > 2 <3"),
+        ("a<!-- <p>x</p> -->b<![CDATA[c]]>d<?x?>e", "abde"), ("x &lt;b&gt; &#233; &unknown; &amp", "x <b> é &unknown; &"), ("a<script>if (a < b) '</p>'</script>b<style>p{}</style>c", "abc"), ("a <B CLASS='x\ny'\n>b</B\n> c", "a b c"),
+    ],
+)
+def test_html_drops_nothing_of_the_article(inner, want):
+    got = html_extract.extract([ARTICLE.format(inner)], html_extract.fitted())[0]
+    assert got == f"A title of some words {want} Another paragraph that is long enough to be read as prose by all means."
+
+
+BROKEN = {
+    "quotes": '<a "' * 250_000, "values": '<a b="' * 160_000 + ">", "odd": "<a b='" + "<p>x" * 250_000, "less": "<" * 10**6, "open": "<div>" * 150_000, "ends": "<div>" * 60_000 + "</x>" * 120_000, "comments": "<!--" * 250_000,
+    "data": "<![CDATA[" * 110_000, "list": "<ul>" + "<div>" * 50_000 + "<li></li>" * 60_000, "slashes": "<a " + "/" * 10**6 + ">", "equals": "<a " + "= " * 500_000 + ">", "script": "<script>" * 125_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_html_time_grows_with_the_page(name):
+    import time
+
+    at = time.process_time()
+    root = html_extract.parse(BROKEN[name])
+    html_extract._text(root, [True] * len(html_extract._walk(root)))
+    assert time.process_time() - at < 10  # a scan in the square of a page's length takes minutes here
+
+
+def test_html_equals_the_articles_of_the_tables():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+    texts = html_extract.extract(pages, html_extract.fitted())
+    for page, text in zip(pages, texts, strict=True):
+        inner = re.search(r"<article>(.*?)</article>", page, re.DOTALL).group(1)
+        bare = html_extract.html_lib.unescape(re.sub(r"<[^>]*>", lambda m: "" if re.match(r"</?b>", m.group()) else " ", inner))
+        assert text == " ".join(bare.split())
+
+
 def test_html_labels_never_contradict():
     model = html_extract.fitted()
     rng = np.random.default_rng(5)
@@ -490,7 +533,8 @@ def test_html_labels_never_contradict():
 
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>x</p>")], "page_id long, url string, html string")
-    assert html_extract.extract_pages(pages).where("page_id = 1").first().text == ""
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages.withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))).collect()}
+    assert got[1] == "" and set(got) == {1, 2}
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
