@@ -212,6 +212,18 @@ def test_quality_stage_keeps_what_the_query_keeps(spark, docs, empty, labels, tm
     assert quality_rules.stage_quality(spark, empty, str(tmp_path)).count() == 0
 
 
+def brute_links(x, cosine=0.95):
+    u = embedding_dedup.unit(np.asarray(x, dtype=np.float64))
+    links = (u @ u.T >= cosine) & ~np.eye(len(x), dtype=bool)
+    least = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.minimum(least, np.where(links, least[None, :], 10**9).min(1))
+        if (new == least).all():
+            break
+        least = new
+    return links, least
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((300, 16))
@@ -219,11 +231,7 @@ def test_embeddings(spark):
     rows = [(k, [float(c) for c in v], 0) for k, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0], 1), (904, [], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
-    u = embedding_dedup.unit(x)
-    links = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
-    least = np.arange(len(x))
-    for _ in range(50):
-        least = np.minimum(least, np.where(links, least[None, :], 10**9).min(1))
+    links, least = brute_links(x)
     for k in range(len(x)):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (links[k].sum(), least[k], least[k] == k)
     for k in range(900, 905):
@@ -231,6 +239,45 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def planted_vectors(seed=2, n=6000, size=24):
+    """Vectors in clusters, with near ones at all angles about the threshold, and one dense group."""
+    rng = np.random.default_rng(seed)
+    centres = embedding_dedup.unit(rng.standard_normal((60, size)))
+    x = embedding_dedup.unit(centres[rng.integers(0, 60, n)] + 0.35 * rng.standard_normal((n, size)))
+    turned = []
+    for k in range(1500):
+        c = rng.uniform(0.90, 0.999)
+        noise = rng.standard_normal(size)
+        noise -= (noise @ x[k]) * x[k]
+        turned.append(c * x[k] + np.sqrt(1 - c * c) * noise / np.sqrt(noise @ noise))
+    dense = x[n - 1] + 0.03 * rng.standard_normal((400, size))
+    return np.concatenate([x, turned, dense])
+
+
+@pytest.mark.parametrize("settings", [{"PER_CELL": 6, "PER_GROUP": 60}, {"PER_CELL": 6, "PER_GROUP": 400, "BLOCK": 64, "HEAVY": 120}])
+def test_embedding_links_against_brute_force(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(embedding_dedup, k, v)
+    x = planted_vectors()
+    assert embedding_dedup.n_codes(len(x)) >= 32  # a grid of at least 32 by 32 cells
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    links, least = brute_links(x)
+    assert sum(got[k].n_links for k in got) >= 0.98 * links.sum() and all(got[k].n_links <= links[k].sum() for k in got)
+    assert all(least[k] == least[got[k].component_id] for k in got)  # nothing is tied that links do not tie
+    a, b = np.nonzero(links)
+    assert np.mean([got[i].component_id == got[j].component_id for i, j in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.98
+
+
+def test_embeddings_in_double_precision_and_odd_ids(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", 1)
+    big, tiny = 1e300, 1 + 2**-40
+    rows = [("b", [big, 0.0]), ("a", [big, 1e295]), ("a", [0.0, 1.0]), ("c", [1e-5, tiny]), ("c", [1e-5, 1.0]), ("d", [1.0, 2.0, 3.0]), ("e", [1.0, 2.0, 3.1]), (None, [0.0, -1.0]), (None, None), ("f", [1.0, None])]
+    table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id string, embedding array<double>, m int, id string")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(table).collect()), key=str)
+    assert got == sorted([("b", 1, "a", False), ("a", 1, "a", True), ("a", 2, "a", True), ("c", 2, "a", False), ("c", 2, "a", False), ("d", 1, "d", True), ("e", 1, "d", False), (None, 0, None, True), (None, 0, None, True), ("f", 0, "f", True)], key=str)
+
+
 def brute_targets(sizes):
     """Shares by weight, stopped at twice a size, by trying ever higher levels of what one unit of weight gets."""
     weights = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
