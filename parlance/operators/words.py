@@ -124,8 +124,9 @@ def retraced_words(words: Column, lang: Column | None = None) -> Column:
     found = retraced(content, 1)
     if lang is not None:
         found = F.when(lang.isin("yue", "zho"), retraced(content, 2)).otherwise(found)
-    place = lambda k: F.size(F.filter(F.slice(words, 1, k), lambda y: ~y.isin(*ENDINGS, *SEPARATORS)))
-    return let(found, lambda r: F.transform(words, lambda x, k: F.when(x.isin(*ENDINGS, *SEPARATORS), F.lit(False)).otherwise(F.get(r, place(k)))))
+    places = F.filter(F.transform(words, lambda x, k: F.when(~x.isin(*ENDINGS, *SEPARATORS), k)), lambda k: k.isNotNull())
+    marked = F.transform(F.filter(F.arrays_zip(places.alias("k"), found.alias("r")), lambda z: z["r"]), lambda z: z["k"])
+    return let(marked, lambda ks: F.transform(words, lambda x, k: F.array_contains(ks, k)))
 
 
 def combined_letters(df: DataFrame) -> DataFrame:

@@ -312,7 +312,8 @@ _scalar("h20_overrides", _spark(f"SELECT event_id AS k, {_pick(_OVERRIDES, 0)} A
         lambda: {"t": _SHOWN(morphology.overridden(F.transform(F.split("t", " "), lambda x: F.struct(x.alias("text"), F.lit(None).cast("boolean").alias("hint"))), F.col("lang")))}, _sql(f"SELECT event_id AS k, {_pick(_OVERRIDES, 2)} AS t FROM events"))
 query(
     "h28_retokenized",
-    f"""WITH b AS (SELECT * FROM ({_D_BARE}) q WHERE len(ws) > 0 AND u % 4 <> 3 AND len([w FOR w IN ws IF w IN ('.', '?', '!')]) = 0), c AS (SELECT f, u, flatten({_CUT}) AS ts FROM b) SELECT f, u, '&~eh ' || array_to_string(ts, ' ') AS t, len(ts)::BIGINT AS tags FROM c""",
+    f"""WITH b AS (SELECT * FROM ({_D_BARE}) q WHERE len(ws) > 0 AND u % 4 <> 3 AND len([w FOR w IN ws IF w IN ('.', '?', '!')]) = 0), c AS (SELECT f, u, ws, {_CUT} AS cs FROM b)
+    SELECT f, u, '&~eh ' || array_to_string([CASE WHEN len(cs[k + 1]) = 2 AND cs[k + 1][2] IN ('.', '?', '!') THEN cs[k + 1][1] || ' ' || ws[k + 1] ELSE array_to_string(cs[k + 1], ' ') END FOR k IN range(len(ws))], ' ') AS t, len(flatten(cs))::BIGINT AS tags FROM c""",
 )(
     lambda s, d: _cut_tokens(s, d).where(~F.exists("bare", lambda w: w.isin(".", "?", "!")) & (F.col("u") % 4 != 3))
     .select("f", "u", morphology.retokenized(F.concat(F.array(F.struct(F.lit("&~eh").alias("text"), F.lit("other").alias("kind"))), F.transform("bare", lambda w: F.struct(w.alias("text"), F.lit("word").alias("kind")))), F.col("tokens")).alias("r"))
@@ -401,14 +402,14 @@ query("u6_recovery_strategy", _C10)(lambda s, d: recovery.recover(_recoverable(s
 
 def _overlapping(s: SparkSession, d: str) -> DataFrame:
     """As ``_recoverable``, untimed, with every sixth turn overlapping the one before, which has a mark at its middle, and its words heard there."""
-    w = _unique(s, d).where("p < 12")
+    w = _unique(s, d).where("p < 12 and (u % 6 != 5 or p < 2)")
     u = w.groupBy("f", "u").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "word"))), lambda x: x["word"]).alias("words"))
     lazy = F.col("u") % 6 == 5
     top = F.array(F.struct(F.lit(1).alias("number"), F.lit(0.5).alias("fraction")))
     none = F.array().cast("array<struct<number:int,fraction:double>>")
     u = u.select("f", F.struct(F.col("u").cast("int").alias("u"), (F.col("u") % 2).cast("string").alias("speaker"), "words", F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), lazy.alias("lazy"), F.array().cast("array<int>").alias("bottoms"), F.when(F.col("u") % 6 == 4, top).otherwise(none).alias("tops")).alias("x"))
-    # An overlapping turn's words are heard half a turn earlier, between those of the turn before.
-    at = (F.when(lazy, (F.col("u") - 1) * 100 + 50).otherwise(F.col("u") * 100) + F.col("p") * 8) * 10
+    # An overlapping turn has two words, which are heard soon after the turn before begins, between those of the turn before.
+    at = (F.when(lazy, (F.col("u") - 1) * 100 + 10).otherwise(F.col("u") * 100) + F.col("p") * 8) * 10
     heard = w.select("f", F.struct(at.alias("k"), "word", at.cast("long").alias("start_ms"), (at + 70).cast("long").alias("end_ms")).alias("t"))
     tokens = heard.groupBy("f").agg(F.transform(F.array_sort(F.collect_list("t")), lambda x: F.struct(x["word"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("tokens"))
     return u.groupBy("f").agg(F.array_sort(F.collect_list("x")).alias("utterances")).join(tokens, "f")
@@ -417,7 +418,7 @@ def _overlapping(s: SparkSession, d: str) -> DataFrame:
 #: Where overlapping turns are few enough to be left out at first, each turn gets the span of its own words.
 query(
     "c11_two_pass_timing",
-    f"""WITH w AS (SELECT *, (CASE WHEN u % 6 = 5 THEN (u - 1) * 100 + 50 ELSE u * 100 END + p * 8) * 10 AS a FROM ({_UNIQUE}) t WHERE p < 12) SELECT f, u, min(a) AS start_ms, max(a) + 70 AS end_ms FROM w GROUP BY f, u""",
+    f"""WITH w AS (SELECT *, (CASE WHEN u % 6 = 5 THEN (u - 1) * 100 + 10 ELSE u * 100 END + p * 8) * 10 AS a FROM ({_UNIQUE}) t WHERE p < 12 AND (u % 6 <> 5 OR p < 2)) SELECT f, u, min(a) AS start_ms, max(a) + 70 AS end_ms FROM w GROUP BY f, u""",
 )(lambda s, d: recovery.two_pass_timing(_overlapping(s, d), recovery.TwoPass(mode="caseless")).select("f", F.col("u").cast("long").alias("u"), "start_ms", "end_ms"))
 query(
     "c13_overlap_onsets",
