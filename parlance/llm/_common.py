@@ -94,13 +94,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 1 << 2
 def keyed_join(many: DataFrame, one: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """``many``, which has ``rows`` rows, joined to ``one``, which has a row for each key and in ``n`` how many of ``many`` it meets.
 
-    The rows of one key all meet in one task.  Keys with over a ``HOT_KEYS``-th of the rows are
-    therefore joined by broadcast; they are ``HOT_KEYS`` at most, whatever the number of rows.
+    The rows of one key all meet in one task.  Keys with over a ``HOT_KEYS``-th of the rows, where
+    there are any, are therefore joined by broadcast; they are ``HOT_KEYS`` at most, whatever the
+    number of rows.
     """
     least = max(HOT_LEAST, rows // HOT_KEYS)
-    hot, cold = one.where(F.col("n") > least).drop("n"), one.where(F.col("n") <= least).drop("n")
-    met = many.join(F.broadcast(hot), keys)
-    return met.union(many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    found = one.where(F.col("n") > least).collect()
+    if not found:
+        return many.join(one.drop("n"), keys)
+    hot = F.broadcast(many.sparkSession.createDataFrame(found, one.schema))
+    met = many.join(hot.drop("n"), keys)
+    return met.union(many.join(hot.select(*keys), keys, "left_anti").join(one.where(F.col("n") <= least).drop("n"), keys))
 
 
 def release() -> None:

@@ -39,12 +39,12 @@ from parlance.llm.graph import components
 COSINE = 0.95
 FIT_ROWS, PER_CODE = 20_000, 32
 #: Vectors in a cell, about; codes of a codebook, at most; vectors in a group of cells, about.
-PER_CELL, MOST_CODES, PER_GROUP = 128, 2048, 4096
+PER_CELL, MOST_CODES, PER_GROUP = 128, 2048, 8192
 #: Share of the faintest links that a query's own traversal is to find, and vectors on which that is set.
 RECALL, CALIBRATE = 0.995, 2000
 ROUNDS = 8
 #: Members of a block, and of a cell that gets a leader.
-BLOCK, HEAVY = 2048, 16_384
+BLOCK, HEAVY = 16_384, 16_384
 QUERIES = 256
 #: Lengths of vectors that get an index of their own, those with the most vectors; others are compared within their length.
 LENGTHS = 8
@@ -84,10 +84,14 @@ class MultiIndex:
         self.half, k = sample.shape[1] // 2 or sample.shape[1], n_codes(n)
         x = unit(sample)
         self.codes = [codebook(x[:, : self.half], k), codebook(x[:, self.half :], k)] if x.shape[1] > 1 else [codebook(x, k), np.zeros((1, 0))]
+        if x.shape[1] > 2:  # in the order of their longest axis, so that codes beside each other are near
+            middle = self.codes[0] - self.codes[0].mean(0)
+            self.codes[0] = self.codes[0][np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
         self.k = [len(c) for c in self.codes]
         self.apart = [np.maximum(distances(c, c), 1e-12) for c in self.codes]
-        #: Codes of the second half that a group of cells has, and groups beside each other.
-        self.width = int(min(self.k[1], max(1, round(PER_GROUP * self.k[0] * self.k[1] / max(1, n)))))
+        #: Codes of the first and of the second half that a group of cells has, and groups beside each other.
+        cells = max(1, round(PER_GROUP * self.k[0] * self.k[1] / max(1, n)))
+        self.width, self.tall = min(self.k[1], cells), max(1, cells // self.k[1])
         self.across = -(-self.k[1] // self.width)
         self.reach = 2 * (1 - cosine) + 1e-9  # squared length of the longest link
         self.calibrate(x[:CALIBRATE], cosine)
@@ -101,7 +105,7 @@ class MultiIndex:
         return near[0] * self.k[1] + near[1]
 
     def groups(self, cells: np.ndarray) -> np.ndarray:
-        return cells // self.k[1] * self.across + cells % self.k[1] // self.width
+        return cells // self.k[1] // self.tall * self.across + cells % self.k[1] // self.width
 
     def calibrate(self, x: np.ndarray, cosine: float, recall: float = RECALL, seed: int = SEED) -> None:
         """Sets how many cells a query visits: as many as find the share ``recall`` of vectors that are just near enough to link."""
