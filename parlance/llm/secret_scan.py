@@ -148,8 +148,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def index(docs: DataFrame, grams: list[str], blocks: int) -> DataFrame:
     """The index: rows (block, gram, docs) of keyed documents, ``gram`` being its place in ``grams``."""
-    there = F.array_compact(F.array(*[F.when(F.contains("lower", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
-    found = docs.select("key", F.lower("text").alias("lower")).select("key", F.explode(there).alias("gram"))
+    there = F.array(*[F.when(F.contains("lower", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)])
+    found = docs.select("key", F.lower("text").alias("lower")).select("key", F.explode(there).alias("gram")).where("gram is not null")
     return found.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("key").alias("docs"))
 
 
