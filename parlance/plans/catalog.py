@@ -309,12 +309,17 @@ def _edits(s: SparkSession, d: str) -> DataFrame:
 
 query("c1_alignment")(_edits)
 query("c2_character_alignment")(lambda s, d: _read(s, d, "SELECT item_id AS f, text FROM {benchmark}").select("f", F.split("text", "").alias("x"), F.split(F.expr("substring(text, 3)"), "").alias("y")).select("f", F.explode(align.alignment(F.col("x"), F.col("y"))).alias("e")).select("f", "e.*"))
+def _ascii(name: str) -> Column:
+    """Words with other than ASCII characters replaced, as DuckDB compares bytes."""
+    return F.regexp_replace(F.lower(F.col(name)), "[^ -~]", "?")
+
+
 query(
     "c3_similarity",
     f"""WITH t AS (SELECT item_id AS f, CASE WHEN trim(text) = '' THEN [''] ELSE regexp_split_to_array(trim(text), '\\s+') END AS gold FROM benchmark WHERE text IS NOT NULL),
     m AS (SELECT f, gold, [CASE WHEN k % 7 = 3 THEN gold[k + 1] || 'x' ELSE gold[k + 1] END FOR k IN range(len(gold)) IF k % 7 = 3 OR k % 11 <> 5] AS main FROM t)
-    SELECT f, CAST(p AS INTEGER) AS p, CASE WHEN p < len(main) THEN jaro_winkler_similarity(lower(gold[p + 1]), lower(main[p + 1])) END AS sim FROM m, unnest(range(len(gold))) AS r(p)""",
-)(lambda s, d: _compared(s, d).select("f", F.posexplode(F.arrays_zip("gold", F.slice("main", 1, F.size("gold")).alias("m"))).alias("p", "z")).select("f", "p", align.similarity(F.col("z.gold"), F.col("z.m")).alias("sim")))
+    SELECT f, CAST(p AS INTEGER) AS p, CASE WHEN p < len(main) THEN jaro_winkler_similarity(regexp_replace(lower(gold[p + 1]), '[^ -~]', '?', 'g'), regexp_replace(lower(main[p + 1]), '[^ -~]', '?', 'g')) END AS sim FROM m, unnest(range(len(gold))) AS r(p)""",
+)(lambda s, d: _compared(s, d).select("f", F.posexplode(F.arrays_zip("gold", F.slice("main", 1, F.size("gold")).alias("m"))).alias("p", "z")).select("f", "p", align.similarity(_ascii("z.gold"), _ascii("z.m")).alias("sim")))
 #: Longest common subsequences, a row of their table at a time: without a substitution that costs less than two gaps, the edits follow from their length.
 query(
     "d1_edit_metrics",
