@@ -459,7 +459,9 @@ def tree_ranges(tree: str) -> list[list[int]]:
             stack[-1][0] = tok
         else:
             at += 1
-    if len(stack) != 1 or roots != 1 or len(stack[0][1]) != 1 or at == 0 and not stack[0][1]:
+    if len(stack) != 1:
+        raise ValueError("a bracket is left open")
+    if roots != 1 or len(stack[0][1]) != 1:
         raise ValueError("not one bracketed tree")
     return stack[0][1][0][3]
 
