@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: What marks a transcript that only stands for a recording.
-DUMMY = ("@Options:\tdummy", "This is a dummy file to permit playback from the TalkBank browser")
+DUMMY = ("@Options:\tdummy", "This is a dummy file to permit playback from the")
 GENERATING = ("transcribe", "transcribe_s", "benchmark", "opensmile")
 
 
