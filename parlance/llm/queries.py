@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from parlance.llm import embedding_dedup, html_extract, minhash, mixing, pieces, pii, quality_mil, quality_rules, secret_scan, toxicity
+from parlance.llm import embedding_dedup, fill_middle, html_extract, minhash, mixing, pieces, pii, quality_mil, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_mil": quality_mil.op8_quality_mil,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_pii": pii.op10_pii,
+        "op11_fill_middle": fill_middle.op11_fill_middle,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_scan.OP3_SQL}
+    return {"op3_secret_scan": secret_scan.OP3_SQL, "op11_fill_middle": fill_middle.OP11_SQL}
