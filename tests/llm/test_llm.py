@@ -115,6 +115,16 @@ def brute_secrets(text):
     return sorted(out)
 
 
+@pytest.mark.parametrize("text", [
+    "-----BEGIN " + "A " * 20_000 + "PRIVATE KEY-----", "-----BEGIN " * 20_000 + "X " * 20_000 + "PRIVATE KEY", "password" * 20_000 + "=" + "a" * 20_000,
+    "token" + " " * 20_000 + "=" + " " * 20_000 + "'" + "b" * 20, "api_key=" * 20_000, "AKIA" * 20_000, "0a" * 100_000 + "g", "ghp_" + "a1" * 50_000, "ghp_" * 20_000,
+    "xoxb-" + "a-" * 50_000, "AIza" + "_-" * 50_000, "sk_live_" * 20_000, "eyJ" + "a" * 100_000 + ".eyJ" + "b" * 100_000 + "." + "c" * 100_000, "eyJaaaaaaaa." * 20_000,
+])
+def test_long_repeats_take_no_stack(spark, text):
+    got = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in got.found] == brute_secrets(text)
+
+
 def test_secret_spans(spark, docs, empty, monkeypatch):
     more = ["ghp_" + "a1" * 20, "-----BEGIN RSA PRIVATE KEY-----", "\x01token=abcdefghij\x01", "API_KEY : \"abc.def-ghi\" apikey='12345678'", "sk_live_" + "a" * 20, "é token=abcdefgh"]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + k, t) for k, t in enumerate(more)] + [(100, more[0])], "doc_id long, text string"))
