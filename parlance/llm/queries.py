@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from parlance.llm import embedding_dedup, fill_middle, html_extract, minhash, mixing, pieces, pii, quality_mil, quality_rules, secret_scan, suffix_dedup, toxicity
+from parlance.llm import embedding_dedup, fill_middle, html_extract, minhash, mixing, pieces, pii, prefix_trie, quality_mil, quality_rules, secret_scan, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,10 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_pii": pii.op10_pii,
         "op11_fill_middle": fill_middle.op11_fill_middle,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_scan.OP3_SQL, "op11_fill_middle": fill_middle.OP11_SQL, "op13_suffix_dedup": suffix_dedup.OP13_SQL}
+    return {"op3_secret_scan": secret_scan.OP3_SQL, "op11_fill_middle": fill_middle.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL, "op13_suffix_dedup": suffix_dedup.OP13_SQL}
