@@ -43,9 +43,9 @@ from parlance.llm._common import cut, in_batches, release, slices, stored, table
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 #: Windows that are hashed at once, and bytes of text whose contexts are held until they are sent.
-PIECE, HELD = 1 << 18, 1 << 24
+PIECE, HELD = 1 << 18, 1 << 23
 #: Bytes of text for each bucket of postings.
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 23
 #: Documents of the sample for hot anchors, the share of them that makes one, and the least number.
 SAMPLE_DOCS, HOT_SHARE, HOT_LEAST = 20_000, 0.001, 20
 #: Different contexts of an anchor beyond which their windows are grouped one by one; rows up to which ids are broadcast.
@@ -190,9 +190,10 @@ def _windows(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.
             each = np.repeat(np.flatnonzero(wide), many[wide])
             p = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(many[wide]) - many[wide], many[wide])
             own = _mix(_mix((sums[p + LENGTH] - sums[p]) * _INVERSE[p]) + np.uint64(1))
+            apart = _mix(gram[p] * np.uint64(3) ^ _mix(gram[p + GRAM] * np.uint64(5) ^ _mix(gram[p + LENGTH - GRAM] ^ (gram[p + 2 * GRAM] << np.uint64(1)))))
             thin = ~wide
             row, lo, many = np.append(row[thin], row[each]), np.append(lo[thin], p), np.append(many[thin], np.ones(len(p), dtype=np.int64))
-            key, context = np.append(key[thin], own), np.append(context[thin], own)
+            key, context = np.append(key[thin], own), np.append(context[thin], apart)
     return row, lo - bounds[row], many, key, context
 
 
@@ -237,6 +238,34 @@ def _hot(rows: DataFrame, docs: int) -> np.ndarray:
 
 _POSTED = {"key": np.uint32, "context": np.uint64, "doc": np.int64, "tag": np.int32, "lo": np.int32, "many": np.int32}
 _POSTINGS = "bucket int, key binary, context binary, doc binary, tag binary, lo binary, many binary"
+#: Bytes of a context's hash that travel, besides those of its anchor's.
+CONTEXT_BYTES = 6
+
+
+def _pack(name: str, values: np.ndarray | None, compress) -> bytes | None:
+    """A column as bytes: hashes as they are, numbers as differences, byte by byte, and compressed."""
+    if values is None:
+        return None
+    values = values.astype(_POSTED[name])
+    if name == "key":
+        return values.tobytes()
+    if name == "context":
+        return values.view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BYTES].tobytes()
+    values = np.diff(values, prepend=values.dtype.type(0)) if name == "doc" else values
+    return compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def _unpack(name: str, packed: pa.Buffer, decompress) -> np.ndarray:
+    if name == "key":
+        return np.frombuffer(packed, dtype=np.uint32)
+    if name == "context":
+        raw = np.frombuffer(packed, dtype=np.uint8).reshape(-1, CONTEXT_BYTES)
+        out = np.zeros((len(raw), 8), dtype=np.uint8)
+        out[:, :CONTEXT_BYTES] = raw
+        return out.view(np.uint64)[:, 0]
+    kind = np.dtype(_POSTED[name])
+    values = np.ascontiguousarray(np.frombuffer(decompress(packed), dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
+    return np.cumsum(values) if name == "doc" else values
 
 
 def _joined_runs(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -252,8 +281,8 @@ def postings(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """Packed postings: for each slice and bucket the contexts that the slice itself does not decide; decided ones have no key."""
 
     def packed(bucket: int, key: np.ndarray | None, context: np.ndarray | None, *rest: np.ndarray) -> dict:
-        named = dict(zip(_POSTED, (key, context, *rest), strict=True))
-        return {"bucket": bucket} | {k: None if v is None else v.astype(_POSTED[k]).tobytes() for k, v in named.items()}
+        compress = zstandard.ZstdCompressor(level=1).compress
+        return {"bucket": bucket} | {k: _pack(k, v, compress) for k, v in zip(_POSTED, (key, context, *rest), strict=True)}
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, tag, lo, many, key, context = map(np.concatenate, zip(*held, strict=True))
@@ -297,8 +326,11 @@ def decided(posted: DataFrame) -> DataFrame:
 
     def run(bucket: pa.Table) -> pa.Table:
         parts: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
-        for row in bucket.to_pylist():
-            parts[row["key"] is None].append(tuple(np.frombuffer(row[k] or b"", dtype=d) for k, d in _POSTED.items()))
+        decompress = zstandard.ZstdDecompressor().decompress
+        for at in range(bucket.num_rows):
+            row = {k: bucket[k][at] for k in _POSTED}
+            gone = not row["key"].is_valid
+            parts[gone].append(tuple(_unpack(k, v.as_buffer(), decompress) if v.is_valid else np.zeros(0, dtype=_POSTED[k]) for k, v in row.items()))
         found = [tuple(map(np.concatenate, zip(*(p[2:] for p in parts[True]), strict=True)))] if parts[True] else []
         gids = [np.full(len(found[0][0]), -2, dtype=np.int64)] if found else []
         if parts[False]:
@@ -340,7 +372,7 @@ def _packed_texts(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, tag, packed): texts compressed for the way between executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["tag"], pa.array([pack(t) for t in part["text"].cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "tag", "packed"])
