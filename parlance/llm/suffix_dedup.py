@@ -43,7 +43,7 @@ from parlance.llm._common import cut, in_batches, release, slices, stored, table
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 #: Windows that are hashed at once, and bytes of text whose contexts are held until they are sent.
-PIECE, HELD = 1 << 18, 1 << 23
+PIECE, HELD = 1 << 18, 1 << 22
 #: Bytes of text for each bucket of postings.
 BUCKET_BYTES = 1 << 23
 #: Documents of the sample for hot anchors, the share of them that makes one, and the least number.
@@ -360,6 +360,7 @@ def decided(posted: DataFrame) -> DataFrame:
             gids.append(np.repeat(gid, size)[keep])
         doc, tag, lo, many = map(np.concatenate, zip(*found, strict=True))
         gid = np.concatenate(gids)
+        release()
         return pa.table({"doc_id": doc, "tag": tag, "lo": lo, "n": many, "gid": pa.array(gid, mask=gid == -2)})
 
     return posted.groupBy("bucket").applyInArrow(run, out)
