@@ -182,7 +182,7 @@ def _windows(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.
     first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
     many = np.diff(np.append(first, len(at)))
     row, lo, anchor = row[first], at[first], anchor[first]
-    key = gram[anchor]
+    key = _mix(gram[anchor] + np.uint64(2))  # anchors are small hashes; buckets take them as evenly spread
     context = _mix(((sums[lo + many + LENGTH - 1] - sums[lo]) * _INVERSE[lo]) ^ _mix((anchor - lo).astype(np.uint64) * np.uint64(101) + many.astype(np.uint64)))
     if len(hot):
         wide = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
@@ -324,46 +324,55 @@ def decided(posted: DataFrame) -> DataFrame:
     """Rows (doc_id, tag, lo, n, gid): windows that go, ``gid`` being null, and windows whose bytes must be compared under ``gid`` (-1: under their own)."""
     out = "doc_id long, tag int, lo int, n int, gid long"
 
-    def run(bucket: pa.Table) -> pa.Table:
-        parts: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
-        decompress = zstandard.ZstdDecompressor().decompress
-        for at in range(bucket.num_rows):
-            row = {k: bucket[k][at] for k in _POSTED}
-            gone = not row["key"].is_valid
-            parts[gone].append(tuple(_unpack(k, v.as_buffer(), decompress) if v.is_valid else np.zeros(0, dtype=_POSTED[k]) for k, v in row.items()))
-        found = [tuple(map(np.concatenate, zip(*(p[2:] for p in parts[True]), strict=True)))] if parts[True] else []
+    def answer(number: int, sent: list[tuple[np.ndarray, ...]], gone: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        found = [tuple(map(np.concatenate, zip(*gone, strict=True)))] if gone else []
         gids = [np.full(len(found[0][0]), -2, dtype=np.int64)] if found else []
-        if parts[False]:
-            key, context, *rest = map(np.concatenate, zip(*parts[False], strict=True))
+        if sent:
+            key, context, *rest = map(np.concatenate, zip(*sent, strict=True))
             doc = rest[0]
             # Equal contexts: all but those of the smallest id go.
             both = context ^ (key.astype(np.uint64) * np.uint64(_ODD))
             order = np.argsort(both)
-            first = np.flatnonzero(np.append(True, np.diff(both[order]) != 0))
-            group = np.cumsum(np.append(False, np.diff(both[order]) != 0))
-            gone = np.zeros(len(doc), dtype=bool)
-            gone[order] = doc[order] > np.minimum.reduceat(doc[order], first)[group]
-            found.append(tuple(c[gone] for c in rest))
-            gids.append(np.full(int(gone.sum()), -2, dtype=np.int64))
+            other = np.append(True, np.diff(both[order]) != 0)
+            least = np.minimum.reduceat(doc[order], np.flatnonzero(other))
+            later = np.zeros(len(doc), dtype=bool)
+            later[order] = doc[order] > least[np.cumsum(other) - 1]
+            found.append(tuple(c[later] for c in rest))
+            gids.append(np.full(int(later.sum()), -2, dtype=np.int64))
             # Different contexts of an anchor and of different documents.
-            left = order[~gone[order]]
+            left = order[~later[order]]
             left = left[np.argsort(key[left], kind="stable")]
             at = np.flatnonzero(np.append(True, np.diff(key[left]) != 0))
-            size = np.diff(np.append(at, len(left)))
             other = np.append(True, (np.diff(key[left]) != 0) | (np.diff(both[left]) != 0))
             kinds = np.add.reduceat(other.astype(np.int64), at)
             asked = (kinds > 1) & (np.minimum.reduceat(doc[left], at) != np.maximum.reduceat(doc[left], at))
-            number = int(bucket["bucket"][0].as_py())
             gid = np.where(kinds > WIDE, -1, (np.int64(number) << 32) | key[left[at]].astype(np.int64))
+            size = np.diff(np.append(at, len(left)))
             keep = np.repeat(asked, size)
             found.append(tuple(c[left[keep]] for c in rest))
             gids.append(np.repeat(gid, size)[keep])
         doc, tag, lo, many = map(np.concatenate, zip(*found, strict=True))
         gid = np.concatenate(gids)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(lo), pa.array(many), pa.array(gid, mask=gid == -2)], names=["doc_id", "tag", "lo", "n", "gid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompress = zstandard.ZstdDecompressor().decompress
+        now, sent, gone = None, [], []
+        for batch in batches:
+            for at, bucket in enumerate(batch["bucket"].to_pylist()):
+                if bucket != now and (sent or gone):
+                    yield answer(now, sent, gone)
+                    sent, gone = [], []
+                    release()
+                now = bucket
+                row = {k: batch[k][at] for k in _POSTED}
+                columns = tuple(_unpack(k, v.as_buffer(), decompress) for k, v in row.items() if v.is_valid)
+                (sent if row["key"].is_valid else gone).append(columns)
+        if sent or gone:
+            yield answer(now, sent, gone)
         release()
-        return pa.table({"doc_id": doc, "tag": tag, "lo": lo, "n": many, "gid": pa.array(gid, mask=gid == -2)})
 
-    return posted.groupBy("bucket").applyInArrow(run, out)
+    return in_batches(posted.repartition("bucket").sortWithinPartitions("bucket")).mapInArrow(run, out)
 
 
 # ---- bytes ---------------------------------------------------------------------------------
