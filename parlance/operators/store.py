@@ -16,9 +16,11 @@ def cache_hits(wanted: DataFrame, cache: DataFrame, version: str) -> DataFrame:
 
 
 def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """The newest entry of each (key, task)."""
-    w = Window.partitionBy("key", "task").orderBy(F.desc("created_at"))
-    return cache.unionByName(new).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    """The newest entry of each (key, task); of equal times a new entry wins, and of several such the largest."""
+    rest = [F.desc(c) for c in cache.columns if c not in ("key", "task", "created_at")]
+    w = Window.partitionBy("key", "task").orderBy(F.desc("created_at"), F.desc("_new"), *rest)
+    every = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return every.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "_new")
 
 
 def cache_delete(cache: DataFrame, keys: DataFrame) -> DataFrame:
