@@ -402,23 +402,31 @@ query("u6_recovery_strategy", _C10)(lambda s, d: recovery.recover(_recoverable(s
 
 def _overlapping(s: SparkSession, d: str) -> DataFrame:
     """As ``_recoverable``, untimed, with every sixth turn overlapping the one before, which has a mark at its middle, and its words heard there."""
-    w = _unique(s, d).where("p < 12 and (u % 6 != 5 or p < 2)")
+    w = _unique(s, d)
     u = w.groupBy("f", "u").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "word"))), lambda x: x["word"]).alias("words"))
     lazy = F.col("u") % 6 == 5
     top = F.array(F.struct(F.lit(1).alias("number"), F.lit(0.5).alias("fraction")))
     none = F.array().cast("array<struct<number:int,fraction:double>>")
     u = u.select("f", F.struct(F.col("u").cast("int").alias("u"), (F.col("u") % 2).cast("string").alias("speaker"), "words", F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), lazy.alias("lazy"), F.array().cast("array<int>").alias("bottoms"), F.when(F.col("u") % 6 == 4, top).otherwise(none).alias("tops")).alias("x"))
-    # An overlapping turn has two words, which are heard soon after the turn before begins, between those of the turn before.
-    at = (F.when(lazy, (F.col("u") - 1) * 100 + 10).otherwise(F.col("u") * 100) + F.col("p") * 8) * 10
+    # The words of an overlapping turn are heard soon after the turn before begins, between those of the turn before.
+    at = (F.when(lazy, (F.col("u") - 1) * 10_000 + 10).otherwise(F.col("u") * 10_000) + F.col("p") * 8) * 10
     heard = w.select("f", F.struct(at.alias("k"), "word", at.cast("long").alias("start_ms"), (at + 70).cast("long").alias("end_ms")).alias("t"))
     tokens = heard.groupBy("f").agg(F.transform(F.array_sort(F.collect_list("t")), lambda x: F.struct(x["word"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("tokens"))
     return u.groupBy("f").agg(F.array_sort(F.collect_list("x")).alias("utterances")).join(tokens, "f")
 
 
-#: Where overlapping turns are few enough to be left out at first, each turn gets the span of its own words.
+#: Where overlapping turns are few enough to be left out at first, other turns get the spans of their words, and each of them that of
+#: its words in the first of three windows around the turn before that holds any.
+_BUFFERS = (recovery.TwoPass().tight_ms, "greatest(len, 2000)", "greatest(2 * len, 5000)")
 query(
     "c11_two_pass_timing",
-    f"""WITH w AS (SELECT *, (CASE WHEN u % 6 = 5 THEN (u - 1) * 100 + 10 ELSE u * 100 END + p * 8) * 10 AS a FROM ({_UNIQUE}) t WHERE p < 12 AND (u % 6 <> 5 OR p < 2)) SELECT f, u, min(a) AS start_ms, max(a) + 70 AS end_ms FROM w GROUP BY f, u""",
+    f"""WITH w AS (SELECT *, (CASE WHEN u % 6 = 5 THEN (u - 1) * 10000 + 10 ELSE u * 10000 END + p * 8) * 10 AS a FROM ({_UNIQUE}) t),
+    t AS (SELECT f, u, min(a) AS start_ms, max(a) + 70 AS end_ms FROM w GROUP BY f, u),
+    x AS (SELECT t.f, t.u, b.start_ms + floor((b.end_ms - b.start_ms) * 0.5)::BIGINT AS anchor, b.end_ms AS pe, b.end_ms - b.start_ms AS len FROM t JOIN t b ON b.f = t.f AND b.u = t.u - 1 WHERE t.u % 6 = 5),
+    y AS (SELECT x.f, x.u, {", ".join(f"min(a) FILTER (a < pe + {n} AND a + 70 > greatest(0, anchor - {n})) AS s{k}, max(a) FILTER (a < pe + {n} AND a + 70 > greatest(0, anchor - {n})) + 70 AS e{k}" for k, n in enumerate(_BUFFERS))}
+    FROM x JOIN w USING (f, u) GROUP BY x.f, x.u)
+    SELECT f, u, start_ms, end_ms FROM t WHERE u % 6 <> 5 UNION ALL SELECT f, u, coalesce(s0, s1, s2), coalesce(e0, e1, e2) FROM y
+    UNION ALL SELECT f, u, start_ms, end_ms FROM t WHERE u % 6 = 5 AND (f, u) NOT IN (SELECT (f, u) FROM x)""",
 )(lambda s, d: recovery.two_pass_timing(_overlapping(s, d), recovery.TwoPass(mode="caseless")).select("f", F.col("u").cast("long").alias("u"), "start_ms", "end_ms"))
 query(
     "c13_overlap_onsets",
@@ -519,7 +527,10 @@ query(
 )(lambda s, d: _turns(s, d).where(F.size("words") > 0).select("f", "u", F.array_join(sequence.letters_merged(F.transform("words", lambda w: F.when(F.rlike(w, F.lit("^[A-Za-z]")), F.substring(w, 1, 1)).otherwise(w)), _PAIRS), " ").alias("w")))
 _scalar("g1_without_subsets", "SELECT event_id AS k, cast(event_id % 5 + 1 as int) AS a, cast(user_id % 5 + 1 as int) AS b FROM {events}", lambda: {"n": F.array_join(F.transform(records.without_subsets(F.array(F.sequence(F.lit(1), F.col("a")), F.sequence(F.lit(3), F.lit(3) + F.col("b")))), lambda r: F.size(r)), " ")},
         "SELECT k, CASE WHEN b + 1 >= a THEN (b + 1) || CASE WHEN least(a, 2) > 0 THEN ' ' || least(a, 2) ELSE '' END ELSE a || CASE WHEN b + 3 > greatest(a, 2) THEN ' ' || (b + 3 - greatest(a, 2)) ELSE '' END END AS n FROM (SELECT event_id AS k, event_id % 5 + 1 AS a, user_id % 5 + 1 AS b FROM events) t")
-_scalar("h6_cantonese_characters", "SELECT doc_id AS k, concat('你 ', substring(text, 1, 0), '好，', lang) AS t FROM {documents}", lambda: {"c": F.array_join(words.cantonese_characters(F.col("t")), "|")}, "SELECT doc_id AS k, '你|好|' || array_to_string(string_split(lang, ''), '|') AS c FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE lang IS NULL")
+_scalar(
+    "h6_cantonese_characters", "SELECT doc_id AS k, concat('你 ', text, '好，', lang) AS t FROM {documents}", lambda: {"c": F.array_join(words.cantonese_characters(F.col("t")), "|")},
+    r"SELECT doc_id AS k, array_to_string(regexp_extract_all('你' || regexp_replace(text, '\s', '', 'g') || '好' || lang, '(?s).'), '|') AS c FROM documents",
+)
 
 # --- stores and streams --------------------------------------------------------------------
 
