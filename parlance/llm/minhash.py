@@ -19,8 +19,9 @@ bucket of near copies of one text thus sends each text about once.
 
 Results for odd input: equal texts form one class before anything is compared; null counts
 as the empty text; a text without words is like no text but an equal one.  A class is named
-by its smallest doc_id, ties cannot occur as ids name documents; rows that repeat an id and
-its text get equal results.  Rows with a null id are their own class, which is null, and
+by its smallest doc_id.  An id that stands for several texts is a document for each of them:
+none loses a link, and of those in one class the one with the smallest digest is kept; rows
+that repeat an id and its text get equal results.  Rows with a null id are their own class, which is null, and
 kept.  Other columns are ignored; an empty table gives an empty result.
 """
 
@@ -399,19 +400,45 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.any_value("text").alias("text"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (doc_id, component_id, kept), one for each row of ``docs``."""
-    named = docs.where("doc_id is not null")
+def _vertices(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Adds ``vertex`` to rows with doc_id and h: the id, or where it stands for ``several`` texts (doc_id), a name of id and text."""
+    own = F.xxhash64("doc_id", "h") if rows.schema["doc_id"].dataType.simpleString() == "bigint" else F.concat_ws(" ", "doc_id", "h").cast(rows.schema["doc_id"].dataType)
+    marked = rows.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "doc_id", "left")
+    return marked.withColumn("vertex", F.when(F.col("several"), own).otherwise(F.col("doc_id"))).drop("several")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (doc_id, h, component_id, kept), one for each row of ``docs``; ``h`` is the digest of its text."""
     hashed = cut(docs.select("doc_id", F.md5(text_of()).alias("h"), F.length(text_of()).alias("l")))
     reps = cut(hashed.where("doc_id is not null").groupBy("h", "l").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    # Ids that stand for several texts: each of these is a vertex of its own, or links of one would be lost.
+    several = cut(hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("doc_id", F.lit(True).alias("several")))
+    named, plain = docs.where("doc_id is not null").select("doc_id", "text"), several.isEmpty()
+    if plain:
+        reps = reps.withColumn("vertex", F.col("rep"))
+    else:
+        named = _vertices(named.withColumn("h", F.md5(text_of())), several).select(F.col("vertex").alias("doc_id"), "text")
+        reps = cut(_vertices(reps.withColumnRenamed("rep", "doc_id"), several).withColumnRenamed("doc_id", "rep"))
     idf, rows = document_frequencies(docs)
-    sigs = signatures(named, idf).join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sigs = signatures(named, idf).join(reps.select(F.col("vertex").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = cut(_buckets(stored(sigs, "signatures")))
     ids = cut(members.select(F.col("id").alias("doc_id")).distinct())
-    comp = components(cut(links(members, texts_of(docs, ids), idf, similarity)))
-    classes = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h", "l", F.coalesce("component", "rep").alias("component_id"), "n")
-    out = keyed_join(hashed.where("doc_id is not null"), classes, ["h", "l"], rows).select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    return out.union(hashed.where("doc_id is null").select("doc_id", "doc_id", F.lit(True)))
+    comp = components(cut(links(members, texts_of(named, ids), idf, similarity)))
+    found = reps.join(comp.withColumnRenamed("id", "vertex"), "vertex", "left").select("h", "l", "rep", F.coalesce("component", "vertex").alias("component"), "n")
+    if plain:  # a class is named by its smallest id
+        found = found.select("h", "l", F.col("component").alias("component_id"), F.when(F.col("rep") == F.col("component"), F.col("h")).alias("first"), "n")
+    else:
+        found = cut(found)
+        least = found.groupBy("component").agg(F.min(F.struct("rep", "h")).alias("least"), F.count("*").alias("n"))
+        found = keyed_join(found.withColumnRenamed("n", "copies"), least, ["component"], found.count()).select("h", "l", F.col("least.rep").alias("component_id"), F.col("least.h").alias("first"), F.col("copies").alias("n"))
+    out = keyed_join(hashed.where("doc_id is not null"), found, ["h", "l"], rows)
+    out = out.select("doc_id", "h", "component_id", ((F.col("doc_id") == F.col("component_id")) & F.coalesce(F.col("h") == F.col("first"), F.lit(False))).alias("kept"))
+    return out.union(hashed.where("doc_id is null").select("doc_id", "h", "doc_id", F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (doc_id, component_id, kept), one for each row of ``docs``."""
+    return classes(docs, similarity).drop("h")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,10 +446,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class, the one with the smallest id; of rows that repeat its id one stays."""
-    kept = cut(near_duplicates(docs).where("kept"))
-    ids = kept.select("doc_id").distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    if kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    """Pipeline stage: one document of each class, the one with the smallest id; of rows that repeat its id and text one stays.
+
+    Texts that share an id are documents of their own; of those in one class the one with the smallest digest stays.
+    """
+    found = cut(classes(docs).select("doc_id", "h", "kept"))
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    if found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept and n > 1").isEmpty():
+        ids = kept.select("_id").distinct()  # ids say which rows they are
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    own = F.md5(text_of())
+    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")) & (own == F.col("_h")), "left_semi")
+    named = out.where("doc_id is not null").withColumn("_h", own).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return named.unionByName(out.where("doc_id is null"))

@@ -699,3 +699,23 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("round_trip").count() == docs.count() > 0
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert not ids & {60, 62, 63}
+
+
+def test_ids_that_stand_for_several_texts_lose_no_link(spark):
+    x, y = prose(80, 71), prose(90, 72)
+    near = lambda t: t + " " + VOCABULARY[0]
+    rows = [(1, x), (1, y), (5, near(x)), (6, near(y)), (7, prose(70, 73)), (8, None), (8, ""), (9, near(y)), (9, x), (1, x)]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (5, 1), (6, 1), (7, 7), (8, 8), (8, 8), (9, 1), (9, 1)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "l", 2) for i, t in rows], SCHEMA)
+    kept = sorted((r.doc_id, r.text or "") for r in minhash.stage_near_duplicates(spark, docs, "").collect())
+    assert kept == sorted([(1, x), (1, y), (7, prose(70, 73)), (8, "")])
+    turned = spark.createDataFrame(rows[::-1], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(turned).collect()) == got
+
+
+def test_texts_of_one_id_in_one_class_leave_one(spark):
+    x = prose(100, 81)
+    rows = [(3, x, "en", "s", 1, "l", 2), (3, x + " more", "en", "s", 1, "l", 2), (4, x, "en", "s", 1, "l", 2)]
+    out = minhash.stage_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert len(out) == 1 and out[0].doc_id == 3
