@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from operator import eq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -59,13 +60,38 @@ def _prepared(payload: list[str], reference: list[str], mode: str, threshold: fl
     return payload, reference, near
 
 
-def _last_row(a: list[str], b: list[str], same: Callable[[str, str], bool]) -> list[int]:
-    row = list(range(len(b) + 1))
+def _masks(b: list, same: Callable) -> Callable[[object], int]:
+    """For a word, the places of ``b`` that match it, as the bits of an integer."""
+    places: dict[object, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    if same is eq:
+        return lambda x: places.get(x, 0)
+    known: dict[object, int] = {}
+
+    def mask(x: object) -> int:
+        if x not in known:
+            known[x] = sum(bits for y, bits in places.items() if same(x, y))
+        return known[x]
+
+    return mask
+
+
+def _last_row(a: list, b: list, same: Callable) -> np.ndarray:
+    """What it costs to align all of ``a`` with each beginning of ``b``.
+
+    A substitution costs as much as two gaps, so that is the number of words less twice those of a longest common
+    subsequence.  One row of its table is one integer, whose zero bits are the places where the length grows, and a row
+    follows from the one before by an addition and a few Boolean operations on whole integers.
+    """
+    n, mask = len(b), _masks(b, same)
+    row = full = (1 << n) - 1
     for x in a:
-        diagonal, row[0] = row[0], row[0] + 1
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(diagonal + (0 if same(x, y) else 2), row[j] + 1, row[j - 1] + 1)
-    return row
+        hits = row & mask(x)
+        row = ((row + hits) | (row - hits)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((n + 7) // 8, "little"), dtype=np.uint8), count=n, bitorder="little")
+    common = np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+    return len(a) + np.arange(n + 1) - 2 * common
 
 
 def _steps(a: list, b: list, same: Callable) -> list[tuple[str, int, int]]:
@@ -91,8 +117,7 @@ def _steps(a: list, b: list, same: Callable) -> list[tuple[str, int, int]]:
         else:
             half, x = j + (n - j) // 2, a[i:m]
             left, right = _last_row(b[j:half], x, same), _last_row(b[half:n][::-1], x[::-1], same)[::-1]
-            costs = [p + q for p, q in zip(left, right, strict=True)]
-            k = i + costs.index(min(costs))
+            k = i + int(np.argmin(left + right))  # the first of the smallest
             todo += [(k, m, half, n), (i, k, j, half)]
     return [("match", k, k) for k in range(head)] + middle + [("match", len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
