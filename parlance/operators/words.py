@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -101,32 +102,94 @@ def into_utterances(df: DataFrame) -> DataFrame:
     return y.select("f", "utt", "tok", "word").union(periods)
 
 
-def retraced(words: Column, least: int = 1) -> Column:
-    """For each word whether it stands in the first of two equal neighbouring runs of at least ``least`` words.
+def _ranks(codes: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Names of the runs of 1, 2, 4, ... words that begin at each place: equal names for equal runs; a run stays in its utterance."""
+    out, size, place = [codes], 1, np.arange(len(codes))
+    longest = int((end - place).max(initial=0))
+    while 4 * size <= longest:
+        there = np.flatnonzero(place + 2 * size <= end)
+        rank = np.full(len(codes), -1)
+        rank[there] = np.unique(out[-1][there] * (len(codes) + 1) + out[-1][there + size], return_inverse=True)[1]
+        out.append(rank)
+        size *= 2
+    return out
+
 
-    The runs are found first (their first words are compared before the rest), so work grows with the square of
-    an utterance's words at most.
+def repeats(codes: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For the words of utterances of the given sizes, one after another, whether each stands in the first of two equal neighbouring runs.
+
+    For a run of n words every n-th place is compared with the place n further on: how far the two agree onwards and
+    backwards, taken from names of runs of doubling length, tells all repeats of that length around them.  That makes
+    n/1 + n/2 + ... places for an utterance of n words.
     """
-    w, size = words, F.size(words)
-    lengths = lambda b: F.when(size - b >= 2 * least, F.sequence(F.lit(least), F.floor((size - b) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    equal = lambda b: F.filter(lengths(b), lambda n: (F.get(w, b) == F.get(w, b + n)) & (F.slice(w, b + 1, n) == F.slice(w, b + n + 1, n)))
-    places = F.when(size == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), size - 1))
-    ends = F.transform(places, lambda b: F.coalesce(b + F.array_max(equal(b)), F.lit(0)))  # where the longest run that starts here ends
-    # A word is marked if a run that starts at or before it ends after it; the zip carries each end with its place.
-    runs = F.filter(F.arrays_zip(places.alias("b"), ends.alias("e")), lambda r: r["e"] > 0)
-    # The runs are bound as the element of an array, so that they are found once and not for each word.
-    return F.get(F.transform(F.array(runs), lambda rs: F.transform(places, lambda p: F.exists(rs, lambda r: (r["b"] <= p) & (p < r["e"])))), 0)
+    stop = np.cumsum(sizes)
+    start = stop - sizes
+    end, begin = np.repeat(stop, sizes), np.repeat(start, sizes)
+    ranks = _ranks(codes, end)
+    edges = np.zeros(len(codes) + 1, dtype=np.int64)
+    firsts, gaps, held = [], [], 0
+    order = np.argsort(-sizes, kind="stable")
+    for n in range(1, int(sizes.max(initial=0)) // 2 + 1):
+        own = order[: np.searchsorted(-sizes[order], -2 * n, side="right")]
+        own = own[least[own] <= n]
+        count = (sizes[own] - 1) // n
+        at = np.repeat(start[own], count) + n * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+        firsts.append(at)
+        gaps.append(n)
+        held += len(at)
+        if held < 1 << 18 and n < int(sizes.max()) // 2:
+            continue
+        i, gap = np.concatenate(firsts), np.repeat(gaps, [len(x) for x in firsts])
+        firsts, gaps, held = [], [], 0
+        j, on, back = i + gap, np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            for _ in range(2 if k == len(ranks) - 1 else 1):  # the longest runs are half as long as the longest agreement
+                ok = j + on + (1 << k) <= end[i]
+                a = np.where(ok, i + on, 0)
+                ok &= ranks[k][a] == ranks[k][np.where(ok, j + on, 0)]
+                on += ok * (1 << k)
+                ok = i - back - (1 << k) >= begin[i]
+                a = np.where(ok, i - back - (1 << k), 0)
+                ok &= ranks[k][a] == ranks[k][np.where(ok, j - back - (1 << k), 0)]
+                back += ok * (1 << k)
+        hit = on + back >= gap
+        np.add.at(edges, (i - back)[hit], 1)
+        np.add.at(edges, (i + on)[hit], -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _marks(words: pd.Series, least: np.ndarray, skipped: frozenset[str] = frozenset()) -> pd.Series:
+    sizes = np.array([0 if w is None else len(w) for w in words], dtype=np.int64)
+    every = np.concatenate([np.zeros(0, dtype=object), *(np.asarray(w, dtype=object) for w in words if w is not None)])
+    codes, names = pd.factorize(every)
+    codes = np.where(codes < 0, len(names) + np.arange(len(codes)), codes)  # a null word is like no other
+    codes = np.unique(codes, return_inverse=True)[1] if len(codes) else codes.astype(np.int64)
+    kept = ~pd.Series(every, dtype=object).isin(skipped).to_numpy() if skipped else np.ones(len(every), dtype=bool)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros(len(every), dtype=bool)
+    out[kept] = repeats(codes[kept].astype(np.int64), np.bincount(owner[kept], minlength=len(sizes)).astype(np.int64), least)
+    cuts = np.append(0, np.cumsum(sizes))
+    return pd.Series([None if w is None else out[cuts[k] : cuts[k + 1]] for k, w in enumerate(words)], dtype=object)
+
+
+def retraced(words: Column, least: int = 1) -> Column:
+    """For each word whether it stands in the first of two equal neighbouring runs of at least ``least`` words."""
+
+    @F.pandas_udf("array<boolean>")
+    def run(ws: pd.Series) -> pd.Series:
+        return _marks(ws, np.full(len(ws), least))
+
+    return run(words)
 
 
 def retraced_words(words: Column, lang: Column | None = None) -> Column:
     """E13 over an utterance's words: as ``retraced``, but marks and separators are passed over, and Chinese repeats have two words."""
-    content = F.filter(words, lambda x: ~x.isin(*ENDINGS, *SEPARATORS))
-    found = retraced(content, 1)
-    if lang is not None:
-        found = F.when(lang.isin("yue", "zho"), retraced(content, 2)).otherwise(found)
-    places = F.filter(F.transform(words, lambda x, k: F.when(~x.isin(*ENDINGS, *SEPARATORS), k)), lambda k: k.isNotNull())
-    marked = F.transform(F.filter(F.arrays_zip(places.alias("k"), found.alias("r")), lambda z: z["r"]), lambda z: z["k"])
-    return let(marked, lambda ks: F.transform(words, lambda x, k: F.array_contains(ks, k)))
+
+    @F.pandas_udf("array<boolean>")
+    def run(ws: pd.Series, langs: pd.Series) -> pd.Series:
+        return _marks(ws, np.where(langs.isin(("yue", "zho")), 2, 1), frozenset((*ENDINGS, *SEPARATORS)))
+
+    return run(words, F.lit("") if lang is None else lang)
 
 
 def combined_letters(df: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -321,3 +323,32 @@ def test_numbers_letters_and_trees():
     assert q.tree_ranges("(S (S (NP a) (VP b)) (CC and) (S (NP c) (VP d)))") == [[0, 1], [3, 4]]
     with pytest.raises(ValueError, match="open"):
         q.tree_ranges("(S (S a)")
+
+
+def test_long_alignments_and_repeats_take_seconds(spark):
+    import time
+
+    r = random.Random(5)
+    a = [str(r.randint(0, 2000)) for _ in range(10_000)]
+    b = [x if r.random() < 0.8 else "q" for x in a if r.random() < 0.9]
+    began = time.time()
+    edits = align.align(a, b)
+    assert time.time() - began < 10 and [e["payload_idx"] for e in edits if e["payload_idx"] is not None] == list(range(10_000))
+    text = [str(k % 977) for k in range(100_000)]
+    began = time.time()
+    marks = words._marks(pd.Series([text, ["a", "a", "b"], None, []]), np.array([1, 1, 1, 1]))
+    assert time.time() - began < 60 and marks[0].sum() == 100_000 - 977 and list(marks[1]) == [True, False, False] and marks[2] is None and len(marks[3]) == 0
+
+
+def test_rows_of_alignments_equal_a_filled_table():
+    r = random.Random(6)
+    for _ in range(50):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 70))] for _ in range(2))
+        near = lambda x, y: x == y or {x, y} == {"a", "b"}  # noqa: E731  no equivalence
+        for same in (align.eq, near):
+            row = list(range(len(b) + 1))
+            for x in a:
+                diagonal, row[0] = row[0], row[0] + 1
+                for j, y in enumerate(b, 1):
+                    diagonal, row[j] = row[j], min(diagonal + (0 if same(x, y) else 2), row[j] + 1, row[j - 1] + 1)
+            assert align._last_row(a, b, same).tolist() == row
