@@ -501,7 +501,7 @@ query("h27_stanza_word", "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN
 
 def _every() -> None:
     """Registers the other modules' queries, which take their helpers from here."""
-    from parlance.plans import content_trees, streams, transcripts  # noqa: F401
+    from parlance.plans import content_trees, languages, streams, transcripts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
