@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from parlance.functions import models
 from parlance.operators import morphology, recovery, sequence, tiers, timing, words
-from parlance.sources import chat
+from parlance.sources import chat, content
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Utterances (f, u, line_idx, speaker, lang, text, words, terminator, start_ms, end_ms, lazy_overlap) of transcripts."""
+    """Utterances (f, u, line_idx, speaker, lang, text, words, terminator, start_ms, end_ms, lazy_overlap) of transcripts.
+
+    ``words`` are those that morphology takes: replacements for what they replace, no retraces, separators with tags.
+    """
     u = chat.utterance_lines(chat.parse_lines(files)).withColumnsRenamed({"file_id": "f", "utt_idx": "u"})
-    return u.withColumn("words", chat.alignable(F.col("text")))
+    return u.withColumn("words", content.domain_words(content.tree(F.col("text")), "mor"))
 
 
 def morphotag(utterances: DataFrame, primary: str = "eng", skip_other: bool = False) -> DataFrame:

@@ -95,3 +95,11 @@ def test_every_token_is_claimed_once_and_in_order(spark):
     rows = [(k, t, w) for k, (t, w, *_) in enumerate(REBUILT)]
     for r in spark.createDataFrame(rows, "k long, t string, w array<string>").transform(content.retokenized, "t", "w").withColumnRenamed("rebuilt", "r").collect():
         assert [t for x in r.r.tags for t in x.tokens] == list(range(len(r.w)))
+
+
+def test_commands_take_replacements_and_leave_retraces_out(spark):
+    from parlance import commands
+
+    text = "@Begin\n*CHI:\tgonna [: going to] eat . \x15100_900\x15\n*MOT:\t<I want> [/] I &-um want , it [e] ?\n@End\n"
+    got = commands.parsed(spark.createDataFrame([("a", text)], "file_id string, text string")).orderBy("u").collect()
+    assert [r.words for r in got] == [["going", "to", "eat"], ["I", "want", ","]] and [r.terminator for r in got] == [".", "?"]
