@@ -94,9 +94,12 @@ def with_kept_tiers(after: DataFrame, before: DataFrame, matches: DataFrame) ->
 
 
 def injected(words: DataFrame, timings: DataFrame) -> DataFrame:
-    """Words (f, g, u, p) take their group's timings (f, g, n, a, b) in order of utterance and word."""
+    """Words (f, g, u, p) take their group's timings (f, g, n, a, b) in order of utterance and word.
+
+    There are as many timings as words, so neither side is ever sent to all executors, however small its estimate.
+    """
     w = Window.partitionBy("f", "g").orderBy("u", "p")
-    return words.withColumn("n", (F.row_number().over(w) - 1).cast("long")).join(timings, ["f", "g", "n"], "left").select("f", "u", "p", "a", "b")
+    return words.withColumn("n", (F.row_number().over(w) - 1).cast("long")).join(timings.hint("merge"), ["f", "g", "n"], "left").select("f", "u", "p", "a", "b")
 
 
 def reused_groups(groups: DataFrame, deltas: DataFrame) -> DataFrame:
