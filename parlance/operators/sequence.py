@@ -12,6 +12,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parlance.functions.slices import by_row
 from parlance.operators.align import align, edit_metrics
 from parlance.operators.words import FILLERS, PUNCTUATION, let
 
@@ -216,11 +217,8 @@ def compared(df: DataFrame) -> DataFrame:
     kind = "array<struct<side:string,utt:int,seq:int,place:double,status:string,word:string,tag:string,main_utt:int,main_word:int,gold_word:int>>"
     listed = lambda us: [{"words": list(u["words"]), "tags": u.get("tags"), "terminator": u.get("terminator")} for u in us]
 
-    @F.pandas_udf(kind)
-    def run(main: pd.Series, gold: pd.Series) -> pd.Series:
-        return pd.Series([compare(listed(m), listed(g)) for m, g in zip(main, gold, strict=True)])
-
-    return df.select("f", F.explode(run("main", "gold")).alias("t")).select("f", "t.*")
+    made = by_row(lambda main, gold: compare(listed(main), listed(gold)), kind, F.col("main"), F.col("gold"))
+    return df.select("f", F.explode(made).alias("t")).select("f", "t.*")
 
 
 def compare_metrics(tokens: DataFrame) -> DataFrame:
@@ -294,11 +292,8 @@ def transcript_diff(before: list[dict], after: list[dict]) -> list[dict]:
 def diffed(df: DataFrame) -> DataFrame:
     """Rows (f, kind, before_idx, after_idx, timing_changed) from rows (f, before, after), arrays of (speaker, text, timing)."""
 
-    @F.pandas_udf("array<struct<kind:string,before_idx:int,after_idx:int,timing_changed:boolean>>")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([transcript_diff(list(x), list(y)) for x, y in zip(a, b, strict=True)])
-
-    return df.select("f", F.explode(run("before", "after")).alias("t")).select("f", "t.*")
+    made = by_row(transcript_diff, "array<struct<kind:string,before_idx:int,after_idx:int,timing_changed:boolean>>", F.col("before"), F.col("after"))
+    return df.select("f", F.explode(made).alias("t")).select("f", "t.*")
 
 
 def diff_summary(deltas: DataFrame) -> DataFrame:
@@ -339,12 +334,11 @@ def stitch(words: list[str], tokens: list[dict], offset_ms: int = 0, pauses: boo
 def stitched(df: DataFrame, pauses: bool = True) -> DataFrame:
     """C14: rows (f, g, p, start_ms, end_ms) from rows (f, g, words array<string>, tokens array<struct<text, time_s>>, offset_ms)."""
 
-    @F.pandas_udf("array<struct<start_ms:bigint,end_ms:bigint>>")
-    def run(words: pd.Series, tokens: pd.Series, offset: pd.Series) -> pd.Series:
-        made = [stitch(list(w), list(t), int(o), pauses) for w, t, o in zip(words, tokens, offset, strict=True)]
-        return pd.Series([[None if x is None else {"start_ms": x[0], "end_ms": x[1]} for x in row] for row in made])
+    def times(words: list[str], tokens: list[dict], offset: int) -> list[dict | None]:
+        return [None if x is None else {"start_ms": x[0], "end_ms": x[1]} for x in stitch(words, tokens, offset, pauses)]
 
-    return df.select("f", "g", F.posexplode(run("words", "tokens", "offset_ms")).alias("p", "t")).select("f", "g", "p", "t.*")
+    made = by_row(times, "array<struct<start_ms:bigint,end_ms:bigint>>", F.col("words"), F.col("tokens"), F.col("offset_ms"))
+    return df.select("f", "g", F.posexplode(made).alias("p", "t")).select("f", "g", "p", "t.*")
 
 
 def length_mapping(n_words: Column, n_tokens: Column) -> Column:

@@ -39,3 +39,22 @@ def test_long_order_numbers_are_spelled_as_the_sql_reads_them(spark, tmp_path):
     out = __spark_entry__.queries()["h4_chinese_numbers"](spark, str(tmp_path))
     assert sorted(map(tuple, out.collect())) == sql_rows("h4_chinese_numbers", tmp_path, "orders")
     assert sequence.chinese_number(100_000_103) == "一亿零零一百零三"  # the operator still spells whole numbers, as the reference does
+
+
+def test_parts_of_batches_stay_small_whatever_the_batch():
+    rows = pa.array([["word"] * (k % 7) for k in range(5000)] + [["word"] * 50_000])
+    own = list(slices.parts((rows, rows)))
+    assert pa.chunked_array([x for x, _ in own]).to_pylist() == rows.to_pylist()
+    assert all(len(x) == 1 or len(x) <= slices.PART_ROWS and 2 * x.nbytes <= slices.PART_BYTES for x, _ in own)
+
+
+def test_objects_of_a_batch_are_made_part_by_part(spark):
+    """A function sees no more rows than a part before its results are turned back: what it was given earlier is gone."""
+    import gc
+
+    def alive(row: list[int]) -> int:
+        return sum(isinstance(x, list) and len(x) == 11 for x in gc.get_objects()) if row[0] % 2000 == 1999 else 0
+
+    df = spark.range(0, 8000, 1, 1).selectExpr("transform(sequence(0, 10), k -> id + k) as row")
+    most = df.select(slices.by_row(alive, "int", df["row"]).alias("n")).where("n > 1000").count()
+    assert most == 0
