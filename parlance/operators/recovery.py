@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from parlance.functions.slices import by_row
 from parlance.operators.align import _fold, align
 from parlance.operators.timing import group_by_duration
 
@@ -147,20 +147,17 @@ _BULLETS = "array<struct<u:int,start_ms:bigint,end_ms:bigint,had:boolean,n_words
 
 
 def _plain(rows) -> list[dict]:
-    """Structs of a pandas cell with times as integers or None."""
-    whole = lambda x: None if x is None or x != x else int(x)
-    listed = lambda x: [] if x is None else list(x)
-    return [{**r, "start_ms": whole(r["start_ms"]), "end_ms": whole(r["end_ms"]), **{k: listed(r[k]) for k in ("words", "bottoms", "tops")}} for r in rows]
+    """Structs of utterances with empty lists for null ones."""
+    return [{**r, **{k: [] if r[k] is None else r[k] for k in ("words", "bottoms", "tops")}} for r in rows]
 
 
 def recovered_timing(df: DataFrame, mode: str = "caseless", threshold: float = 0.85) -> DataFrame:
     """Rows (f, u, start_ms, end_ms, had, n_words): every utterance with its bullet after one global pass; ``had`` if it had one."""
 
-    @F.pandas_udf(_BULLETS)
-    def run(utterances: pd.Series, tokens: pd.Series) -> pd.Series:
-        return pd.Series([_rows(u := _plain(us), global_pass(u, list(ts), mode, threshold)) for us, ts in zip(utterances, tokens, strict=True)])
+    def one(utterances: list[dict], tokens: list[dict]) -> list[dict]:
+        return _rows(u := _plain(utterances), global_pass(u, tokens, mode, threshold))
 
-    return df.select("f", F.explode(run("utterances", "tokens")).alias("t")).select("f", "t.*")
+    return df.select("f", F.explode(by_row(one, _BULLETS, F.col("utterances"), F.col("tokens"))).alias("t")).select("f", "t.*")
 
 
 def recovery_counts(bullets: DataFrame) -> DataFrame:
@@ -181,15 +178,11 @@ def two_pass_timing(df: DataFrame, config: TwoPass = TwoPass(), total_ms: int |
     without them, the one that times at least as many utterances, two passes first.
     """
 
-    @F.pandas_udf(f"struct<one:{_BULLETS},two:{_BULLETS}>")
-    def run(utterances: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-        made = []
-        for us, ts in zip(utterances, tokens, strict=True):
-            u, t = _plain(us), list(ts)
-            made.append((_rows(u, global_pass(u, t, config.mode, config.threshold)), _rows(u, two_passes(u, t, config))))
-        return pd.DataFrame(made, columns=["one", "two"])
+    def both_ways(utterances: list[dict], tokens: list[dict]) -> dict[str, list[dict]]:
+        u = _plain(utterances)
+        return {"one": _rows(u, global_pass(u, tokens, config.mode, config.threshold)), "two": _rows(u, two_passes(u, tokens, config))}
 
-    both = df.select("f", run("utterances", "tokens").alias("r"))
+    both = df.select("f", by_row(both_ways, f"struct<one:{_BULLETS},two:{_BULLETS}>", F.col("utterances"), F.col("tokens")).alias("r"))
     way = lambda name, two: both.select("f", F.lit(two).alias("two_pass"), F.explode(f"r.{name}").alias("t")).select("f", "two_pass", "t.*")
     rows = way("one", False).union(way("two", True))
     score = rows.groupBy("f").agg(F.count_if(F.col("two_pass") & F.col("start_ms").isNotNull()).alias("two"), F.count_if(~F.col("two_pass") & F.col("start_ms").isNotNull()).alias("one"))
@@ -218,16 +211,13 @@ def recover(df: DataFrame, strategy: str = "auto", config: TwoPass = TwoPass(),
 def overlap_onsets(df: DataFrame) -> DataFrame:
     """Rows (f, u, prev_start, prev_end, onset): the nearest timed predecessor's bullet and where in it each utterance begins to overlap."""
 
-    @F.pandas_udf("array<struct<u:int,start_ms:bigint,end_ms:bigint,onset:double>>")
-    def run(utterances: pd.Series) -> pd.Series:
-        out = []
-        for us in utterances:
-            rows = _plain(us)
-            timed = [u["start_ms"] is not None for u in rows]
-            out.append([{"u": u["u"], "start_ms": u["start_ms"], "end_ms": u["end_ms"], "onset": onset_fraction(k, rows, timed)} for k, u in enumerate(rows)])
-        return pd.Series(out)
+    def onsets(utterances: list[dict]) -> list[dict]:
+        rows = _plain(utterances)
+        timed = [u["start_ms"] is not None for u in rows]
+        return [{"u": u["u"], "start_ms": u["start_ms"], "end_ms": u["end_ms"], "onset": onset_fraction(k, rows, timed)} for k, u in enumerate(rows)]
 
-    rows = df.select("f", F.explode(run("utterances")).alias("t")).select("f", "t.*")
+    made = by_row(onsets, "array<struct<u:int,start_ms:bigint,end_ms:bigint,onset:double>>", F.col("utterances"))
+    rows = df.select("f", F.explode(made).alias("t")).select("f", "t.*")
     w = Window.partitionBy("f").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("start_ms").isNotNull(), F.struct("start_ms", "end_ms")), ignorenulls=True).over(w)
     return rows.withColumn("p", last).select("f", "u", F.col("p.start_ms").alias("prev_start"), F.col("p.end_ms").alias("prev_end"), "onset")
