@@ -28,8 +28,9 @@ def morphotag(utterances: DataFrame, primary: str = "eng", skip_other: bool = Fa
     sent = tiers.morphosyntax_payloads(utterances, primary, skip_other)
     function, _ = models._REGISTRY["morphosyntax"]
     schema = f"f {dict(sent.dtypes)['f']}, line_idx {dict(sent.dtypes)['line_idx']}, terminator string, lang string, {models.PAYLOADS['morphosyntax'][1]}"
-    tagged = sent.mapInPandas(function, schema)
-    t = tagged.select("f", "line_idx", "terminator", morphology.tagged_sentence(F.col("sentence"), F.col("lang")).alias("t"))
+    tagged = sent.mapInPandas(models.few_rows(function), schema)
+    # An outer explode of one element binds what is used several times.
+    t = tagged.select("f", "line_idx", "terminator", F.explode_outer(F.array(morphology.tagged_sentence(F.col("sentence"), F.col("lang")))).alias("t"))
     return t.select("f", "line_idx", F.concat(F.array_join("t.mor", " "), F.lit(" "), "terminator").alias("mor"), F.array_join("t.gra", " ").alias("gra"), "t.problem")
 
 

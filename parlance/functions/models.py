@@ -28,6 +28,19 @@ PAYLOADS: dict[str, tuple[str, str]] = {
 }
 
 
+#: Rows that a model is given at once: a row may be a sentence or a document, and its result many times as large.
+MODEL_ROWS = 256
+
+
+def few_rows(function: Batches) -> Batches:
+    """The model over batches of ``MODEL_ROWS`` rows at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return function(b.iloc[k : k + MODEL_ROWS].reset_index(drop=True) for b in batches for k in range(0, len(b), MODEL_ROWS))
+
+    return run
+
+
 def register(task: str, function: Batches, schema: str) -> None:
     """Names a model's function over Arrow batches and the schema it returns."""
     _REGISTRY[task] = (function, schema)
@@ -42,7 +55,7 @@ def infer(df: DataFrame, task: str) -> DataFrame:
         lacking = {f.name for f in T._parse_datatype_string(fields)} - set(names) if fields else set()
         if lacking:
             raise ValueError(f"task {task} lacks {', '.join(sorted(lacking))}")
-    return df.mapInPandas(function, schema)
+    return df.mapInPandas(few_rows(function), schema)
 
 
 def cached_map(df: DataFrame, cache: DataFrame, key: str, task: str) -> tuple[DataFrame, DataFrame]:
