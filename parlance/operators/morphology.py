@@ -220,8 +220,13 @@ def tagged_sentence(words: Column, lang: Column) -> Column:
     Component words of a range become one item, the first that is no clitic before the
     others, and count one by one in the relations.  The terminator's relation comes last.
     """
-    ranges = F.filter(F.transform(words, lambda w, k: F.struct(k.alias("k"), (w["id_end"] - w["id"] + 1).alias("n"))), lambda r: r["n"].isNotNull())
-    return let(two_letters(lang), lambda two: let(ranges, lambda rs: let(_parts(words, rs, two), lambda ps: _tiers(words, rs, ps))))
+
+
+    def tagged(ws: Column) -> Column:
+        ranges = F.filter(F.transform(ws, lambda w, k: F.struct(k.alias("k"), (w["id_end"] - w["id"] + 1).alias("n"))), lambda r: r["n"].isNotNull())
+        return let(two_letters(lang), lambda two: let(ranges, lambda rs: let(_parts(ws, rs, two), lambda ps: _tiers(ws, rs, ps))))
+
+    return let(words, tagged)  # bound, as it is used inside functions of each word
 
 
 def _parts(words: Column, ranges: Column, lang: Column) -> Column:

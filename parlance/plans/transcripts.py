@@ -247,7 +247,7 @@ query(
     _MOR + """, i AS (SELECT f, u, item, string_agg(mor, '~' ORDER BY p) AS mor FROM m GROUP BY f, u, item), a AS (SELECT f, u, string_agg(mor, ' ' ORDER BY item) AS mor FROM i GROUP BY f, u),
     g AS (SELECT f, u, string_agg((p + 1) || '|' || CASE WHEN p = 0 THEN '0|ROOT' ELSE '1|NMOD-POSS' END, ' ' ORDER BY p) || ' ' || (count(*) + 1) || '|1|PUNCT' AS gra FROM m GROUP BY f, u)
     SELECT f, u, mor, gra FROM a JOIN g USING (f, u)""",
-)(lambda s, d: _tagged(s, d).select("f", "u", morphology.tagged_sentence(F.col("sentence"), F.lit("eng")).alias("t")).where("t.problem is null").select("f", "u", F.array_join("t.mor", " ").alias("mor"), F.array_join("t.gra", " ").alias("gra")))
+)(lambda s, d: _tagged(s, d).select("f", "u", F.explode_outer(F.array(morphology.tagged_sentence(F.col("sentence"), F.lit("eng")))).alias("t")).where("t.problem is null").select("f", "u", F.array_join("t.mor", " ").alias("mor"), F.array_join("t.gra", " ").alias("gra")))
 query("h15_suffixes", _MOR + " SELECT f, u, p, substr(mor, length(tag) + 2 + length(word)) AS s FROM m")(
     lambda s, d: _tagged(s, d).select("f", "u", F.explode(F.filter("sentence", lambda w: w["id_end"].isNull())).alias("w")).select("f", "u", (F.col("w.id") - 1).alias("p"), F.concat(F.lit("-"), F.array_join(morphology.suffixes(F.col("w.upos"), F.lower("w.upos"), words.features_map(F.col("w.feats")), F.col("w.text"), F.col("w.lemma"), F.col("w.deprel"), F.lit("en")), "-")).alias("s"))
     .withColumn("s", F.when(F.col("s") == "-", "").otherwise(F.col("s")))
