@@ -52,7 +52,8 @@ def _each(cases: tuple[str, ...]) -> str:
 
 
 def _tiers(s: SparkSession, d: str) -> DataFrame:
-    plain = _read(s, d, TURN).selectExpr("f", "u", "filter(split(trim(text), '\\\\s+'), w -> w rlike '^[A-Za-z]+$' and lower(w) not in ('xxx', 'yyy', 'www')) as ws")
+    # Turns take little space in files and much work, so they are dealt to all tasks first.
+    plain = _read(s, d, TURN).repartition("f", "u").selectExpr("f", "u", "filter(split(trim(text), '\\\\s+'), w -> w rlike '^[A-Za-z]+$' and lower(w) not in ('xxx', 'yyy', 'www')) as ws")
     return plain.selectExpr("f", "u", "ws", f"concat(array_join(transform(ws, (w, k) -> {_of(tuple(t for t, _ in RULES))}), ' '), ' .') as text")
 
 
