@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -400,23 +399,18 @@ def translation_output(text: Column, marks: tuple[str, ...] = ("‡", "„", ","
 def long_pauses(df: DataFrame) -> DataFrame:
     """Adds ``part``: a chunk's words (f, chunk, i, word, a, b) split where a starter word follows a long pause.
 
-    A split needs two words before it since the last one, so a chunk's words are folded in order.
+    A split needs two words before it since the last one, so of neighbouring places that could split every other one does, from the first on.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i", ignore_index=True)
-        out, part, size, end = [], 0, 0, None
-        for word, a, b in rows[["word", "a", "b"]].itertuples(index=False):
-            bare = re.sub(r"^\W+|\W+$", "", word).lower()
-            if size >= 2 and end is not None and pd.notna(a) and a - end >= LONG_PAUSE_MS and bare in STARTERS:
-                part, size = part + 1, 0
-            if pd.notna(a) and pd.notna(b):
-                end = b
-            size += 1
-            out.append(part)
-        return rows.assign(part=out)
-
-    return df.select("f", "chunk", "i", "word", "a", "b").groupBy("f", "chunk").applyInPandas(fold, "f long, chunk long, i long, word string, a long, b long, part int")
+    w = Window.partitionBy("f", "chunk").orderBy("i")
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.last(F.when(F.col("a").isNotNull(), F.col("b")), ignorenulls=True).over(before)
+    bare = F.lower(F.regexp_replace("word", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", ""))
+    rows = df.select("f", "chunk", "i", "word", "a", "b").withColumns({"_k": F.row_number().over(w), "_end": end})
+    could = (F.col("_k") > 2) & (F.col("a") - F.col("_end") >= LONG_PAUSE_MS) & bare.isin(*STARTERS)
+    rows = rows.withColumn("_could", F.coalesce(could, F.lit(False)))
+    rows = rows.withColumn("_last", F.max(F.when(~F.col("_could"), F.col("_k"))).over(so_far))
+    split = F.when(F.col("_could") & ((F.col("_k") - F.col("_last")) % 2 == 1), 1).otherwise(0)
+    return rows.withColumn("part", F.sum(split).over(so_far).cast("int")).select("f", "chunk", "i", "word", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "part")
 
 
 def failure_category(error: Column, message: Column) -> Column:

@@ -1,10 +1,14 @@
 """What must hold so that a query's memory does not grow with its tables, and results that small tables do not reach."""
 
+import random
+import re
+
+import pandas as pd
 import pyarrow as pa
 
 import __spark_entry__
-from parlance.functions import slices
-from parlance.operators import records, sequence
+from parlance.functions import models, slices
+from parlance.operators import records, sequence, words
 
 
 def plan_of(df) -> str:
@@ -58,3 +62,54 @@ def test_objects_of_a_batch_are_made_part_by_part(spark):
     df = spark.range(0, 8000, 1, 1).selectExpr("transform(sequence(0, 10), k -> id + k) as row")
     most = df.select(slices.by_row(alive, "int", df["row"]).alias("n")).where("n > 1000").count()
     assert most == 0
+
+
+def folded_parts(rows: list[tuple]) -> list[int]:
+    """E9 word by word: rows (word, a, b) of a chunk."""
+    out, part, size, end = [], 0, 0, None
+    for word, a, b in rows:
+        if size >= 2 and end is not None and a is not None and a - end >= words.LONG_PAUSE_MS and word.lower().strip("._") in words.STARTERS:
+            part, size = part + 1, 0
+        end = b if a is not None and b is not None else end
+        size += 1
+        out.append(part)
+    return out
+
+
+def test_long_pauses_are_found_by_windows(spark):
+    r = random.Random(9)
+    chunks = []
+    for _ in range(40):
+        at, rows = 0, []
+        for _ in range(r.randrange(1, 14)):
+            at += r.choice([100, 799, 800, 2000, 2000])
+            rows.append((r.choice(["and", "So.", "you", "stone"]), *r.choice([(at, at), (at, at), (at, None), (None, None)])))
+        chunks.append(rows)
+    df = spark.createDataFrame([(1, c, i, *x) for c, rows in enumerate(chunks) for i, x in enumerate(rows)], "f long, chunk long, i long, word string, a long, b long")
+    out = words.long_pauses(df)
+    assert "Pandas" not in plan_of(out) and plan_of(out).count("Sort ") == 1
+    assert [x.part for x in sorted(out.collect(), key=lambda x: (x.chunk, x.i))] == [p for rows in chunks for p in folded_parts(rows)]
+
+
+def test_words_of_utterances_are_sorted_once(spark):
+    rows = [(1, 0, ","), (1, 1, "a."), (1, 2, "b"), (1, 3, ","), (2, 0, "‡"), (3, 0, "x"), (3, 1, "?")]
+    out = words.into_utterances(spark.createDataFrame(rows, "f long, p int, word string"))
+    assert plan_of(out).count("Sort ") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 0, ","), (1, 0, 1, "a"), (1, 0, 2, "."), (1, 1, 0, "b"), (1, 1, 1, "."), (3, 0, 0, "x"), (3, 0, 1, "?")]
+
+
+def test_compounds_are_not_sorted_again_by_runs(spark):
+    rows = [(1, 1, p, w) for p, w in enumerate("ice ice ice cream ice cream van".split())]
+    out = words.merged_compounds(spark.createDataFrame(rows, "f long, u long, p int, word string"), spark.createDataFrame([("ice", "ice"), ("ice", "cream")], "first string, second string").hint("merge"))
+    assert not re.search(r"Sort \[f#\S+ ASC NULLS FIRST, u#\S+ ASC NULLS FIRST, m#", plan_of(out))  # before: sorted again by matches, and by their runs
+    assert [x.word for x in sorted(out.collect(), key=lambda x: x.p)] == ["iceice", "icecream", "icecream", "van"]
+
+
+def test_models_are_given_few_rows(spark):
+    sizes = list(models.few_rows(lambda bs: (len(b) for b in bs))(iter([pd.DataFrame({"x": range(1000)})])))
+    assert max(sizes) <= models.MODEL_ROWS and sum(sizes) == 1000
+
+
+def test_a_tagged_sentence_is_made_once(spark):
+    query = __spark_entry__.queries()["h18_tagged_sentence"](spark, __spark_entry__.SMOKE_DIR)
+    assert plan_of(query).count("door zogen") <= 1  # before: once for the filter and for each column
