@@ -92,13 +92,17 @@ def into_utterances(df: DataFrame) -> DataFrame:
     parts = F.when(whole, F.array(end(F.col("word")))).when(split, F.array(body, end(last))).otherwise(F.array(plain))
     y = df.select("f", "p", word.alias("word")).select("f", "p", F.posexplode(parts).alias("j", "t")).select("f", "p", "j", "t.*")
     in_file = Window.partitionBy("f").orderBy("p", "j")
-    y = y.withColumn("utt", F.coalesce(F.sum(F.col("is_end").cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    in_utt = Window.partitionBy("f", "utt")
-    y = y.withColumn("tok", (F.row_number().over(in_utt.orderBy("p", "j")) - 1).cast("long"))
-    y = y.withColumn("closed", F.max("is_end").over(in_utt)).withColumn("kept", F.max(F.when(~F.col("word").isin(*SEPARATORS), F.col("tok"))).over(in_utt))
-    y = y.where(F.col("closed") | F.coalesce(F.col("tok") <= F.col("kept"), F.lit(False)))
-    periods = y.where(~F.col("closed") & (F.col("tok") == F.col("kept"))).select("f", "utt", F.col("tok") + 1, F.lit("."))
-    return y.select("f", "utt", "tok", "word").union(periods)
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    # Only the last utterance may be open, so rows numbered over the file tell all, and a file's words are sorted once.
+    y = y.withColumns({"n": F.row_number().over(in_file).cast("long"), "utt": F.coalesce(F.sum(F.col("is_end").cast("int")).over(before), F.lit(0)).cast("long")})
+    ends = F.when(F.col("is_end"), F.col("n"))
+    y = y.withColumn("tok", F.col("n") - 1 - F.coalesce(F.max(ends).over(before), F.lit(0)))
+    whole_file = Window.partitionBy("f")
+    y = y.withColumns({"end": F.coalesce(F.max(ends).over(whole_file), F.lit(0)), "kept": F.max(F.when(~F.col("word").isin(*SEPARATORS), F.col("n"))).over(whole_file)})
+    y = y.where((F.col("n") <= F.col("end")) | F.coalesce(F.col("n") <= F.col("kept"), F.lit(False)))
+    own, period = F.struct("tok", "word"), F.struct((F.col("tok") + 1).alias("tok"), F.lit(".").alias("word"))
+    opened = (F.col("n") > F.col("end")) & (F.col("n") == F.col("kept"))
+    return y.select("f", "utt", F.explode(F.when(opened, F.array(own, period)).otherwise(F.array(own))).alias("t")).select("f", "utt", "t.tok", "t.word")
 
 
 def _ranks(codes: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
