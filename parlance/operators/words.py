@@ -59,12 +59,13 @@ def merged_compounds(df: DataFrame, pairs: DataFrame) -> DataFrame:
     A greedy scan merges at the odd positions of each maximal run of matches.
     """
     w = Window.partitionBy("f", "u").orderBy("p")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     known = pairs.select(F.col("first").alias("word"), F.col("second").alias("nxt")).distinct().withColumn("m", F.lit(True))
     df = df.withColumn("nxt", F.lead("word").over(w)).join(known, ["word", "nxt"], "left").withColumn("m", F.coalesce("m", F.lit(False)))
-    run = F.col("p") - F.row_number().over(Window.partitionBy("f", "u", "m").orderBy("p"))
-    df = df.withColumn("run", run)
-    odd = F.row_number().over(Window.partitionBy("f", "u", "m", "run").orderBy("p")) % 2 == 1
-    df = df.withColumn("merge", F.col("m") & odd)
+    # Runs are told by rows numbered over the turn, so its words are sorted no more than once.
+    df = df.withColumn("k", F.row_number().over(w))
+    df = df.withColumn("last", F.coalesce(F.max(F.when(~F.col("m"), F.col("k"))).over(so_far), F.lit(0)))
+    df = df.withColumn("merge", F.col("m") & ((F.col("k") - F.col("last")) % 2 == 1))
     df = df.withColumn("gone", F.coalesce(F.lag("merge").over(w), F.lit(False)))
     return df.where("not gone").select("f", "u", "p", F.when(F.col("merge"), F.concat("word", "nxt")).otherwise(F.col("word")).alias("word"))
 
