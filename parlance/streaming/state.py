@@ -276,7 +276,15 @@ def utterances(tokens: DataFrame, most: int = LONG_TURN, idle_s: float | None =
 
 def into_table(stream: DataFrame, table: KeyedTable, checkpoint: str, newest: str | None = None) -> None:
     """Runs a stream in update mode over what its source has now; each batch replaces the rows of its keys and no others."""
-    query = stream.writeStream.outputMode("update").foreachBatch(lambda batch, _: table.put(batch, newest) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.persist()  # a put reads its rows twice, but a batch's state and timers may be worked through only once
+        try:
+            table.put(batch, newest)
+        finally:
+            batch.unpersist()
+
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:

@@ -145,3 +145,20 @@ def test_a_new_entry_wins_over_an_old_one_of_the_same_time(spark):
     old = spark.createDataFrame([("k", "t", 1, "old"), ("m", "t", 3, "kept")], s)
     new = spark.createDataFrame([("k", "t", 1, "new"), ("m", "t", 2, "older")], s)
     assert {(r.key, r.data) for r in store.cache_put(old, new).collect()} == {("k", "new"), ("m", "kept")}
+
+
+def test_a_batch_with_state_is_worked_through_once(spark, tmp_path):
+    """A put reads its rows more than once; were each time a run of the batch, its timers and state would be worked through again."""
+    schema = "job_id long, status string, event_id long"
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(status):
+        seen.add(1)
+        return status
+
+    table = KeyedTable.create(spark.createDataFrame([], "job_id long, status string, n long, last_event long"), f"{tmp_path}/table", ["job_id", "status"], 4)
+    parts = [[(k % 3, "queued", k) for k in range(20)], [(k % 3, "queued", k) for k in range(20, 30)]]
+    replay(spark, tmp_path, parts, schema, lambda s: state.into_table(feed.status_changes(s).withColumn("status", counted("status")), table, f"{tmp_path}/state"))
+    assert sorted(map(tuple, table.read().collect())) == [(0, "queued", 10, 27), (1, "queued", 10, 28), (2, "queued", 10, 29)]
+    assert seen.value == 6
