@@ -88,21 +88,23 @@ def text_grids(words: DataFrame) -> DataFrame:
 
     Each speaker has a tier; gaps between words are empty intervals.
     """
-    w = Window.partitionBy("f", "speaker").orderBy("a", "i")
     s = lambda c: F.format_string("%.3f", c / 1000)
-    timed = words.where("a is not null and b > a").withColumn("total", F.max("b").over(Window.partitionBy("f")))
-    timed = timed.withColumn("from", F.coalesce(F.lag("b").over(w), F.lit(0)))
-    last = F.lead("a").over(w).isNull()
+    timed = words.where("a is not null and b > a").groupBy("f", "speaker").agg(F.max("b").alias("end"), F.array_sort(F.collect_list(F.struct("a", "i", "b", "word"))).alias("ws"))
+    timed = timed.withColumn("total", F.max("end").over(Window.partitionBy("f")))
     cell = lambda a, b, t: F.struct(a.alias("a"), b.alias("b"), t.alias("t"))
     blank = F.lit("")
-    cells = F.array_compact(
-        F.array(
-            F.when(F.col("a") > F.col("from"), cell(F.col("from"), F.col("a"), blank)), cell(F.col("a"), F.col("b"), F.replace("word", F.lit('"'), F.lit('""'))),
-            F.when(F.col("last") & (F.col("b") < F.col("total")), cell(F.col("b"), F.col("total"), blank)),
-        )
-    )
-    rows = timed.withColumn("last", last).withColumn("cells", cells)
-    tiers = rows.groupBy("f", "speaker").agg(F.max("total").alias("total"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a", "i", "cells"))), lambda x: x["cells"])).alias("cells"))
+
+    def cells(x: Column, k: Column) -> Column:
+        before = F.when(k == 0, 0).otherwise(F.get("ws", k - 1)["b"])
+        return F.array_compact(
+            F.array(
+                F.when(x["a"] > before, cell(before, x["a"], blank)), cell(x["a"], x["b"], F.replace(x["word"], F.lit('"'), F.lit('""'))),
+                F.when((k == F.size("ws") - 1) & (x["b"] < F.col("total")), cell(x["b"], F.col("total"), blank)),
+            )
+        )
+
+    # An explode of one element binds the cells, which are counted and written.
+    tiers = timed.select("f", "speaker", "total", F.explode(F.array(F.flatten(F.transform("ws", cells)))).alias("cells"))
     lines = F.transform("cells", lambda x, k: F.concat(F.format_string("        intervals [%d]:\n            xmin = ", k + 1), s(x["a"]), F.lit("\n            xmax = "), s(x["b"]), F.lit('\n            text = "'), x["t"], F.lit('"\n')))
     tiers = tiers.withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy("speaker")))
     body = F.concat(

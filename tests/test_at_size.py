@@ -113,3 +113,15 @@ def test_models_are_given_few_rows(spark):
 def test_a_tagged_sentence_is_made_once(spark):
     query = __spark_entry__.queries()["h18_tagged_sentence"](spark, __spark_entry__.SMOKE_DIR)
     assert plan_of(query).count("door zogen") <= 1  # before: once for the filter and for each column
+
+
+def test_words_of_text_grids_are_not_sorted_by_windows(spark):
+    from parlance.sources import files
+
+    rows = [(1, 0, 1, 'say "a"', 0, 300), (1, 0, 2, "b", 300, 500), (1, 1, 3, "c", 800, 900), (1, 0, 4, "d", None, 950), (2, 0, 5, "e", 100, 200)]
+    out = files.text_grids(spark.createDataFrame(rows, "f int, speaker int, i int, word string, a int, b int"))
+    assert "lag(" not in plan_of(out) and "lead(" not in plan_of(out)
+    got = {r.f: re.findall(r"size = (\d+)|xmin = (\S+)\n *xmax = (\S+)\n *text = \"(.*)\"\n", r.text) for r in out.collect()}
+    cells = {f: [x[1:] if x[1] else int(x[0]) for x in xs] for f, xs in got.items()}
+    assert cells[1] == [2, 3, ("0.000", "0.300", 'say ""a""'), ("0.300", "0.500", "b"), ("0.500", "0.900", ""), 2, ("0.000", "0.800", ""), ("0.800", "0.900", "c")]
+    assert cells[2] == [1, 2, ("0.000", "0.100", ""), ("0.100", "0.200", "e")]
