@@ -301,17 +301,20 @@ def cantonese_normal(text: Column, converted: Callable[[Column], Column] = lambd
     """H5: Cantonese text with ``CANTONESE`` corrected.
 
     ``converted`` turns simplified into Hong Kong characters; its table is large and the caller's to bring.
-    The text is cut into entries and what stands between, longest entries first, and each entry replaced.
+    The text is cut into entries and what stands between, longest entries first, and each entry replaced; characters
+    outside the range of those that entries begin with stay together.
     """
     keys = sorted(CANTONESE, key=lambda k: (-len(k), k))
-    parts = F.regexp_extract_all(converted(text), F.lit("(?s)(" + "|".join(keys) + "|.)"), 1)
+    # A range is told by two comparisons, a set by one for each character.
+    low, high = min(keys)[0], max(keys)[0]
+    parts = F.regexp_extract_all(converted(text), F.lit(f"(?s)([^{low}-{high}]+|" + "|".join(keys) + "|.)"), 1)
     table = F.create_map(*[F.lit(x) for kv in CANTONESE.items() for x in kv])
     return F.array_join(F.transform(parts, lambda x: F.coalesce(table[x], x)), "")
 
 
 def cantonese_characters(text: Column, converted: Callable[[Column], Column] = lambda c: c) -> Column:
     """H6: the characters of corrected Cantonese text but for CJK punctuation and white space."""
-    return F.filter(F.split(F.regexp_replace(cantonese_normal(text, converted), _CANTONESE_SPACE, ""), ""), lambda c: c != "")
+    return F.array_remove(F.split(F.regexp_replace(cantonese_normal(text, converted), f"{_CANTONESE_SPACE}+", ""), ""), "")
 
 
 def mor_safe(text: Column) -> Column:

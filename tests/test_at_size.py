@@ -125,3 +125,21 @@ def test_words_of_text_grids_are_not_sorted_by_windows(spark):
     cells = {f: [x[1:] if x[1] else int(x[0]) for x in xs] for f, xs in got.items()}
     assert cells[1] == [2, 3, ("0.000", "0.300", 'say ""a""'), ("0.300", "0.500", "b"), ("0.500", "0.900", ""), 2, ("0.000", "0.800", ""), ("0.800", "0.900", "c")]
     assert cells[2] == [1, 2, ("0.000", "0.100", ""), ("0.100", "0.200", "e")]
+
+
+def test_text_between_cantonese_entries_is_not_cut_into_characters(spark):
+    entries, rng = sorted(words.CANTONESE, key=lambda k: (-len(k), k)), random.Random(5)
+    texts = ["".join(rng.choice([*entries, *"".join(entries), "abc", " ", "你", "。", "\n", "𠮷", "？"]) for _ in range(rng.randrange(40))) for _ in range(300)] + [""]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string")
+    out = rows.select("k", words.cantonese_characters(rows["t"]).alias("c"))
+    assert "filter(" not in plan_of(out)
+
+    def literal(text):
+        done = ""
+        while text:
+            entry = next((e for e in entries if text.startswith(e)), text[0])
+            done, text = done + words.CANTONESE.get(entry, entry), text[len(entry) :]
+        return [c for c in done if not re.match("[\\s　、。，！？「」：；]", c)]
+
+    got = {r.k: r.c for r in out.collect()}
+    assert got.pop(len(texts)) is None and got == {k: literal(t) for k, t in enumerate(texts)}
