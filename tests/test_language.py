@@ -1,5 +1,9 @@
 """Languages told by trigram profiles: agreement on held-out documents, scripts, ties and short texts."""
 
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from parlance.functions import language
@@ -41,3 +45,24 @@ def test_trigrams_of_expressions_and_of_the_detector_agree(spark):
     for text, grams in zip(texts, got, strict=True):
         plain = f" {language._OTHER.sub(' ', text.lower()).strip()} "
         assert [g for g in grams if g.strip()] == [g for g in (plain[k : k + 3] for k in range(len(plain) - 2)) if g.strip()]
+
+
+def test_letters_and_trigrams_are_counted_in_arrays_as_one_by_one(spark):
+    """Also beyond 16 bits; the documents' trigrams are counted before they become rows."""
+    rng = random.Random(3)
+    alphabet = "abcé İßñ² _7.ЖшΩあア漢한אกع𝒜𠮷\n"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(200)]
+    for text in texts:
+        plain = f" {language._OTHER.sub(' ', text.lower()).strip()} "
+        assert [language._gram(c) for c in language._codes(plain).tolist()] == [plain[k : k + 3] for k in range(len(plain) - 2)]
+        one_by_one = {name: len(re.findall(f"[{letters}]", text)) for name, letters in language.SCRIPTS.items()}
+        best = max(one_by_one, key=one_by_one.get)
+        kana = one_by_one["kana"] and one_by_one["kana"] + one_by_one["han"] > sum(one_by_one.values()) / 2
+        assert language.script_of(text) == ("kana" if kana else best if one_by_one[best] else None)
+    rows = [(t, "ab"[k % 2]) for k, t in enumerate(texts)] + [(None, "a"), ("abc", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    plain = df.where("lang is not null and text is not null").select("lang", language.plain_words(F.col("text")).alias("t")).collect()
+    own = Counter((x.lang, x.t[k : k + 3]) for x in plain for k in range(len(x.t) - 2))
+    ranked = {(lang, g, r) for lang in "ab" for r, (_, g) in enumerate(sorted((-n, g) for (x, g), n in own.items() if x == lang)[:300], 1)}
+    out = language.profiles(df)
+    assert {tuple(x) for x in out.collect()} == ranked and "Generate" not in out._jdf.queryExecution().executedPlan().toString()
