@@ -1,8 +1,11 @@
 """The content tree of main tiers: parsing, walks of every domain, and rebuilding over tokens."""
 
+import gc
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from parlance.sources import content
 
 # Main tiers with the words of each domain, written out by hand.
@@ -103,3 +106,26 @@ def test_commands_take_replacements_and_leave_retraces_out(spark):
     text = "@Begin\n*CHI:\tgonna [: going to] eat . \x15100_900\x15\n*MOT:\t<I want> [/] I &-um want , it [e] ?\n@End\n"
     got = commands.parsed(spark.createDataFrame([("a", text)], "file_id string, text string")).orderBy("u").collect()
     assert [r.words for r in got] == [["going", "to", "eat"], ["I", "want", ","]] and [r.terminator for r in got] == [".", "?"]
+
+
+@pytest.mark.parametrize("name", ["b1_domain_sin"])
+def test_walks_hold_the_trees_of_few_texts_at_once(spark, monkeypatch, tmp_path, name):
+    """Of a batch with thousands of turns no more trees are objects at any time than a part has rows, and every turn has its words."""
+    import duckdb
+
+    real, calls = content.flat, []
+
+    def counted(items):
+        calls.append(None)
+        if len(calls) % 1000 == 0:
+            alive = sum(type(x) is dict and "within" in x and x.get("id") == 0 for x in gc.get_objects())
+            assert alive <= 256, f"{alive} trees after {len(calls)} texts"
+        return real(items)
+
+    monkeypatch.setattr(content, "flat", counted)
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id div 8 as conv_id", "id % 8 as turn", "'user' as role", "array_join(transform(sequence(1, id % 11), k -> substr('abcdefghijk', 1, k)), ' ') as text")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = __spark_entry__.queries()[name](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall()) and len(got) == 4000
