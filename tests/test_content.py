@@ -108,7 +108,7 @@ def test_commands_take_replacements_and_leave_retraces_out(spark):
     assert [r.words for r in got] == [["going", "to", "eat"], ["I", "want", ","]] and [r.terminator for r in got] == [".", "?"]
 
 
-@pytest.mark.parametrize("name", ["b1_domain_sin", "b1_domain_wor"])
+@pytest.mark.parametrize("name", ["b1_domain_sin", "b1_domain_wor", "b1_domain_fa"])
 def test_walks_hold_the_trees_of_few_texts_at_once(spark, monkeypatch, tmp_path, name):
     """Of a batch with thousands of turns no more trees are objects at any time than a part has rows, and every turn has its words."""
     import duckdb
